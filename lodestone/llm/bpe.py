@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import batch, table
 
 LEAF = 1 << 14
-_SEAM = re.compile(r"\S(?=\s)")
+#: White space that every regex dialect agrees on, after what none calls white space.
+_SEAM = re.compile(r"\S(?=[ \n\r\t])")
 
 
 @lru_cache(maxsize=2)

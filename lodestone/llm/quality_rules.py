@@ -188,19 +188,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> dict
     order = F.xxhash64("doc_id"), F.col("doc_id")
     picked = [per.filter(F.col("quality") == q).orderBy(*order).limit(sample // 2) for q in (0, 1)]
     chosen = F.broadcast(picked[0].union(picked[1]))  # at most `sample` rows
-    text = F.substring("text", 1, 20000).alias("text")  # of the bounded training sample only
-    rows = docs.select("doc_id", text).join(chosen, "doc_id").orderBy("doc_id", "quality").limit(2 * sample).toArrow().to_batches()
-    out = []
-    for b in rows:
-        q = b.column("quality").to_pylist()
-        for lo, t in texts(b):
-            w = Words(t)
-            lines = Lines(t, w)
-            for i in range(len(t.ids)):
-                x = lines.x[lines.at[i] : lines.at[i + 1]][:SAMPLE_LINES]
-                if len(x):
-                    out.append((x, CONTENT if q[lo + i] == 1 else BOILERPLATE))
-    return fit(out)
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            q = b.column("quality").to_pylist()
+            for lo, t in texts(b):
+                lines = Lines(t, Words(t))
+                x = [lines.x[lines.at[i] : lines.at[i + 1]][:SAMPLE_LINES].tobytes() for i in range(len(t.ids))]
+                yield batch({"doc_id": pa.int64(), "quality": pa.int32(), "x": pa.binary()}, doc_id=t.ids, quality=q[lo : lo + len(x)], x=x)
+
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").mapInArrow(features, "doc_id long, quality int, x binary")
+    rows = rows.orderBy("doc_id", "quality", "x").limit(2 * sample).collect()  # bounded: the sample's features
+    pairs = [(np.frombuffer(r.x).reshape(-1, len(FEATURES)), CONTENT if r.quality == 1 else BOILERPLATE) for r in rows]
+    return fit([p for p in pairs if len(p[0])])
 
 
 def _repeated(w: Words) -> np.ndarray:
