@@ -262,3 +262,35 @@ def covered(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     start, reach = start[o], np.maximum.accumulate(end[o])
     new = np.r_[True, start[1:] > reach[:-1]]
     return start[new], reach[np.r_[np.flatnonzero(new)[1:] - 1, len(reach) - 1]]
+
+
+def anchors(h: np.ndarray, w: int, valid: np.ndarray) -> np.ndarray:
+    """Positions of the least hash of each valid window of w consecutive hashes, the leftmost if there are several.
+
+    The choice depends on a window's content alone, so equal windows have the same anchor at the same place in them.
+    """
+    low = np.uint64((1 << 28) - 1)
+    if len(h) > 1 << 28:
+        raise ValueError("a text of more than 2**28 units can't be taken at once")
+    key = (h & ~low) | np.arange(len(h), dtype=np.uint64)
+    least = slide_min(key, w)
+    return np.unique((least[valid[: len(least)]] & low).astype(np.int64))
+
+
+def with_ranges(docs: DataFrame, found: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:
+    """docs (doc_id, text) and ranges array<struct<lo, hi>>: found's rows of that document, null if there are none.
+
+    Only documents that may have ranges are shuffled with their texts.
+    """
+    per = cut(found.groupBy("doc_id").agg(F.collect_list(F.struct(F.col(lo).alias("lo"), F.col(hi).alias("hi"))).alias("ranges")))
+    hit = having_ids(docs, per).join(per, "doc_id", "left")
+    kind = "array<struct<lo:int,hi:int>>"
+    return hit.select("doc_id", "text", F.col("ranges").cast(kind)).unionByName(without_ids(docs, per).select("doc_id", "text", F.lit(None).cast(kind).alias("ranges")))
+
+
+def nested(b: pa.RecordBatch, col: str, fields: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Bounds and fields of a column of arrays of structs; null is empty."""
+    a = b.column(col)
+    sizes = a.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = a.flatten()
+    return np.concatenate([[0], np.cumsum(sizes)]), [flat.field(f).to_numpy(zero_copy_only=False) for f in fields]
