@@ -5,6 +5,9 @@ For inner products the error along a vector matters more than that across it, so
 |r|^2 + (eta - 1) (r . x / |x|)^2, eta = (d - 1) T^2 / (1 - T^2), by coordinate descent (``quantise``).  Codebooks are
 fitted on at most ``SAMPLE`` vectors, the first by a hash of their id; every vector is indexed.
 
+What is coded is a vector's offset from the nearest of ``COARSE`` centres, brought to unit length (its length is kept), so
+that the codes tell vectors of a dense cluster apart as well as others.
+
 A scan adds, for each query, table entries instead of products: one table of 16 x 16 sums for each byte of two codes.
 Queries (in blocks) meet all codes (in blocks) in tasks that keep the best ``KEPT`` a query; these are merged by Spark
 and reranked in double precision on the original vectors, so returned scores are exact.  Equal vectors are indexed once
@@ -28,7 +31,8 @@ from .common import batch, cut, id_bucket, parts, table  # noqa: F401
 
 SAMPLE = 20_000
 CENTRES = 16
-KEPT = 160
+COARSE = 128
+KEPT = 256
 T = 0.2
 CODE_BLOCK = 8192
 QUERY_BLOCK = 512
@@ -43,15 +47,38 @@ def sound(rows: DataFrame) -> DataFrame:
     return good.join(F.broadcast(size), F.size("embedding") == F.col("_size")).drop("_size")
 
 
-def fit(x: np.ndarray, rounds: int = 8, seed: int = 5) -> np.ndarray:
-    """Centres, (pairs, 16, 2), that lower the anisotropic loss of x."""
-    n, pairs = len(x), x.shape[1] // 2
+def coarse(x: np.ndarray, rounds: int = 8, seed: int = 3) -> np.ndarray:
+    """Centres of x by k-means."""
+    c = x[np.random.default_rng(seed).permutation(len(x))[:COARSE]].copy()
+    for _ in range(rounds):
+        near = nearest(x, c)
+        size = np.bincount(near, minlength=len(c))
+        for i in range(x.shape[1]):
+            c[:, i] = np.where(size > 0, np.bincount(near, x[:, i], len(c)) / np.maximum(size, 1), c[:, i])
+    return c
+
+
+def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return ((c * c).sum(1)[None] - 2 * x @ c.T).argmin(1)
+
+
+def offsets(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each vector's centre, the length of its offset from it and the offset at unit length."""
+    near = nearest(x, c)
+    r = x - c[near]
+    size = np.linalg.norm(r, axis=1)
+    return near, size, r / np.maximum(size, 1e-30)[:, None]
+
+
+def fit(r: np.ndarray, u: np.ndarray, rounds: int = 8, seed: int = 5) -> np.ndarray:
+    """Centres, (pairs, 16, 2), that lower the anisotropic loss of r, along the directions u."""
+    n, pairs = len(r), r.shape[1] // 2
     rng = np.random.default_rng(seed)
-    books = x[rng.integers(0, n, (pairs, CENTRES)), :].reshape(pairs, CENTRES, pairs, 2)[np.arange(pairs), :, np.arange(pairs)].copy()
-    books += rng.normal(0, 1e-3, books.shape) * x.std()
-    for r in range(rounds):
-        codes = quantise(x, books, eta(x.shape[1]) if r >= 3 else 1.0, sweeps=1)
-        _update(x, codes, books, eta(x.shape[1]) if r >= 3 else 1.0)
+    books = np.stack([r[rng.integers(0, n, CENTRES)].reshape(CENTRES, pairs, 2)[:, m] for m in range(pairs)])
+    books = books + rng.normal(0, 1e-3, books.shape)
+    for i in range(rounds):
+        weight = eta(r.shape[1]) if i >= 3 else 1.0
+        _update(r, u, quantise(r, u, books, weight, sweeps=1), books, weight)
     return books
 
 
@@ -63,10 +90,10 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
 
 
-def quantise(x: np.ndarray, books: np.ndarray, weight: float, sweeps: int = 2) -> np.ndarray:
+def quantise(x: np.ndarray, u: np.ndarray, books: np.ndarray, weight: float, sweeps: int = 2) -> np.ndarray:
     """Codes (n, pairs): each pair in turn takes the centre with the least loss, given the others'."""
     n, pairs = len(x), len(books)
-    u, xs = _unit(x).reshape(n, pairs, 2), x.reshape(n, pairs, 2)
+    u, xs = u.reshape(n, pairs, 2), x.reshape(n, pairs, 2)
     codes = np.zeros((n, pairs), np.uint8)
     along = np.zeros((n, pairs))
     for sweep in range(sweeps + 1):
@@ -87,10 +114,10 @@ def quantise(x: np.ndarray, books: np.ndarray, weight: float, sweeps: int = 2) -
     return codes
 
 
-def _update(x: np.ndarray, codes: np.ndarray, books: np.ndarray, weight: float) -> None:
+def _update(x: np.ndarray, u: np.ndarray, codes: np.ndarray, books: np.ndarray, weight: float) -> None:
     """Each pair's centres by least squares, given the others'; centres without vectors stay."""
     n, pairs = len(x), len(books)
-    u, xs = _unit(x).reshape(n, pairs, 2), x.reshape(n, pairs, 2)
+    u, xs = u.reshape(n, pairs, 2), x.reshape(n, pairs, 2)
     along = np.stack([((xs[:, m] - books[m][codes[:, m]]) * u[:, m]).sum(1) for m in range(pairs)], 1)
     total = along.sum(1)
     for m in range(pairs):
@@ -118,39 +145,42 @@ def _matrix(col: pa.Array, d: int) -> np.ndarray:
     return np.pad(x, ((0, 0), (0, d % 2)))
 
 
-def train(distinct: DataFrame, sample: int = SAMPLE) -> tuple[int, np.ndarray] | None:
-    """Length of the vectors and the centres; None without vectors."""
+def train(distinct: DataFrame, sample: int = SAMPLE) -> tuple[int, np.ndarray, np.ndarray] | None:
+    """Length of the vectors, coarse centres and codebooks; None without vectors."""
     rows = distinct.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("embedding").toArrow()  # bounded: the sample
     if not rows.num_rows:
         return None
     col = rows.column("embedding").combine_chunks()
     d = len(col[0])
-    return d, fit(_matrix(col, d))
+    x = _matrix(col, d)
+    c = coarse(x)
+    return d, c, fit(offsets(x, c)[2], _unit(x))
 
 
 _KIND = {"block": pa.int64(), "ids": pa.binary(), "data": pa.binary()}
 
 
-def _blocks(d: int, books, size: int, name: str):
-    """Rows of a task in blocks: their ids, and their codes (two to a byte) or float32 vectors."""
+def _blocks(d: int, centres, books, size: int):
+    """Rows of a task in blocks: ids, and float32 vectors or (offset lengths, centres, codes of two to a byte)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, len(b), size):
                 part = b.slice(lo, size)
-                ids, x = part.column(name).to_numpy(zero_copy_only=False).astype(np.int64), _matrix(part.column("embedding"), d)
+                ids, x = part.column("key").to_numpy(zero_copy_only=False).astype(np.int64), _matrix(part.column("embedding"), d)
                 if books is None:
-                    data = x.astype(np.float32)
+                    data = [x.astype(np.float32)]
                 else:
-                    c = quantise(x, books, eta(d))
+                    near, length, r = offsets(x, centres)
+                    c = quantise(r, _unit(x), books, eta(d))
                     c = np.pad(c, ((0, 0), (0, c.shape[1] % 2)))
-                    data = c[:, ::2] << np.uint8(4) | c[:, 1::2]
-                yield batch(_KIND, block=[int(ids[0])], ids=[ids.tobytes()], data=[np.ascontiguousarray(data).tobytes()])
+                    data = [length.astype(np.float32), near.astype(np.uint16), np.ascontiguousarray(c[:, ::2] << np.uint8(4) | c[:, 1::2])]
+                yield batch(_KIND, block=[int(ids[0])], ids=[ids.tobytes()], data=[b"".join(y.tobytes() for y in data)])
 
     return run
 
 
-def _scan(books: np.ndarray, kept: int):
+def _scan(centres: np.ndarray, books: np.ndarray, kept: int):
     """The best of each query block's queries in each code block, by sums of table entries."""
     pairs = len(books)
     cand = pa.list_(pa.struct([("s", pa.float32()), ("r", pa.int64())]))
@@ -164,11 +194,16 @@ def _scan(books: np.ndarray, kept: int):
                 q = np.frombuffer(q.as_buffer(), np.float32).reshape(len(q_ids), 2 * pairs)
                 if pairs % 2:
                     q = np.pad(q, ((0, 0), (0, 2)))
-                codes = np.frombuffer(c.as_buffer(), np.uint8).reshape(len(c_ids), -1)
+                c, n = c.as_buffer(), len(c_ids)
+                length, near = np.frombuffer(c, np.float32, n), np.frombuffer(c, np.uint16, n, 4 * n)
+                codes = np.frombuffer(c, np.uint8, offset=6 * n).reshape(n, -1)
+                at_centre = (centres[:, : 2 * pairs] @ q[:, : 2 * pairs].T).astype(np.float32)
                 score = np.zeros((len(c_ids), len(q_ids)), np.float32)
                 for m in range(codes.shape[1]):
                     hi, lo = tables[2 * m] @ q[:, 4 * m : 4 * m + 2].T, tables[2 * m + 1] @ q[:, 4 * m + 2 : 4 * m + 4].T
                     score += (hi[:, None] + lo[None]).reshape(CENTRES * CENTRES, -1)[codes[:, m]]
+                score *= length[:, None]
+                score += at_centre[near]
                 k = min(kept, len(c_ids))
                 score = np.ascontiguousarray(score.T)
                 best = np.argpartition(-score, k - 1, axis=1)[:, :k] if k < len(c_ids) else np.tile(np.arange(k), (len(q_ids), 1))
@@ -201,16 +236,16 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, kept: int = KEPT, s
     model = train(distinct, sample)
     if model is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    d, books = model
+    d, centres, books = model
     asked = cut(good.join(queries.select(F.col("vec_id")).distinct(), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")))
     vec = lambda df, name, col: df.select(F.col(name).alias("key"), F.col(col).alias("embedding"))
     schema = "block long, ids binary, data binary"
-    codes = vec(distinct, "rep", "embedding").mapInArrow(_blocks(d, books, CODE_BLOCK, "key"), schema)
+    codes = vec(distinct, "rep", "embedding").mapInArrow(_blocks(d, centres, books, CODE_BLOCK), schema)
     codes = cut(codes.coalesce(max(1, parts(spark))))
-    sought = cut(vec(asked, "query_id", "qv").coalesce(max(1, parts(spark) // 8)).mapInArrow(_blocks(d, None, QUERY_BLOCK, "key"), schema))
+    sought = cut(vec(asked, "query_id", "qv").coalesce(max(1, parts(spark) // 8)).mapInArrow(_blocks(d, None, None, QUERY_BLOCK), schema))
     # every block of queries meets every block of codes: a row for each two blocks, never for two vectors
     meet = codes.select(F.lit(1).alias("j"), F.col("ids").alias("c_ids"), F.col("data").alias("c_data")).crossJoin(sought.select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data")))
-    scanned = meet.repartition(parts(spark)).mapInArrow(_scan(books, kept), "query_id long, found array<struct<s:float,r:long>>")
+    scanned = meet.repartition(parts(spark)).mapInArrow(_scan(centres, books, kept), "query_id long, found array<struct<s:float,r:long>>")
     top = scanned.groupBy("query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("found")), asc=False), 1, kept).alias("found"))
     top = top.join(asked, "query_id").select("query_id", "qv", F.explode("found").alias("f")).select("query_id", "qv", (-F.col("f.r")).alias("rep"))
     exact = top.join(distinct, "rep").select("query_id", "qv", "rep", "embedding").mapInArrow(_exact(d), "query_id long, rep long, score double")
