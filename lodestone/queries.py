@@ -1,4 +1,459 @@
-"""Registered queries of the retrieval pipeline and their oracles."""
+"""Registered queries of the retrieval pipeline over the given tables, and the same in SQL.
+
+The corpus is ``documents``, one chunk a document unless chunking itself is asked for; the questions and the gold set
+come from ``benchmark``, whose passages occur in documents.  Scores are ranked at nine decimals and shown at six.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import patterns as P
+from .functions import text as X
+from .operators import answer as A
+from .operators import chunking as C
+from .operators import embed as E
+from .operators import evaluate as V
+from .operators import index as I
+from .operators import privacy as R
+from .operators import retrieve as S
+from .sources import loaders as L
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+NOW, TODAY = "2024-01-20 00:00:00", "2024-06-01"
+
+
+def register(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# ---------------------------------------------------------------- shared inputs
+
+
+def corpus(spark: SparkSession, d: str) -> DataFrame:
+    source = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
+    docs = _t(spark, d, "documents").select(source.alias("source"), F.lit("").alias("title"), F.lit("").alias("heading"), X.blank(F.col("text")).alias("text"), F.lit(0).alias("section_no"), F.lit(0).alias("piece_no"))
+    return C.with_ids(docs)
+
+
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+
+
+def retrieved(spark: SparkSession, d: str, mode: str, k: int = S.TOP_K) -> DataFrame:
+    q, c = questions(spark, d), corpus(spark, d)
+    qv = E.hashing(q, "qid", "question")
+    cv = E.hashing(c.select("chunk_id", "okey", S.search_text().alias("st")), "chunk_id", "st").join(c.select("chunk_id", "okey"), "chunk_id")
+    hits = S.search(q, c, qv, cv, mode, k)
+    return hits.join(c.select("chunk_id", "source"), "chunk_id")
+
+
+def gold(spark: SparkSession, d: str) -> DataFrame:
+    """Answerable are the items whose text some document contains; those documents are the targets."""
+    b, docs = _t(spark, d, "benchmark"), _t(spark, d, "documents")
+    source = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
+    # an equi-join on a passage's first six words keeps the containment test off most pairs
+    words = lambda c: F.regexp_extract_all(c, F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    heads = b.select("item_id", F.col("text").alias("passage"), F.array_join(F.slice(words(F.col("text")), 2, 6), " ").alias("g"))
+    w = docs.select("doc_id", source.alias("source"), "text", words(F.col("text")).alias("w")).filter("size(w) >= 6")
+    grams = w.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 5), lambda i: F.array_join(F.slice("w", i, 6), " ")))).alias("g"))
+    near = grams.join(heads.select("item_id", "g"), "g").select("doc_id", "item_id").distinct()
+    hit = near.join(w.select("doc_id", "source", "text"), "doc_id").join(heads.select("item_id", "passage"), "item_id").filter(F.contains("text", "passage"))
+    rel = hit.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("source", F.lit("").alias("heading")))).alias("relevant"))
+    none = F.array().cast("array<struct<source:string,heading:string>>")
+    out = b.select("item_id").join(rel, "item_id", "left")
+    return out.select(F.col("item_id").alias("qid"), F.col("relevant").isNotNull().alias("answerable"), F.coalesce("relevant", none).alias("relevant"))
+
+
+STOP_SQL = "[" + ", ".join(f"'{w}'" for w in P.STOPWORDS) + "]"
+
+
+def terms_sql(e: str) -> str:
+    words = f"regexp_extract_all(lower(coalesce({e}, '')), '[a-z0-9]+(?:[''.][a-z0-9]+)*')"
+    fold = "CASE WHEN length(w) > 4 AND w LIKE '%ies' THEN left(w, length(w) - 3) || 'y' WHEN length(w) > 3 AND w LIKE '%s' AND NOT regexp_matches(w, '(ss|us|is)$') THEN left(w, length(w) - 1) ELSE w END"
+    return f"list_transform(list_filter({words}, lambda w: NOT list_contains({STOP_SQL}, w)), lambda w: {fold})"
+
+
+TOKENS_SQL = r"len(regexp_extract_all(coalesce({e}, ''), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]'))"
+CORPUS_SQL = """corpus AS (SELECT source, text, ltrim_st, substr(sha256(source || chr(31) || '' || chr(31) || text), 1, 16) AS chunk_id, replace(source, '/', chr(1)) || chr(1) || '0000000000' || chr(1) || '0000000000' AS okey
+    FROM (SELECT source || '/' || doc_id AS source, coalesce(text, '') AS text, chr(10) || chr(10) || coalesce(text, '') AS ltrim_st FROM documents))"""
+BM25_SQL = f"""{CORPUS_SQL},
+cterms AS (SELECT chunk_id, okey, {terms_sql("text")} AS ts FROM corpus),
+post AS (SELECT chunk_id, okey, len(ts) AS dl, unnest(ts) AS term FROM cterms),
+tf AS (SELECT term, chunk_id, okey, dl, count(*) AS tf FROM post GROUP BY ALL),
+stats AS (SELECT count(*) AS n, coalesce(avg(len(ts)), 1.0) AS avgdl FROM cterms),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+qt AS (SELECT DISTINCT item_id AS qid, unnest({terms_sql("text")}) AS term FROM benchmark),
+bscore AS (SELECT qid, chunk_id, okey, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score
+    FROM qt JOIN tf USING (term) JOIN df USING (term), stats GROUP BY ALL),
+lexical AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, okey, chunk_id) AS rank FROM bscore WHERE score > 0) WHERE rank <= 20)"""
+
+
+def _features_sql(src: str, key: str) -> str:
+    """Unit vectors of src(key, ts) in long form: key, i, x."""
+    h = "('0x' || substr(md5(f), 1, 16))::UBIGINT"
+    return f"""{src}_f AS (
+    SELECT {key}, w AS f, 1.0 AS x FROM (SELECT {key}, unnest(ts) AS w FROM {src})
+    UNION ALL SELECT {key}, unnest(list_transform(range(1, len(ts)), lambda i: ts[i] || '|' || ts[i + 1])), 0.6 FROM {src} WHERE len(ts) > 1
+    UNION ALL SELECT {key}, unnest(list_transform(range(1, greatest(length(w) - 1, 1) + 1), lambda i: substr('^' || w || '$', i, 4))), 0.25 FROM (SELECT {key}, unnest(ts) AS w FROM {src})),
+{src}_s AS (SELECT {key}, CAST({h} % 384 AS INTEGER) AS i, sum(CASE WHEN {h} % 2 = 1 THEN x ELSE -x END) AS v FROM {src}_f GROUP BY ALL),
+{src}_v AS (SELECT {key}, i, v / nullif(sqrt(sum(v * v) OVER (PARTITION BY {key})), 0) AS x FROM {src}_s)"""
+
+
+HYBRID_SQL = f"""{BM25_SQL},
+qterms AS (SELECT item_id AS qid, {terms_sql("text")} AS ts FROM benchmark),
+{_features_sql("cterms", "chunk_id")}, {_features_sql("qterms", "qid")},
+cosine AS (SELECT q.qid, c.chunk_id, coalesce(s.score, 0.0) AS score, c.okey FROM (SELECT item_id AS qid FROM benchmark) q CROSS JOIN corpus c
+    LEFT JOIN (SELECT qid, chunk_id, sum(a.x * b.x) AS score FROM cterms_v a JOIN qterms_v b USING (i) GROUP BY ALL) s ON s.qid = q.qid AND s.chunk_id = c.chunk_id),
+dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, okey, chunk_id) AS rank FROM cosine) WHERE rank <= 20),
+lists AS (SELECT qid, chunk_id, okey, rank, 0 AS no FROM lexical UNION ALL SELECT qid, chunk_id, okey, rank, 1 FROM dense),
+fused AS (SELECT qid, chunk_id, okey, sum(1.0 / (60 + rank)) AS score, min(no * 1000000 + rank) AS seen FROM lists GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, seen) AS rank FROM fused),
+hybrid AS (SELECT r.qid, r.rank, r.chunk_id, r.score, coalesce(l.score, 0.0) AS bm25_score, c.score AS vector_score, k.source, k.text, b.text AS question
+    FROM ranked r LEFT JOIN lexical l USING (qid, chunk_id) JOIN cosine c USING (qid, chunk_id) JOIN corpus k USING (chunk_id) JOIN benchmark b ON b.item_id = r.qid)"""
+COVER = "CASE WHEN len(qs) = 0 THEN 0.0 ELSE len(list_intersect(qs, ds)) / len(qs) END"
+
+
+# ---------------------------------------------------------------- text, loading
+
+
+@register(f"SELECT doc_id, CAST({TOKENS_SQL.format(e='text')} AS INTEGER) AS n_tokens FROM documents")
+def token_count(spark, d):
+    return _t(spark, d, "documents").select("doc_id", X.token_count(F.col("text")).alias("n_tokens"))
+
+
+@register(f"SELECT term, count(*) AS uses, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({terms_sql('text')}) AS term FROM documents) GROUP BY term")
+def search_terms(spark, d):
+    t = _t(spark, d, "documents").select("doc_id", F.explode(X.search_terms(F.col("text"))).alias("term"))
+    return t.groupBy("doc_id", "term").agg(F.count("*").alias("n")).groupBy("term").agg(F.sum("n").alias("uses"), F.count("*").alias("docs"))
+
+
+@register(r"""SELECT turn_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')) AS tidied
+    FROM (SELECT conv_id * 1000 + turn AS turn_id, '  ' || replace(text, '. ', '.' || chr(9) || ' ' || chr(10) || ' ' || chr(10) || chr(10)) || '  ' AS t FROM conversations)""")
+def tidy_text(spark, d):
+    spaced = F.concat(F.lit("  "), F.replace("text", F.lit(". "), F.lit(".\t \n \n\n")), F.lit("  "))
+    return _t(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), F.md5(X.tidy(spaced).cast("binary")).alias("tidied"))
+
+
+def _structured(spark, d) -> DataFrame:
+    """Documents with front matter and headings around their own lines."""
+    doc = _t(spark, d, "documents")
+    line = lambda i: F.coalesce(F.get(F.split("text", "\n"), F.lit(i)), F.lit(""))
+    body = F.concat(F.lit("intro\n# Head "), F.col("lang"), F.lit("\n"), line(0), F.lit("\n## Sub ##\n"), line(1), F.lit("\n```\n# code\n```\n# Last#\n"), line(2))
+    text = F.concat(F.lit("---\nTitle: 'Doc "), F.col("doc_id").cast("string"), F.lit("'\nupdated: 2024-01-0"), (F.col("doc_id") % 9 + 1).cast("string"), F.lit("\ntitle: \"Last\"\n---\n"), body)
+    return doc.select(F.col("doc_id").cast("string").alias("source"), "doc_id", "lang", text.alias("text"))
+
+
+@register("""SELECT CAST(doc_id AS VARCHAR) AS source, 'Last' AS title, '2024-01-0' || (doc_id % 9 + 1) AS updated, md5('intro' || chr(10) || '# Head ' || lang || chr(10) || coalesce(split(text, chr(10))[1], '') || chr(10) || '## Sub ##' || chr(10)
+    || coalesce(split(text, chr(10))[2], '') || chr(10) || '```' || chr(10) || '# code' || chr(10) || '```' || chr(10) || '# Last#' || chr(10) || coalesce(split(text, chr(10))[3], '')) AS body FROM documents""")
+def front_matter(spark, d):
+    fm = _structured(spark, d).select("source", L.front_matter(F.col("text")).alias("fm"))
+    at = lambda k: F.try_element_at("fm.meta", F.lit(k)).alias(k)
+    return fm.select("source", at("title"), at("updated"), F.md5(F.col("fm.body").cast("binary")).alias("body"))
+
+
+_TIDY_LINE = r"regexp_replace(trim(regexp_replace({e}, '[ \t]+', ' ', 'g')), '^[ \n]+|[ \n]+$', '', 'g')"
+
+
+@register(f"""WITH l AS (SELECT doc_id, lang, {_TIDY_LINE.format(e="coalesce(split(text, chr(10))[1], '')")} AS a, {_TIDY_LINE.format(e="coalesce(split(text, chr(10))[2], '')")} AS b, {_TIDY_LINE.format(e="coalesce(split(text, chr(10))[3], '')")} AS c FROM documents),
+s AS (SELECT doc_id, 0 AS n, 'none' AS heading, 'intro' AS t FROM l UNION ALL SELECT doc_id, 1, 'Head ' || lang, a FROM l
+UNION ALL SELECT doc_id, 2, 'Head ' || lang || ' > Sub', trim(b || chr(10) || '```' || chr(10) || '# code' || chr(10) || '```', chr(10)) FROM l UNION ALL SELECT doc_id, 3, 'Last', c FROM l)
+SELECT CAST(doc_id AS VARCHAR) AS source, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INTEGER) AS section_no, heading, md5(t) AS text_md5 FROM s WHERE t <> ''""")
+def markdown_sections(spark, d):
+    docs = _structured(spark, d).select("source", L.front_matter(F.col("text"))["body"].alias("text"), F.lit("none").alias("title"))
+    return L.markdown_sections(docs).select("source", "section_no", "heading", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@register()
+def html_sections(spark, d):
+    docs = L.html_documents(_t(spark, d, "pages").withColumn("key", F.concat_ws("#", F.col("page_id").cast("string"), "url")), "key")
+    return L.markdown_sections(docs)
+
+
+@register("""WITH t AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+p AS (SELECT conv_id, turn, text AS q, nt AS a FROM t WHERE role = 'user' AND nr = 'assistant')
+SELECT CAST(conv_id AS VARCHAR) AS source, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS section_no, md5(q) AS question, md5(a) AS answer, 'faq' AS kind FROM p""")
+def faq_sections(spark, d):
+    pairs = A.exchanges(_t(spark, d, "conversations"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("turn", "question", "answer"))), lambda x: F.struct(x["question"].alias("Q"), x["answer"].alias("response")))
+    files = pairs.groupBy(F.col("conv_id").cast("string").alias("source")).agg(F.to_json(F.struct(F.lit("FAQ").alias("title"), rows.alias("faqs"))).alias("text"))
+    md5 = lambda c: F.md5(F.col(c).cast("binary"))
+    return L.faq_sections(files).select("source", "section_no", md5("heading").alias("question"), md5("text").alias("answer"), "kind")
+
+
+@register("SELECT source, CAST(page_no AS INTEGER) AS section_no, 'Page ' || page_no AS heading, md5(t) AS text_md5 FROM (SELECT conv_id AS source, turn + 1 AS page_no, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g') AS t FROM conversations) WHERE t <> ''")
+def paged_sections(spark, d):
+    pages = _t(spark, d, "conversations").select(F.col("conv_id").alias("source"), (F.col("turn") + 1).cast("int").alias("page_no"), "text")
+    return L.paged_sections(pages).select("source", "section_no", "heading", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+# ---------------------------------------------------------------- chunks, index
+
+
+def _sections(spark, d) -> DataFrame:
+    return corpus(spark, d).select("source", "heading", "text", F.lit("section").alias("kind"), "section_no")
+
+
+@register()
+def chunk_documents(spark, d):
+    return C.distinct_chunks(C.with_ids(C.chunk_sections(_sections(spark, d)))).select("chunk_id", "source", "piece_no", "n_tokens", "text")
+
+
+@register("""WITH l AS (SELECT source, text, chr(31) || '' AS h, generate_subscripts(text, 1) AS no, unnest(text) AS line FROM (SELECT source, split(text, chr(10)) AS text FROM documents)),
+i AS (SELECT source, line, substr(sha256(source || chr(31) || '' || chr(31) || line), 1, 16) AS chunk_id FROM l)
+SELECT chunk_id, source, md5(min(line)) AS line_md5, count(*) AS copies FROM i GROUP BY chunk_id, source""")
+def chunk_ids_dedup(spark, d):
+    lines = _t(spark, d, "documents").select("source", F.lit("").alias("heading"), F.explode(F.split("text", "\n")).alias("text"))
+    ids = lines.withColumn("chunk_id", C.chunk_id(F.col("source"), F.col("heading"), F.col("text")))
+    return ids.groupBy("chunk_id", "source").agg(F.md5(F.min("text").cast("binary")).alias("line_md5"), F.count("*").alias("copies"))
+
+
+@register("SELECT sha256('k=1' || string_agg(doc_id || '=' || sha256(coalesce(text, '')) || ';', '' ORDER BY CAST(doc_id AS VARCHAR))) AS fingerprint FROM documents")
+def corpus_fingerprint(spark, d):
+    files = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source"), X.blank(F.col("text")).alias("text"))
+    return I.fingerprint(I.file_hashes(files), "k=1")
+
+
+def _versions(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The corpus, and an edited copy: some documents gone, some with other text, some with another title."""
+    docs = _t(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("source"), F.lit("").alias("heading"), X.blank(F.col("text")).alias("text"))
+    new = docs.filter("doc_id % 10 <> 3").withColumn("text", F.when(F.col("doc_id") % 10 == 4, F.concat("text", F.lit(" new"))).otherwise(F.col("text")))
+    titled = lambda df, c: df.withColumns({"title": c, "chunk_id": C.chunk_id(F.col("source"), F.col("heading"), F.col("text"))})
+    return titled(docs, F.lit("t")), titled(new, F.when(F.col("doc_id") % 10 == 5, "u").otherwise("t"))
+
+
+_DIFF_SQL = """WITH o AS (SELECT substr(sha256(doc_id || chr(31) || chr(31) || coalesce(text, '')), 1, 16) AS chunk_id, 't' AS h FROM documents),
+n AS (SELECT substr(sha256(doc_id || chr(31) || chr(31) || coalesce(text, '') || CASE WHEN doc_id % 10 = 4 THEN ' new' ELSE '' END), 1, 16) AS chunk_id, CASE WHEN doc_id % 10 = 5 THEN 'u' ELSE 't' END AS h FROM documents WHERE doc_id % 10 <> 3),
+s AS (SELECT chunk_id, CASE WHEN n.h IS NULL THEN 'removed' WHEN o.h IS NULL OR o.h <> n.h THEN 'added' ELSE 'kept' END AS status FROM o FULL OUTER JOIN n USING (chunk_id))
+"""
+
+
+@register(_DIFF_SQL + "SELECT chunk_id, status FROM s")
+def sync_diff(spark, d):
+    return I.diff(*_versions(spark, d))
+
+
+@register(_DIFF_SQL + "SELECT count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'removed') AS removed, count(*) FILTER (status = 'kept') AS kept FROM s")
+def sync_report(spark, d):
+    return I.report(I.diff(*_versions(spark, d)))
+
+
+# ---------------------------------------------------------------- retrieval
+
+
+@register(f"WITH {BM25_SQL} SELECT qid, CAST(rank AS INTEGER) AS rank, chunk_id, round(score, 6) AS score FROM lexical WHERE rank <= 4")
+def bm25_topk(spark, d):
+    return S.bm25(questions(spark, d), corpus(spark, d), 4).select("qid", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@register(f"WITH qterms AS (SELECT item_id AS qid, {terms_sql('text')} AS ts FROM benchmark), {_features_sql('qterms', 'qid')} SELECT qid, i, round(x, 6) AS x FROM qterms_v WHERE abs(x) > 1e-9")
+def hash_embedding(spark, d):
+    v = E.hashing(questions(spark, d), "qid", "question")
+    return v.select("qid", F.posexplode("vec").alias("i", "x")).filter("abs(x) > 1e-9").select("qid", "i", F.round("x", 6).alias("x"))
+
+
+@register("""SELECT qid, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM (SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) AS rank FROM
+    (SELECT q.vec_id AS qid, e.vec_id, list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings e WHERE q.vec_id < 20)) WHERE rank <= 20""")
+def vector_topk(spark, d):
+    e = _t(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+    found = S.vector(e.filter("vec_id < 20").withColumnRenamed("vec_id", "qid"), e.select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("okey"), "vec"))
+    return found.select("qid", "rank", F.col("chunk_id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+@register(f"WITH {HYBRID_SQL} SELECT qid, CAST(rank AS INTEGER) AS rank, chunk_id, round(score, 9) AS score FROM ranked")
+def rrf_fusion(spark, d):
+    q, c = questions(spark, d), corpus(spark, d)
+    cv = E.hashing(c.select("chunk_id", S.search_text().alias("st")), "chunk_id", "st").join(c.select("chunk_id", "okey"), "chunk_id")
+    lists = [("bm25", S.bm25(q, c)), ("vector", S.vector(E.hashing(q, "qid", "question"), cv))]
+    return S.fuse(lists).select("qid", "rank", "chunk_id", F.round("score", 9).alias("score"))
+
+
+@register(f"WITH {HYBRID_SQL} SELECT qid, CAST(rank AS INTEGER) AS rank, chunk_id, round(score, 9) AS score, round(bm25_score, 6) AS bm25_score, round(vector_score, 6) AS vector_score FROM hybrid WHERE rank <= 4")
+def hybrid_search(spark, d):
+    h = retrieved(spark, d, "hybrid")
+    return h.select("qid", "rank", "chunk_id", F.round("score", 9).alias("score"), F.round("bm25_score", 6).alias("bm25_score"), F.round("vector_score", 6).alias("vector_score"))
+
+
+_RERANK = f"""pool AS (SELECT *, {terms_sql("question")} AS q0, {terms_sql("text")} AS ds FROM hybrid WHERE rank <= 20),
+scored AS (SELECT *, CASE WHEN len(list_distinct(q0)) = 0 THEN 0.0 ELSE len(list_intersect(list_distinct(q0), list_distinct(ds))) / len(list_distinct(q0)) END AS rerank_score FROM pool),
+reranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rerank_score, 9) DESC, rank) AS r FROM scored)"""
+
+
+@register(f"WITH {HYBRID_SQL}, {_RERANK} SELECT qid, CAST(r AS INTEGER) AS rank, chunk_id, round(rerank_score, 6) AS rerank_score FROM reranked WHERE r <= 4")
+def hybrid_rerank(spark, d):
+    return retrieved(spark, d, "hybrid+rerank").select("qid", "rank", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"))
+
+
+_GATE = f"""cov AS (SELECT qid, vector_score, list_distinct({terms_sql("question")}) AS qs, list_distinct({terms_sql("text")}) AS ds FROM hybrid WHERE rank <= 4),
+ev AS (SELECT qid, max(greatest({COVER}, vector_score)) AS e FROM cov GROUP BY qid),
+gate AS (SELECT item_id AS qid, coalesce(e, 0.0) AS evidence, round(coalesce(e, 0.0), 9) < 0.3 AS abstained FROM benchmark LEFT JOIN ev ON qid = item_id)"""
+
+
+@register(f"WITH {HYBRID_SQL}, {_GATE} SELECT qid, round(evidence, 6) AS evidence, abstained FROM gate")
+def evidence_gate(spark, d):
+    return A.gate(questions(spark, d), retrieved(spark, d, "hybrid")).select("qid", F.round("evidence", 6).alias("evidence"), "abstained")
+
+
+_EXTRACT = rf"""sent AS (SELECT qid, question, rank, generate_subscripts(ss, 1) AS pos, unnest(ss) AS s FROM (SELECT qid, question, rank, list_filter(string_split(regexp_replace(regexp_replace(trim(text, chr(10) || ' '), '\n+', chr(30), 'g'), '([.!?])\s+', '\1' || chr(30), 'g'), chr(30)), lambda x: trim(x) <> '') AS ss FROM hybrid WHERE rank <= 2)),
+sc AS (SELECT qid, rank, pos, s, len(list_intersect(list_distinct({terms_sql("question")}), list_distinct({terms_sql("s")}))) AS n FROM sent),
+best AS (SELECT qid, rank, s FROM (SELECT *, row_number() OVER (PARTITION BY qid, rank ORDER BY n DESC, pos) AS k FROM sc) WHERE k = 1),
+said AS (SELECT qid, string_agg(trim(s) || ' [' || rank || ']', ' ' ORDER BY rank) AS answer FROM best GROUP BY qid)"""
+
+
+@register(f"WITH {HYBRID_SQL}, {_EXTRACT} SELECT item_id AS qid, coalesce(answer, '') AS answer FROM benchmark LEFT JOIN said ON qid = item_id")
+def extractive_answer(spark, d):
+    return A.extractive(questions(spark, d), retrieved(spark, d, "hybrid"))
+
+
+@register(f"""WITH {BM25_SQL}, n AS (SELECT qid, max(rank) AS n FROM lexical WHERE rank <= 4 GROUP BY qid),
+u AS (SELECT qid, unnest(CASE WHEN n >= 2 THEN [2, 1] ELSE [1] END) AS marker, CASE WHEN n >= 2 THEN 'See [2, 1] and.' ELSE 'See [1] and.' END AS text FROM n)
+SELECT u.qid, u.text, CAST(u.marker AS INTEGER) AS marker, l.chunk_id, c.source FROM u JOIN lexical l ON l.qid = u.qid AND l.rank = u.marker JOIN corpus c USING (chunk_id)""")
+def citation_repair(spark, d):
+    q, c = questions(spark, d), corpus(spark, d)
+    hits = S.bm25(q, c, 4).join(c.select("chunk_id", "source", "heading", "text"), "chunk_id")
+    answers = q.select("qid", F.lit("See [2, 99,1] and [77] [99999999999].").alias("answer"))
+    return A.cite(answers, hits).select("qid", "text", "marker", "chunk_id", "source")
+
+
+@register(r"""SELECT doc_id, CASE WHEN length(f) <= 180 THEN f ELSE rtrim(left(f, 177)) || '...' END AS snippet FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS f FROM documents)""")
+def snippets(spark, d):
+    return _t(spark, d, "documents").select("doc_id", X.snippet(F.col("text")).alias("snippet"))
+
+
+@register(f"""WITH {BM25_SQL}, p AS (SELECT qid, string_agg('<passage id="' || rank || '" source="' || c.source || '" section="">' || chr(10) || text || chr(10) || '</passage>', chr(10) ORDER BY rank) AS ps FROM lexical JOIN corpus c USING (chunk_id) WHERE rank <= 4 GROUP BY qid)
+SELECT item_id AS qid, 'system,user' AS roles, md5('<question>' || text || '</question>' || chr(10) || chr(10) || '<passages>' || chr(10) || coalesce(ps, '') || chr(10) || '</passages>' || chr(10) || chr(10) || 'Answer from these passages only and cite them by id, like [1].') AS user_md5 FROM benchmark LEFT JOIN p ON qid = item_id""")
+def prompt_messages(spark, d):
+    q, c = questions(spark, d), corpus(spark, d)
+    hits = S.bm25(q, c, 4).join(c.select("chunk_id", "source", "heading", "text"), "chunk_id")
+    m = A.messages(q, hits).select("qid", "messages")
+    return m.select("qid", F.array_join("messages.role", ",").alias("roles"), F.md5(F.element_at("messages.content", -1).cast("binary")).alias("user_md5"))
+
+
+@register(f"""WITH t AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+p AS (SELECT conv_id, turn, {TOKENS_SQL.format(e="text")} + {TOKENS_SQL.format(e="nt")} AS cost FROM t WHERE role = 'user' AND nr = 'assistant'),
+r AS (SELECT conv_id, turn, row_number() OVER w AS n, sum(cost) OVER (w ROWS UNBOUNDED PRECEDING) AS used FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC))
+SELECT conv_id, turn, CAST(used AS BIGINT) AS used FROM r WHERE n <= 20 AND used <= 400""")
+def history_budget(spark, d):
+    return A.history(A.exchanges(_t(spark, d, "conversations")), 400).select("conv_id", "turn", "used")
+
+
+# ---------------------------------------------------------------- privacy, limits, freshness
+
+_REDACT_SQL = r"""regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)+', '[email]', 'g'), '(?:\b\d|\B\+\d)[\d\s().-]{7,}\d\b', '[phone]', 'g'), '\b\d{5,}\b', '[number]', 'g')"""
+
+
+@register(f"SELECT doc_id, md5({_REDACT_SQL}) AS redacted FROM documents")
+def redact_text(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.md5(X.redact(F.col("text")).cast("binary")).alias("redacted"))
+
+
+@register("SELECT event_id FROM events WHERE event_id % 50 <> 0 AND ts >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 15 DAY")
+def log_retention(spark, d):
+    log = _t(spark, d, "events").select("event_id", F.when(F.col("event_id") % 50 == 0, "unreadable").otherwise(F.col("ts").cast("string")).alias("ts"))
+    return R.purge(log, NOW, 15).select("event_id")
+
+
+
+def _limit_sql(src: str, limit: int, seconds: int) -> str:
+    """A walk over each key's events in order, with the allowed times so far."""
+    return f"""o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, id) AS n FROM ({src})),
+walk AS (SELECT key, id, n, true AS ok, [ts] AS recent FROM o WHERE n = 1
+    UNION ALL SELECT o.key, o.id, o.n, (len(w.recent) < {limit} OR o.ts - w.recent[1] >= INTERVAL {seconds} SECOND),
+        CASE WHEN len(w.recent) < {limit} THEN list_append(w.recent, o.ts) WHEN o.ts - w.recent[1] >= INTERVAL {seconds} SECOND THEN list_append(w.recent[2:], o.ts) ELSE w.recent END
+    FROM walk w JOIN o ON o.key = w.key AND o.n = w.n + 1)"""
+
+
+@register(f"WITH RECURSIVE {_limit_sql('SELECT user_id AS key, event_id AS id, ts FROM events', 3, 86400)} SELECT key AS user_id, id AS event_id, ok AS allowed FROM walk")
+def rate_limit(spark, d):
+    e = _t(spark, d, "events").select("user_id", "event_id", "ts")
+    return R.rate_limit(e, "user_id", "ts", "event_id", 3, 86400).select("user_id", "event_id", "allowed")
+
+
+_REQ = "SELECT event_id AS id, user_id AS key, ts, CASE WHEN event_id % 17 = 0 THEN 0 ELSE length(props) END AS nc, CASE WHEN event_id % 23 = 0 THEN 21 ELSE 2 END AS h, CASE WHEN event_id % 11 = 0 THEN 'other' ELSE 'hybrid' END AS mode FROM events"
+
+
+@register(f"""WITH RECURSIVE {_limit_sql(f'SELECT * FROM ({_REQ}) WHERE nc BETWEEN 1 AND 1000 AND h <= 20', 3, 86400)}
+SELECT q.id AS request_id, CAST(CASE WHEN w.ok IS NULL THEN 422 WHEN NOT w.ok THEN 429 WHEN q.mode = 'hybrid' THEN 200 ELSE 422 END AS INTEGER) AS status FROM ({_REQ}) q LEFT JOIN walk w USING (id)""")
+def admission(spark, d):
+    e = _t(spark, d, "events")
+    r = e.select(
+        F.col("event_id").alias("request_id"), F.col("user_id").alias("key"), "ts", F.when(F.col("event_id") % 17 == 0, "").otherwise(F.col("props")).alias("question"),
+        F.when(F.col("event_id") % 23 == 0, 21).otherwise(2).alias("n_history"), F.when(F.col("event_id") % 11 == 0, "other").otherwise("hybrid").alias("mode"),
+    )
+    return R.admission(r, 3, 86400).select("request_id", "status")
+
+
+@register("""WITH m AS (SELECT source AS path, lang AS owner, CAST(doc_id % 5 * 20 AS INTEGER) AS refresh_days, CASE WHEN doc_id % 7 = 0 THEN '' ELSE CAST(DATE '2024-01-01' + CAST(doc_id % 150 AS INTEGER) AS VARCHAR) END AS updated, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS n FROM documents)
+SELECT path, CASE WHEN owner = '' THEN '-' ELSE owner END AS owner, coalesce(CAST(DATE '2024-06-01' - TRY_CAST(nullif(updated, '') AS DATE) AS VARCHAR), '-') AS age_days,
+    CASE WHEN refresh_days > 0 AND (updated = '' OR DATE '2024-06-01' - TRY_CAST(nullif(updated, '') AS DATE) > refresh_days) THEN 'STALE' ELSE 'ok' END AS flag FROM m WHERE n = 1""")
+def stale_sources(spark, d):
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 150).cast("int")).cast("string")
+    entries = _t(spark, d, "documents").select(
+        F.col("doc_id").alias("entry_no"), F.col("source").alias("path"), F.lit("").alias("title"), F.col("lang").alias("owner"), (F.col("doc_id") % 5 * 20).cast("int").alias("refresh_days"), F.when(F.col("doc_id") % 7 == 0, "").otherwise(day).alias("updated")
+    )
+    return R.stale_sources(L.source_manifest(entries), TODAY).withColumn("age_days", F.coalesce(F.col("age_days").cast("string"), F.lit("-")))
+
+
+# ---------------------------------------------------------------- evaluation
+
+_GOLD_SQL = """goldt AS (SELECT b.item_id AS qid, d.source || '/' || d.doc_id AS source FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+goldn AS (SELECT qid, count(*) AS n FROM goldt GROUP BY qid)"""
+
+
+@register(f"""WITH {HYBRID_SQL}, {_GOLD_SQL}, modes AS (SELECT qid, chunk_id, rank, 'bm25' AS mode FROM lexical WHERE rank <= 5 UNION ALL SELECT qid, chunk_id, rank, 'vector' FROM dense WHERE rank <= 5 UNION ALL SELECT qid, chunk_id, rank, 'hybrid' FROM ranked WHERE rank <= 5),
+hit AS (SELECT m.mode, m.qid, m.rank, c.source FROM modes m JOIN corpus c USING (chunk_id) JOIN goldt g ON g.qid = m.qid AND g.source = c.source),
+per AS (SELECT mode, qid, count(DISTINCT source) FILTER (rank <= 1) AS m1, count(DISTINCT source) FILTER (rank <= 3) AS m3, count(DISTINCT source) FILTER (rank <= 5) AS m5, min(rank) AS f FROM hit GROUP BY ALL)
+SELECT mode, count(*) AS questions, round(avg(coalesce(m1, 0) / n), 6) AS recall_at_1, round(avg(coalesce(m3, 0) / n), 6) AS recall_at_3, round(avg(coalesce(m5, 0) / n), 6) AS recall_at_5, round(avg(coalesce(1.0 / f, 0.0)), 6) AS mrr
+FROM (SELECT unnest(['bm25', 'vector', 'hybrid']) AS mode) CROSS JOIN goldn LEFT JOIN per USING (mode, qid) GROUP BY mode""")
+def retrieval_report(spark, d):
+    hits = None
+    for mode in ("bm25", "vector", "hybrid"):
+        h = retrieved(spark, d, mode, max(V.KS)).select(F.lit(mode).alias("mode"), "qid", "rank", "source", "heading")
+        hits = h if hits is None else hits.unionByName(h)
+    modes = spark.createDataFrame([("bm25",), ("vector",), ("hybrid",)], "mode string")
+    r = V.retrieval_report(hits, gold(spark, d), modes)
+    return r.select("mode", "questions", *[F.round(c, 6).alias(c) for c in ("recall_at_1", "recall_at_3", "recall_at_5", "mrr")])
+
+
+@register(f"""WITH {HYBRID_SQL}, {_GATE}, {_GOLD_SQL}, j AS (SELECT gate.qid, abstained, n IS NOT NULL AS answerable FROM gate LEFT JOIN goldn USING (qid))
+SELECT round(avg(CASE WHEN abstained <> answerable THEN 1.0 ELSE 0.0 END), 6) AS decision_accuracy, round(coalesce(avg(CASE WHEN answerable THEN CASE WHEN abstained THEN 1.0 ELSE 0.0 END END), 0.0), 6) AS false_abstention_rate,
+    round(coalesce(avg(CASE WHEN NOT answerable THEN CASE WHEN abstained THEN 0.0 ELSE 1.0 END END), 0.0), 6) AS missed_abstention_rate FROM j""")
+def abstention_report(spark, d):
+    a = A.gate(questions(spark, d), retrieved(spark, d, "hybrid"))
+    r = V.abstention_report(a, gold(spark, d))
+    return r.select(*[F.round(c, 6).alias(c) for c in r.columns])
+
+
+@register(f"""WITH {HYBRID_SQL}, {_GATE}, {_GOLD_SQL}, cited AS (SELECT DISTINCT h.qid FROM hybrid h JOIN goldt g ON g.qid = h.qid AND g.source = h.source WHERE h.rank <= 2)
+SELECT count(*) AS answered, round(coalesce(avg(CASE WHEN c.qid IS NULL THEN 0.0 ELSE 1.0 END), 0.0), 6) AS gold_cited FROM gate JOIN goldn USING (qid) LEFT JOIN cited c USING (qid) WHERE NOT abstained""")
+def gold_cited(spark, d):
+    q = questions(spark, d)
+    hits = retrieved(spark, d, "hybrid").select("qid", "question", "rank", "chunk_id", "source", "title", "heading", "text", "vector_score")
+    answers = A.gate(q, hits)
+    cites = A.cite(A.extractive(q, hits), hits)
+    return V.gold_cited(answers, cites, gold(spark, d)).select("answered", F.round("gold_cited", 6).alias("gold_cited"))
+
+
+@register()
+def chunk_size_ablation(spark, d):
+    """BM25 over chunks of four sizes in one pass: the size is part of the question's and the chunk's key."""
+    every = None
+    for size in (60, 120, 220, 400):
+        c = C.distinct_chunks(C.with_ids(C.chunk_sections(_sections(spark, d), size, min(30, size // 4)))).withColumn("title", F.lit(""))
+        h = S.bm25(questions(spark, d), c, max(V.KS)).join(c.select("chunk_id", "source", "heading"), "chunk_id")
+        one = h.select(F.lit(str(size)).alias("mode"), "qid", "rank", "source", "heading")
+        every = one if every is None else every.unionByName(one)
+    sizes = spark.createDataFrame([("60",), ("120",), ("220",), ("400",)], "mode string")
+    return V.retrieval_report(every, gold(spark, d), sizes).withColumnRenamed("mode", "chunk_tokens")
