@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,7 +67,7 @@ def _blocks(rows: DataFrame, names: list[str], size: int) -> DataFrame:
             for lo in range(0, len(b), size):
                 part = b.slice(lo, size)
                 x = part.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(n).to_pylist()]) for n in names] + [pa.array([x.tobytes()])], names=[*names, "vecs"])
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(n).to_pylist()], pa.list_(part.column(n).type)) for n in names] + [pa.array([x.tobytes()])], names=[*names, "vecs"])
 
     kinds = ", ".join(f"{n} array<{rows.schema[n].dataType.simpleString()}>" for n in names)
     return rows.select(*names, "vec").mapInArrow(run, f"{kinds}, vecs binary")
@@ -92,7 +91,9 @@ def vector(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, query_bl
                 ids, keys, s = ids[order], keys[order], x @ y[order].T
                 best = np.argsort(-s.round(9), axis=1, kind="stable")[:, :k]
                 n = best.shape[1]
-                yield pa.RecordBatch.from_pandas(pd.DataFrame({"qid": np.repeat(qid, n), "chunk_id": ids[best.ravel()], "okey": keys[best.ravel()], "score": np.take_along_axis(s, best, 1).ravel()}), preserve_index=False)
+                cols = {"qid": np.repeat(qid, n), "chunk_id": ids[best.ravel()], "okey": keys[best.ravel()]}
+                arrays = [pa.array(v.tolist(), b.column(c).type.value_type) for c, v in cols.items()]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.take_along_axis(s, best, 1).ravel())], names=[*cols, "score"])
 
     met = c.crossJoin(q.select("qid", F.col("vecs").alias("q_vecs")))  # a row for each two blocks
     return _top(met.mapInArrow(run, schema), k)

@@ -148,28 +148,25 @@ def tidy_text(spark, d):
 
 
 def _structured(spark, d) -> DataFrame:
-    """Documents with front matter and headings around their own lines."""
+    """Documents with front matter, and headings and a fence around their whole text, three times."""
     doc = _t(spark, d, "documents")
-    line = lambda i: F.coalesce(F.get(F.split("text", "\n"), F.lit(i)), F.lit(""))
-    body = F.concat(F.lit("intro\n# Head "), F.col("lang"), F.lit("\n"), line(0), F.lit("\n## Sub ##\n"), line(1), F.lit("\n```\n# code\n```\n# Last#\n"), line(2))
+    t = X.blank(F.col("text"))
+    body = F.concat(F.lit("intro\n# Head "), F.col("lang"), F.lit("\n"), t, F.lit("\n## Sub ##\n"), t, F.lit("\n```\n# code\n```\n# Last#\n"), t)
     text = F.concat(F.lit("---\nTitle: 'Doc "), F.col("doc_id").cast("string"), F.lit("'\nupdated: 2024-01-0"), (F.col("doc_id") % 9 + 1).cast("string"), F.lit("\ntitle: \"Last\"\n---\n"), body)
-    return doc.select(F.col("doc_id").cast("string").alias("source"), "doc_id", "lang", text.alias("text"))
+    return doc.select(F.col("doc_id").cast("string").alias("source"), text.alias("text"))
 
 
-@register("""SELECT CAST(doc_id AS VARCHAR) AS source, 'Last' AS title, '2024-01-0' || (doc_id % 9 + 1) AS updated, md5('intro' || chr(10) || '# Head ' || lang || chr(10) || coalesce(split(text, chr(10))[1], '') || chr(10) || '## Sub ##' || chr(10)
-    || coalesce(split(text, chr(10))[2], '') || chr(10) || '```' || chr(10) || '# code' || chr(10) || '```' || chr(10) || '# Last#' || chr(10) || coalesce(split(text, chr(10))[3], '')) AS body FROM documents""")
+@register("""SELECT CAST(doc_id AS VARCHAR) AS source, 'Last' AS title, '2024-01-0' || (doc_id % 9 + 1) AS updated, md5('intro' || chr(10) || '# Head ' || lang || chr(10) || coalesce(text, '') || chr(10) || '## Sub ##' || chr(10)
+    || coalesce(text, '') || chr(10) || '```' || chr(10) || '# code' || chr(10) || '```' || chr(10) || '# Last#' || chr(10) || coalesce(text, '')) AS body FROM documents""")
 def front_matter(spark, d):
     fm = _structured(spark, d).select("source", L.front_matter(F.col("text")).alias("fm"))
     at = lambda k: F.try_element_at("fm.meta", F.lit(k)).alias(k)
     return fm.select("source", at("title"), at("updated"), F.md5(F.col("fm.body").cast("binary")).alias("body"))
 
 
-_TIDY_LINE = r"regexp_replace(trim(regexp_replace({e}, '[ \t]+', ' ', 'g')), '^[ \n]+|[ \n]+$', '', 'g')"
-
-
-@register(f"""WITH l AS (SELECT doc_id, lang, {_TIDY_LINE.format(e="coalesce(split(text, chr(10))[1], '')")} AS a, {_TIDY_LINE.format(e="coalesce(split(text, chr(10))[2], '')")} AS b, {_TIDY_LINE.format(e="coalesce(split(text, chr(10))[3], '')")} AS c FROM documents),
-s AS (SELECT doc_id, 0 AS n, 'none' AS heading, 'intro' AS t FROM l UNION ALL SELECT doc_id, 1, 'Head ' || lang, a FROM l
-UNION ALL SELECT doc_id, 2, 'Head ' || lang || ' > Sub', trim(b || chr(10) || '```' || chr(10) || '# code' || chr(10) || '```', chr(10)) FROM l UNION ALL SELECT doc_id, 3, 'Last', c FROM l)
+@register(r"""WITH l AS (SELECT doc_id, lang, regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') AS t FROM documents),
+s AS (SELECT doc_id, 0 AS n, 'none' AS heading, 'intro' AS t FROM l UNION ALL SELECT doc_id, 1, 'Head ' || lang, t FROM l
+UNION ALL SELECT doc_id, 2, 'Head ' || lang || ' > Sub', trim(t || chr(10) || '```' || chr(10) || '# code' || chr(10) || '```', chr(10)) FROM l UNION ALL SELECT doc_id, 3, 'Last', t FROM l)
 SELECT CAST(doc_id AS VARCHAR) AS source, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INTEGER) AS section_no, heading, md5(t) AS text_md5 FROM s WHERE t <> ''""")
 def markdown_sections(spark, d):
     docs = _structured(spark, d).select("source", L.front_matter(F.col("text"))["body"].alias("text"), F.lit("none").alias("title"))
@@ -265,10 +262,10 @@ def hash_embedding(spark, d):
 
 
 @register("""SELECT qid, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM (SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) AS rank FROM
-    (SELECT q.vec_id AS qid, e.vec_id, list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings e WHERE q.vec_id < 20)) WHERE rank <= 20""")
+    (SELECT q.vec_id AS qid, e.vec_id, list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0)) WHERE rank <= 20""")
 def vector_topk(spark, d):
     e = _t(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
-    found = S.vector(e.filter("vec_id < 20").withColumnRenamed("vec_id", "qid"), e.select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("okey"), "vec"))
+    found = S.vector(e.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "qid"), e.select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("okey"), "vec"))
     return found.select("qid", "rank", F.col("chunk_id").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
