@@ -87,7 +87,7 @@ def budgets(tokens: DataFrame, fraction: float = FRACTION, max_epochs: int = MAX
             nodes = nodes.crossJoin(F.broadcast(root))  # one row
         else:
             nodes = nodes.join(level.select(*names[:-1], F.col("budget").alias("poured")), names[:-1])
-        level = _pour(nodes, names[:-1])
+        level = cut(_pour(nodes, names[:-1]))  # a row for each node: the next level's plan starts from them
     return level.join(tokens, list(LEVELS)).select(*LEVELS, "tokens", "budget")
 
 
@@ -113,8 +113,8 @@ def chosen(slim: DataFrame, plan: DataFrame, seed: int = SEED, bits: int = BITS)
 
 def mix(docs: DataFrame, seed: int = SEED, fraction: float = FRACTION, max_epochs: int = MAX_EPOCHS, weights: dict | None = None) -> DataFrame:
     slim = cut(leaves(docs))
-    plan = budgets(slim.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), fraction, max_epochs, weights)
-    return chosen(slim, plan, seed)
+    sums = cut(slim.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")))
+    return chosen(slim, cut(budgets(sums, fraction, max_epochs, weights)), seed)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:

@@ -17,8 +17,8 @@ the common prefixes' lengths taken in order until the least length decides.  To
 
 All steps are linear in the text or in the contexts that go on; a group of copies costs a row a copy and anchor.
 Defined results: null and empty texts have no bytes; texts shorter than ``length`` lose nothing; rows that repeat a
-doc_id are documents of their own for matching but share their removed ranges' id, so doc_id must be unique (the
-operator raises if it isn't); other columns are ignored.
+doc_id are matched as documents of their own, but ranges found in one are removed from each row of that id, so doc_id
+should be unique; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import anchors, batch, by_bucket, covered, cut, deal, dealt_schema, gather, having_ids, mix, nested, parts, powers, ranges, runs, slide_min, sums, table, texts, with_ranges  # noqa: F401
+from .common import anchors, batch, by_bucket, covered, cut, deal, dealt_schema, gather, having_ids, mix, nested, parts, powers, ranges, runs, sums, table, texts, with_ranges
 
 LENGTH = 200
 
