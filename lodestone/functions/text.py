@@ -21,7 +21,7 @@ def fold(word: Column) -> Column:
     """Plural folding: -ies to -y, a final -s dropped unless -ss, -us or -is."""
     n = F.length(word)
     ies = (n > 4) & word.endswith("ies")
-    s = (n > 3) & word.endswith("s") & ~word.rlike("(?:ss|us|is)$")
+    s = (n > 3) & word.endswith("s") & ~(word.endswith("ss") | word.endswith("us") | word.endswith("is"))
     return F.when(ies, F.concat(F.left(word, n - 3), F.lit("y"))).when(s, F.left(word, n - 1)).otherwise(word)
 
 

@@ -60,8 +60,12 @@ class _Vocabulary:
         return v
 
 
-def hashing(rows: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
-    """key, vec array<double>: unit vectors of hashed terms, adjacent pairs and 4-grams."""
+def hashing(rows: DataFrame, key: str | list[str], text: str, dim: int = DIM) -> DataFrame:
+    """The key columns and vec array<double>: unit vectors of hashed terms, adjacent pairs and 4-grams.
+
+    text: a column of texts, or of their search terms where those are at hand.
+    """
+    keys = [key] if isinstance(key, str) else key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _Vocabulary(dim)
@@ -70,11 +74,11 @@ def hashing(rows: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
                 part = b.slice(lo, 2000)
                 x = unit(np.stack([vocabulary.vector(w or []) for w in part.column("terms").to_pylist()]))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * dim), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("key"), lists], names=["key", "vec"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keys), lists], names=[*keys, "vec"])
 
-    kind = rows.schema[key].dataType.simpleString()
-    out = rows.select(F.col(key).alias("key"), X.search_terms(F.col(text)).alias("terms")).mapInArrow(run, f"key {kind}, vec array<double>")
-    return out.withColumnRenamed("key", key)
+    terms = F.col(text) if rows.schema[text].dataType.typeName() == "array" else X.search_terms(F.col(text))
+    schema = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in keys) + "vec array<double>"
+    return rows.select(*keys, terms.alias("terms")).mapInArrow(run, schema)
 
 
 def plugged(rows: DataFrame, key: str, text: str, embed: Callable[[list[str]], np.ndarray], batch: int = 64) -> DataFrame:

@@ -26,16 +26,40 @@ def search_text() -> Column:
     return F.concat_ws("\n", X.blank(F.col("title")), X.blank(F.col("heading")), X.blank(F.col("text")))
 
 
+def chunk_terms(chunks: DataFrame) -> Column:
+    """The column ``terms`` of chunks that carry it, as those of a stored index do; else it is worked out."""
+    return F.col("terms") if "terms" in chunks.columns else X.search_terms(search_text())
+
+
 def postings(chunks: DataFrame) -> DataFrame:
-    """term, chunk_id, okey, tf, dl: terms counted within the chunk before anything is shuffled."""
-    terms = chunks.select("chunk_id", "okey", X.search_terms(search_text()).alias("terms"))
-    per = terms.select("chunk_id", "okey", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-    return per.groupBy("term", "chunk_id", "okey", "dl").agg(F.count("*").alias("tf"))
+    """term, chunk_id, okey, tf, dl: a chunk's terms are counted where the chunk lies, without a shuffle."""
+    chunks = chunks.select("chunk_id", "okey", chunk_terms(chunks).alias("terms"))
+    kinds = {n: chunks.schema[n].dataType.simpleString() for n in ("chunk_id", "okey")}
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in frames:
+            lists = b.column("terms")
+            dl = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int32)
+            words = lists.flatten().dictionary_encode()
+            code = np.repeat(np.arange(len(b)), dl) * max(len(words.dictionary), 1) + words.indices.to_numpy(zero_copy_only=False)
+            pair, tf = np.unique(code, return_counts=True)
+            row, word = np.divmod(pair, max(len(words.dictionary), 1))
+            at = pa.array(row)
+            arrays = [words.dictionary.take(pa.array(word)), b.column("chunk_id").take(at), b.column("okey").take(at), pa.array(tf), pa.array(dl[row])]
+            yield pa.RecordBatch.from_arrays(arrays, names=["term", "chunk_id", "okey", "tf", "dl"])
+
+    return chunks.mapInArrow(run, f"term string, chunk_id {kinds['chunk_id']}, okey {kinds['okey']}, tf bigint, dl int")
+
+
+def document_counts(chunks: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, df: in how many chunks each of the asked terms occurs; counts are combined before the shuffle."""
+    once = chunks.select(F.explode(F.array_distinct(chunk_terms(chunks))).alias("term"))
+    return once.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
 
 
 def statistics(chunks: DataFrame) -> DataFrame:
     """n, avgdl in one row; chunks without terms count too, an empty corpus has avgdl 1."""
-    return chunks.select(F.size(X.search_terms(search_text())).alias("dl")).agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
+    return chunks.select(F.size(chunk_terms(chunks)).alias("dl")).agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
 
 
 def _top(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
@@ -46,15 +70,14 @@ def _top(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
 def bm25(questions: DataFrame, chunks: DataFrame, k: int = CANDIDATES, k1: float = K1, b: float = B) -> DataFrame:
     """qid, chunk_id, okey, score, rank of the k best chunks with a common term.
 
-    Only postings of the questions' terms survive the join; the terms' document counts come from the same rows.
+    A chunk's postings meet the questions that ask for their terms and are summed before anything is shuffled.
     """
     asked = questions.select("qid", F.explode(F.array_distinct(X.search_terms(F.col("question")))).alias("term"))
-    hit = postings(chunks).join(asked.select("term").distinct(), "term", "left_semi")
-    df = hit.groupBy("term").agg(F.count("*").alias("df"))
     stats = F.broadcast(statistics(chunks))  # one row
-    weight = df.crossJoin(stats).select("term", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    weight = document_counts(chunks, asked.select("term").distinct()).crossJoin(stats).select("term", "avgdl", idf.alias("idf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hit.join(weight, "term").select("term", "chunk_id", "okey", part.alias("part")).join(asked, "term")
+    scored = postings(chunks).join(asked.join(weight, "term"), "term").select("qid", "chunk_id", "okey", part.alias("part"))
     scored = scored.groupBy("qid", "chunk_id", "okey").agg(F.sum("part").alias("score")).filter("score > 0")
     return _top(scored, k)
 
@@ -100,19 +123,23 @@ def vector(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, query_bl
 
 
 def fuse(lists: list[tuple[str, DataFrame]], k: int = RRF_K) -> DataFrame:
-    """qid, chunk_id, okey, score, rank, ranks: reciprocal-rank fusion of named lists (qid, chunk_id, okey, rank).
+    """qid, chunk_id, okey, score, rank, ranks, scores: reciprocal-rank fusion of named lists (qid, chunk_id, okey, rank).
 
     A repeat within a list counts at its first place; ties go to what was seen first, by list and then by rank.
+    ranks and scores map a list's name to the place there and, where the list has one, the score there.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     every = None
     for no, (name, rows) in enumerate(lists):
-        part = rows.groupBy("qid", "chunk_id", "okey").agg(F.min("rank").alias("r")).withColumns({"no": F.lit(no), "name": F.lit(name)})
+        own = F.col("score") if "score" in rows.columns else F.lit(None).cast("double")
+        part = rows.groupBy("qid", "chunk_id", "okey").agg(F.min(F.struct(F.col("rank").alias("r"), own.alias("s"))).alias("at"))
+        part = part.select("qid", "chunk_id", "okey", "at.r", "at.s", F.lit(no).alias("no"), F.lit(name).alias("name"))
         every = part if every is None else every.unionByName(part)
     got = every.groupBy("qid", "chunk_id", "okey").agg(
-        F.sum(1 / (F.col("r") + k)).alias("score"), F.min(F.struct("no", "r")).alias("seen"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "r")))).alias("ranks")
-    )
+        F.sum(1 / (F.col("r") + k)).alias("score"), F.min(F.struct("no", "r")).alias("seen"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "r")))).alias("ranks"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "s")))).alias("scores"),
+    )
     order = Window.partitionBy("qid").orderBy(F.round("score", 12).desc(), "seen")
     return got.withColumn("rank", F.row_number().over(order)).drop("seen")
 
@@ -153,17 +180,14 @@ def search(
     dense = vector(asked, vectors, candidate_k) if mode != "bm25" else None
     if mode in ("bm25", "vector"):
         one = lexical if mode == "bm25" else dense
-        found = one.withColumn("ranks", F.create_map(F.lit(mode), F.col("rank")))
+        found = one.withColumns({"ranks": F.create_map(F.lit(mode), F.col("rank")), "scores": F.create_map(F.lit(mode), F.col("score"))})
     else:
         found = fuse([("bm25", lexical), ("vector", dense)])
     found = found.filter(F.col("rank") <= (candidate_k if mode == "hybrid+rerank" else k))
     found = found.join(questions.select("qid", "question"), "qid").join(chunks.select("chunk_id", "title", "heading", "text"), "chunk_id")
     found = found.join(asked.select("qid", F.col("vec").alias("qv")), "qid").join(vectors.select("chunk_id", "vec"), "chunk_id")
     found = found.withColumn("vector_score", dot(F.col("qv"), F.col("vec"))).drop("qv", "vec")
-    if lexical is None:
-        found = found.withColumn("bm25_score", F.lit(0.0))
-    else:
-        found = found.join(lexical.select("qid", "chunk_id", F.col("score").alias("_b")), ["qid", "chunk_id"], "left").withColumn("bm25_score", F.coalesce("_b", F.lit(0.0))).drop("_b")
+    found = found.withColumn("bm25_score", F.coalesce(F.try_element_at("scores", F.lit("bm25")), F.lit(0.0))).drop("scores")
     if mode != "hybrid+rerank":
         return found.withColumn("rerank_score", F.lit(None).cast("double"))
     if reranker == "lexical":

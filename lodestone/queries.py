@@ -18,6 +18,8 @@ from .operators import evaluate as V
 from .operators import index as I
 from .operators import privacy as R
 from .operators import retrieve as S
+from .plans.tables import cut
+from .plans.tables import table as _t
 from .sources import loaders as L
 
 QUERIES: dict = {}
@@ -35,10 +37,6 @@ def register(sql: str | None = None):
     return put
 
 
-def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
 # ---------------------------------------------------------------- shared inputs
 
 
@@ -52,11 +50,16 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
 
 
-def retrieved(spark: SparkSession, d: str, mode: str, k: int = S.TOP_K) -> DataFrame:
-    q, c = questions(spark, d), corpus(spark, d)
-    qv = E.hashing(q, "qid", "question")
-    cv = E.hashing(c.select("chunk_id", "okey", S.search_text().alias("st")), "chunk_id", "st").join(c.select("chunk_id", "okey"), "chunk_id")
-    hits = S.search(q, c, qv, cv, mode, k)
+def index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Chunks with their terms, and their vectors: tables that are written once and searched many times."""
+    c = corpus(spark, d)
+    c = cut(c.withColumn("terms", S.chunk_terms(c)))
+    return c, cut(E.hashing(c, ["chunk_id", "okey"], "terms"))
+
+
+def retrieved(spark: SparkSession, d: str, mode: str, k: int = S.TOP_K, built: tuple | None = None) -> DataFrame:
+    q, (c, cv) = questions(spark, d), built or index(spark, d)
+    hits = S.search(q, c, E.hashing(q, "qid", "question"), cv, mode, k)
     return hits.join(c.select("chunk_id", "source"), "chunk_id")
 
 
@@ -252,7 +255,9 @@ def sync_report(spark, d):
 
 @register(f"WITH {BM25_SQL} SELECT qid, CAST(rank AS INTEGER) AS rank, chunk_id, round(score, 6) AS score FROM lexical WHERE rank <= 4")
 def bm25_topk(spark, d):
-    return S.bm25(questions(spark, d), corpus(spark, d), 4).select("qid", "rank", "chunk_id", F.round("score", 6).alias("score"))
+    c = corpus(spark, d)
+    c = cut(c.select("chunk_id", "okey", S.chunk_terms(c).alias("terms")))
+    return S.bm25(questions(spark, d), c, 4).select("qid", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @register(f"WITH qterms AS (SELECT item_id AS qid, {terms_sql('text')} AS ts FROM benchmark), {_features_sql('qterms', 'qid')} SELECT qid, i, round(x, 6) AS x FROM qterms_v WHERE abs(x) > 1e-9")
@@ -271,8 +276,7 @@ def vector_topk(spark, d):
 
 @register(f"WITH {HYBRID_SQL} SELECT qid, CAST(rank AS INTEGER) AS rank, chunk_id, round(score, 9) AS score FROM ranked")
 def rrf_fusion(spark, d):
-    q, c = questions(spark, d), corpus(spark, d)
-    cv = E.hashing(c.select("chunk_id", S.search_text().alias("st")), "chunk_id", "st").join(c.select("chunk_id", "okey"), "chunk_id")
+    q, (c, cv) = questions(spark, d), index(spark, d)
     lists = [("bm25", S.bm25(q, c)), ("vector", S.vector(E.hashing(q, "qid", "question"), cv))]
     return S.fuse(lists).select("qid", "rank", "chunk_id", F.round("score", 9).alias("score"))
 
@@ -415,9 +419,9 @@ per AS (SELECT mode, qid, count(DISTINCT source) FILTER (rank <= 1) AS m1, count
 SELECT mode, count(*) AS questions, round(avg(coalesce(m1, 0) / n), 6) AS recall_at_1, round(avg(coalesce(m3, 0) / n), 6) AS recall_at_3, round(avg(coalesce(m5, 0) / n), 6) AS recall_at_5, round(avg(coalesce(1.0 / f, 0.0)), 6) AS mrr
 FROM (SELECT unnest(['bm25', 'vector', 'hybrid']) AS mode) CROSS JOIN goldn LEFT JOIN per USING (mode, qid) GROUP BY mode""")
 def retrieval_report(spark, d):
-    hits = None
+    hits, built = None, index(spark, d)
     for mode in ("bm25", "vector", "hybrid"):
-        h = retrieved(spark, d, mode, max(V.KS)).select(F.lit(mode).alias("mode"), "qid", "rank", "source", "heading")
+        h = retrieved(spark, d, mode, max(V.KS), built).select(F.lit(mode).alias("mode"), "qid", "rank", "source", "heading")
         hits = h if hits is None else hits.unionByName(h)
     modes = spark.createDataFrame([("bm25",), ("vector",), ("hybrid",)], "mode string")
     r = V.retrieval_report(hits, gold(spark, d), modes)
