@@ -18,16 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.tables import table  # noqa: F401  (the operators' modules take it from here)
+
 #: Bits of an id filter: at most 2**20 rows are ever broadcast (about 16 MB).
 FILTER_BITS = 20
 #: Text bytes that a task works on at a time.
 CHUNK_BYTES = 4 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
