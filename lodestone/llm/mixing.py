@@ -12,7 +12,7 @@ sums of 2**BITS hash ranges a leaf, running sums over those, and a window over s
 which the budget ends.  Everything is DataFrame functions; there is no Python on the executors.
 
 Defined results: null languages or sources are the leaf ''; a document without words has no tokens and comes with its
-place in the order; rows that repeat a doc_id share its place and are ordered by tokens; an empty table gives no rows;
+place in the order; rows that repeat a doc_id, or have none, share its place and are ordered by tokens; an empty table gives no rows;
 a weight that is null, missing or negative counts as 1, 1 and 0.
 """
 
@@ -119,8 +119,17 @@ def mix(docs: DataFrame, seed: int = SEED, fraction: float = FRACTION, max_epoch
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, all columns, once for each epoch that takes their document."""
-    ids = mix(docs.select("doc_id", "text", "lang", "source"), **options).select(F.col("doc_id").alias("_id"), "epoch")
-    return docs.dropDuplicates(["doc_id"]).join(ids, F.col("doc_id") == F.col("_id")).select(*docs.columns)
+    key = ["doc_id", "lang", "source", "tokens"]
+    nth = lambda *more: F.row_number().over(Window.partitionBy(*key, *more).orderBy(F.lit(1)))
+    # rows that agree in all of these are alike to mix(), so any m of them may stand for the m that an epoch takes
+    taken = mix(docs.select("doc_id", "text", "lang", "source"), **options).select(*key, nth("epoch").alias("nth"))
+    text, blank = F.col("text"), F.lit("")
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.coalesce("lang", blank).alias("lang"), F.coalesce("source", blank).alias("source"), n_words(text).alias("tokens"))
+    rows, taken = rows.withColumn("nth", nth()).alias("r"), taken.alias("t")
+    same = F.col("r.doc_id").eqNullSafe(F.col("t.doc_id"))
+    for c in (*key[1:], "nth"):
+        same = same & (F.col(f"r.{c}") == F.col(f"t.{c}"))
+    return rows.join(taken, same).select("r.row.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
