@@ -108,10 +108,14 @@ def batch(schema: dict, **cols) -> pa.RecordBatch:
 
 
 class Texts:
-    """Some documents' texts as one byte array: ids, buf, and each document's bounds at [i], [i + 1]. Null is empty."""
+    """Some documents' texts as one byte array: ids, buf, and each document's bounds at [i], [i + 1]. Null is empty.
 
-    def __init__(self, ids: np.ndarray, buf: np.ndarray, at: np.ndarray):
+    ``named`` are the ids as they came, with nulls; in ``ids`` a null is 0.
+    """
+
+    def __init__(self, ids: np.ndarray, buf: np.ndarray, at: np.ndarray, named: pa.Array | None = None):
         self.ids, self.buf, self.at = ids, buf, at
+        self.named = pa.array(ids, pa.int64()) if named is None else named
 
     def text(self, i: int) -> bytes:
         return self.buf[self.at[i] : self.at[i + 1]].tobytes()
@@ -133,12 +137,13 @@ def _column(b: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
 def texts(b: pa.RecordBatch, key: str = "doc_id", col: str = "text", limit: int = 0) -> Iterator[tuple[int, Texts]]:
     """The batch in pieces of about CHUNK_BYTES (whole documents), each with the row at which it starts."""
     limit = limit or CHUNK_BYTES
-    ids = b.column(key).to_numpy(zero_copy_only=False)
+    named = b.column(key)
+    ids = (named.fill_null(0) if named.null_count else named).to_numpy(zero_copy_only=False)
     buf, at = _column(b, col)
     i = 0
     while i < len(ids):
         j = max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1)
-        yield i, Texts(ids[i:j], buf[at[i] : at[j]], at[i : j + 1] - at[i])
+        yield i, Texts(ids[i:j], buf[at[i] : at[j]], at[i : j + 1] - at[i], named.slice(i, j - i))
         i = j
 
 

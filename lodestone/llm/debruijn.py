@@ -15,7 +15,8 @@ instead edges travel in unbranching pieces:
    their source word by word.
 
 Defined results: null, blank and texts under 13 words lose nothing; rows that repeat a doc_id count as that document, so
-doc_id must be unique for removal; other columns are ignored; an empty table gives an empty table.
+doc_id must be unique for removal; a row without a doc_id is matched with nothing and keeps its text; other columns are
+ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -165,7 +166,7 @@ def _branched(k: int, m: int):
 
 def pieces(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     """doc_id, lo, hi (words), src_doc, src_lo: windows of a document that an earlier one holds, in pieces that overlap."""
-    docs, n = docs.select("doc_id", "text"), parts(docs.sparkSession)
+    docs, n = docs.select("doc_id", "text").filter("doc_id is not null"), parts(docs.sparkSession)
     met = by_bucket(docs.mapInArrow(_find_pieces(k, m, n), dealt_schema(6)), n)
     found = cut(met.mapInArrow(_settle, _FOUND_DDL))
     asked = cut(found.filter("anchor is not null").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "anchor", "pos")).alias("asked")))
@@ -207,7 +208,7 @@ def _drop_words(digest: bool):
             for row, t in texts(b):
                 w = Words(t, hashes=False)
                 rows = {k: [] for k in _OUT}
-                for i, doc_id in enumerate(t.ids.tolist()):
+                for i, doc_id in enumerate(t.named.to_pylist()):
                     raw = t.text(i).split()  # the white space of bytes.split is the six characters of the contract
                     n = len(raw)
                     s, e = covered(lo[at[row + i] : at[row + i + 1]], hi[at[row + i] : at[row + i + 1]])

@@ -10,7 +10,8 @@ which is linear in the number of words.  It is fitted by AdaGrad on the driver o
 source and doc_id are never inputs of a score.
 
 Defined results: null and empty texts have no words and get the score of their statistics; without both labels in the
-sample every score is 0.5; a document labelled twice counts with its smallest label; repeated rows repeat.
+sample every score is 0.5; a document labelled twice counts with its smallest label; repeated rows repeat;
+a row without a doc_id is scored like others and is not held out.
 """
 
 from __future__ import annotations
@@ -150,7 +151,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         for b in batches:
             for _, t in texts(b):
                 z = raw_scores(*features(t), m)
-                yield batch(schema, doc_id=t.ids, score=1 / (1 + np.exp(-np.clip(z, -30, 30))))
+                yield batch(schema, doc_id=t.named, score=1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
     out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

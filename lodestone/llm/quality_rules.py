@@ -6,7 +6,8 @@ and label, transition weights and start weights; it is fitted on a bounded sampl
 characters in content lines make at least ``min_content`` of those in all its lines and no base rule fails.
 
 Defined results: a text without words (null, empty, blank) has zero counts and fails the base rule; a row without
-labelled documents anywhere is decoded by the default weights; repeated rows give repeated rows.
+labelled documents anywhere is decoded by the default weights; repeated rows give repeated rows and rows without a
+doc_id keep that null.
 """
 
 from __future__ import annotations
@@ -250,7 +251,7 @@ def _judge(t: Texts, model: dict, min_content: float) -> dict:
     n, rep = w.counts, _repeated(w)
     failed = (n < 50) | (100 * rep > 50 * n)
     return {
-        "doc_id": t.ids, "n_words": n, "word_chars": word_chars[w.at[1:]] - word_chars[w.at[:-1]], "n_symbols": _per_doc(_SYMBOL[t.buf], t.at),
+        "doc_id": t.named, "n_words": n, "word_chars": word_chars[w.at[1:]] - word_chars[w.at[:-1]], "n_symbols": _per_doc(_SYMBOL[t.buf], t.at),
         "n_dup_lines": _per_doc(lines.copied, lines.at), "n_repeat_words": rep, "base_failed": failed, "content_share": share, "kept": ~failed & (share >= min_content),
     }
 

@@ -18,7 +18,7 @@ the common prefixes' lengths taken in order until the least length decides.  To
 All steps are linear in the text or in the contexts that go on; a group of copies costs a row a copy and anchor.
 Defined results: null and empty texts have no bytes; texts shorter than ``length`` lose nothing; rows that repeat a
 doc_id are matched as documents of their own, but ranges found in one are removed from each row of that id, so doc_id
-should be unique; other columns are ignored.
+should be unique; a row without a doc_id is matched with nothing and keeps its text; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -190,7 +190,7 @@ def _expanded(length: int):
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, lo, hi: byte ranges whose every byte is in a repeated string; they may overlap."""
-    docs, n = docs.select("doc_id", "text"), parts(docs.sparkSession)
+    docs, n = docs.select("doc_id", "text").filter("doc_id is not null"), parts(docs.sparkSession)
     met = by_bucket(docs.mapInArrow(_find_anchors(length, n), dealt_schema(6)), n)
     found = cut(met.mapInArrow(_settle, _FOUND_DDL))
     asked = found.filter("anchor is not null").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "anchor", "pos")).alias("asked"))
@@ -209,7 +209,7 @@ def _cut_out(digest: bool):
             at, (lo, hi) = nested(b, "ranges", ["lo", "hi"])
             for row, t in texts(b):
                 rows = {k: [] for k in _OUT}
-                for i, doc_id in enumerate(t.ids.tolist()):
+                for i, doc_id in enumerate(t.named.to_pylist()):
                     raw = t.text(i)
                     s, e = covered(lo[at[row + i] : at[row + i + 1]], hi[at[row + i] : at[row + i + 1]])
                     bounds = [0, *np.stack([s, e], 1).ravel().tolist(), len(raw)]

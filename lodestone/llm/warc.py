@@ -10,8 +10,8 @@ store works, a lost executor's half-written archive never shows, and no task hol
 ``archive_bytes``; ``export`` writes them as .warc.gz and .idx files where a plain folder is wanted.
 
 Defined results: null html is an empty payload; payloads under ``min_bytes`` are always responses; rows that repeat a
-page_id with the same payload are responses or revisits of that page_id like any others; an empty table gives no
-archive and no row.
+page_id with the same payload are responses or revisits of that page_id like any others; one without a page_id
+keeps that null and is never referred to; an empty table gives no archive and no row.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,24 +44,28 @@ def with_roles(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     first = p.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest")
     first = first.agg(F.min_by("url", "page_id").alias("first_url"), F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
     out = p.join(first, "payload_digest", "left")
-    again = F.col("first_id").isNotNull() & (F.col("first_id") != F.col("page_id"))
+    again = F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id"))
     return out.select(
         "page_id", "url", F.when(~again, F.col("payload")).alias("payload"), "payload_bytes", "payload_digest",
         F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first_id")).alias("refers_to"), F.when(again, F.col("first_url")).alias("first_url"),
     )
 
 
-def record(page_id: int, url: str | None, payload: bytes | None, size: int, digest: str, kind: str, refers: int | None, first_url: str | None) -> bytes:
+def _urn(page_id: int | None) -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, kind: str, refers: int | None, first_url: str | None) -> bytes:
     """One WARC/1.1 record with an HTTP response block."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     block = http + (payload or b"" if kind == "response" else b"")
     clean = lambda u: "".join(c for c in u if c not in "\r\n")
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", "WARC-Date: 2024-01-01T00:00:00Z",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_urn(page_id)}", "WARC-Date: 2024-01-01T00:00:00Z",
         *([f"WARC-Target-URI: {clean(url)}"] if url else []), f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {size}",
     ]
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_urn(refers)}"]
         head += [f"WARC-Refers-To-Target-URI: {clean(first_url)}"] if first_url else []
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -72,7 +77,7 @@ def parse(raw: bytes) -> dict:
     h = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
     block = rest[: int(h["Content-Length"])]
     payload = block.partition(b"\r\n\r\n")[2]
-    number = lambda x: int(x.removeprefix("<urn:page:").removesuffix(">"))
+    number = lambda x: int(x) if (x := x.removeprefix("<urn:page:").removesuffix(">")) else None
     out = {"page_id": number(h["WARC-Record-ID"]), "record_type": h["WARC-Type"], "refers_to": None}
     if out["record_type"] == "response":
         out |= {"payload_bytes": len(payload), "payload_digest": hashlib.sha256(payload).hexdigest()}
@@ -86,20 +91,21 @@ def write(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, level: int = LEV
     """archive string, raw binary: monolithic gzip files of the rows of with_roles()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        deflate, got, seen, first = None, [], 0, None
+        deflate, got, seen, made = None, [], 0, 0
+        name = lambda: f"pages-{TaskContext.get().partitionId():06d}-{made:06d}.warc.gz"
         kinds = {"archive": pa.string(), "raw": pa.binary()}
         for b in batches:
             for row in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to", "first_url"))):
                 r = record(*row)
                 if deflate is None:
-                    deflate, got, seen, first = zlib.compressobj(level, zlib.DEFLATED, 31), [], 0, row[0]
+                    deflate, got, seen = zlib.compressobj(level, zlib.DEFLATED, 31), [], 0
                 got.append(deflate.compress(r))
                 seen += len(r)
                 if seen >= archive_bytes:
-                    yield batch(kinds, archive=[f"pages-{first}.warc.gz"], raw=[b"".join(got) + deflate.flush()])
-                    deflate = None
+                    yield batch(kinds, archive=[name()], raw=[b"".join(got) + deflate.flush()])
+                    deflate, made = None, made + 1
         if deflate is not None:
-            yield batch(kinds, archive=[f"pages-{first}.warc.gz"], raw=[b"".join(got) + deflate.flush()])
+            yield batch(kinds, archive=[name()], raw=[b"".join(got) + deflate.flush()])
 
     return pages.mapInArrow(run, "archive string, raw binary")
 
