@@ -15,9 +15,12 @@ Documents link when 100 * |x & y| >= PERCENT * |x | y| for their sets of distinc
    not, the distance is a metric: d(x, y) >= d(a, b) - d(a, x) - d(b, y), and a pair ruled out by that is never compared.
    What then remains is compared on the sets themselves.
 5. Links are closed to components by repeated minima and pointer jumps, as joins.
+6. Links are counted.  Those between clusters (the sets under one leader) whose leaders don't link were compared in 4.
+   Within a cluster, and between clusters whose leaders link, blocks of sets meet blocks of sets: a matrix product
+   gives the overlaps of each two, of which only each set's number of links is kept.
 
-Every step is linear in rows or in candidate pairs between different clusters; no step holds all pairs of a group of
-copies.  Shingles are 64-bit hashes of all their words.  Defined results: null and blank texts have an empty set, size 0
+Steps 1 to 5 are linear in rows or in candidate pairs between different clusters; step 6 compares all pairs of a group
+of near copies, a block pair at a time, and no step holds them as rows.  Shingles are 64-bit hashes of all their words.  Defined results: null and blank texts have an empty set, size 0
 and their own id; a row without a doc_id has its set's size, links with nothing and has no component; fewer words than k
 make one shingle; repeated rows of a doc_id repeat with the same component; an
 empty table gives an empty table; other columns are ignored.
@@ -41,6 +44,9 @@ SKETCH_BITS = 20
 KEYS = 6
 AGREE = 3
 BLOCK = 128
+BLOCK_SETS = 512  # a block of step 6 has about so many sets, and so many shingles
+BLOCK_SHINGLES = 1 << 18
+COLUMNS = 4096
 _SEEDS = mix(np.arange(101, 101 + KEYS, dtype=np.uint64))
 
 
@@ -304,8 +310,124 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def join(docs: DataFrame, k: int = K, percent: int = PERCENT, bits: int = SKETCH_BITS) -> DataFrame:
-    """doc_id, n_shingles, component_id, rep_id (the document with the same set) and n_links (links of that set)."""
+# ---------------------------------------------------------------- 6. numbers of links
+
+
+def overlaps(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """The overlap of each set of x with each of y; sets lie one after another, nx and ny are their sizes."""
+    out = np.zeros((len(nx), len(ny)), np.float32)
+    shared = np.intersect1d(x, y)
+    sides = []
+    for h, n in ((x, nx), (y, ny)):
+        row, col = np.repeat(np.arange(len(n)), n), np.searchsorted(shared, h)
+        has = np.flatnonzero(col < len(shared))
+        has = has[shared[col[has]] == h[has]]
+        has = has[np.argsort(col[has], kind="stable")]
+        sides.append((len(n), row[has], col[has]))
+    for lo in range(0, len(shared), COLUMNS):
+        width, m = min(COLUMNS, len(shared) - lo), []
+        for size, row, col in sides:
+            i, j = np.searchsorted(col, [lo, lo + width])
+            m.append(np.zeros((size, width), np.float32))
+            m[-1][row[i:j], col[i:j] - lo] = 1
+        out += m[0] @ m[1].T
+    return out.astype(np.int64)
+
+
+def _count_links(percent: int):
+    keys = ("la", "ba", "lb", "bb")
+    schema = {"id": pa.int64(), "n_links": pa.int64()}
+
+    def counted(key: tuple, rows: list) -> pa.RecordBatch:
+        side, ids, sets = zip(*rows)
+        side, ids = np.array(side), np.array(ids, np.int64)
+        half = []
+        for s in (0, 1):
+            i = np.flatnonzero(side == s)
+            i = i[np.unique(ids[i], return_index=True)[1]]  # a repeated row counts once
+            got = [np.frombuffer(sets[j], np.uint64) for j in i]
+            half.append((ids[i], np.concatenate(got) if got else np.zeros(0, np.uint64), np.array([len(g) for g in got], np.int64)))
+        (a, x, nx), (b, y, ny) = half
+        same = key[:2] == key[2:]
+        if same:
+            b, y, ny = a, x, nx
+        both = overlaps(x, nx, y, ny)
+        linked = 100 * both >= percent * (nx[:, None] + ny[None, :] - both)
+        if same:
+            np.fill_diagonal(linked, False)
+            return batch(schema, id=a, n_links=linked.sum(axis=1))
+        return batch(schema, id=np.r_[a, b], n_links=np.r_[linked.sum(axis=1), linked.sum(axis=0)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            k = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in keys], 1)
+            starts = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]).any(axis=1)]) if len(k) else []
+            for lo, hi in zip(starts, [*starts[1:], len(k)]):
+                key = tuple(k[lo].tolist())
+                if key != now and held:
+                    yield counted(now, held)
+                    held = []
+                now = key
+                part = b.slice(lo, hi - lo)
+                held += zip(part.column("side").to_pylist(), part.column("id").to_pylist(), part.column("set").to_pylist())
+        if held:
+            yield counted(now, held)
+
+    return run
+
+
+def _sets(k: int):
+    schema = {"id": pa.int64(), "set": pa.binary()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, t in texts(b):
+                h, at = shingles(t, k)
+                yield batch(schema, id=t.ids, set=[h[at[i] : at[i + 1]].tobytes() for i in range(len(t.ids))])
+
+    return run
+
+
+def link_counts(docs: DataFrame, info: DataFrame, led: DataFrame, linked: DataFrame, found: DataFrame, k: int, percent: int) -> DataFrame:
+    """id, n_links of each set that links: with how many others.
+
+    A linked pair is of one cluster, of two clusters whose leaders link (``linked`` has them, or one leads the other),
+    or in ``found``; each pair is of one of these kinds only.
+    """
+    spark = docs.sparkSession
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    clusters = info.groupBy("leader").agg(F.count("*").alias("m"), blocks.alias("q"), F.min(F.col("doc_id") == F.col("leader")).alias("own"))
+    clusters = cut(clusters.withColumn("alone", F.expr("m = 1 and own")))
+    above = led.select(F.col("b").alias("a"), F.col("a").alias("top"))
+    chains = led.select("a").distinct().join(above, "a").select(F.least("a", "top"), F.greatest("a", "top"))
+    units = linked.union(chains).toDF("la", "lb").union(clusters.filter("m > 1").select("leader", "leader")).distinct()
+    for side in ("a", "b"):
+        units = units.join(clusters.select(F.col("leader").alias(f"l{side}"), F.col("q").alias(f"q{side}"), F.col("alone").alias(f"alone_{side}")), f"l{side}")
+    units = cut(units)
+    # two leaders without members: that they link is known already
+    plain = units.filter("alone_a and alone_b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    to = units.filter("not (alone_a and alone_b)").withColumn("ba", F.explode(F.sequence(F.lit(0), F.col("qa") - 1)))
+    to = to.withColumn("bb", F.explode(F.sequence(F.when(F.col("la") == F.col("lb"), F.col("ba")).otherwise(0), F.col("qb") - 1))).select("la", "ba", "lb", "bb")
+    wanted = units.filter("not (alone_a and alone_b)").select(F.explode(F.array("la", "lb")).alias("leader")).distinct()
+    at = info.join(wanted, "leader", "left_semi").join(clusters.select("leader", "q"), "leader")
+    at = cut(at.select(F.col("doc_id").alias("id"), "leader", F.pmod(F.xxhash64("doc_id"), F.col("q").cast("long")).cast("int").alias("block")))
+    sets = having_ids(docs.filter("doc_id is not null"), at.select(F.col("id").alias("doc_id"))).mapInArrow(_sets(k), "id long, set binary")
+    sets = sets.join(at.hint("shuffle_hash"), "id")
+    left = to.join(sets.select(F.col("leader").alias("la"), F.col("block").alias("ba"), "id", "set"), ["la", "ba"]).withColumn("side", F.lit(0))
+    right = to.filter("la <> lb or ba <> bb").join(sets.select(F.col("leader").alias("lb"), F.col("block").alias("bb"), "id", "set"), ["lb", "bb"]).withColumn("side", F.lit(1))
+    keys = ["la", "ba", "lb", "bb"]
+    met = left.select(*keys, "side", "id", "set").unionByName(right.select(*keys, "side", "id", "set"))
+    counted = met.repartition(parts(spark), *keys).sortWithinPartitions(*keys).mapInArrow(_count_links(percent), "id long, n_links long")
+    ends = plain.union(found).select(F.explode(F.array("a", "b")).alias("id"), F.lit(1).cast("long").alias("n_links"))
+    return cut(counted.unionByName(ends).groupBy("id").agg(F.sum("n_links").alias("n_links")))
+
+
+def join(docs: DataFrame, k: int = K, percent: int = PERCENT, bits: int = SKETCH_BITS, links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, rep_id (the document with the same set) and n_links.
+
+    n_links is the number of other distinct sets that the document's set links with; without ``links`` it isn't counted.
+    """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     prof = cut(profile(docs, k))
@@ -315,10 +437,10 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, bits: int = SKETCH
     sets = prof.join(member.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
     led = cut(leaders(sets, docs, k, percent))
     load = spark.sparkContext.broadcast(sketch(docs, k, bits))
-    info = member.filter("doc_id = rep").select("doc_id").join(led.select(F.col("b").alias("doc_id"), F.col("a").alias("leader")), "doc_id", "left")
-    info = info.select("doc_id", F.coalesce("leader", "doc_id").alias("leader"))
+    info = member.filter("doc_id = rep").select("doc_id", "n").join(led.select(F.col("b").alias("doc_id"), F.col("a").alias("leader")), "doc_id", "left")
+    info = info.select("doc_id", "n", F.coalesce("leader", "doc_id").alias("leader"))
     n = parts(spark)
-    lists = docs.join(info.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "leader").mapInArrow(_postings(k, percent, n, load, bits), dealt_schema(5))
+    lists = docs.join(info.drop("n").hint("shuffle_hash"), "doc_id").select("doc_id", "text", "leader").mapInArrow(_postings(k, percent, n, load, bits), dealt_schema(5))
     cand = cut(by_bucket(lists, n).mapInArrow(_pairs(percent), "a long, b long, la long, lb long").distinct())
     load.destroy()
     # what the leaders' distance settles
@@ -332,10 +454,13 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, bits: int = SKETCH
         rest = rest.join(dist.select(F.col("id").alias(side), F.col("own").alias(f"d{side}")), side, "left")
     slack = F.col("d") - F.coalesce("da", F.lit(0.0)) - F.coalesce("db", F.lit(0.0))
     rest = cut(rest.filter(slack <= 1 - percent / 100 + 1e-9).select(*ordered("a", "b")).distinct())
-    found = compare(rest, docs, k).filter(_linked(percent)).select("a", "b")
+    found = cut(compare(rest, docs, k).filter(_linked(percent)).select("a", "b").distinct())
     edges = cut(led.select("a", "b").union(heads.filter("linked").select("ha", "hb")).union(found).distinct())
     comp = components(edges)
-    degree = edges.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
+    if links:
+        degree = link_counts(docs, info, led, heads.filter("linked").select("ha", "hb"), found, k, percent)
+    else:
+        degree = comp.select("id", F.lit(None).cast("long").alias("n_links"))
     at = comp.join(degree, "id", "left").withColumnRenamed("id", "rep")
     linked = member.join(at, "rep", "left").select("doc_id", "n", F.coalesce("component", "rep").alias("component_id"), F.col("rep").alias("rep_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     empty = prof.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("rep_id"), F.lit(0).cast("long").alias("n_links"))
@@ -347,7 +472,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
 
     Rows without a doc_id are in no component and all stay.
     """
-    keep = join(docs.select("doc_id", "text"), **options).filter("doc_id = component_id").select("doc_id").distinct()
+    keep = join(docs.select("doc_id", "text"), links=False, **options).filter("doc_id = component_id").select("doc_id").distinct()
     one = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).join(keep, "doc_id", "left_semi")
     return one.unionAll(docs.filter("doc_id is null"))
 
