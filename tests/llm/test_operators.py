@@ -352,6 +352,29 @@ def test_pii(spark):
     assert [tuple(r) for r in out] == [(1, "mail [EMAIL], key", 5), (2, None, 6)]
 
 
+def test_pii_training_with_copies(spark):
+    """Copies of a candidate don't change the model, which finds tokens that nothing names."""
+    hexed = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    texts = [f'x token = "{hexed(i)}" y = "{"%016d" % (i * 7919)}" end' for i in range(300)]
+    first = spark.createDataFrame([(i, hexed(i)) for i in range(300)], "i int, h string").orderBy(F.xxhash64("h")).first().i
+    frame = lambda rows: spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    model = pii.train(frame(texts + [texts[first]] * 3000))
+    assert model == pii.train(frame(texts)) and model != pii.DEFAULT
+    unseen = [f"plain {hexed(i)} text" for i in range(1000, 1050)] + [f"plain {'%016d' % (i * 7919)} text" for i in range(1000, 1050)]
+    got = {r.doc_id: r.spans for r in pii.digests(frame(unseen), model).collect()}
+    assert {i for i in got if "secret:6:46" in got[i]} == set(range(50)) and not any("secret" in got[i] for i in range(50, 100))
+
+
+def test_pii_without_a_precise_threshold(spark):
+    """Named and unnamed candidates of one format can't be told apart by it: the default rule takes what is named and assigned."""
+    hexed = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    rows = [(i, f'the token = "{hexed(i)}" end' if i % 4 == 0 else f'the thing = "{hexed(i)}" end') for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.train(df)
+    assert model == pii.DEFAULT
+    assert {r.doc_id for r in pii.digests(df, model).collect() if "secret" in r.spans} == set(range(0, 400, 4))
+
+
 def test_boosting_learns_and_compiles(spark):
     rng = np.random.default_rng(12)
     x = rng.normal(size=(400, 3))
