@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,15 +34,33 @@ def allowed(times: list[float], limit: int, window: float, recent: list[float] |
 
 
 def rate_limit(events: DataFrame, key: str, ts: str, order: str, limit: int, window_s: float) -> DataFrame:
-    """events with allowed boolean. What a key may do depends on what it was allowed before, so keys are taken in order."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, order], kind="stable")
-        us = pdf[ts].astype("datetime64[us]").astype("int64").tolist()
-        return pdf.assign(allowed=allowed(us, limit, int(window_s * 1_000_000))[0])
+    """events with allowed boolean. What a key may do depends on what it was allowed before, so keys are taken in order.
 
-    return events.groupBy(key).applyInPandas(run, f"{fields}, allowed boolean")
+    Spark sorts by key and time, spilling if need be; a task keeps the last ``limit`` allowed times of the key it is at.
+    """
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
+    us = int(window_s * 1_000_000)
+
+    same = lambda a, b: a == b or (a != a and b != b)  # noqa: E731  (NaN is one key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, recent = (), []  # no key yet
+        for b in batches:
+            keys, ok, lo = b.column(key).to_pylist(), [], 0
+            times = b.column(ts).cast(pa.int64()).fill_null(-(1 << 63)).to_pylist()
+            while lo < len(keys):
+                hi = lo + 1
+                while hi < len(keys) and same(keys[hi], keys[lo]):
+                    hi += 1
+                if not same(keys[lo], now):
+                    now, recent = keys[lo], []
+                some, recent = allowed(times[lo:hi], limit, us, recent)
+                ok += some
+                lo = hi
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ok, pa.bool_())], names=[*b.schema.names, "allowed"])
+
+    dealt = events.repartition(F.col(key)).sortWithinPartitions(key, F.col(ts).asc_nulls_last(), F.col(order).asc_nulls_last())
+    return dealt.mapInArrow(run, f"{fields}, allowed boolean")
 
 
 def admission(requests: DataFrame, limit: int, window_s: float, modes: tuple = ("bm25", "vector", "hybrid"), max_chars: int = 1000, max_history: int = 20) -> DataFrame:

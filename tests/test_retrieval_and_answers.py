@@ -138,6 +138,24 @@ def test_admission(spark):
     assert {r.request_id: r.status for r in R.admission(df, 2, 60).collect()} == {1: 200, 2: 422, 3: 422, 4: 429, 5: 422}
 
 
+def test_limiter_streams_a_hot_key(spark):
+    """Keys are taken in small batches, not as a frame each; a key's state goes on across batches, and null is a key."""
+    rows = [(i, None if i % 11 == 0 else i % 5 if i % 3 else 1, (i * 7919) % 4000 // 3) for i in range(1200)]
+    df = spark.createDataFrame(rows, "event_id int, user_id int, s int").withColumn("ts", F.timestamp_seconds("s"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        limited = R.rate_limit(df, "user_id", "ts", "event_id", 3, 40)
+        got = {r.event_id: r.allowed for r in limited.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for user in {r[1] for r in rows}:
+        mine = sorted((s, i) for i, u, s in rows if u == user)
+        want |= dict(zip([i for _, i in mine], R.allowed([s for s, _ in mine], 3, 40)[0]))
+    assert got == want and limited.columns == [*df.columns, "allowed"]
+    assert "FlatMapGroups" not in limited._jdf.queryExecution().executedPlan().toString()
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(i, i % 3, 1_700_000_000 + i * 7) for i in range(60)]
     df = spark.createDataFrame(rows, "event_id int, user_id int, s int").withColumn("ts", F.timestamp_seconds("s")).drop("s").coalesce(1)
