@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import sha256
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,19 +16,49 @@ def file_hashes(files: DataFrame, content: str = "text") -> DataFrame:
     return files.select("source", F.sha2(F.col(content).cast("binary"), 256).alias("sha256"))
 
 
+def _line() -> Column:
+    return F.concat("source", F.lit("="), "sha256", F.lit(";")).alias("line")
+
+
+def _digests(lines: DataFrame) -> DataFrame:
+    """bucket, d: SHA-256 over the column line of each bucket, in the order that lines' partitions have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([h.hexdigest()])], names=["bucket", "d"])
+        now, h = None, None
+        for batch in batches:
+            for bucket, line in zip(batch.column("bucket").to_pylist(), batch.column("line").to_pylist()):
+                if bucket != now:
+                    if h is not None:
+                        yield out()
+                    now, h = bucket, sha256()
+                h.update((line or "").encode())
+        if h is not None:
+            yield out()
+
+    return lines.select("bucket", "line").mapInArrow(run, "bucket long, d string")
+
+
+def _whole(lines: DataFrame, settings: str, *order: str) -> DataFrame:
+    """fingerprint: one digest over the settings and then lines in order, in one task that holds a batch at a time."""
+    first = lines.sparkSession.range(1).select(F.lit(0).alias("no"), *[F.lit(None).cast(lines.schema[c].dataType).alias(c) for c in order], F.lit(settings).alias("line"))
+    every = lines.select(F.lit(1).alias("no"), *order, "line").unionByName(first).withColumn("bucket", F.lit(0).cast("long"))
+    return _digests(every.repartition(1).sortWithinPartitions("no", *order)).select(F.col("d").alias("fingerprint"))
+
+
 def fingerprint(hashes: DataFrame, settings: str) -> DataFrame:
-    """One row: SHA-256 over the settings and "name=hash;" of each file in name order."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("source", "sha256"))), lambda x: F.concat(x["source"], F.lit("="), x["sha256"], F.lit(";")))
-    return hashes.agg(F.sha2(F.concat(F.lit(settings), F.array_join(lines, "")), 256).alias("fingerprint"))
+    """One row: SHA-256 over the settings and "name=hash;" of each file in name order.
+
+    One hash over all files is the work of one task; Spark sorts (and spills), so its memory doesn't grow with them.
+    """
+    return _whole(hashes.select("source", "sha256", _line()), settings, "source", "sha256")
 
 
 def bucketed_fingerprint(hashes: DataFrame, settings: str, buckets: int = 1024) -> DataFrame:
     """The same purpose for very many files: a digest for each bucket of names, then one over those."""
-    b = hashes.withColumn("bucket", F.pmod(F.xxhash64("source"), F.lit(buckets)))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("source", "sha256"))), lambda x: F.concat(x["source"], F.lit("="), x["sha256"], F.lit(";")))
-    per = b.groupBy("bucket").agg(F.sha2(F.array_join(lines, ""), 256).alias("d"))
-    digests = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda x: x["d"])
-    return per.agg(F.sha2(F.concat(F.lit(settings), F.array_join(digests, "")), 256).alias("fingerprint"))
+    b = hashes.select("source", "sha256", _line(), F.pmod(F.xxhash64("source"), F.lit(buckets)).cast("long").alias("bucket"))
+    per = _digests(b.repartition(F.col("bucket")).sortWithinPartitions("bucket", "source", "sha256"))
+    return _whole(per.select("bucket", F.col("d").alias("line")).withColumnRenamed("bucket", "nth"), settings, "nth")
 
 
 def changed_sources(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import collections
+import hashlib
 import math
 
 import numpy as np
@@ -120,6 +122,24 @@ def test_sync(spark, chunks, tmp_path):
         I.load(spark, str(tmp_path / "i"), "other")
 
 
+def test_fingerprint_is_streamed(spark):
+    """The digest of all lines in name order, without a row that holds them all."""
+    names = ["", "a/b", "é", "B", *map(str, range(3000))]
+    rows = [(n, hashlib.sha256(n.encode()).hexdigest()) for n in names]
+    one = I.fingerprint(spark.createDataFrame(rows, "source string, sha256 string").repartition(7), "k=1")
+    lines = "".join(f"{n}={h};" for n, h in sorted(rows, key=lambda r: r[0].encode()))
+    assert [tuple(r) for r in one.collect()] == [(hashlib.sha256(("k=1" + lines).encode()).hexdigest(),)]
+    assert "collect_list" not in one._jdf.queryExecution().executedPlan().toString()
+    digests = collections.defaultdict(hashlib.sha256)
+    frame = spark.createDataFrame(sorted(rows, key=lambda r: r[0].encode()), "source string, sha256 string")
+    for r in frame.withColumn("b", F.pmod(F.xxhash64("source"), F.lit(16))).collect():
+        digests[r.b].update(f"{r.source}={r.sha256};".encode())
+    two = "k=1" + "".join(digests[b].hexdigest() for b in sorted(digests))
+    assert I.bucketed_fingerprint(frame, "k=1", 16).first().fingerprint == hashlib.sha256(two.encode()).hexdigest()
+    empty = I.fingerprint(spark.createDataFrame([], "source string, sha256 string"), "k=1").collect()
+    assert [r.fingerprint for r in empty] == [hashlib.sha256(b"k=1").hexdigest()]
+
+
 def test_retention_and_staleness(spark):
     log = spark.createDataFrame([("2024-01-01 00:00:00",), ("2023-12-31 23:59:59",), ("bad",), (None,)], "ts string")
     assert R.purge(log, "2024-01-31 00:00:00", 30).count() == 1
