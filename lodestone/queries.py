@@ -449,12 +449,17 @@ def gold_cited(spark, d):
 
 @register()
 def chunk_size_ablation(spark, d):
-    """BM25 over chunks of four sizes in one pass: the size is part of the question's and the chunk's key."""
-    every = None
+    """Hybrid retrieval over chunks of four sizes, each with its own index, and how many chunks each size gives."""
+    every = counts = None
+    q = questions(spark, d)
+    asked = E.hashing(q, "qid", "question")
     for size in (60, 120, 220, 400):
         c = C.distinct_chunks(C.with_ids(C.chunk_sections(_sections(spark, d), size, min(30, size // 4)))).withColumn("title", F.lit(""))
-        h = S.bm25(questions(spark, d), c, max(V.KS)).join(c.select("chunk_id", "source", "heading"), "chunk_id")
+        c = cut(c.withColumn("terms", S.chunk_terms(c)))
+        cv = cut(E.hashing(c, ["chunk_id", "okey"], "terms"))
+        h = S.search(q, c, asked, cv, "hybrid", max(V.KS)).join(c.select("chunk_id", "source"), "chunk_id")
         one = h.select(F.lit(str(size)).alias("mode"), "qid", "rank", "source", "heading")
-        every = one if every is None else every.unionByName(one)
+        n = c.agg(F.count("*").alias("chunks")).select(F.lit(str(size)).alias("mode"), "chunks")
+        every, counts = (one, n) if every is None else (every.unionByName(one), counts.unionByName(n))
     sizes = spark.createDataFrame([("60",), ("120",), ("220",), ("400",)], "mode string")
-    return V.retrieval_report(every, gold(spark, d), sizes).withColumnRenamed("mode", "chunk_tokens")
+    return V.retrieval_report(every, gold(spark, d), sizes).join(F.broadcast(counts), "mode").withColumnRenamed("mode", "chunk_tokens")

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone import queries as Q
 from lodestone.operators import answer as A
 from lodestone.operators import embed as E
 from lodestone.operators import evaluate as V
@@ -202,3 +203,17 @@ def test_evaluation(spark):
     assert tuple(V.abstention_report(a, gold).first()) == pytest.approx((1 / 3, 0.5, 1.0))
     assert V.gold_cited(a, hits, gold).first().gold_cited == 1.0
     assert [r.qid for r in V.uncovered(hits.select("source", "heading"), gold).collect()] == [2]
+
+
+def test_ablation_is_hybrid_and_counts_chunks(spark, monkeypatch):
+    """Each size is searched by the mode that answers are given in, and reported with its number of chunks."""
+    t = {
+        "documents": spark.createDataFrame([(1, "s", "alpha beta gamma delta epsilon zeta eta"), (2, "s", "word " * 90)], "doc_id long, source string, text string"),
+        "benchmark": spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta"), (2, "nothing of it")], "item_id long, text string"),
+    }
+    modes, search = [], S.search
+    monkeypatch.setattr(Q, "_t", lambda spark, d, name: t[name])
+    monkeypatch.setattr(S, "search", lambda *a, **k: (modes.append(a[4]), search(*a, **k))[1])
+    got = {r.chunk_tokens: r for r in Q.chunk_size_ablation(spark, "").collect()}
+    assert modes == ["hybrid"] * 4 and [got[s].chunks for s in ("60", "120", "220", "400")] == [3, 2, 2, 2]
+    assert all(r.questions == 1 and r.recall_at_1 == 1.0 for r in got.values())
