@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,13 +25,33 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back, so that what several branches use is computed once.
+def parts(spark: SparkSession) -> int:
+    """The session's shuffle partitions."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
 
-    The folder is the one that spark.checkpoint.dir names; one of our own only where it is unset, as in tests.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Only on one machine (a local master, as in tests) a folder of our own stands in, one for the process.  On a cluster
+    without the setting there is no folder that all executors share, and that is an error.
     """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return _own_dir()
+
+
+@cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="lodestone-")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: what several branches use is computed once, whatever executors are lost."""
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or os.environ.setdefault("LODESTONE_TEST_DIR", tempfile.mkdtemp(prefix="lodestone-"))
-    path = f"{shared.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
