@@ -8,42 +8,20 @@ bucket's size stays the same as the input and that setting grow together.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tables import table  # noqa: F401  (the operators' modules take it from here)
+from ..plans.tables import cut, parts, shared_dir, table  # noqa: F401  (the operators' modules take them from here)
 
 #: Bits of an id filter: at most 2**20 rows are ever broadcast (about 16 MB).
 FILTER_BITS = 20
-#: Text bytes that a task works on at a time.
-CHUNK_BYTES = 4 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = os.environ.setdefault("LODESTONE_TEST_DIR", tempfile.mkdtemp(prefix="lodestone-"))
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: later jobs don't recompute it, and lost executors don't matter."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/lodestone-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Text bytes that a task works on at a time, and values of an array that a sliding step works on.
+CHUNK_BYTES = 1 << 20
+STEP = 1 << 18
 
 
 def id_bucket(col) -> F.Column:
@@ -164,7 +142,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0xD1342543DE82EF95  # odd, so it has an inverse modulo 2**64
 _POW: list[np.ndarray] = []
 
@@ -185,7 +163,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def sums(buf: np.ndarray) -> np.ndarray:
     """Running polynomial sums: the hash of buf[i:j] is (s[j] - s[i]) * inverse_power[i]."""
     s = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * powers(len(buf) + 1)[0][: len(buf)], out=s[1:])
+    np.cumsum(BYTE[buf] * powers(len(buf) + 1)[0][: len(buf)], out=s[1:])
     return s
 
 
@@ -209,8 +187,15 @@ class Words:
         self.end = np.flatnonzero(solid & after) + 1
         self.at = np.searchsorted(self.start, t.at)
         if hashes:
-            s = sums(buf)
-            self.hash = mix((s[self.end] - s[self.start]) * powers(n + 1)[1][self.start])
+            self.hash = np.empty(len(self.start), np.uint64)
+            i = 0
+            while i < len(self.start):  # so many words as fill a step; running sums of a whole long text would be 16 times its size
+                base = int(self.start[i])
+                j = max(i + 1, int(np.searchsorted(self.end, base + STEP, "right")))
+                lo, hi = self.start[i:j] - base, self.end[i:j] - base
+                s = sums(buf[base : base + int(hi[-1])])
+                self.hash[i:j] = mix((s[hi] - s[lo]) * powers(len(s))[1][lo])
+                i = j
 
     @property
     def counts(self) -> np.ndarray:
@@ -271,13 +256,38 @@ def anchors(h: np.ndarray, w: int, valid: np.ndarray) -> np.ndarray:
     """Positions of the least hash of each valid window of w consecutive hashes, the leftmost if there are several.
 
     The choice depends on a window's content alone, so equal windows have the same anchor at the same place in them.
+    Windows are taken STEP at a time, so working memory doesn't grow with a text.
     """
-    low = np.uint64((1 << 28) - 1)
-    if len(h) > 1 << 28:
-        raise ValueError("a text of more than 2**28 units can't be taken at once")
-    key = (h & ~low) | np.arange(len(h), dtype=np.uint64)
-    least = slide_min(key, w)
-    return np.unique((least[valid[: len(least)]] & low).astype(np.int64))
+    low, out, last = np.uint64((1 << 24) - 1), [], -1
+    for lo in range(0, len(h) - w + 1, STEP):
+        part = h[lo : lo + STEP + w - 1]
+        least = slide_min((part & ~low) | np.arange(len(part), dtype=np.uint64), w)
+        a = np.unique((least[valid[lo : lo + len(least)]] & low).astype(np.int64)) + lo
+        a = a[a > last]  # anchors of successive windows never go back
+        if len(a):
+            out.append(a)
+            last = int(a[-1])
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def combined(keys: list[np.ndarray], prefer: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For entries with equal keys: each entry's representative (the first by ``prefer``, then by place) and how many share it.
+
+    Before a shuffle this leaves a group that fills a third of a task's rows one entry; the others are settled on the spot.
+    """
+    n = len(keys[0])
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.lexsort((*([] if prefer is None else [prefer]), *keys))
+    new = np.zeros(n, bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    start = np.flatnonzero(new)
+    size = np.diff(np.r_[start, n])
+    first, many = np.empty(n, np.int64), np.empty(n, np.int64)
+    first[order], many[order] = np.repeat(order[start], size), np.repeat(size, size)
+    return first, many
 
 
 def with_ranges(docs: DataFrame, found: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:

@@ -7,15 +7,20 @@ the common prefixes' lengths taken in order until the least length decides.  To
 1. In each window of ``length`` bytes the k-gram of least hash (k = length / 2) is its anchor.  Equal windows have equal
    anchors at the same place, so everything that can repeat meets at its anchor.  Anchors are dealt by hash, each with a
    hash of its context: the bytes that windows with this anchor can reach.
-2. Occurrences of an anchor with equal contexts are settled at once: all windows of that context repeat.  One of each
+2. Occurrences of an anchor with equal contexts are settled at once: all windows of that context repeat.  Those of one
+   piece of text are settled before the shuffle, so a third of all rows with one text are an entry a piece.  One of each
    distinct context of an anchor goes on, if there are several; anchors that occur once are done.
 3. The contexts that go on are dealt by anchor with their bytes.  In each anchor's interval the suffixes from the anchor
    on are sorted; neighbours' common prefixes are known.  Then the interval is extended backwards byte by byte: each
    step splits intervals by the preceding byte (the transform's column), keeps the order within, and takes the common
    prefix of new neighbours as the least between them.  At depth d a window repeats if a neighbour in its interval
    shares length - d bytes or more.  Intervals of one suffix leave the queue.
+4. An anchor with more than ``hot`` distinct contexts (a passage of very many documents, in other surroundings each) would
+   be one task's; there each window is dealt by a hash of its own, repeated ones being settled before the shuffle as in 2.
 
-All steps are linear in the text or in the contexts that go on; a group of copies costs a row a copy and anchor.
+All steps are linear in the text or in the contexts that go on; working memory is a fixed step of a text.
+Contexts and hot windows are compared by 64-bit hashes next to the 64-bit hash of their anchor: a false match among m
+different contexts of one anchor has a chance of about m**2 / 2**65.
 Defined results: null and empty texts have no bytes; texts shorter than ``length`` lose nothing; rows that repeat a
 doc_id are matched as documents of their own, but ranges found in one are removed from each row of that id, so doc_id
 should be unique; a row without a doc_id is matched with nothing and keeps its text; other columns are ignored.
@@ -31,60 +36,96 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import anchors, batch, by_bucket, covered, cut, deal, dealt_schema, gather, having_ids, mix, nested, parts, powers, ranges, runs, sums, table, texts, with_ranges
+from .common import BYTE, CHUNK_BYTES, STEP, Texts, anchors, batch, by_bucket, combined, covered, cut, deal, dealt_schema, gather, having_ids, mix, nested, parts, powers, ranges, runs, sums, table, texts, with_ranges
 
 LENGTH = 200
+HOT = 1 << 14  # contexts of one anchor that one task expands; beyond it windows are dealt one by one
+
+
+_ENTRY = [np.uint64, np.uint64, np.int64, np.int32, np.uint16, np.uint16, np.uint8]  # anchor, context, document, place, left, right, state
+_OPEN, _TWICE, _DONE = 0, 1, 2  # an entry is alone in its piece of text, stands for several of it, or is one of these others
 
 
 def _find_anchors(length: int, n_buckets: int):
     k = length // 2
     w = length - k + 1
 
+    def of(t: Texts) -> list[np.ndarray]:
+        """Anchors of the windows, STEP windows at a time: hash, hash of the context, place in t, bytes before and after."""
+        n = len(t.buf)
+        valid = np.ones(n - length + 1, bool)
+        first = np.maximum(t.at[1:] - length + 1, 0)
+        valid[ranges(first, np.minimum(t.at[1:], len(valid)) - first)] = False
+        found, last = [], -1
+        for lo in range(0, len(valid), STEP):
+            hi = min(lo + STEP, len(valid))
+            base, m = max(0, lo - w + 1), hi - lo + w - 1
+            s = sums(t.buf[base : hi + w - 1 + length])
+            inv, i = powers(len(s))[1], lo - base
+            h = mix((s[i + k : i + k + m] - s[i : i + m]) * inv[i : i + m])
+            a = anchors(h, w, valid[lo:hi]) + lo
+            a = a[a > last]
+            if len(a):
+                last = int(a[-1])
+                doc = np.searchsorted(t.at, a, "right") - 1
+                x, y = np.maximum(t.at[doc], a - (w - 1)), np.minimum(t.at[doc + 1], a + length)
+                left, right = (a - x).astype(np.uint16), (y - a).astype(np.uint16)
+                x, y = x - base, y - base
+                ctx = mix((s[y] - s[x]) * inv[x] ^ mix(left.astype(np.uint64) << np.uint64(16) | right.astype(np.uint64)))
+                found.append([h[a - lo], ctx, a, left, right])
+        return [np.concatenate(c) for c in zip(*found)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, t in texts(b):
-                n = len(t.buf)
-                if n < length:
-                    continue
-                s, inv = sums(t.buf), powers(n + 1)[1]
-                h = mix((s[k:] - s[:-k]) * inv[: n - k + 1])
-                valid = np.ones(n - length + 1, bool)
-                ends = t.at[1:]
-                valid[ranges(np.maximum(ends - length + 1, 0), np.minimum(ends, n - length + 1) - np.maximum(ends - length + 1, 0))] = False
-                a = anchors(h, w, valid)
-                doc = np.searchsorted(t.at, a, "right") - 1
-                lo, hi = np.maximum(t.at[doc], a - (w - 1)), np.minimum(t.at[doc + 1], a + length)
-                left, right = (a - lo).astype(np.uint16), (hi - a).astype(np.uint16)
-                ctx = mix((s[hi] - s[lo]) * inv[lo] ^ mix(left.astype(np.uint64) << np.uint64(16) | right.astype(np.uint64)))
-                cols = [h[a], ctx, t.ids[doc], (a - t.at[doc]).astype(np.int32), left, right]
-                yield deal((h[a] % np.uint64(n_buckets)).astype(np.int64), n_buckets, cols)
+            for _, t in texts(b, limit=4 * CHUNK_BYTES):
+                got = of(t) if len(t.buf) >= length else []
+                if got:
+                    h, ctx, a, left, right = got
+                    doc = np.searchsorted(t.at, a, "right") - 1
+                    bucket, state = _spread([h, ctx], t.ids[doc], n_buckets)
+                    yield deal(bucket, n_buckets, [h, ctx, t.ids[doc], (a - t.at[doc]).astype(np.int32), left, right, state])
 
     return run
 
 
+def _spread(keys: list[np.ndarray], doc: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each entry's bucket and state: one of equal entries goes where its first key is dealt, the others anywhere."""
+    first, many = combined(keys)
+    own = first == np.arange(len(first))
+    state = np.where(~own, _DONE, np.where(many > 1, _TWICE, _OPEN)).astype(np.uint8)
+    key = np.where(own, keys[0], mix(doc.view(np.uint64) + np.arange(len(doc), dtype=np.uint64)))
+    return (key % np.uint64(n_buckets)).astype(np.int64), state
+
+
 _FOUND = {"doc_id": pa.int64(), "lo": pa.int32(), "hi": pa.int32(), "anchor": pa.int64(), "pos": pa.int32()}
 _FOUND_DDL = "doc_id long, lo int, hi int, anchor long, pos int"
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Ranges of contexts that occur twice or more (anchor null), and one of each other context of an anchor."""
-    got = gather(batches, [np.uint64, np.uint64, np.int64, np.int32, np.uint16, np.uint16])
+    got = gather(batches, _ENTRY)
     if got is None:
         return
-    order = np.argsort(got[0], kind="stable")
+    done = got[6] == _DONE
+    if done.any():
+        doc, p, le, ri = (got[c][done] for c in (2, 3, 4, 5))
+        yield batch(_FOUND, doc_id=doc, lo=p - le.astype(np.int32), hi=p + ri.astype(np.int32), anchor=pa.nulls(len(doc), pa.int64()), pos=p)
+    order = np.flatnonzero(~done)
+    order = order[np.argsort(got[0][order], kind="stable")]
     s = got[0][order]
-    twin = np.zeros(len(s), bool)
-    twin[1:] = s[1:] == s[:-1]
-    twin[:-1] |= twin[1:]
+    twin = got[6][order] == _TWICE
+    if len(s):
+        twin[1:] |= s[1:] == s[:-1]
+        twin[:-1] |= s[1:] == s[:-1]
     order = order[twin]
     order = order[np.lexsort((got[1][order], got[0][order]))]
-    h, ctx, doc, pos, left, right = (c[order] for c in got)
+    h, ctx, doc, pos, left, right, state = (c[order] for c in got)
     if not len(h):
         return
     new_ctx = np.r_[True, (ctx[1:] != ctx[:-1]) | (h[1:] != h[:-1])]
     start = np.flatnonzero(new_ctx)
     size = np.diff(np.r_[start, len(h)])
-    several = np.repeat(size > 1, size)
+    several = np.repeat((size > 1) | (np.maximum.reduceat(state, start) == _TWICE), size)
     _, per_anchor = runs(h[start])
     first = start[np.repeat(per_anchor > 1, per_anchor)]
     i = np.concatenate([np.flatnonzero(several), first])
@@ -93,25 +134,71 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch(_FOUND, doc_id=doc[i], lo=p - le, hi=p + ri, anchor=pa.array(h.view(np.int64)[i], mask=~ask), pos=p)
 
 
+def _asked(batches: Iterator[pa.RecordBatch], length: int, hot: bool, size: int = 4096):
+    """The asked contexts of texts, some at a time: anchor, document, place, bytes before and after, and the bytes themselves."""
+    back = length - length // 2
+    for b in batches:
+        at, (lo, hi, anchor, pos, busy) = nested(b, "asked", ["lo", "hi", "anchor", "pos", "hot"])
+        h, busy = np.ascontiguousarray(anchor).astype(np.int64).view(np.uint64), busy.astype(bool)
+        for row, t in texts(b):
+            n = np.diff(at)[row : row + len(t.ids)]
+            doc = np.repeat(np.arange(len(n)), n)
+            every = np.flatnonzero(busy[at[row] : at[row + len(n)]] == hot)
+            for j in range(0, len(every), size):
+                some = every[j : j + size]
+                i, d = at[row] + some, doc[some]
+                left, right = (pos[i] - lo[i]).astype(np.uint16), (hi[i] - pos[i]).astype(np.uint16)
+                wide = np.zeros((len(i), back + length), np.uint8)
+                wholes = (hi[i] - lo[i]).astype(np.int64)
+                to = ranges(np.arange(len(i)) * (back + length) + back - left.astype(np.int64), wholes)
+                wide.ravel()[to] = t.buf[ranges(t.at[d] + lo[i], wholes)] + np.uint8(1)  # UTF-8 has no 0xFF, so 0 is no byte's
+                yield h[i], t.ids[d], pos[i].astype(np.int32), left, right, wide
+
+
 def _contexts(length: int, n_buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in _asked(batches, length, False):
+            yield deal((cols[0] % np.uint64(n_buckets)).astype(np.int64), n_buckets, list(cols))
+
+    return run
+
+
+def _windows(length: int, n_buckets: int):
+    """Each window of a context whose anchor has very many contexts, dealt by a hash of anchor, depth and bytes."""
     back = length - length // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, (lo, hi, anchor, pos) = nested(b, "asked", ["lo", "hi", "anchor", "pos"])
-            for row, t in texts(b):
-                n = np.diff(at)[row : row + len(t.ids)]
-                if not n.sum():
-                    continue
-                i = np.arange(at[row], at[row + len(n)])
-                base = np.repeat(t.at[:-1], n)
-                left, right = (pos[i] - lo[i]).astype(np.uint16), (hi[i] - pos[i]).astype(np.uint16)
-                wide = np.zeros((len(i), back + length), np.uint8)
-                size = (hi[i] - lo[i]).astype(np.int64)
-                to = ranges(np.arange(len(i)) * (back + length) + back - left.astype(np.int64), size)
-                wide.ravel()[to] = t.buf[ranges(base + lo[i], size)] + np.uint8(1)  # UTF-8 has no 0xFF, so 0 is no byte's
-                h = np.ascontiguousarray(anchor[i]).view(np.uint64)
-                yield deal((h % np.uint64(n_buckets)).astype(np.int64), n_buckets, [h, np.repeat(t.ids, n), pos[i].astype(np.int32), left, right, wide])
+        for h, doc, pos, left, right, wide in _asked(batches, length, True, 1024):
+            pw, inv = powers(back + length + 1)
+            s = np.zeros((len(h), back + length + 1), np.uint64)
+            np.cumsum(BYTE[wide] * pw[: back + length], axis=1, out=s[:, 1:])
+            i, j = np.nonzero((np.arange(back + 1) >= back - left.astype(np.int64)[:, None]) & (np.arange(back + 1) + length <= back + right.astype(np.int64)[:, None]))
+            key = mix((s[i, j + length] - s[i, j]) * inv[j] ^ mix(h[i] + j.astype(np.uint64)))
+            bucket, state = _spread([key], doc[i], n_buckets)
+            yield deal(bucket, n_buckets, [key, doc[i], (pos[i] - back + j).astype(np.int32), state])
+
+    return run
+
+
+def _twice(length: int):
+    """The windows that occur twice or more, merged where they are of one document and touch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = gather(batches, [np.uint64, np.int64, np.int32, np.uint8])
+        if got is None:
+            return
+        key, doc, lo, state = got
+        again = state != _OPEN
+        i = np.flatnonzero(state != _DONE)
+        i = i[np.argsort(key[i], kind="stable")]
+        start, size = runs(key[i])
+        again[i] |= np.repeat(size > 1, size)
+        i = np.flatnonzero(again)
+        i = i[np.lexsort((lo[i], doc[i]))]
+        if len(i):
+            opens = np.flatnonzero(np.r_[True, (doc[i][1:] != doc[i][:-1]) | (lo[i][1:] > lo[i][:-1] + length)])
+            last = np.r_[opens[1:] - 1, len(i) - 1]
+            yield batch({"doc_id": pa.int64(), "lo": pa.int32(), "hi": pa.int32()}, doc_id=doc[i][opens], lo=lo[i][opens], hi=lo[i][last] + length)
 
     return run
 
@@ -188,15 +275,20 @@ def _expanded(length: int):
     return run
 
 
-def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """doc_id, lo, hi: byte ranges whose every byte is in a repeated string; they may overlap."""
     docs, n = docs.select("doc_id", "text").filter("doc_id is not null"), parts(docs.sparkSession)
-    met = by_bucket(docs.mapInArrow(_find_anchors(length, n), dealt_schema(6)), n)
+    met = by_bucket(docs.mapInArrow(_find_anchors(length, n), dealt_schema(len(_ENTRY))), n)
     found = cut(met.mapInArrow(_settle, _FOUND_DDL))
-    asked = found.filter("anchor is not null").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "anchor", "pos")).alias("asked"))
-    asked = cut(asked)
-    spread = having_ids(docs, asked).join(asked, "doc_id").mapInArrow(_contexts(length, n), dealt_schema(6))
-    more = by_bucket(spread, n).mapInArrow(_expanded(length), "doc_id long, lo int, hi int")
+    open_ = found.filter("anchor is not null")
+    busy = cut(open_.groupBy("anchor").count().filter(F.col("count") > hot).select("anchor", F.lit(True).alias("hot")))
+    open_ = open_.join(busy, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    asked = cut(open_.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "anchor", "pos", "hot")).alias("asked")))
+    met = having_ids(docs, asked).join(asked, "doc_id")
+    ranges_ddl = "doc_id long, lo int, hi int"
+    more = by_bucket(met.mapInArrow(_contexts(length, n), dealt_schema(6)), n).mapInArrow(_expanded(length), ranges_ddl)
+    if busy.take(1):
+        more = more.unionByName(by_bucket(met.mapInArrow(_windows(length, n), dealt_schema(4)), n).mapInArrow(_twice(length), ranges_ddl))
     return found.filter("anchor is null").select("doc_id", "lo", "hi").unionByName(more)
 
 
