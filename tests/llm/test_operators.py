@@ -220,6 +220,41 @@ def test_substring(docs, rows, length):
     assert got == brute_bytes(rows, length)
 
 
+def test_substring_of_hot_anchors(docs, rows):
+    """Anchors with more contexts than one task takes go by windows; the result is the same."""
+    by = lambda f: {(r.doc_id, r.lo, r.hi) for r in f.collect()}
+    for length in (24, 60):
+        want = brute_bytes(rows, length)
+        for hot in (0, 3):
+            got = collections.defaultdict(list)
+            for i, lo, hi in by(substring.repeats(docs, length, hot)):
+                got[i].append((lo, hi))
+            for i, t in rows:
+                raw = (t or "").encode()
+                mark = bytearray(len(raw))
+                for lo, hi in got[i]:
+                    mark[lo:hi] = b"\1" * (hi - lo)
+                assert sum(mark) == want[i][1]
+
+
+def test_anchors_of_long_texts_in_steps(monkeypatch):
+    """Steps choose the anchors that one pass would."""
+    from lodestone.llm import common
+
+    rng = np.random.default_rng(5)
+    h = common.mix(rng.integers(0, 300, 5000).astype(np.uint64))  # many ties
+    valid = rng.random(5000 - 9) < 0.9
+    whole = common.anchors(h, 10, valid)
+    monkeypatch.setattr(common, "STEP", 64)
+    assert whole.tolist() == common.anchors(h, 10, valid).tolist()
+    buf = rng.integers(97, 123, 9000).astype(np.uint8)
+    buf[rng.integers(0, 9000, 900)] = 32
+    t = common.Texts(np.array([1, 2]), buf, np.array([0, 4000, 9000]))
+    small = common.Words(t).hash
+    monkeypatch.setattr(common, "STEP", 1 << 18)
+    assert small.tolist() == common.Words(t).hash.tolist()
+
+
 def test_interval_expansion_of_a_hot_passage():
     """Many contexts that share a middle of varying width."""
     rng = np.random.default_rng(4)
@@ -247,8 +282,16 @@ def test_debruijn(docs, rows):
         kept = [x for x, m in zip(w, mark) if not m]
         want[i] = (len(w), len(w) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest())
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in debruijn.dedup(docs).collect()} == want
-    spans = debruijn.paths(debruijn.pieces(docs))
-    assert debruijn.verify(spans, docs, 13).count() == 0 and spans.filter("hi - lo >= 60").count() > 0
+    spans = debruijn.paths(debruijn.pieces(docs)).cache()
+    n = spans.count()
+    assert debruijn.verified(spans, docs, 13).count() == n and spans.filter("hi - lo >= 60").count() > 0
+    # a span of other words than its source's doesn't survive
+    wrong = spans.unionByName(spans.filter("lo > 0 and hi - lo >= 60").withColumn("lo", F.col("lo") - 1).withColumn("hi", F.col("hi") - 1))
+    assert wrong.count() > n == debruijn.verified(wrong, docs).count()
+    # each edge is in one piece, and neighbours that run in step through one source are one path
+    edges = debruijn.pieces(docs).select("doc_id", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("e"))
+    assert edges.count() == edges.distinct().count()
+    assert spans.alias("a").join(spans.alias("b"), F.expr("a.doc_id = b.doc_id and a.src_doc = b.src_doc and a.lo - a.src_lo = b.lo - b.src_lo and a.hi - 12 = b.lo")).count() == 0
 
 
 def test_quality_counts(docs, rows):
@@ -352,6 +395,39 @@ def test_pii(spark):
     assert [tuple(r) for r in out] == [(1, "mail [EMAIL], key", 5), (2, None, 6)]
 
 
+def test_pii_is_linear_in_long_texts(spark):
+    """A megabyte without a break, in texts with an address somewhere, takes seconds; so do many thousand spans."""
+    import time
+
+    n = 1_000_000
+    texts = ["a" * n + " x@y.z", "1" * n + " 1.2.3.4 x@y.z", "a.b-c_" * (n // 6) + "@", "x@y.z " * 20_000, '"' + "q" * n, "1.2." * (n // 4), "a1" * (n // 2) + "[at", "+1 (555) 123-4567 " * 10_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    began = time.time()
+    got = {r.doc_id: r for r in pii.digests(df, pii.DEFAULT).collect()}
+    out = {r.doc_id: r.text for r in pii.redact(df, pii.DEFAULT).collect()}
+    assert time.time() - began < 90
+    assert [got[i].n_email for i in range(8)] == [1, 1, 0, 20_000, 0, 0, 0, 0] and got[1].n_ip == 1 and got[7].n_phone == 10_000
+    assert got[5].n_ip == n // 8
+    assert out[0] == "a" * n + " [EMAIL]" and out[3] == "[EMAIL] " * 20_000 and out[7] == "[PHONE] " * 10_000
+
+
+def test_scan_and_segments(spark):
+    rng = random.Random(13)
+    rows = [(i, [rng.randrange(-9, 99) for _ in range(i)]) for i in (0, 1, 2, 3, 10, 57, 100)]
+    df = spark.createDataFrame(rows, "i int, v array<int>")
+    got = {r.i: (r.s, r.m) for r in df.select("i", pii.scan(F.col("v"), lambda a, b: a + b, 0).alias("s"), pii.scan(F.col("v"), lambda a, b: F.greatest(a, b), -50).alias("m")).collect()}
+    assert got == {i: ([sum(v[:k]) for k in range(i)], [max([-50, *v[:k]]) for k in range(i)]) for i, v in rows}
+    text = "".join(rng.choice("aé漢🙂\n") for _ in range(10_000))
+    marks = sorted((a, min(10_000, a + rng.randrange(1, 50)), rng.choice(["x", "y"])) for a in rng.sample(range(10_000), 60)) + [(9_990, 10_000, "z")]
+    df = spark.createDataFrame([(text, sorted(marks))], "t string, m array<struct<start:int,end:int,kind:string>>")
+    want, at = "", 0
+    for a, b, kind in sorted(marks):
+        if a >= at:
+            want += text[at:a] + f"[{kind.upper()}]"
+        at = max(at, b)
+    assert df.select(pii._redacted(F.col("t"), F.col("m"))).first()[0] == want + text[at:]
+
+
 def test_pii_training_with_copies(spark):
     """Copies of a candidate don't change the model, which finds tokens that nothing names."""
     hexed = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
