@@ -20,3 +20,8 @@ QUESTION_KEYS = ("question", "q", "title", "prompt")
 ANSWER_KEYS = ("answer", "a", "response", "body", "text")
 LIST_KEYS = ("faqs", "faq", "questions", "items", "entries")
 SUFFIXES = ("md", "markdown", "txt", "json", "jsonl", "html", "htm", "pdf")
+#: Tags of web pages: whose content is skipped, that are headings, and that begin and end a line.
+HIDDEN_TAGS = ("script", "style", "nav", "footer", "header", "noscript")
+HEAD_TAGS = ("h1", "h2", "h3", "h4")
+LINE_TAGS = ("p", "li", "div", "tr", "br", "section", "article", "dd", "dt")
+LINK_STARTS = ("http://", "https://", "mailto:")
