@@ -86,6 +86,22 @@ def extractive(questions: DataFrame, hits: DataFrame, first: int = 2) -> DataFra
     return questions.select("qid").join(said, "qid", "left").select("qid", F.coalesce("answer", F.lit("")).alias("answer"))
 
 
+def ask(questions: DataFrame, hits: DataFrame, least: float = MIN_EVIDENCE, contact: str = "the office", model: Callable[[list], str] | None = None, past: DataFrame | None = None, version: str = "v1") -> tuple[DataFrame, DataFrame]:
+    """Answers (qid, question, evidence, abstained, answer) of all questions, and their citations, from the hits.
+
+    A question that the gate stops gets the fallback text and no citation; only the others reach the model (the extractive
+    one if none is given).
+    """
+    judged = gate(questions, hits, least)
+    asked = judged.filter("not abstained").select("qid", "question")
+    shown = hits.join(asked.select("qid"), "qid", "left_semi")
+    said = extractive(asked, shown) if model is None else chat(messages(asked, shown, past, version, contact), model)
+    cited = cite(said, shown)
+    final = said.join(cited.select("qid", "text").distinct(), "qid", "left").select("qid", F.coalesce("text", "answer").alias("answer"))
+    answers = judged.join(final, "qid", "left").withColumn("answer", F.when(F.col("abstained"), F.lit(FALLBACK.replace("{contact}", contact))).otherwise(F.coalesce("answer", F.lit(""))))
+    return answers.select("qid", "question", "evidence", "abstained", "answer"), cited
+
+
 def chat(asked: DataFrame, model: Callable[[list], str]) -> DataFrame:
     """qid, answer of a user's model, one call for each row of (qid, messages)."""
     kind = asked.schema["qid"].dataType.simpleString()

@@ -148,5 +148,10 @@ def apply_manifest(chunks: DataFrame, manifest: DataFrame) -> DataFrame:
     return out.withColumns({"title": F.coalesce("_t", "title", F.lit("")), "updated": F.coalesce("_u", "updated", F.lit(""))}).drop("_t", "_u")
 
 
-def describe(chunks: DataFrame) -> DataFrame:
-    return chunks.agg(F.count("*").alias("chunks"), F.countDistinct("source").alias("sources"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"))
+def describe(chunks: DataFrame, embedder: str = "", model: str = "", prompt_version: str = "", indexed_at: str = "") -> DataFrame:
+    """What an index is made of, in one row: chunks, sources, tokens, and who embeds, answers and when it was made."""
+    say = lambda v, name: F.lit(v).alias(name)
+    return chunks.agg(
+        F.count("*").alias("chunks"), F.countDistinct("source").alias("sources"), F.coalesce(F.sum("n_tokens"), F.lit(0)).cast("long").alias("tokens"),
+        say(embedder, "embedder"), say(model, "model"), say(prompt_version, "prompt_version"), say(indexed_at, "indexed_at"),
+    )

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Iterator
 from hashlib import sha256
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.tables import cut
 from .retrieve import postings, search_text, statistics
 
 
@@ -54,9 +58,15 @@ def fingerprint(hashes: DataFrame, settings: str) -> DataFrame:
     return _whole(hashes.select("source", "sha256", _line()), settings, "source", "sha256")
 
 
-def bucketed_fingerprint(hashes: DataFrame, settings: str, buckets: int = 1024) -> DataFrame:
-    """The same purpose for very many files: a digest for each bucket of names, then one over those."""
-    b = hashes.select("source", "sha256", _line(), F.pmod(F.xxhash64("source"), F.lit(buckets)).cast("long").alias("bucket"))
+def bucketed_fingerprint(hashes: DataFrame, settings: str, per_bucket: int = 4096) -> DataFrame:
+    """The same purpose for very many files: a digest for each bucket of names, then one over those in order.
+
+    There are as many buckets as files / per_bucket, so neither a bucket nor the last digest's input holds all files.
+    The bucket is the first 13 hex digits of the name's MD5, modulo the number of buckets.
+    """
+    n = F.broadcast(hashes.agg(F.greatest(F.ceil(F.count("*") / per_bucket), F.lit(1)).alias("buckets")))  # one row
+    place = F.conv(F.substring(F.md5(F.col("source").cast("binary")), 1, 13), 16, 10).cast("long")
+    b = hashes.join(n).select("source", "sha256", _line(), F.pmod(place, F.col("buckets")).alias("bucket"))
     per = _digests(b.repartition(F.col("bucket")).sortWithinPartitions("bucket", "source", "sha256"))
     return _whole(per.select("bucket", F.col("d").alias("line")).withColumnRenamed("bucket", "nth"), settings, "nth")
 
@@ -94,22 +104,70 @@ def reuse_vectors(chunks: DataFrame, changes: DataFrame, old_vectors: DataFrame,
     return kept.unionByName(embed(chunks.join(changes.filter("status = 'added'"), "chunk_id", "left_semi")).select("chunk_id", "vec"))
 
 
-def save(path: str, chunks: DataFrame, vectors: DataFrame, embedder: str, settings: Column | str, indexed_at: str) -> None:
-    """Tables of a snapshot; the manifest is written last and marks it complete."""
-    chunks.write.mode("overwrite").parquet(f"{path}/chunks")
+def save(path: str, chunks: DataFrame, vectors: DataFrame, embedder: str, settings: Column | str, indexed_at: str, files: DataFrame | None = None) -> str:
+    """A snapshot in a folder of its own below path; its manifest is written last, so a broken-off one never counts.
+
+    files (source, sha256) are kept for the next sync.  The name of the snapshot is returned; older ones stay readable.
+    """
     spark = chunks.sparkSession
-    stored = spark.read.parquet(f"{path}/chunks")
-    postings(stored).write.mode("overwrite").parquet(f"{path}/postings")
-    vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+    name = f"snapshot-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    at = f"{path.rstrip('/')}/{name}"
+    chunks.write.parquet(f"{at}/chunks")
+    stored = spark.read.parquet(f"{at}/chunks")
+    postings(stored).write.parquet(f"{at}/postings")
+    vectors.write.parquet(f"{at}/vectors")
+    files = file_hashes(chunks.select("source", F.lit("").alias("text"))).limit(0) if files is None else files
+    files.write.parquet(f"{at}/files")
     settings = F.lit(settings) if isinstance(settings, str) else settings
-    manifest = statistics(stored).select("n", "avgdl", F.lit(embedder).alias("embedder"), settings.alias("settings"), F.lit(indexed_at).alias("indexed_at"))
-    manifest.write.mode("overwrite").parquet(f"{path}/manifest")
+    manifest = statistics(stored).select("n", "avgdl", F.lit(embedder).alias("embedder"), settings.alias("settings"), F.lit(indexed_at).alias("indexed_at"), F.lit(name).alias("snapshot"))
+    manifest.coalesce(1).write.parquet(f"{path.rstrip('/')}/manifests/{name}")
+    return name
+
+
+def newest(spark: SparkSession, path: str) -> Row | None:
+    """The manifest of the newest complete snapshot; None if there is none yet."""
+    try:
+        every = spark.read.option("recursiveFileLookup", "true").parquet(f"{path.rstrip('/')}/manifests")
+    except AnalysisException:  # no snapshot yet
+        return None
+    return every.orderBy(F.desc("snapshot")).first()  # a row a snapshot
 
 
 def load(spark: SparkSession, path: str, embedder: str | None = None) -> dict[str, DataFrame]:
-    """Tables of a complete snapshot; another embedder than the asked one is an error."""
-    manifest = spark.read.parquet(f"{path}/manifest")
-    has = manifest.first().embedder  # one row
-    if embedder is not None and has != embedder:
-        raise ValueError(f"the index was embedded with {has!r}, the question with {embedder!r}")
-    return {"manifest": manifest} | {t: spark.read.parquet(f"{path}/{t}") for t in ("chunks", "postings", "vectors")}
+    """Tables of the newest complete snapshot; another embedder than the asked one is an error."""
+    last = newest(spark, path)
+    if last is None:
+        raise FileNotFoundError(f"{path} has no complete snapshot")
+    if embedder is not None and last.embedder != embedder:
+        raise ValueError(f"the index was embedded with {last.embedder!r}, the question with {embedder!r}")
+    at = f"{path.rstrip('/')}/{last.snapshot}"
+    return {"manifest": spark.createDataFrame([last])} | {t: spark.read.parquet(f"{at}/{t}") for t in ("chunks", "postings", "vectors", "files")}
+
+
+def sync(spark: SparkSession, path: str, files: DataFrame, chunk, embed, embedder: str, settings: str, indexed_at: str, force: bool = False) -> dict:
+    """Brings the index below path up to date with files (source, text): hashes, changed sources, chunks, diff, vectors, snapshot.
+
+    chunk(files) gives chunk_id, okey, source, title, heading, text, ... of some files; embed(chunks) gives chunk_id, vec.
+    Nothing is read further if the hashes and settings are those of the last snapshot (loaded_from_cache).  Otherwise only
+    new and changed sources are chunked, and only added chunks embedded, unless embedder or settings changed or force is set.
+    The report: added, removed, kept, loaded_from_cache, snapshot.
+    """
+    hashes = cut(file_hashes(files))
+    last = newest(spark, path)
+    old = load(spark, path) if last is not None else None
+    same = last is not None and last.embedder == embedder and last.settings == settings and not force
+    if same:
+        moved = hashes.join(old["files"], ["source", "sha256"], "left_anti").limit(1).count() + old["files"].join(hashes, ["source", "sha256"], "left_anti").limit(1).count()
+        if not moved:
+            return {"added": 0, "removed": 0, "kept": last.n, "loaded_from_cache": True, "snapshot": last.snapshot}
+    if same:
+        fresh = changed_sources(old["files"], hashes).select("source")
+        still = old["files"].join(hashes, ["source", "sha256"], "left_semi").select("source")
+        new = cut(old["chunks"].join(still, "source", "left_semi").unionByName(chunk(files.join(fresh, "source", "left_semi")), allowMissingColumns=True))
+    else:
+        new = cut(chunk(files))
+    changes = cut(diff(old["chunks"], new) if same else diff(new.limit(0), new, False))
+    vectors = reuse_vectors(new, changes, old["vectors"], embed) if same else embed(new).select("chunk_id", "vec")
+    counts = report(changes).first()
+    name = save(path, new, cut(vectors), embedder, settings, indexed_at, hashes)
+    return {"added": counts.added, "removed": counts.removed, "kept": counts.kept, "loaded_from_cache": False, "snapshot": name}

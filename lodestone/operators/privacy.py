@@ -16,10 +16,28 @@ def log_records(answers: DataFrame) -> DataFrame:
     return answers.select("ts", X.redact(F.col("question")).alias("question"), "abstained", "cited_chunks", "model", "prompt_version", "mode")
 
 
+def append_log(answers: DataFrame, path: str, enabled: bool) -> bool:
+    """Appends redacted records below path, only if logging was chosen; whether it was."""
+    if enabled:
+        log_records(answers).write.mode("append").parquet(path)
+    return enabled
+
+
+def purge_counts(log: DataFrame, now: str, days: int, ts: str = "ts") -> DataFrame:
+    """kept, dropped in one row: what purge keeps and drops, unreadable times among the dropped."""
+    fresh = _fresh(now, days, ts)
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0).cast("long"))
+    return log.agg(n(fresh).alias("kept"), n(~fresh).alias("dropped"))
+
+
+def _fresh(now: str, days: int, ts: str) -> Column:
+    at = F.try_to_timestamp(F.col(ts).cast("string"))
+    return F.coalesce(at >= F.to_timestamp(F.lit(now)) - F.expr(f"interval {int(days)} days"), F.lit(False))
+
+
 def purge(log: DataFrame, now: str, days: int, ts: str = "ts") -> DataFrame:
     """Records not older than days, at the time now; those without a readable time go too. Times without zone are UTC."""
-    at = F.try_to_timestamp(F.col(ts).cast("string"))
-    return log.filter(F.coalesce(at >= F.to_timestamp(F.lit(now)) - F.expr(f"interval {int(days)} days"), F.lit(False)))
+    return log.filter(_fresh(now, days, ts))
 
 
 def allowed(times: list[float], limit: int, window: float, recent: list[float] | None = None) -> tuple[list[bool], list[float]]:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators.index import sync
 from ..operators.privacy import allowed
 
 
@@ -44,3 +45,20 @@ def redacted_log_stream(questions: DataFrame) -> DataFrame:
 def sync_stream(arrivals: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):
     """Calls apply(rows, batch id) for each micro-batch; chunk ids are content hashes, so a repeated batch changes nothing."""
     return arrivals.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def index_arrivals(spark: SparkSession, path: str, chunk, embed, embedder: str, settings: str) -> Callable[[DataFrame, int], None]:
+    """An apply for sync_stream: arrived documents (source, text) replace those of their names in the index below path.
+
+    The texts in the index are kept beside it (one row a source, the latest batch's), so that each batch is a sync against
+    the stored snapshot: only changed sources are chunked and only added chunks embedded.
+    """
+
+    def apply(rows: DataFrame, batch_id: int) -> None:
+        texts = f"{path.rstrip('/')}/texts"
+        rows.groupBy("source").agg(F.max("text").alias("text")).write.mode("overwrite").parquet(f"{texts}/batch={batch_id}")  # a repeated batch overwrites itself
+        every = spark.read.option("basePath", texts).parquet(texts)
+        latest = every.groupBy("source").agg(F.max_by("text", "batch").alias("text"))
+        sync(spark, path, latest, chunk, embed, embedder, settings, f"batch {batch_id}")
+
+    return apply
