@@ -43,6 +43,35 @@ def without_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFra
     return docs.join(F.broadcast(buckets), id_bucket(key) == F.col("_b"), "left_anti")
 
 
+#: A key is hot if it holds more than 1 / HOT_SHARE of all rows, so there are fewer than HOT_SHARE hot keys, whatever the input.
+HOT_SHARE = 4096
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, key: list[str], total: int | None = None) -> DataFrame:
+    """rows joined with groups, which have one row a key and its number of rows, n.
+
+    Groups of hot keys (fewer than HOT_SHARE rows, without texts) are broadcast, so that their rows stay where they are;
+    the others meet by a shuffle in which no key has more than 1 / HOT_SHARE of the rows.
+    """
+    total = (groups.agg(F.sum("n")).first()[0] or 0) if total is None else total
+    hot = F.col("n") * HOT_SHARE > total
+    big = F.broadcast(groups.filter(hot))
+    rest = rows.join(F.broadcast(groups.filter(hot).select(*key)), key, "left_anti")
+    return rows.join(big, key).unionByName(rest.join(groups.filter(~hot), key))
+
+
+def salted(pairs: DataFrame, key: str, other: str, rows: DataFrame) -> DataFrame:
+    """pairs joined with rows (one row a key): a hot key's pairs are dealt over several tasks, its row goes to each of them."""
+    counts = pairs.groupBy(key).agg(F.count("*").alias("n"))
+    total = F.broadcast(counts.agg(F.sum("n").alias("total")))  # one row
+    hot = counts.join(total).filter(F.col("n") * HOT_SHARE > F.col("total")).select(key, F.ceil(F.col("n") * HOT_SHARE / F.col("total")).alias("ways"))
+    hot = F.broadcast(cut(hot))  # fewer than HOT_SHARE rows, of fewer than 2 * HOT_SHARE ways together
+    ways = F.coalesce("ways", F.lit(1).cast("long"))
+    left = pairs.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64(other), ways)).drop("ways")
+    right = rows.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), ways - 1))).drop("ways")
+    return left.join(right, [key, "salt"]).drop("salt")
+
+
 # ---------------------------------------------------------------- arrays in binary columns
 
 
@@ -252,22 +281,31 @@ def covered(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return start[new], reach[np.r_[np.flatnonzero(new)[1:] - 1, len(reach) - 1]]
 
 
-def anchors(h: np.ndarray, w: int, valid: np.ndarray) -> np.ndarray:
-    """Positions of the least hash of each valid window of w consecutive hashes, the leftmost if there are several.
+def anchor_runs(h: np.ndarray, w: int, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors, and of each the first window that has it and the one after the last.
 
-    The choice depends on a window's content alone, so equal windows have the same anchor at the same place in them.
+    The anchor of a valid window of w consecutive hashes is the place of the least, the leftmost if there are several.  The
+    choice depends on a window's content alone, so equal windows have the same anchor at the same place in them.
     Windows are taken STEP at a time, so working memory doesn't grow with a text.
     """
-    low, out, last = np.uint64((1 << 24) - 1), [], -1
+    low, out = np.uint64((1 << 24) - 1), []
     for lo in range(0, len(h) - w + 1, STEP):
         part = h[lo : lo + STEP + w - 1]
         least = slide_min((part & ~low) | np.arange(len(part), dtype=np.uint64), w)
-        a = np.unique((least[valid[lo : lo + len(least)]] & low).astype(np.int64)) + lo
-        a = a[a > last]  # anchors of successive windows never go back
-        if len(a):
-            out.append(a)
-            last = int(a[-1])
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+        at = np.flatnonzero(valid[lo : lo + len(least)])
+        a = (least[at] & low).astype(np.int64) + lo
+        first, size = runs(a)  # anchors of successive windows never go back
+        if len(first):
+            out.append((a[first], at[first] + lo, at[first + size - 1] + lo + 1))
+    if not out:
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
+    a, u, v = (np.concatenate(c) for c in zip(*out))
+    first, size = runs(a)
+    return a[first], u[first], v[first + size - 1]
+
+
+def anchors(h: np.ndarray, w: int, valid: np.ndarray) -> np.ndarray:
+    return anchor_runs(h, w, valid)[0]
 
 
 def combined(keys: list[np.ndarray], prefer: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -290,6 +328,18 @@ def combined(keys: list[np.ndarray], prefer: np.ndarray | None = None) -> tuple[
     return first, many
 
 
+def one_text_an_id(docs: DataFrame) -> DataFrame:
+    """doc_id, text, where the rows of a doc_id that comes with several texts all have the least of them (null is empty)."""
+    docs, text = docs.select("doc_id", "text"), F.coalesce("text", F.lit(""))
+    several = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64(text)).alias("x"), F.max(F.xxhash64(text)).alias("y"))
+    several = cut(several.filter("x <> y").select("doc_id"))
+    if not several.take(1):
+        return docs
+    rows = docs.join(several, "doc_id", "left_semi")
+    least = rows.groupBy("doc_id").agg(F.min(text).alias("text"))
+    return cut(docs.join(several, "doc_id", "left_anti").unionByName(rows.select("doc_id").join(least, "doc_id")))
+
+
 def with_ranges(docs: DataFrame, found: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:
     """docs (doc_id, text) and ranges array<struct<lo, hi>>: found's rows of that document, null if there are none.
 

@@ -5,31 +5,33 @@ starts in a document with a smaller doc_id.  Counting edges one by one would shu
 instead edges travel in unbranching pieces:
 
 1. The m-word gram of least hash in each window (m = 7) is the window's anchor; consecutive edges of a text with the same
-   anchor are one piece (the words that such edges can reach).  Pieces meet at their anchor, dealt by hash.
+   anchor are one piece.  Pieces meet at their anchor, dealt by hash; equal ones of one stretch of text are settled before.
 2. Equal pieces are one path without a branch: all its edges lie in the same documents, so each document but the
    smallest loses them all.  Pieces whose anchor lies in one document only are done.
 3. Where an anchor has several different pieces the path branches inside them.  The pieces of the smallest document of
    each such path go on, with a hash for each edge, and meet at the anchor again; each edge finds its smallest document.
-4. Found pieces carry their source's coordinates (document and word).  A join with the neighbouring piece that runs in
-   step through the same source compacts them to paths; ``paths`` returns these, and ``verify`` compares long ones with
-   their source word by word.
-
-Defined results: null, blank and texts under 13 words lose nothing; rows that repeat a doc_id count as that document, so
-doc_id must be unique for removal; a row without a doc_id is matched with nothing and keeps its text; other columns are
-ignored; an empty table gives an empty table.
+4. Found pieces carry their source's coordinates (document and word), and each edge is in one piece.  Pieces compact to
+   paths by a join: a piece's first edge meets the edge after another's last, where both run in step through one source;
+   what meets nothing is a path's head or tail, and the next tail after a head ends its path (``paths``).
+5. A long path's words and its source's, at their coordinates, are compared by 128-bit digests; a path whose words differ
+   (a collision of 64-bit hashes) is dropped (``verified``).  What is left is removed.
+
+Defined results: null, blank and texts under 13 words lose nothing; rows that repeat a doc_id count as that document (if
+their texts differ, the least of them stands for all); a row without a doc_id is matched with nothing and keeps its text;
+other columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import sha256
+from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, anchors, batch, by_bucket, covered, cut, deal, dealt_schema, gather, having_ids, mix, nested, parts, ranges, table, texts, with_ranges
+from .common import Words, anchor_runs, batch, by_bucket, combined, covered, cut, deal, dealt_schema, gather, having_ids, mix, nested, one_text_an_id, parts, ranges, salted, table, texts, with_ranges
 
 K = 13
 M = 7
@@ -45,6 +47,10 @@ def _valid(w: Words, k: int) -> np.ndarray:
     return ok
 
 
+_OPEN, _DONE = 0, 1  # an entry that travels, or one of a later document that is settled within its stretch of text
+_ENTRY = [np.uint64, np.uint64, np.int64, np.int32, np.uint8, np.uint8, np.uint8]  # anchor, piece, document, first edge, place of the anchor, edges, state
+
+
 def _find_pieces(k: int, m: int, n_buckets: int):
     reach = k - m
 
@@ -55,15 +61,19 @@ def _find_pieces(k: int, m: int, n_buckets: int):
                 if len(w.start) < k:
                     continue
                 h = w.grams(m)
-                a = anchors(h, reach + 1, _valid(w, k))
+                a, u, v = anchor_runs(h, reach + 1, _valid(w, k))
                 doc = np.searchsorted(w.at, a, "right") - 1
-                lo, hi = np.maximum(w.at[doc], a - reach), np.minimum(w.at[doc + 1], a + k)
-                piece = mix((hi - lo).astype(np.uint64) << np.uint64(8) | (a - lo).astype(np.uint64))
+                piece = mix((v - u).astype(np.uint64) << np.uint64(8) | (a - u).astype(np.uint64))
                 for i in range(k + reach):
-                    at = lo + i
-                    piece = np.where(at < hi, mix(piece ^ w.hash[np.minimum(at, len(w.hash) - 1)]), piece)
-                cols = [h[a], piece, t.ids[doc], (a - w.at[doc]).astype(np.int32), (a - lo).astype(np.uint8), (hi - a).astype(np.uint8)]
-                yield deal((h[a] % np.uint64(n_buckets)).astype(np.int64), n_buckets, cols)
+                    at = u + i
+                    piece = np.where(at < v + k - 1, mix(piece ^ w.hash[np.minimum(at, len(w.hash) - 1)]), piece)
+                ids, first = t.ids[doc], (u - w.at[doc]).astype(np.int32)
+                rep, _ = combined([h[a], piece], ids)
+                done = ids != ids[rep]
+                bucket = (np.where(done, mix(ids.view(np.uint64)), h[a]) % np.uint64(n_buckets)).astype(np.int64)
+                # a settled entry has its source's document and edge in place of the hashes
+                x, y = np.where(done, ids[rep].view(np.uint64), h[a]), np.where(done, first[rep].astype(np.uint64), piece)
+                yield deal(bucket, n_buckets, [x, y, ids, first, (a - u).astype(np.uint8), (v - u).astype(np.uint8), done.astype(np.uint8)])
 
     return run
 
@@ -73,18 +83,23 @@ _FOUND_DDL = "doc_id long, lo int, hi int, src_doc long, src_lo int, anchor long
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces of documents after the first that holds them (anchor null), and the first's where its anchor branches."""
-    got = gather(batches, [np.uint64, np.uint64, np.int64, np.int32, np.uint8, np.uint8])
+    """Pieces of documents after the first that holds them (anchor null), and the first's where its anchor branches; lo, hi are edges."""
+    got = gather(batches, _ENTRY)
     if got is None:
         return
-    order = np.argsort(got[0], kind="stable")
+    i = np.flatnonzero(got[6] == _DONE)
+    if len(i):
+        src, at, doc, lo, n = (got[c][i] for c in (0, 1, 2, 3, 5))
+        yield batch(_FOUND, doc_id=doc, lo=lo, hi=lo + n, src_doc=src.view(np.int64), src_lo=at.astype(np.int32), anchor=pa.nulls(len(i), pa.int64()), pos=lo)
+    order = np.flatnonzero(got[6] == _OPEN)
+    order = order[np.argsort(got[0][order], kind="stable")]
     s = got[0][order]
     twin = np.zeros(len(s), bool)
     twin[1:] = s[1:] == s[:-1]
     twin[:-1] |= twin[1:]
     order = order[twin]
     order = order[np.lexsort((got[3][order], got[2][order], got[1][order], got[0][order]))]
-    h, piece, doc, pos, left, right = (c[order] for c in got)
+    h, piece, doc, lo, left, n, _ = (c[order] for c in got)
     if not len(h):
         return
     new_h = np.r_[True, h[1:] != h[:-1]]
@@ -99,9 +114,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     several = np.repeat(np.minimum.reduceat(doc, h_start) != np.maximum.reduceat(doc, h_start), h_size)
     i = np.concatenate([np.flatnonzero(later), np.flatnonzero(~later & branches & several)])
     ask = np.arange(len(i)) >= later.sum()
-    lo = pos - left.astype(np.int32)
-    hi = pos + right.astype(np.int32)
-    yield batch(_FOUND, doc_id=doc[i], lo=lo[i], hi=hi[i], src_doc=doc[src[i]], src_lo=lo[src[i]], anchor=pa.array(h.view(np.int64)[i], mask=~ask), pos=pos[i])
+    yield batch(_FOUND, doc_id=doc[i], lo=lo[i], hi=(lo + n)[i], src_doc=doc[src[i]], src_lo=lo[src[i]], anchor=pa.array(h.view(np.int64)[i], mask=~ask), pos=(lo + left)[i])
 
 
 def _edges(k: int, m: int, n_buckets: int):
@@ -122,7 +135,7 @@ def _edges(k: int, m: int, n_buckets: int):
                 hashes = np.zeros((len(i), reach + 1), np.uint64)
                 for j in range(reach + 1):
                     first = p - reach + j
-                    ok = (first >= lo[i]) & (first + k <= hi[i])
+                    ok = (first >= lo[i]) & (first < hi[i])
                     hashes[ok, j] = g[(base + first)[ok]] | np.uint64(1)
                 h = np.ascontiguousarray(anchor[i]).view(np.uint64)
                 yield deal((h % np.uint64(n_buckets)).astype(np.int64), n_buckets, [h, np.repeat(t.ids, n), pos[i].astype(np.int32), hashes])
@@ -157,17 +170,16 @@ def _branched(k: int, m: int):
         begins, ends = marked & ~same, marked.copy()
         ends[:, :-1] &= ~same[:, 1:]
         (i, j), (_, e) = np.nonzero(begins), np.nonzero(ends)
-        lo = pos[i] - reach + j
         kinds = {x: _FOUND[x] for x in ("doc_id", "lo", "hi", "src_doc", "src_lo")}
-        yield batch(kinds, doc_id=doc[i], lo=lo, hi=pos[i] - reach + e + k, src_doc=src_doc[i, j], src_lo=src_pos[i, j] - reach + j)
+        yield batch(kinds, doc_id=doc[i], lo=pos[i] - reach + j, hi=pos[i] - reach + e + 1, src_doc=src_doc[i, j], src_lo=src_pos[i, j] - reach + j)
 
     return run
 
 
 def pieces(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
-    """doc_id, lo, hi (words), src_doc, src_lo: windows of a document that an earlier one holds, in pieces that overlap."""
+    """doc_id, lo, hi (edges, by their first word), src_doc, src_lo: edges of a document that an earlier one holds; each is in one piece."""
     docs, n = docs.select("doc_id", "text").filter("doc_id is not null"), parts(docs.sparkSession)
-    met = by_bucket(docs.mapInArrow(_find_pieces(k, m, n), dealt_schema(6)), n)
+    met = by_bucket(docs.mapInArrow(_find_pieces(k, m, n), dealt_schema(len(_ENTRY))), n)
     found = cut(met.mapInArrow(_settle, _FOUND_DDL))
     asked = cut(found.filter("anchor is not null").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "anchor", "pos")).alias("asked")))
     spread = having_ids(docs, asked).join(asked, "doc_id").mapInArrow(_edges(k, m, n), dealt_schema(4))
@@ -177,25 +189,51 @@ def pieces(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
 
 
 def paths(found: DataFrame, k: int = K) -> DataFrame:
-    """Pieces compacted: those of a document that run in step through one source and share k - 1 words or more."""
+    """doc_id, lo, hi (words), src_doc, src_lo of the paths that pieces compact to, by joins of each piece with its neighbour."""
+    line = ["doc_id", "src_doc", "shift"]
     found = found.withColumn("shift", F.col("lo") - F.col("src_lo"))
-    line = Window.partitionBy("doc_id", "src_doc", "shift").orderBy("lo", "hi")
-    reach = F.max("hi").over(line.rowsBetween(Window.unboundedPreceding, -1))
-    opens = found.withColumn("opens", F.when(reach >= F.col("lo") + k - 1, 0).otherwise(1))
-    named = opens.withColumn("path", F.sum("opens").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    out = named.groupBy("doc_id", "src_doc", "shift", "path").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return out.select("doc_id", "lo", "hi", "src_doc", (F.col("lo") - F.col("shift")).alias("src_lo"))
-
-
-def verify(spans: DataFrame, docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """The spans of at least min_words whose words differ from their source's: none, but for a hash collision."""
-    long = spans.filter(F.col("hi") - F.col("lo") >= min_words)
-    words = lambda c: F.regexp_extract_all(c, F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
-    long = long.join(docs.select("doc_id", F.col("text").alias("t")), "doc_id")
-    long = long.join(docs.select(F.col("doc_id").alias("src_doc"), F.col("text").alias("s")), "src_doc")
-    size = F.col("hi") - F.col("lo")
-    same = F.slice(words("t"), F.col("lo") + 1, size) == F.slice(words("s"), F.col("src_lo") + 1, size)
-    return long.filter(~same).select("doc_id", "lo", "hi", "src_doc", "src_lo")
+    starts = found.select(*line, F.col("lo").alias("at"), F.lit(True).alias("starts"))
+    ends = found.select(*line, F.col("hi").alias("at"), F.lit(True).alias("ends"))
+    bare = cut(starts.join(ends, [*line, "at"], "full_outer").filter("starts is null or ends is null").distinct())
+    nth = F.row_number().over(Window.partitionBy(*line).orderBy("at"))
+    heads = bare.filter("ends is null").select(*line, F.col("at").alias("lo"), nth.alias("nth"))
+    tails = bare.filter("starts is null").select(*line, F.col("at").alias("last"), nth.alias("nth"))
+    out = heads.join(tails, [*line, "nth"])
+    return out.select("doc_id", "lo", (F.col("last") + k - 1).alias("hi"), "src_doc", (F.col("lo") - F.col("shift")).alias("src_lo"))
+
+
+RANGES = 4096  # of one document, digested by one row
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = {"at_doc": pa.int64(), "at_lo": pa.int32(), "at_hi": pa.int32(), "digest": pa.binary()}
+    for b in batches:
+        at, (lo, hi) = nested(b, "asked", ["lo", "hi"])
+        for row, t in texts(b):
+            rows = {x: [] for x in kinds}
+            for i, doc_id in enumerate(t.ids.tolist()):
+                words = t.text(i).split()
+                for x, y in zip(lo[at[row + i] : at[row + i + 1]].tolist(), hi[at[row + i] : at[row + i + 1]].tolist()):
+                    for c, v in zip(kinds, (doc_id, x, y, blake2b(b" ".join(words[x:y]), digest_size=16).digest())):
+                        rows[c].append(v)
+            yield batch(kinds, **rows)
+
+
+def verified(spans: DataFrame, docs: DataFrame, min_words: int = 50) -> DataFrame:
+    """The spans without those of at least min_words whose words differ from their source's."""
+    spans = cut(spans)
+    long = spans.filter(F.col("hi") - F.col("lo") >= min_words).withColumn("src_hi", F.col("src_lo") + F.col("hi") - F.col("lo"))
+    ends = long.select("doc_id", "lo", "hi").union(long.select("src_doc", "src_lo", "src_hi")).distinct()
+    # a source of very many copies may have very many ranges: so many as a row takes, each with the text
+    ends = ends.withColumn("part", F.pmod(F.xxhash64("lo", "hi"), F.ceil(F.count("*").over(Window.partitionBy("doc_id")) / RANGES)))
+    asked = cut(ends.groupBy("doc_id", "part").agg(F.collect_list(F.struct("lo", "hi")).alias("asked")).drop("part"))
+    texts_ = having_ids(docs.filter("doc_id is not null"), asked).dropDuplicates(["doc_id"])
+    digest = cut(asked.join(texts_, "doc_id").mapInArrow(_digests, "at_doc long, at_lo int, at_hi int, digest binary"))
+    at = lambda d, lo, hi, name: digest.select(F.struct(F.col("at_doc").alias(d), F.col("at_lo").alias(lo), F.col("at_hi").alias(hi)).alias(f"k{name}"), F.col("digest").alias(name))
+    both = long.withColumn("kx", F.struct("doc_id", "lo", "hi")).join(at("doc_id", "lo", "hi", "x"), "kx")
+    both = salted(cut(both.withColumn("ky", F.struct("src_doc", "src_lo", "src_hi"))), "ky", "doc_id", at("src_doc", "src_lo", "src_hi", "y"))
+    cols = ["doc_id", "lo", "hi", "src_doc", "src_lo"]
+    return spans.filter(F.col("hi") - F.col("lo") < min_words).select(*cols).unionByName(both.filter("x = y").select(*cols))
 
 
 _OUT = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept": pa.string()}
@@ -226,8 +264,9 @@ def _drop_words(digest: bool):
 
 def dedup(docs: DataFrame, k: int = K, m: int = M, digest: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 (digest) or kept: the words that stay, joined by one space."""
-    spans = paths(pieces(docs, k, m), k)
-    out = with_ranges(docs.select("doc_id", "text"), spans)
+    docs = one_text_an_id(docs)
+    spans = verified(paths(pieces(docs, k, m), k), docs)
+    out = with_ranges(docs, spans)
     return out.mapInArrow(_drop_words(digest), "doc_id long, n_words long, n_removed long, " + ("kept_sha256 string" if digest else "kept string"))
 
 

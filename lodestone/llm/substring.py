@@ -22,8 +22,7 @@ All steps are linear in the text or in the contexts that go on; working memory i
 Contexts and hot windows are compared by 64-bit hashes next to the 64-bit hash of their anchor: a false match among m
 different contexts of one anchor has a chance of about m**2 / 2**65.
 Defined results: null and empty texts have no bytes; texts shorter than ``length`` lose nothing; rows that repeat a
-doc_id are matched as documents of their own, but ranges found in one are removed from each row of that id, so doc_id
-should be unique; a row without a doc_id is matched with nothing and keeps its text; other columns are ignored.
+doc_id are matched as documents of their own (if their texts differ, the least of them stands for all); a row without a doc_id is matched with nothing and keeps its text; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE, CHUNK_BYTES, STEP, Texts, anchors, batch, by_bucket, combined, covered, cut, deal, dealt_schema, gather, having_ids, mix, nested, parts, powers, ranges, runs, sums, table, texts, with_ranges
+from .common import BYTE, CHUNK_BYTES, STEP, Texts, anchors, batch, by_bucket, combined, covered, cut, deal, dealt_schema, gather, having_ids, mix, nested, one_text_an_id, parts, powers, ranges, runs, sums, table, texts, with_ranges
 
 LENGTH = 200
 HOT = 1 << 14  # contexts of one anchor that one task expands; beyond it windows are dealt one by one
@@ -316,7 +315,8 @@ def _cut_out(digest: bool):
 
 def dedup(docs: DataFrame, length: int = LENGTH, digest: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 (digest) or kept binary: what is left of each text."""
-    out = with_ranges(docs.select("doc_id", "text"), repeats(docs, length))
+    docs = one_text_an_id(docs)
+    out = with_ranges(docs, repeats(docs, length))
     return out.mapInArrow(_cut_out(digest), "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digest else "kept binary"))
 
 
