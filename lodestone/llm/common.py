@@ -196,6 +196,20 @@ def sums(buf: np.ndarray) -> np.ndarray:
     return s
 
 
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each of buf[start:end], spans in order and apart; so many at a time as fill a step of the text."""
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):  # running sums of a whole long text would be 16 times its size
+        base = int(start[i])
+        j = max(i + 1, int(np.searchsorted(end, base + STEP, "right")))
+        lo, hi = start[i:j] - base, end[i:j] - base
+        s = sums(buf[base : base + int(hi[-1])])
+        out[i:j] = mix((s[hi] - s[lo]) * powers(len(s))[1][lo])
+        i = j
+    return out
+
+
 class Words:
     """The words [^\\x20\\x09-\\x0D]+ of Texts: start, end (bytes), hash, and each document's bounds in them."""
 
@@ -216,15 +230,7 @@ class Words:
         self.end = np.flatnonzero(solid & after) + 1
         self.at = np.searchsorted(self.start, t.at)
         if hashes:
-            self.hash = np.empty(len(self.start), np.uint64)
-            i = 0
-            while i < len(self.start):  # so many words as fill a step; running sums of a whole long text would be 16 times its size
-                base = int(self.start[i])
-                j = max(i + 1, int(np.searchsorted(self.end, base + STEP, "right")))
-                lo, hi = self.start[i:j] - base, self.end[i:j] - base
-                s = sums(buf[base : base + int(hi[-1])])
-                self.hash[i:j] = mix((s[hi] - s[lo]) * powers(len(s))[1][lo])
-                i = j
+            self.hash = span_hashes(buf, self.start, self.end)
 
     @property
     def counts(self) -> np.ndarray:

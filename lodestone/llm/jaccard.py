@@ -22,8 +22,8 @@ Documents link when 100 * |x & y| >= PERCENT * |x | y| for their sets of distinc
 Steps 1 to 5 are linear in rows or in candidate pairs between different clusters; step 6 compares all pairs of a group
 of near copies, a block pair at a time, and no step holds them as rows.  Shingles are 64-bit hashes of all their words.  Defined results: null and blank texts have an empty set, size 0
 and their own id; a row without a doc_id has its set's size, links with nothing and has no component; fewer words than k
-make one shingle; repeated rows of a doc_id repeat with the same component; an
-empty table gives an empty table; other columns are ignored.
+make one shingle; repeated rows of a doc_id repeat with the same component, and if their texts differ the least of them
+stands for all; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,10 +33,10 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Texts, Words, batch, by_bucket, cut, deal, dealt_schema, gather, having_ids, mix, parts, ranges, runs, table, texts
+from .common import Texts, Words, batch, by_bucket, cut, deal, dealt_schema, gather, having_ids, mix, one_text_an_id, parts, ranges, runs, salted, table, texts, with_groups
 
 K = 5
 PERCENT = 75
@@ -136,11 +136,12 @@ def sketch(docs: DataFrame, k: int, bits: int = SKETCH_BITS) -> np.ndarray:
 
 def compare(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """pairs (a, b) and the exact sizes: na, nb, both."""
-    p = pairs.select("a", "b")
+    p = cut(pairs.select("a", "b"))
     ids = p.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     some = having_ids(docs, ids)
-    p = p.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    p = p.join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    # members first: each of them has few pairs; then the texts of leaders, which may have a third of all pairs
+    p = salted(p, "b", "a", some.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")))
+    p = salted(p, "a", "b", some.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")))
     schema = {"a": pa.int64(), "b": pa.int64(), "na": pa.int64(), "nb": pa.int64(), "both": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,8 +172,8 @@ def _distance() -> F.Column:
 def leaders(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """a (leader), b (member), d: verified links of sets to a set that shares AGREE of the KEYS least hashes."""
     keyed = sets.select("doc_id", F.posexplode("keys").alias("i", "key"))
-    first = keyed.groupBy("i", "key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    near = keyed.join(first, ["i", "key"]).filter("a <> doc_id").groupBy("a", F.col("doc_id").alias("b")).agg(F.count("*").alias("m")).filter(F.col("m") >= AGREE)
+    first = cut(keyed.groupBy("i", "key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1"))
+    near = with_groups(keyed, first, ["i", "key"]).filter("a <> doc_id").groupBy("a", F.col("doc_id").alias("b")).agg(F.count("*").alias("m")).filter(F.col("m") >= AGREE)
     one = near.groupBy("b").agg(F.max_by("a", F.struct("m", -F.col("a"))).alias("a"))
     return compare(one, docs, k).filter(_linked(percent)).select("a", "b", _distance().alias("d"))
 
@@ -298,16 +299,17 @@ def _pairs(percent: int):
 def components(edges: DataFrame) -> DataFrame:
     """id, component: the smallest id that is reachable over edges (a, b)."""
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")))
+    label = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m"), F.count("*").alias("n")).select("id", F.least("id", "m").alias("component"), "n"))
+    total = both.count()
     while True:
-        from_next = both.join(label, F.col("b") == F.col("id")).groupBy("a").agg(F.min("component").alias("m"))
-        step = label.join(from_next, F.col("id") == F.col("a"), "left").select("id", F.col("component").alias("old"), F.least("component", "m").alias("c"))
+        from_next = with_groups(both, label.withColumnRenamed("id", "b"), ["b"], total).groupBy("a").agg(F.min("component").alias("m"))
+        step = label.join(from_next, F.col("id") == F.col("a"), "left").select("id", F.col("component").alias("old"), F.least("component", "m").alias("c"), "n")
         up = label.select(F.col("id").alias("c"), F.col("component").alias("jump"))
-        step = cut(step.join(up, "c", "left").select("id", "old", F.least("c", "jump").alias("component")))
+        step = cut(step.join(up, "c", "left").select("id", "old", F.least("c", "jump").alias("component"), "n"))
         changed = step.filter("component <> old").limit(1).count()
-        label = step.select("id", "component")
+        label = step.select("id", "component", "n")
         if not changed:
-            return label
+            return label.select("id", "component")
 
 
 # ---------------------------------------------------------------- 6. numbers of links
@@ -429,11 +431,11 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, bits: int = SKETCH
     n_links is the number of other distinct sets that the document's set links with; without ``links`` it isn't counted.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = one_text_an_id(docs)
     prof = cut(profile(docs, k))
-    filled = prof.filter("n > 0 and doc_id is not null")
-    reps = filled.groupBy("n", "digest").agg(F.min("doc_id").alias("rep"))
-    member = cut(filled.select("doc_id", "n", "digest").join(reps, ["n", "digest"]).select("doc_id", "n", "rep"))
+    filled = prof.filter("n > 0 and doc_id is not null").withColumnRenamed("n", "size")
+    reps = cut(filled.groupBy("size", "digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    member = cut(with_groups(filled.select("doc_id", "size", "digest"), reps, ["size", "digest"]).select("doc_id", F.col("size").alias("n"), "rep"))
     sets = prof.join(member.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
     led = cut(leaders(sets, docs, k, percent))
     load = spark.sparkContext.broadcast(sketch(docs, k, bits))
@@ -462,7 +464,10 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, bits: int = SKETCH
     else:
         degree = comp.select("id", F.lit(None).cast("long").alias("n_links"))
     at = comp.join(degree, "id", "left").withColumnRenamed("id", "rep")
-    linked = member.join(at, "rep", "left").select("doc_id", "n", F.coalesce("component", "rep").alias("component_id"), F.col("rep").alias("rep_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    at = cut(at.join(reps.select("rep", F.col("n").alias("many")), "rep").withColumnRenamed("many", "n"))  # sets that link
+    linked = with_groups(member.withColumnRenamed("n", "size"), at, ["rep"]).select("doc_id", "size", "component", "rep", "n_links")
+    alone = member.join(at, "rep", "left_anti").select("doc_id", F.col("n").alias("size"), F.lit(None).cast("long").alias("component"), "rep", F.lit(0).cast("long").alias("n_links"))
+    linked = linked.unionByName(alone).withColumnRenamed("size", "n").select("doc_id", "n", F.coalesce("component", "rep").alias("component_id"), F.col("rep").alias("rep_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     empty = prof.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("rep_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.unionByName(empty).withColumnRenamed("n", "n_shingles")
 
@@ -470,10 +475,14 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, bits: int = SKETCH
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, all columns, whose document is the smallest id of its component; one row of a doc_id.
 
+    Of several rows of a doc_id the one with the least text stays, of these the one whose columns have the least hash.
     Rows without a doc_id are in no component and all stay.
     """
     keep = join(docs.select("doc_id", "text"), links=False, **options).filter("doc_id = component_id").select("doc_id").distinct()
-    one = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).join(keep, "doc_id", "left_semi")
+    hashed = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    order = Window.partitionBy("doc_id").orderBy(F.coalesce("text", F.lit("")), F.xxhash64(*[F.col(f"`{c}`") for c in hashed]))
+    kept = docs.filter("doc_id is not null").join(keep, "doc_id", "left_semi")
+    one = kept.select(F.struct("*").alias("row"), "doc_id", F.row_number().over(order).alias("nth")).filter("nth = 1").select("row.*")
     return one.unionAll(docs.filter("doc_id is null"))
 
 
