@@ -66,6 +66,23 @@ def test_mixed_documents_are_the_rows_that_mix_takes(odd):
     assert sorted(texts) == sorted(2 * [t for _, t, _, _ in ROWS if t and t.strip()])
 
 
+def test_empty_tables(odd):
+    none, blank = odd.limit(0), quality_classifier.fit([])
+    for out in (bpe.production(none), substring.dedup(none), quality_rules.judge(none, quality_rules.DEFAULT), pii.digests(none, pii.DEFAULT), pii.redact(none, pii.DEFAULT), debruijn.dedup(none), quality_classifier.score(none, blank), jaccard.one_of_each(none)):
+        assert out.collect() == []
+
+
+def test_a_doc_id_with_several_texts_counts_with_the_least(spark):
+    rows = [(7, "b " + LONG), (7, "a " + LONG), (7, None), (8, LONG), (5, "c " + LONG), (5, "d " + LONG)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert by_id(jaccard.join(df), "n_shingles", "component_id") == [[5, 397, 5]] * 2 + [[7, 0, 7]] * 3 + [[8, 396, 5]]
+    assert by_id(jaccard.one_of_each(df), "text") == [[5, "c " + LONG], [7, None]]
+    empty = hashlib.sha256(b"").hexdigest()
+    assert by_id(debruijn.dedup(df), "n_words", "n_removed", "kept_sha256")[2:5] == [[7, 0, 0, empty]] * 3
+    assert [r[:2] for r in by_id(debruijn.dedup(df), "n_removed")][-1] == [8, 400]
+    assert by_id(substring.dedup(df), "n_bytes", "kept_sha256")[2:5] == [[7, 0, empty]] * 3
+
+
 def test_warc_without_page_ids(spark):
     big = "<p>" + "x" * 200
     pages = spark.createDataFrame([(2, "u", big), (None, "v", big), (1, "w", big), (None, None, None), (None, "u", "y" * 150)], "page_id long, url string, html string")

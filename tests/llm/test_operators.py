@@ -137,6 +137,16 @@ def test_bpe_tree(leaf):
             assert ids == enc.encode_ordinary(t) and bpe.decode(ids, enc, leaf) == t.encode()
 
 
+def test_bpe_windows_at_every_seam():
+    """The settled places that windows use are found in order from either end, and long texts without any still join."""
+    text = "ab cd  ef\n\ngh i" * 40 + "x" * 300 + " yz"
+    want = [m.end() for m in bpe._SEAM.finditer(text)]
+    assert list(bpe._settled_before(text)) == [*reversed(want), 0] and list(bpe._settled_after(text)) == [*want, len(text)]
+    enc, size, _ = encoder()
+    for t in ("a" * 5000, "é漢" * 3000, " " * 5000, "0" * 3000 + " " + "-=" * 2000):
+        assert bpe.encode(t, enc, size) == enc.encode_ordinary(t)
+
+
 def test_bpe_documents(docs, rows):
     enc, _, _ = encoder()
     got = {r.doc_id: r for r in bpe.production(docs).collect()}
@@ -173,6 +183,35 @@ def test_ann(spark):
     assert [r.vec_id for r in ann.search(few, few.filter("vec_id = 0").select("vec_id")).orderBy("rank").collect()] and ann.search(few, few.select("vec_id")).count() == 6
 
 
+def test_rank_of_all_from_a_sample():
+    rng = np.random.default_rng(22)
+    every = np.sort(rng.normal(size=(4, 400_000)), axis=1)[:, ::-1]
+    known = np.sort(rng.permuted(every, axis=1)[:, :4000], axis=1)[:, ::-1]
+    for rank in (20_000, 4000, 256, 40):
+        floor = ann.ranked(known, 400_000, rank)
+        above = (every >= floor[:, None]).sum(1)
+        assert (above > 0.5 * rank).all() and (above < 12 * rank).all()
+    assert np.isneginf(ann.ranked(known[:, :10], 10, 256)).all()
+
+
+def test_ann_recall_with_few_kept(spark):
+    """Many more vectors than are kept, without clusters and with a dense one: recall against brute force."""
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(6000, 32))
+    x[1000:3000] = x[0] + 0.25 * rng.normal(size=(2000, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = collections.defaultdict(set)
+    for r in ann.search(df, df.filter("vec_id % 60 = 0").select("vec_id")).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q, found in got.items():
+        s = x.astype(float) @ x[q].astype(float)
+        s[q] = -9
+        hits += len(found & set(np.argsort(-s)[:20].tolist()))
+    assert len(got) == 100 and hits >= 0.9 * 2000
+
+
 def test_mixing(spark, docs):
     rng = random.Random(5)
     rows = [(i, " ".join(["w"] * rng.randrange(0, 40)), rng.choice(["en", "de", None]), "s0" if i % 3 == 0 else f"s{rng.randrange(12)}", i) for i in range(600)]
@@ -194,6 +233,51 @@ def test_mixing(spark, docs):
     assert mixing.mixed_documents(df).columns == df.columns
 
 
+def test_budgets_by_a_water_filling_loop(spark):
+    """Each family is filled by hand: children whose cap is within their share are full and leave, until none does."""
+    rng = random.Random(31)
+    leaves_ = [(f"d{rng.randrange(4)}", rng.choice(["en", "de", "fr", "xx"]), f"s{i}", rng.choice([0, 3, 50, 1000, 20000])) for i in range(60)]
+    weights = {"domain": {"d0": 4.0, "d1": 1.0, "d2": 0.0, "d3": -2.0}, "lang": {"en": 3.0}}
+    df = spark.createDataFrame(leaves_, "domain string, lang string, source string, tokens long")
+    got = {(r.domain, r.lang, r.source): r.budget for r in mixing.budgets(df, 0.5, 2, weights).collect()}
+
+    def fill(path, poured):
+        if len(path) == 3:
+            return {path: poured}
+        under = sorted({x[: len(path) + 1] for x in leaves_ if x[: len(path)] == path})
+        cap = {c: 2 * sum(x[3] for x in leaves_ if x[: len(c)] == c) for c in under}
+        w = {c: max(weights.get(mixing.LEVELS[len(path)], {}).get(c[-1], 1.0), 0.0) for c in under}
+        share, active, left = dict.fromkeys(under, 0), [c for c in under if w[c] > 0], poured
+        while full := [c for c in active if cap[c] <= left * w[c] / sum(w[x] for x in active)]:
+            for c in full:
+                share[c] = cap[c]
+            left -= sum(cap[c] for c in full)
+            active = [c for c in active if c not in full]
+        for c in active:
+            share[c] = min(cap[c], int(left * w[c] / sum(w[x] for x in active)))
+        return {k: v for c in under for k, v in fill(c, share[c]).items()}
+
+    assert got == fill((), int(sum(x[3] for x in leaves_) * 0.5))
+
+
+def test_prefix_of_a_leaf_by_hand(spark):
+    """One leaf, few and many ranges: the same documents as an order by draw and a running sum give."""
+    rows = [(i, " ".join(["w"] * (i % 7)), "en", "s") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    total = sum(i % 7 for i in range(500))
+    plan = mixing.budgets(mixing.leaves(df).groupBy(*mixing.LEVELS).agg(F.sum("tokens").alias("tokens")), 0.4).collect()[0]
+    place = lambda i: int(hashlib.md5(f"{mixing.SEED}:0:{i}".encode()).hexdigest()[:15], 16)
+    want, used = set(), 0
+    for i in sorted(range(500), key=lambda i: (place(i), i)):
+        used += i % 7
+        if used > plan.budget:
+            break
+        want.add(i)
+    slim, per = mixing.leaves(df), spark.createDataFrame([plan])
+    for bits in (1, 4, 8):
+        assert {r.doc_id for r in mixing.chosen(slim, per, bits=bits).collect()} == want and plan.budget == int(total * 0.4)
+
+
 def test_pour_gives_siblings_first(spark):
     n = spark.createDataFrame([("d", "a", 10, 1.0, 100), ("d", "b", 500, 1.0, 100), ("d", "c", 500, 2.0, 100), ("e", "a", 5, 0.0, 50)], "domain string, lang string, cap long, w double, poured long")
     got = {(r.domain, r.lang): r.budget for r in mixing._pour(n, ["domain"]).collect()}
@@ -309,20 +393,71 @@ def test_quality_counts(docs, rows):
     assert {r.doc_id for r in quality_rules.keep(docs, quality_rules.DEFAULT).collect()} == {i for i, r in got.items() if r.kept}
 
 
-def test_viterbi():
+def test_viterbi_and_marginals():
     import itertools
 
     rng = np.random.default_rng(6)
-    model = {"emit": rng.normal(size=(2, 9)).tolist(), "move": rng.normal(size=(2, 2)).tolist(), "start": [0.3, -0.2]}
+    k = len(quality_rules.FEATURES)
+    model = {"emit": rng.normal(size=(2, k)).tolist(), "move": rng.normal(size=(2, 2)).tolist(), "start": [0.3, -0.2]}
     at, xs = [0], []
     for n in (5, 0, 1, 7, 3):
-        xs.append(rng.normal(size=(n, 9)))
+        xs.append(rng.normal(size=(n, k)))
         at.append(at[-1] + n)
     whole = quality_rules.decode_all(np.concatenate(xs), np.array(at), model)
+    p, pair = quality_rules.marginals(np.concatenate(xs) @ np.array(model["emit"]).T, np.array(at), model)
     for i, x in enumerate(xs):
         e = x @ np.array(model["emit"]).T
-        best = max(itertools.product((0, 1), repeat=len(x)), key=lambda y: sum(e[k, c] for k, c in enumerate(y)) + (model["start"][y[0]] if y else 0) + sum(model["move"][a][b] for a, b in zip(y, y[1:])))
+        value = lambda y: sum(e[j, c] for j, c in enumerate(y)) + (model["start"][y[0]] if y else 0) + sum(model["move"][a][b] for a, b in zip(y, y[1:]))  # noqa: E731, B023
+        every = list(itertools.product((0, 1), repeat=len(x)))
+        best = max(every, key=value)
         assert whole[at[i] : at[i + 1]].tolist() == list(best) == quality_rules.viterbi(x, model).tolist()
+        z = sum(np.exp(value(y)) for y in every)
+        for j in range(len(x)):
+            assert p[at[i] + j, 1] == pytest.approx(sum(np.exp(value(y)) for y in every if y[j] == 1) / z)
+            if j:
+                assert pair[at[i] + j, 0, 1] == pytest.approx(sum(np.exp(value(y)) for y in every if (y[j - 1], y[j]) == (0, 1)) / z)
+
+
+def test_line_labels_are_latent():
+    """Good documents with boilerplate at their end and bad ones with a clean line: lines get their own labels."""
+    rng = np.random.default_rng(8)
+    k = len(quality_rules.FEATURES)
+
+    def lines(kinds):
+        x = np.zeros((len(kinds), k))
+        x[:, 0] = 1
+        x[:, 1] = np.where(np.array(kinds) == 1, 0.8, 0.02) + rng.normal(0, 0.02, len(kinds))
+        return x, np.full(len(kinds), 50, np.int32)
+
+    got = []
+    for _ in range(60):
+        got.append((*lines([0] * 8 + [1] * 3), quality_rules.CONTENT))
+        got.append((*lines([1] * 7 + [0]), quality_rules.BOILERPLATE))
+    model = quality_rules.learn(got)
+    assert quality_rules.viterbi(lines([0, 0, 0, 0, 1, 1, 1])[0], model).tolist() == [0, 0, 0, 0, 1, 1, 1]
+    assert quality_rules.viterbi(lines([1, 1, 1, 1, 1, 1, 0])[0], model).tolist()[:6] == [1] * 6
+
+
+def test_quality_verdict_on_documents_that_it_did_not_learn_from(spark):
+    """Half of the labelled documents of the given tables teach, the other half tests."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_rules.train(docs, labels.filter("doc_id % 2 = 0"))
+    assert model["source"] == "fitted"
+    got = quality_rules.judge(docs, model).join(labels.filter("doc_id % 2 = 1"), "doc_id").filter("not base_failed").select("kept", "quality").collect()
+    right = {q: [r.kept == bool(q) for r in got if r.quality == q] for q in (0, 1)}
+    assert len(right[0]) > 10 and len(right[1]) > 100 and all(np.mean(v) >= 0.95 for v in right.values())
+
+
+def test_fitting_sees_lines_beyond_any_prefix(spark):
+    """The lines that tell good from bad stand after a thousand others."""
+    rng = random.Random(19)
+    clean = [text_of(rng, 9) + "." for _ in range(40)]
+    head = [rng.choice(clean) + str(i) for i in range(1000)]
+    rows = [(i, "\n".join(head[:1000] + ([text_of(rng, 9) + "." for _ in range(1500)] if i % 2 else ["### $$$ | | %%%" + str(j) for j in range(1500)]))) for i in range(16)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(16)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in quality_rules.judge(docs, quality_rules.train(docs, labels)).filter("kept").collect()}
+    assert kept == {i for i in range(16) if i % 2}
 
 
 JUNK = ["###", "word*** this&&& that%%%", "a | b | c | d |", "SHOUT!! LOUD!! MORE!!"]
@@ -354,14 +489,27 @@ def test_trained_rules_and_classifier(labelled):
     assert quality_classifier.train(docs, labels.limit(0))["w0"] == 0.0
 
 
+def test_classifier_reads_metadata(spark):
+    """Texts alike, but for what their rows state: n_chars is an input of the machine."""
+    rng = random.Random(29)
+    rows = [(i, text_of(rng, 40), 10 if i % 2 else 9000) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = quality_classifier.score(docs, quality_classifier.train(docs, labels)).filter("held_out").collect()
+    assert np.mean([r.predicted == r.doc_id % 2 for r in got]) > 0.95
+    blank = quality_classifier.fit([])
+    assert {r.score for r in quality_classifier.score(docs.drop("n_chars"), blank).collect()} == {0.5}
+
+
 def test_factorisation_identity():
     rng = np.random.default_rng(9)
     m = 1 << quality_classifier.BITS
-    model = {"w0": 0.5, "w": rng.normal(size=m + 10), "v": rng.normal(size=(m + 10, 3))}
-    col, val, st = np.array([3, 9, 4]), np.array([0.2, 0.5, 0.9]), rng.normal(size=(2, 10))
+    n = len(quality_classifier.STATS)
+    model = {"w0": 0.5, "w": rng.normal(size=m + n), "v": rng.normal(size=(m + n, 3))}
+    col, val, st = np.array([3, 9, 4]), np.array([0.2, 0.5, 0.9]), rng.normal(size=(2, n))
     got = quality_classifier.raw_scores(np.array([0, 2, 3]), col, val, st, model)
     for d, (a, b) in enumerate(((0, 2), (2, 3))):
-        i, x = np.r_[col[a:b], np.arange(m, m + 10)], np.r_[val[a:b], st[d]]
+        i, x = np.r_[col[a:b], np.arange(m, m + n)], np.r_[val[a:b], st[d]]
         pairs = sum(model["v"][i[p]] @ model["v"][i[q]] * x[p] * x[q] for p in range(len(i)) for q in range(p))
         assert got[d] == pytest.approx(0.5 + model["w"][i] @ x + pairs)
 
@@ -465,6 +613,21 @@ def test_boosting_learns_and_compiles(spark):
     assert y[z >= cut].mean() >= pii.PRECISION
 
 
+def test_warc_streams_many_and_large_records():
+    """A member a record or one for all, records larger than a step, cut anywhere."""
+    import zlib
+
+    recs = [warc.record(i, "u", b"\r\n\r\n" * (i * 5000 % 30011), len(b"\r\n\r\n" * (i * 5000 % 30011)), "d", "response", None, None) for i in range(12)]
+    deflate = zlib.compressobj(1, zlib.DEFLATED, 31)
+    whole = deflate.compress(b"".join(recs)) + deflate.flush()
+    apart, index = warc.normal(whole)
+    for step in (7, 1000, 1 << 16):
+        assert list(warc.records(whole, step)) == recs == list(warc.records(apart, step))
+    assert len(index) == 12 and [zlib.decompress(apart[o : o + n], 31) for o, n in index] == recs
+    with pytest.raises(ValueError):
+        list(warc.records(zlib.compress(recs[1][:-9], wbits=31)))
+
+
 def test_warc(spark, tmp_path):
     big = "ü" * 80
     pages = [(1, "http://a/1\r\n", big), (2, None, big), (3, "u", None), (4, "u", "short"), (5, "u", "short"), (6, "u", "\r\n\r\n" + big), (0, "z", big)]
