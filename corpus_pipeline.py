@@ -8,9 +8,13 @@ from lodestone.llm import bpe, jaccard, mixing, pii, quality_rules
 from lodestone.llm.common import cut, table
 
 
+#: Least number of words of the quality stage: a clean text of few words is no reason to drop it.
+MIN_WORDS = 1
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules and the line labels reject go."""
-    return quality_rules.keep(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
+    """Documents that the rules and the line labels reject go; short ones are judged by their lines, not by their length."""
+    return quality_rules.keep(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")), min_words=MIN_WORDS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
