@@ -10,7 +10,8 @@ STOPWORDS = (
     "may me my of on or our should so than that the their them then there these they this to up us was we "
     "what when where which who whom why will with would you your"
 ).split()
-EMAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)+"
+#: A match starts at the first of a run of its characters, or where the last one ended, so that a long run is read once.
+EMAIL = r"(?:\G|(?<![\p{L}\p{N}_.+-]))[\p{L}\p{N}_.+-]++@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)+"
 PHONE = r"(?<![\p{L}\p{N}_])(?:\+?\d[\d\s().-]{7,}\d)(?![\p{L}\p{N}_])"
 LONG_NUMBER = r"\b\d{5,}\b"
 SENTENCE = r"""(?<=[.!?])\s+(?=[A-Z0-9("'])"""

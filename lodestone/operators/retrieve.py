@@ -14,11 +14,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..plans.tables import cut
 
 K1, B = 1.2, 0.75
 CANDIDATES = 20
 TOP_K = 4
 RRF_K = 60
+#: Asked terms that are sent to every task (a few MB); more of them are joined.
+FEW_TERMS = 50_000
+#: Bytes of query vectors that are sent to every task; more of them meet the vectors' blocks by a product of partitions.
+FEW_BYTES = 64 << 20
 MODES = ("bm25", "vector", "hybrid", "hybrid+rerank")
 
 
@@ -31,8 +36,11 @@ def chunk_terms(chunks: DataFrame) -> Column:
     return F.col("terms") if "terms" in chunks.columns else X.search_terms(search_text())
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """term, chunk_id, okey, tf, dl: a chunk's terms are counted where the chunk lies, without a shuffle."""
+def postings(chunks: DataFrame, only: frozenset | None = None) -> DataFrame:
+    """term, chunk_id, okey, tf, dl: a chunk's terms are counted where the chunk lies, without a shuffle.
+
+    only: the terms that are asked for, if they are few; others don't leave the task.
+    """
     chunks = chunks.select("chunk_id", "okey", chunk_terms(chunks).alias("terms"))
     kinds = {n: chunks.schema[n].dataType.simpleString() for n in ("chunk_id", "okey")}
 
@@ -44,6 +52,9 @@ def postings(chunks: DataFrame) -> DataFrame:
             code = np.repeat(np.arange(len(b)), dl) * max(len(words.dictionary), 1) + words.indices.to_numpy(zero_copy_only=False)
             pair, tf = np.unique(code, return_counts=True)
             row, word = np.divmod(pair, max(len(words.dictionary), 1))
+            if only is not None:
+                wanted = np.array([w in only for w in words.dictionary.to_pylist()], bool)[word] if len(word) else np.zeros(0, bool)
+                row, word, tf = row[wanted], word[wanted], tf[wanted]
             at = pa.array(row)
             arrays = [words.dictionary.take(pa.array(word)), b.column("chunk_id").take(at), b.column("okey").take(at), pa.array(tf), pa.array(dl[row])]
             yield pa.RecordBatch.from_arrays(arrays, names=["term", "chunk_id", "okey", "tf", "dl"])
@@ -51,12 +62,6 @@ def postings(chunks: DataFrame) -> DataFrame:
     return chunks.mapInArrow(run, f"term string, chunk_id {kinds['chunk_id']}, okey {kinds['okey']}, tf bigint, dl int")
 
 
-def document_counts(chunks: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, df: in how many chunks each of the asked terms occurs; counts are combined before the shuffle."""
-    once = chunks.select(F.explode(F.array_distinct(chunk_terms(chunks))).alias("term"))
-    return once.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-
-
 def statistics(chunks: DataFrame) -> DataFrame:
     """n, avgdl in one row; chunks without terms count too, an empty corpus has avgdl 1."""
     return chunks.select(F.size(chunk_terms(chunks)).alias("dl")).agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
@@ -73,11 +78,16 @@ def bm25(questions: DataFrame, chunks: DataFrame, k: int = CANDIDATES, k1: float
     A chunk's postings meet the questions that ask for their terms and are summed before anything is shuffled.
     """
     asked = questions.select("qid", F.explode(F.array_distinct(X.search_terms(F.col("question")))).alias("term"))
+    terms = asked.select("term").distinct()
+    some = [r.term for r in terms.limit(FEW_TERMS + 1).collect()]  # bounded
+    found = postings(chunks, frozenset(some) if len(some) <= FEW_TERMS else None)
+    if len(some) > FEW_TERMS:
+        found = found.join(terms, "term", "left_semi")
     stats = F.broadcast(statistics(chunks))  # one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weight = document_counts(chunks, asked.select("term").distinct()).crossJoin(stats).select("term", "avgdl", idf.alias("idf"))
+    weight = found.groupBy("term").agg(F.count("*").alias("df")).crossJoin(stats).select("term", "avgdl", idf.alias("idf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = postings(chunks).join(asked.join(weight, "term"), "term").select("qid", "chunk_id", "okey", part.alias("part"))
+    scored = found.join(asked.join(weight, "term"), "term").select("qid", "chunk_id", "okey", part.alias("part"))
     scored = scored.groupBy("qid", "chunk_id", "okey").agg(F.sum("part").alias("score")).filter("score > 0")
     return _top(scored, k)
 
@@ -96,7 +106,7 @@ def _blocks(rows: DataFrame, names: list[str], size: int) -> DataFrame:
     return rows.select(*names, "vec").mapInArrow(run, f"{kinds}, vecs binary")
 
 
-def vector(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, query_block: int = 1024, block: int = 8192) -> DataFrame:
+def vector(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, query_block: int = 512, block: int = 2048) -> DataFrame:
     """qid, chunk_id, okey, score, rank: exact inner products of queries (qid, vec) with all vectors (chunk_id, okey, vec).
 
     Blocks of queries meet blocks of vectors; each two keep the best k a query, so queries x vectors is never a table.
@@ -118,7 +128,9 @@ def vector(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, query_bl
                 arrays = [pa.array(v.tolist(), b.column(c).type.value_type) for c, v in cols.items()]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.take_along_axis(s, best, 1).ravel())], names=[*cols, "score"])
 
-    met = c.crossJoin(q.select("qid", F.col("vecs").alias("q_vecs")))  # a row for each two blocks
+    q = cut(q.select("qid", F.col("vecs").alias("q_vecs")))
+    size = q.agg(F.coalesce(F.sum(F.length("q_vecs")), F.lit(0))).first()[0]
+    met = c.crossJoin(F.broadcast(q) if size <= FEW_BYTES else q)  # a row for each two blocks
     return _top(met.mapInArrow(run, schema), k)
 
 

@@ -17,11 +17,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
     Larger tables, and those of several files, are read as Spark splits them, without this shuffle.
     """
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    path = f"{folder}/{name}.parquet"
+    df = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    if cores > 1 and (1 << 20) < size < SPLIT_BYTES and len(df.inputFiles()) == 1:
-        return df.repartition(cores, df.columns[0])
+    if cores > 1 and len(df.inputFiles()) == 1:
+        size = spark.read.format("binaryFile").load(df.inputFiles()[0]).select("length").first().length  # the file isn't read for it
+        if (1 << 18) < size < SPLIT_BYTES:
+            return df.repartition(cores, df.columns[0])
     return df
 
 

@@ -50,10 +50,15 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
 
 
+def lexicon(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks with their terms, written once."""
+    c = corpus(spark, d)
+    return cut(c.withColumn("terms", S.chunk_terms(c)))
+
+
 def index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Chunks with their terms, and their vectors: tables that are written once and searched many times."""
-    c = corpus(spark, d)
-    c = cut(c.withColumn("terms", S.chunk_terms(c)))
+    c = lexicon(spark, d)
     return c, cut(E.hashing(c, ["chunk_id", "okey"], "terms"))
 
 
@@ -67,13 +72,13 @@ def gold(spark: SparkSession, d: str) -> DataFrame:
     """Answerable are the items whose text some document contains; those documents are the targets."""
     b, docs = _t(spark, d, "benchmark"), _t(spark, d, "documents")
     source = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
-    # an equi-join on a passage's first six words keeps the containment test off most pairs
+    # an equi-join on a hash of a passage's first six whole words keeps the containment test off most pairs
     words = lambda c: F.regexp_extract_all(c, F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
-    heads = b.select("item_id", F.col("text").alias("passage"), F.array_join(F.slice(words(F.col("text")), 2, 6), " ").alias("g"))
+    heads = b.select("item_id", F.col("text").alias("passage"), F.xxhash64(F.slice(words(F.col("text")), 2, 6)).alias("g"))
     w = docs.select("doc_id", source.alias("source"), "text", words(F.col("text")).alias("w")).filter("size(w) >= 6")
-    grams = w.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 5), lambda i: F.array_join(F.slice("w", i, 6), " ")))).alias("g"))
-    near = grams.join(heads.select("item_id", "g"), "g").select("doc_id", "item_id").distinct()
-    hit = near.join(w.select("doc_id", "source", "text"), "doc_id").join(heads.select("item_id", "passage"), "item_id").filter(F.contains("text", "passage"))
+    grams = w.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 5), lambda i: F.xxhash64(F.slice("w", i, 6))))).alias("g"))
+    near = cut(grams.join(heads.select("item_id", "g"), "g").select("doc_id", "item_id").distinct())
+    hit = docs.select("doc_id", source.alias("source"), "text").join(near, "doc_id").join(heads.select("item_id", "passage"), "item_id").filter(F.contains("text", "passage"))
     rel = hit.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("source", F.lit("").alias("heading")))).alias("relevant"))
     none = F.array().cast("array<struct<source:string,heading:string>>")
     out = b.select("item_id").join(rel, "item_id", "left")
@@ -139,8 +144,8 @@ def token_count(spark, d):
 
 @register(f"SELECT term, count(*) AS uses, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({terms_sql('text')}) AS term FROM documents) GROUP BY term")
 def search_terms(spark, d):
-    t = _t(spark, d, "documents").select("doc_id", F.explode(X.search_terms(F.col("text"))).alias("term"))
-    return t.groupBy("doc_id", "term").agg(F.count("*").alias("n")).groupBy("term").agg(F.sum("n").alias("uses"), F.count("*").alias("docs"))
+    t = _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.lit("").alias("okey"), X.search_terms(F.col("text")).alias("terms"))
+    return S.postings(t).groupBy("term").agg(F.sum("tf").alias("uses"), F.count("*").alias("docs"))
 
 
 @register(r"""SELECT turn_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')) AS tidied
@@ -322,7 +327,7 @@ def extractive_answer(spark, d):
 u AS (SELECT qid, unnest(CASE WHEN n >= 2 THEN [2, 1] ELSE [1] END) AS marker, CASE WHEN n >= 2 THEN 'See [2, 1] and.' ELSE 'See [1] and.' END AS text FROM n)
 SELECT u.qid, u.text, CAST(u.marker AS INTEGER) AS marker, l.chunk_id, c.source FROM u JOIN lexical l ON l.qid = u.qid AND l.rank = u.marker JOIN corpus c USING (chunk_id)""")
 def citation_repair(spark, d):
-    q, c = questions(spark, d), corpus(spark, d)
+    q, c = questions(spark, d), lexicon(spark, d)
     hits = S.bm25(q, c, 4).join(c.select("chunk_id", "source", "heading", "text"), "chunk_id")
     answers = q.select("qid", F.lit("See [2, 99,1] and [77] [99999999999].").alias("answer"))
     return A.cite(answers, hits).select("qid", "text", "marker", "chunk_id", "source")
@@ -336,7 +341,7 @@ def snippets(spark, d):
 @register(f"""WITH {BM25_SQL}, p AS (SELECT qid, string_agg('<passage id="' || rank || '" source="' || c.source || '" section="">' || chr(10) || text || chr(10) || '</passage>', chr(10) ORDER BY rank) AS ps FROM lexical JOIN corpus c USING (chunk_id) WHERE rank <= 4 GROUP BY qid)
 SELECT item_id AS qid, 'system,user' AS roles, md5('<question>' || text || '</question>' || chr(10) || chr(10) || '<passages>' || chr(10) || coalesce(ps, '') || chr(10) || '</passages>' || chr(10) || chr(10) || 'Answer from these passages only and cite them by id, like [1].') AS user_md5 FROM benchmark LEFT JOIN p ON qid = item_id""")
 def prompt_messages(spark, d):
-    q, c = questions(spark, d), corpus(spark, d)
+    q, c = questions(spark, d), lexicon(spark, d)
     hits = S.bm25(q, c, 4).join(c.select("chunk_id", "source", "heading", "text"), "chunk_id")
     m = A.messages(q, hits).select("qid", "messages")
     return m.select("qid", F.array_join("messages.role", ",").alias("roles"), F.md5(F.element_at("messages.content", -1).cast("binary")).alias("user_md5"))
