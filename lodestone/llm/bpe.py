@@ -1,11 +1,13 @@
 """Byte-level BPE encoding and decoding as a monoid tree reduction.
 
 A text is halved until a piece is at most ``leaf`` characters; leaves are encoded alone, and neighbours are joined up
-the tree.  A join re-encodes only a window around the seam.  The window grows on each side until it reaches a place
-where white space follows a non-space character: no match of the pre-tokenizer pattern spans such a place (a space can
-only begin a match, and a run of white space holds nothing else), and every match before it is settled by characters
-up to it.  So tokens outside the window are provably those of the whole text, and the join is exact.  If a side has no
-such place the window takes that whole side.  Decoding concatenates the token bytes up the same tree.
+the tree.  A join re-encodes only a window around the seam.  A window ends where white space follows a non-space
+character: no match of the pre-tokenizer pattern spans such a place (a space can only begin a match, and a run of white
+space holds nothing else), and every match before it is settled by characters up to it.  So tokens outside are provably
+those of the whole text.  Each window reaches one such place further on either side than the proof needs, and the tokens
+of these margins are held against the ones there were; while they differ, the window grows by a place a side.  If a side
+has no such place the window takes that whole side, so a text without white space costs its length at each level of the
+tree.  Decoding concatenates the token bytes up the same tree.
 
 Defined results: null and empty texts give no tokens and the digests of the empty string; other columns are untouched;
 repeated rows give repeated rows; an empty table gives an empty table.
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import batch, table
 
-LEAF = 1 << 14
+LEAF = 512
 #: White space that every regex dialect agrees on, after what none calls white space.
 _SEAM = re.compile(r"\S(?=[ \n\r\t])")
 
@@ -44,23 +46,23 @@ def codec(path: str, pattern: str):
     return enc, size, [str(i) for i in range(len(size))]
 
 
-def _left_seam(text: str) -> int:
-    """The last settled place of a text that something will follow; 0 if there is none."""
-    width = 64
-    while True:
-        lo = max(0, len(text) - width)
-        found = [m.end() for m in _SEAM.finditer(text, lo)]
-        if found:
-            return found[-1]
-        if lo == 0:
-            return 0
-        width *= 4
+def _settled_before(text: str) -> Iterator[int]:
+    """The settled places of a text that something will follow, the last first; then 0."""
+    hi, width = len(text), 64
+    while hi:
+        lo = max(0, hi - width)
+        # a place at hi was given before, one at lo needs the character before it
+        for m in reversed([m for m in _SEAM.finditer(text, max(0, lo - 1), min(len(text), hi + 1)) if lo < m.end() < (hi if hi < len(text) else hi + 1)]):
+            yield m.end()
+        hi, width = lo + 1 if lo else 0, 4 * width
+    yield 0
 
 
-def _right_seam(text: str) -> int:
-    """The first settled place of a text that something precedes; its length if there is none."""
-    m = _SEAM.search(text)
-    return m.end() if m else len(text)
+def _settled_after(text: str) -> Iterator[int]:
+    """The settled places of a text that something precedes, the first first; then its end."""
+    for m in _SEAM.finditer(text):
+        yield m.end()
+    yield len(text)
 
 
 def _cut_ids(ids: list[int], size: np.ndarray, n_bytes: int, from_end: bool) -> int:
@@ -79,10 +81,16 @@ def join(left: tuple[str, list[int]], right: tuple[str, list[int]], enc, size) -
     (a, x), (b, y) = left, right
     if not a or not b:
         return x or y
-    i, j = _left_seam(a), _right_seam(b)
-    drop_x = _cut_ids(x, size, len(a[i:].encode("utf-8", "replace")), True)
-    drop_y = _cut_ids(y, size, len(b[:j].encode("utf-8", "replace")), False)
-    return x[: len(x) - drop_x] + enc.encode_ordinary(a[i:] + b[:j]) + y[drop_y:]
+    before, after = _settled_before(a), _settled_after(b)
+    i, j = next(before), next(after)
+    while True:
+        u, v = next(before, 0), next(after, len(b))
+        ids = enc.encode_ordinary(a[u:] + b[:v])
+        kept_x, kept_y = len(x) - _cut_ids(x, size, len(a[u:].encode()), True), _cut_ids(y, size, len(b[:v].encode()), False)
+        margin_x, margin_y = x[kept_x : len(x) - _cut_ids(x, size, len(a[i:].encode()), True)], y[_cut_ids(y, size, len(b[:j].encode()), False) : kept_y]
+        if (u, v) == (0, len(b)) or (ids[: len(margin_x)] == margin_x and ids[len(ids) - len(margin_y) :] == margin_y):
+            return x[:kept_x] + ids + y[kept_y:]
+        i, j = u, v
 
 
 def encode(text: str, enc, size, leaf: int = LEAF) -> list[int]:
