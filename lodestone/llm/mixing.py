@@ -7,9 +7,9 @@ its parent's siblings, because a subtree never gets more than it can give.  The
 over running sums (``_pour``), so a level is one window over the few rows of the tree.
 
 A leaf with a budget takes whole epochs first and then the longest prefix within the budget of one more epoch, in an
-order seeded by (seed, epoch, document).  A leaf may hold a third of all rows, so the prefix is found in two steps: token
-sums of 2**BITS hash ranges a leaf, running sums over those, and a window over single rows only inside the range in
-which the budget ends.  Everything is DataFrame functions; there is no Python on the executors.
+order seeded by (seed, epoch, document).  A leaf may hold a third of all rows, so the prefix is found in steps: token
+sums of 2**BITS hash ranges a leaf, running sums over those, then the same within the range in which the budget ends
+(``DEPTH`` times), and a window over single rows only inside the last one, 2**-(BITS * DEPTH) of a leaf.  Everything is DataFrame functions; there is no Python on the executors.
 
 Defined results: null languages or sources are the leaf ''; a document without words has no tokens and comes with its
 place in the order; rows that repeat a doc_id, or have none, share its place and are ordered by tokens; an empty table gives no rows;
@@ -27,6 +27,7 @@ SEED = 17
 FRACTION = 0.6
 MAX_EPOCHS = 2
 BITS = 8
+DEPTH = 2
 LEVELS = ("domain", "lang", "source")
 #: Target weights of the four domain classes and the languages; sources weigh the same within a language.
 WEIGHTS = {"domain": {"d0": 4.0, "d1": 3.0, "d2": 2.0, "d3": 1.0}, "lang": {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 1.0}}
@@ -98,17 +99,22 @@ def chosen(slim: DataFrame, plan: DataFrame, seed: int = SEED, bits: int = BITS)
     at_leaf = slim.join(per, leaf)
     full = at_leaf.filter("whole > 0").withColumn("epoch", F.explode(F.expr("sequence(0, whole - 1)")))
     part = at_leaf.filter("rest > 0").withColumn("epoch", F.col("whole"))
-    part = part.withColumn("place", draw(seed, F.col("epoch"), F.col("doc_id"))).withColumn("span", F.shiftright("place", 60 - bits))
-    sums = part.groupBy(*leaf, "span", "rest").agg(F.sum("tokens").alias("in_span"))
-    upto = Window.partitionBy(*leaf).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("in_span").over(upto), F.lit(0))).filter("before <= rest")
-    part = part.join(sums.select(*leaf, "span", "before", "in_span"), [*leaf, "span"])
-    inside = part.filter("before + in_span <= rest")
-    edge = part.filter("before + in_span > rest")
-    run = Window.partitionBy(*leaf, "span").orderBy("place", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = edge.withColumn("upto", F.col("before") + F.sum("tokens").over(run)).filter("upto <= rest")
+    part = part.withColumn("place", draw(seed, F.col("epoch"), F.col("doc_id")))
     cols = ["doc_id", *leaf, "tokens", "epoch"]
-    return full.select(*cols).unionByName(inside.select(*cols)).unionByName(edge.select(*cols))
+    done = full.select(*cols)
+    part = part.withColumn("start", F.lit(0).cast("long"))
+    for depth in range(1, DEPTH + 1):
+        span = F.shiftright("place", 60 - depth * bits)
+        sums = part.groupBy(*leaf, span.alias("span"), "rest", "start").agg(F.sum("tokens").alias("in_span"))
+        upto = Window.partitionBy(*leaf).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.withColumn("before", F.col("start") + F.coalesce(F.sum("in_span").over(upto), F.lit(0))).filter("before <= rest")
+        # a leaf's ranges that end within its budget, and the one in which the budget ends
+        met = part.drop("start").withColumn("span", span).join(sums.select(*leaf, "span", "before", "in_span"), [*leaf, "span"])
+        done = done.unionByName(met.filter("before + in_span <= rest").select(*cols))
+        part = cut(met.filter("before + in_span > rest").withColumnRenamed("before", "start").drop("span", "in_span"))
+    run = Window.partitionBy(*leaf).orderBy("place", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edge = part.withColumn("upto", F.col("start") + F.sum("tokens").over(run)).filter("upto <= rest")
+    return done.unionByName(edge.select(*cols))
 
 
 def mix(docs: DataFrame, seed: int = SEED, fraction: float = FRACTION, max_epochs: int = MAX_EPOCHS, weights: dict | None = None) -> DataFrame:
