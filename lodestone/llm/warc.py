@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch, cut, table
+from .common import HOT_SHARE, batch, cut, table
 
 MIN_BYTES = 100
 ARCHIVE_BYTES = 8 << 20
@@ -36,14 +36,23 @@ LEVEL = 3
 def with_roles(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """page_id, url, payload binary, payload_bytes, payload_digest, record_type, refers_to, first_url.
 
-    The first page of each digest is found by a grouped minimum (partial sums first, so a payload that a third of all
-    pages share is one row a task); only digests of two pages or more are joined back, without payloads being sorted.
+    The first page of each digest is found by a grouped minimum over ids and digests (partial sums first, so a payload that
+    a third of all pages share is one row a task).  The few hot digests are sent to the pages (fewer than HOT_SHARE rows);
+    the others are joined, by Spark's choice: sent too while they are small, else by a shuffle that hot ones don't skew.
     """
     p = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     p = p.withColumn("payload_bytes", F.length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
-    first = p.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest")
-    first = first.agg(F.min_by("url", "page_id").alias("first_url"), F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    out = p.join(first, "payload_digest", "left")
+    slim = p.filter(F.col("payload_bytes") >= min_bytes).select("page_id", "url", "payload_digest")
+    first = slim.groupBy("payload_digest").agg(F.min_by("url", "page_id").alias("first_url"), F.min("page_id").alias("first_id"), F.count("*").alias("n"))
+    first = cut(first.filter("n > 1"))
+    total = first.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT_SHARE > total
+    named = lambda df, x: df.select(F.col("payload_digest").alias(f"key_{x}"), F.col("first_url").alias(f"url_{x}"), F.col("first_id").alias(f"id_{x}"))
+    out = p.join(F.broadcast(named(first.filter(hot), "hot")), F.col("payload_digest") == F.col("key_hot"), "left")
+    # a page of a hot digest meets nothing more: a key of its own keeps it from one task
+    key = F.when(F.col("key_hot").isNull(), F.col("payload_digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
+    out = out.withColumn("key", key).join(named(first.filter(~hot), "rest"), F.col("key") == F.col("key_rest"), "left")
+    out = out.withColumns({"first_id": F.coalesce("id_hot", "id_rest"), "first_url": F.when(F.col("key_hot").isNotNull(), F.col("url_hot")).otherwise(F.col("url_rest"))})
     again = F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id"))
     return out.select(
         "page_id", "url", F.when(~again, F.col("payload")).alias("payload"), "payload_bytes", "payload_digest",
@@ -110,31 +119,44 @@ def write(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, level: int = LEV
     return pages.mapInArrow(run, "archive string, raw binary")
 
 
-def records(raw: bytes, step: int = 1 << 16) -> Iterator[bytes]:
-    """The records of a gzip file of one or many members, inflated once as a stream."""
-    buf, data, inflate = b"", memoryview(raw), zlib.decompressobj(31)
-    at = 0
-    while at < len(data) or buf:
-        end = buf.find(b"\r\n\r\n")
-        if end >= 0:
-            size = next(int(x[15:]) for x in buf[:end].split(b"\r\n") if x.lower().startswith(b"content-length:"))
-            whole = end + 4 + size + 4
-            if len(buf) >= whole:
-                yield buf[:whole]
-                buf = buf[whole:]
-                continue
-        if at >= len(data):
-            raise ValueError("the archive ends inside a record")
-        piece = bytes(data[at : at + step])
-        at += len(piece)
-        more = [inflate.decompress(piece)]
-        while inflate.eof and inflate.unused_data:
+def inflated(raw: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """What a gzip file of one or many members holds, piece by piece; each byte of it is inflated once."""
+    data, inflate = memoryview(raw), zlib.decompressobj(31)
+    for at in range(0, len(data), step):
+        piece = data[at : at + step]
+        while len(piece):
+            if inflate.eof:
+                inflate = zlib.decompressobj(31)
+            yield inflate.decompress(piece)
             piece = inflate.unused_data
-            inflate = zlib.decompressobj(31)
-            more.append(inflate.decompress(piece))
-        if inflate.eof:
-            inflate = zlib.decompressobj(31)
-        buf += b"".join(more)
+
+
+def records(raw: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """The records of a gzip file of one or many members, inflated once as a stream.
+
+    Bytes are added at the end of one buffer and taken from its front; a header is looked for from where the last look ended.
+    """
+    buf, start, seen, need = bytearray(), 0, 0, None
+    for piece in inflated(raw, step):
+        buf += piece
+        while True:
+            if need is None:
+                end = buf.find(b"\r\n\r\n", max(start, seen - 3))
+                seen = len(buf)
+                if end < 0:
+                    break
+                size = next(int(x[15:]) for x in bytes(buf[start:end]).split(b"\r\n") if x.lower().startswith(b"content-length:"))
+                need = end + 4 + size + 4 - start
+            if len(buf) - start < need:
+                break
+            yield bytes(buf[start : start + need])
+            start, need = start + need, None
+            seen = start
+        if start > step:
+            del buf[:start]
+            start, seen = 0, seen - start
+    if need is not None or start < len(buf):
+        raise ValueError("the archive ends inside a record")
 
 
 def normal(raw: bytes, level: int = LEVEL) -> tuple[bytes, list[tuple[int, int]]]:
