@@ -5,13 +5,21 @@ For inner products the error along a vector matters more than that across it, so
 |r|^2 + (eta - 1) (r . x / |x|)^2, eta = (d - 1) T^2 / (1 - T^2), by coordinate descent (``quantise``).  Codebooks are
 fitted on at most ``SAMPLE`` vectors, the first by a hash of their id; every vector is indexed.
 
-What is coded is a vector's offset from the nearest of ``COARSE`` centres, brought to unit length (its length is kept), so
-that the codes tell vectors of a dense cluster apart as well as others.
+What is coded is a vector's offset from the nearest of the coarse centres, brought to unit length (its length is kept), so
+that the codes tell vectors of a dense cluster apart as well as others.  There is a centre for every ``CELL`` vectors,
+from ``COARSE[0]`` to ``COARSE[1]`` of them (so that they can be sent to every task).
+
+A query skips the cells of centres that can't matter: its ``k``-th best score among the sample is a lower bound of what its
+k-th neighbour scores, and a cell's best score is at most about q . c + Z s |q|, s being the spread of its offsets along a
+direction.  How much that prunes depends on the data: little if vectors have no clusters, most of it if they do.
 
 A scan adds, for each query, table entries instead of products: one table of 16 x 16 sums for each byte of two codes.
-Queries (in blocks) meet all codes (in blocks) in tasks that keep the best ``KEPT`` a query; these are merged by Spark
-and reranked in double precision on the original vectors, so returned scores are exact.  Equal vectors are indexed once
-and put back at the end with their smallest ids, so copies can't crowd out others.
+Codes and the queries that probe their cell meet by a join on the cell, both in blocks, so a row of the join stands for
+hundreds of queries and codes.  A scan passes on its best ``KEPT`` a query that come near the bound and near what the
+sample says the ``KEPT``-th best of all vectors scores, so that what is passed on doesn't grow with the table; these are cut to the
+best ``KEPT`` a query by a ranked window, whose limit Spark applies before the shuffle as well, and reranked in double
+precision on the original vectors, so returned scores are exact.  Equal vectors are indexed once and put back at the end
+with their smallest ids, so copies can't crowd out others.
 
 Defined results: a vector that is null, zero, of another length than the commonest, or holds null or non-finite
 components takes no part; rows that repeat a vec_id count once, with their least vector; rows without a vec_id are
@@ -21,21 +29,27 @@ dropped; an empty table gives no rows; ties go to the smaller vec_id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch, cut, id_bucket, parts, table  # noqa: F401
+from .common import batch, cut, parts, table
 
 SAMPLE = 20_000
 CENTRES = 16
-COARSE = 128
+FIT = 4096  # of the sample, for the codebooks
+CELL = 256
+COARSE = (64, 4096)
 KEPT = 256
 T = 0.2
-CODE_BLOCK = 8192
-QUERY_BLOCK = 512
+Z = 4.0
+SLACK = 3.0  # standard errors of a coded score that a candidate may fall below the bound
+CODE_BLOCK = 2048
+QUERY_BLOCK = 256
+SALTS = 4  # ways in which the queries of a cell are dealt
 
 
 def sound(rows: DataFrame) -> DataFrame:
@@ -47,9 +61,9 @@ def sound(rows: DataFrame) -> DataFrame:
     return good.join(F.broadcast(size), F.size("embedding") == F.col("_size")).drop("_size")
 
 
-def coarse(x: np.ndarray, rounds: int = 8, seed: int = 3) -> np.ndarray:
-    """Centres of x by k-means."""
-    c = x[np.random.default_rng(seed).permutation(len(x))[:COARSE]].copy()
+def coarse(x: np.ndarray, n: int, rounds: int = 6, seed: int = 3) -> np.ndarray:
+    """Centres of x, at most n, by k-means."""
+    c = x[np.random.default_rng(seed).permutation(len(x))[:n]].copy()
     for _ in range(rounds):
         near = nearest(x, c)
         size = np.bincount(near, minlength=len(c))
@@ -59,7 +73,8 @@ def coarse(x: np.ndarray, rounds: int = 8, seed: int = 3) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return ((c * c).sum(1)[None] - 2 * x @ c.T).argmin(1)
+    half = (c * c).sum(1)[None] / 2
+    return np.concatenate([(half - x[i : i + 2048] @ c.T).argmin(1) for i in range(0, len(x), 2048)]) if len(x) else np.zeros(0, np.int64)
 
 
 def offsets(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,7 +85,7 @@ def offsets(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return near, size, r / np.maximum(size, 1e-30)[:, None]
 
 
-def fit(r: np.ndarray, u: np.ndarray, rounds: int = 8, seed: int = 5) -> np.ndarray:
+def fit(r: np.ndarray, u: np.ndarray, rounds: int = 6, seed: int = 5) -> np.ndarray:
     """Centres, (pairs, 16, 2), that lower the anisotropic loss of r, along the directions u."""
     n, pairs = len(r), r.shape[1] // 2
     rng = np.random.default_rng(seed)
@@ -145,72 +160,140 @@ def _matrix(col: pa.Array, d: int) -> np.ndarray:
     return np.pad(x, ((0, 0), (0, d % 2)))
 
 
-def train(distinct: DataFrame, sample: int = SAMPLE) -> tuple[int, np.ndarray, np.ndarray] | None:
-    """Length of the vectors, coarse centres and codebooks; None without vectors."""
+def train(distinct: DataFrame, sample: int = SAMPLE) -> dict | None:
+    """Length of the vectors (d), coarse centres, the spread of offsets about each, codebooks, the sample itself and the
+    standard error of a coded score; None without vectors.  All of it has a size that the sample and COARSE bound."""
     rows = distinct.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("embedding").toArrow()  # bounded: the sample
     if not rows.num_rows:
         return None
     col = rows.column("embedding").combine_chunks()
     d = len(col[0])
     x = _matrix(col, d)
-    c = coarse(x)
-    return d, c, fit(offsets(x, c)[2], _unit(x))
+    many = distinct.count()
+    centres = coarse(x, min(max(many // CELL, COARSE[0]), COARSE[1]))
+    near, length, r = offsets(x, centres)
+    books = fit(r[:FIT], _unit(x[:FIT]))
+    size = np.bincount(near, minlength=len(centres))
+    of_all = np.sqrt((length**2).mean() / d)  # a centre that few of the sample have takes at least the common spread
+    spread = np.maximum(np.sqrt(np.bincount(near, length**2, len(centres)) / np.maximum(size, 1) / d), of_all * (size < 8))
+    some = x[:1024]
+    codes = quantise(r[:1024], _unit(some), books, eta(d))
+    coded = centres[near[:1024]] + length[:1024, None] * np.concatenate([books[m][codes[:, m]] for m in range(len(books))], axis=1)
+    error = float((some @ (coded - some).T / np.maximum(np.linalg.norm(some, axis=1), 1e-30)[:, None]).std())
+    return {"d": d, "centres": centres, "spread": spread, "books": books, "sample": x.astype(np.float32), "error": error, "n": many}
 
 
-_KIND = {"block": pa.int64(), "ids": pa.binary(), "data": pa.binary()}
+_CODE = {"cell": pa.int32(), "salt": pa.int32(), "id": pa.int64(), "data": pa.binary()}
+_CODE_DDL = "cell int, salt int, id long, data binary"
 
 
-def _blocks(d: int, centres, books, size: int):
-    """Rows of a task in blocks: ids, and float32 vectors or (offset lengths, centres, codes of two to a byte)."""
+def _codes(model):
+    """cell, salt, rep and data (length of the offset, codes of two to a byte) of each vector, for each way of dealing queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
         for b in batches:
-            for lo in range(0, len(b), size):
-                part = b.slice(lo, size)
-                ids, x = part.column("key").to_numpy(zero_copy_only=False).astype(np.int64), _matrix(part.column("embedding"), d)
-                if books is None:
-                    data = [x.astype(np.float32)]
-                else:
-                    near, length, r = offsets(x, centres)
-                    c = quantise(r, _unit(x), books, eta(d))
-                    c = np.pad(c, ((0, 0), (0, c.shape[1] % 2)))
-                    data = [length.astype(np.float32), near.astype(np.uint16), np.ascontiguousarray(c[:, ::2] << np.uint8(4) | c[:, 1::2])]
-                yield batch(_KIND, block=[int(ids[0])], ids=[ids.tobytes()], data=[b"".join(y.tobytes() for y in data)])
+            for lo in range(0, len(b), 4096):
+                part = b.slice(lo, 4096)
+                x = _matrix(part.column("embedding"), m["d"])
+                near, length, r = offsets(x, m["centres"])
+                c = quantise(r, _unit(x), m["books"], eta(m["d"]))
+                c = np.pad(c, ((0, 0), (0, c.shape[1] % 2)))
+                raw = np.concatenate([length.astype(np.float32).view(np.uint8).reshape(-1, 4), c[:, ::2] << np.uint8(4) | c[:, 1::2]], axis=1)
+                data = [r.tobytes() for r in raw]
+                for salt in range(SALTS):
+                    yield batch(_CODE, cell=near.astype(np.int32), salt=np.full(len(x), salt, np.int32), id=part.column("key"), data=data)
 
     return run
 
 
-def _scan(centres: np.ndarray, books: np.ndarray, kept: int):
-    """The best of each query block's queries in each code block, by sums of table entries."""
-    pairs = len(books)
-    cand = pa.list_(pa.struct([("s", pa.float32()), ("r", pa.int64())]))
-    tables = np.zeros((pairs + pairs % 2, CENTRES, 2), np.float32)
-    tables[:pairs] = books
+def ranked(known: np.ndarray, n: int, rank: int, least: int = 20) -> np.ndarray:
+    """About what the rank-th best of n vectors scores, from the scores of a sample of them in falling order.
+
+    The sample's own rank tells it, down to its least-th best; beyond that the tail is carried on as a normal one's, by three
+    quarters of the way, so that rather more than rank vectors score as much than fewer.
+    """
+    m = known.shape[1]
+    at = rank * m / n
+    if at >= least or m < 11 * least:
+        return known[:, min(m - 1, int(max(at, 1)))] if m > rank or at < m else np.full(len(known), -np.inf, np.float32)
+    z = lambda r: NormalDist().inv_cdf(1 - r / m)
+    near, far = known[:, least - 1], known[:, 10 * least - 1]
+    return near + 0.75 * (near - far) * (z(at) - z(least)) / (z(least) - z(10 * least))
+
+
+def _probes(model, k: int, kept: int):
+    """cell, salt, query and data (floor, vector) for each cell that the query's bound doesn't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for b in batches:
+            for lo in range(0, len(b), 512):
+                part = b.slice(lo, 512)
+                x, ids = _matrix(part.column("embedding"), m["d"]), part.column("key").to_numpy(zero_copy_only=False)
+                size = np.linalg.norm(x, axis=1)
+                known = np.sort(x.astype(np.float32) @ m["sample"].T, axis=1)[:, ::-1]
+                bound = known[:, k] if known.shape[1] > k else np.full(len(x), -np.inf, np.float32)  # the query itself may be in the sample, so one more
+                reach = x @ m["centres"].T + Z * size[:, None] * m["spread"][None]
+                i, cell = np.nonzero(reach >= bound[:, None])
+                floor = np.maximum(bound - SLACK * m["error"] * size, ranked(known, m["n"], kept)).astype(np.float32)
+                raw = np.concatenate([floor[:, None], x.astype(np.float32)], axis=1)
+                data = [r.tobytes() for r in raw]
+                yield batch(_CODE, cell=cell.astype(np.int32), salt=(ids[i] // 20 % SALTS).astype(np.int32), id=ids[i], data=[data[j] for j in i])
+
+    return run
+
+
+def _packed(rows: DataFrame, size: int) -> DataFrame:
+    """cell, salt, ids, data: rows of a cell and salt in blocks of at most size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, data = None, [], []
+        kinds = {"cell": pa.int32(), "salt": pa.int32(), "ids": pa.binary(), "data": pa.binary()}
+        block = lambda: batch(kinds, cell=[now[0]], salt=[now[1]], ids=[np.array(ids, np.int64).tobytes()], data=[b"".join(data)])
+        for b in batches:
+            for c, s, i, x in zip(*(b.column(n).to_pylist() for n in ("cell", "salt", "id", "data"))):
+                if (c, s) != now or len(ids) == size:
+                    if ids:
+                        yield block()
+                    now, ids, data = (c, s), [], []
+                ids.append(i)
+                data.append(x)
+        if ids:
+            yield block()
+
+    dealt = rows.repartition(parts(rows.sparkSession), "cell", "salt").sortWithinPartitions("cell", "salt")
+    return dealt.mapInArrow(run, "cell int, salt int, ids binary, data binary")
+
+
+def _scan(model, kept: int):
+    """The best of a block of codes for each query of a block, by sums of table entries; those near the query's bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, books = model.value["centres"], model.value["books"]
+        pairs = len(books)
+        tables = np.zeros((pairs + pairs % 2, CENTRES, 2), np.float32)
+        tables[:pairs] = books
         for b in batches:
-            for q_ids, q, c_ids, c in zip(*(b.column(x) for x in ("q_ids", "q_data", "c_ids", "c_data"))):
+            for cell, q_ids, q, c_ids, c in zip(b.column("cell").to_pylist(), *(b.column(x) for x in ("q_ids", "q_data", "c_ids", "c_data"))):
                 q_ids, c_ids = (np.frombuffer(x.as_buffer(), np.int64) for x in (q_ids, c_ids))
-                q = np.frombuffer(q.as_buffer(), np.float32).reshape(len(q_ids), 2 * pairs)
+                q = np.frombuffer(q.as_buffer(), np.float32).reshape(len(q_ids), -1)
+                floor, q = q[:, 0], q[:, 1:]
+                at_centre = (q @ centres[cell].astype(np.float32))[:, None]
                 if pairs % 2:
                     q = np.pad(q, ((0, 0), (0, 2)))
-                c, n = c.as_buffer(), len(c_ids)
-                length, near = np.frombuffer(c, np.float32, n), np.frombuffer(c, np.uint16, n, 4 * n)
-                codes = np.frombuffer(c, np.uint8, offset=6 * n).reshape(n, -1)
-                at_centre = (centres[:, : 2 * pairs] @ q[:, : 2 * pairs].T).astype(np.float32)
+                raw = np.frombuffer(c.as_buffer(), np.uint8).reshape(len(c_ids), -1)
+                length, codes = np.ascontiguousarray(raw[:, :4]).view(np.float32)[:, 0], raw[:, 4:]
                 score = np.zeros((len(c_ids), len(q_ids)), np.float32)
                 for m in range(codes.shape[1]):
                     hi, lo = tables[2 * m] @ q[:, 4 * m : 4 * m + 2].T, tables[2 * m + 1] @ q[:, 4 * m + 2 : 4 * m + 4].T
                     score += (hi[:, None] + lo[None]).reshape(CENTRES * CENTRES, -1)[codes[:, m]]
-                score *= length[:, None]
-                score += at_centre[near]
-                k = min(kept, len(c_ids))
-                score = np.ascontiguousarray(score.T)
-                best = np.argpartition(-score, k - 1, axis=1)[:, :k] if k < len(c_ids) else np.tile(np.arange(k), (len(q_ids), 1))
-                s = np.take_along_axis(score, best, 1)
-                structs = pa.StructArray.from_arrays([pa.array(s.ravel()), pa.array(-c_ids[best].ravel())], ["s", "r"])
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(q_ids) + 1) * k, pa.int32()), structs)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids), lists.cast(cand)], names=["query_id", "found"])
+                score = np.ascontiguousarray((score * length[:, None]).T) + at_centre
+                if kept < score.shape[1]:
+                    least = np.partition(score, -kept, axis=1)[:, -kept]
+                    floor = np.maximum(floor, least)
+                i, j = np.nonzero(score >= floor[:, None])
+                yield batch({"query_id": pa.int64(), "rep": pa.int64(), "s": pa.float32()}, query_id=q_ids[i], rep=c_ids[j], s=score[i, j])
 
     return run
 
@@ -233,22 +316,19 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, kept: int = KEPT, s
     members = good.withColumn("n", F.row_number().over(same)).filter(F.col("n") <= k + 1)
     members = cut(members.withColumn("rep", F.min("vec_id").over(Window.partitionBy("embedding"))))
     distinct = members.filter("n = 1").select("rep", "embedding")
-    model = train(distinct, sample)
-    if model is None:
+    fitted = train(distinct, sample)
+    if fitted is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    d, centres, books = model
+    model = spark.sparkContext.broadcast(fitted)  # at most the sample, COARSE[1] centres and the codebooks
     asked = cut(good.join(queries.select(F.col("vec_id")).distinct(), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")))
     vec = lambda df, name, col: df.select(F.col(name).alias("key"), F.col(col).alias("embedding"))
-    schema = "block long, ids binary, data binary"
-    codes = vec(distinct, "rep", "embedding").mapInArrow(_blocks(d, centres, books, CODE_BLOCK), schema)
-    codes = cut(codes.coalesce(max(1, parts(spark))))
-    sought = cut(vec(asked, "query_id", "qv").coalesce(max(1, parts(spark) // 8)).mapInArrow(_blocks(d, None, None, QUERY_BLOCK), schema))
-    # every block of queries meets every block of codes: a row for each two blocks, never for two vectors
-    meet = codes.select(F.lit(1).alias("j"), F.col("ids").alias("c_ids"), F.col("data").alias("c_data")).crossJoin(sought.select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data")))
-    scanned = meet.repartition(parts(spark)).mapInArrow(_scan(centres, books, kept), "query_id long, found array<struct<s:float,r:long>>")
-    top = scanned.groupBy("query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("found")), asc=False), 1, kept).alias("found"))
-    top = top.join(asked, "query_id").select("query_id", "qv", F.explode("found").alias("f")).select("query_id", "qv", (-F.col("f.r")).alias("rep"))
-    exact = top.join(distinct, "rep").select("query_id", "qv", "rep", "embedding").mapInArrow(_exact(d), "query_id long, rep long, score double")
+    codes = _packed(vec(distinct, "rep", "embedding").mapInArrow(_codes(model), _CODE_DDL), CODE_BLOCK).withColumnsRenamed({"ids": "c_ids", "data": "c_data"})
+    sought = _packed(vec(asked, "query_id", "qv").mapInArrow(_probes(model, k, kept), _CODE_DDL), QUERY_BLOCK).withColumnsRenamed({"ids": "q_ids", "data": "q_data"})
+    scanned = codes.join(sought, ["cell", "salt"]).select("cell", "q_ids", "q_data", "c_ids", "c_data").mapInArrow(_scan(model, kept), "query_id long, rep long, s float")
+    first = Window.partitionBy("query_id").orderBy(F.desc("s"), "rep")
+    top = cut(scanned.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= kept).select("query_id", "rep"))
+    top = top.join(asked, "query_id")
+    exact = top.join(distinct, "rep").select("query_id", "qv", "rep", "embedding").mapInArrow(_exact(fitted["d"]), "query_id long, rep long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
     near = exact.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).drop("n")
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
