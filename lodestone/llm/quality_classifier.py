@@ -1,7 +1,7 @@
 """Quality classifier: a factorisation machine over hashed words, structure statistics and metadata.
 
 A text's features are the frequencies of its hashed words (``2**BITS`` columns, scaled to unit length), structure
-statistics (``STATS``) and the n_chars of its row's text.  The score is the logistic of
+statistics and metadata (``STATS``): the n_chars that its row states, and how far it is from the text's own length.  The score is the logistic of
 
     w0 + sum_i w_i x_i + 1/2 sum_f [ (sum_i v_if x_i)**2 - sum_i v_if**2 x_i**2 ]
 
@@ -10,7 +10,7 @@ which is linear in the number of words.  It is fitted by AdaGrad on the driver o
 source and doc_id are never inputs of a score.
 
 Defined results: null and empty texts have no words and get the score of their statistics; without both labels in the
-sample every score is 0.5; a document labelled twice counts with its smallest label; repeated rows repeat;
+sample every score is 0.5; a row without n_chars, or a table without that column, counts as stating the text's length; a document labelled twice counts with its smallest label; repeated rows repeat;
 a row without a doc_id is scored like others and is not held out.
 """
 
@@ -28,7 +28,7 @@ from .common import Texts, Words, batch, table, texts
 BITS = 14
 SAMPLE = 4000
 FACTORS = 4
-STATS = ("words", "word_length", "symbols", "capitals", "digits", "stops", "lines", "repeats", "wide", "size")
+STATS = ("words", "word_length", "symbols", "capitals", "digits", "stops", "lines", "repeats", "wide", "size", "n_chars", "misstated")
 
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[[ord(c) for c in "#*$%&|<>!"]] = 1
@@ -39,7 +39,11 @@ _CLASS[0x0A] = 5
 _CLASS[0x80:] = 6
 
 
-def stats(t: Texts, w: Words) -> np.ndarray:
+def stats(t: Texts, w: Words, stated: np.ndarray) -> np.ndarray:
+    """STATS of each text; stated: the n_chars of its row, negative if it states none."""
+    begins = np.concatenate([[0], np.cumsum((t.buf & 0xC0) != 0x80)])
+    chars = begins[t.at[1:]] - begins[t.at[:-1]]
+    stated = np.where(stated < 0, chars, stated)
     n, size = np.maximum(w.counts, 1), np.maximum(np.diff(t.at), 1)
     kinds = _CLASS[t.buf]
     per = []
@@ -53,11 +57,12 @@ def stats(t: Texts, w: Words) -> np.ndarray:
     out = [
         np.log1p(w.counts) / 8, (letters[w.at[1:]] - letters[w.at[:-1]]) / n / 8, 5 * per[0], 2 * per[1], 5 * per[2], 10 * per[3],
         20 * per[4], (same[w.at[1:]] - same[w.at[:-1]]) / n, per[5], np.log1p(np.diff(t.at)) / 10,
+        np.log1p(stated) / 10, np.abs(np.log1p(stated) - np.log1p(chars)),
     ]
     return np.minimum(np.stack(out, axis=1), 4)
 
 
-def features(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def features(t: Texts, stated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct hashed words of each document (their bounds, columns and values) and its statistics."""
     w = Words(t, lower=True)
     col = (w.hash >> np.uint64(64 - BITS)).astype(np.int64)
@@ -67,7 +72,7 @@ def features(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     d = key >> BITS
     at = np.searchsorted(d, np.arange(n + 1))
     norm = np.sqrt(np.bincount(d, count.astype(float) ** 2, n))
-    return at, key & ((1 << BITS) - 1), count / np.maximum(norm[d], 1e-9), stats(t, w)
+    return at, key & ((1 << BITS) - 1), count / np.maximum(norm[d], 1e-9), stats(t, w, stated)
 
 
 def raw_scores(at, col, val, st, model: dict) -> np.ndarray:
@@ -115,6 +120,12 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], factors: int
     return {"w0": w0, "w": w, "v": v}
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text, stated: the n_chars of each row, -1 where there is none."""
+    stated = F.coalesce(F.col("n_chars").try_cast("long"), F.lit(-1).cast("long")) if "n_chars" in docs.columns else F.lit(-1).cast("long")
+    return docs.select("doc_id", "text", F.greatest(stated, F.lit(-1).cast("long")).alias("stated"))
+
+
 def held_out(col: str = "doc_id") -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
@@ -128,14 +139,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            q = b.column("quality").to_pylist()
+            q, stated = b.column("quality").to_pylist(), b.column("stated").to_numpy(zero_copy_only=False)
             for lo, t in texts(b):
-                at, col, val, st = features(t)
+                at, col, val, st = features(t, stated[lo : lo + len(t.ids)])
                 cut = lambda a: [a[at[i] : at[i + 1]].tobytes() for i in range(len(t.ids))]
                 kinds = {"doc_id": pa.int64(), "quality": pa.int32(), "col": pa.binary(), "val": pa.binary(), "st": pa.binary()}
                 yield batch(kinds, doc_id=t.ids, quality=q[lo : lo + len(t.ids)], col=cut(col.astype(np.uint16)), val=cut(val.astype(np.float32)), st=[r.tobytes() for r in st])
 
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").mapInArrow(run, "doc_id long, quality int, col binary, val binary, st binary")
+    rows = _rows(docs).join(chosen, "doc_id").mapInArrow(run, "doc_id long, quality int, col binary, val binary, st binary")
     rows = rows.orderBy("doc_id", "col").limit(sample).collect()  # bounded: the sample's features
     return fit([(np.frombuffer(r.col, np.uint16).astype(np.int64), np.frombuffer(r.val, np.float32).astype(float), np.frombuffer(r.st), r.quality) for r in rows])
 
@@ -149,11 +160,12 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            for _, t in texts(b):
-                z = raw_scores(*features(t), m)
+            stated = b.column("stated").to_numpy(zero_copy_only=False)
+            for lo, t in texts(b):
+                z = raw_scores(*features(t, stated[lo : lo + len(t.ids)]), m)
                 yield batch(schema, doc_id=t.named, score=1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
-    out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    out = _rows(docs).mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
