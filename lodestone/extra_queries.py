@@ -17,7 +17,7 @@ from .operators import privacy as R
 from .operators import retrieve as S
 from .plans.tables import cut, shared_dir
 from .plans.tables import table as _t
-from .queries import _EXTRACT, _GATE, _GOLD_SQL, _REDACT_SQL, BM25_SQL, HYBRID_SQL, NOW, TOKENS_SQL, _versions, corpus, gold, index, lexicon, questions, register, retrieved
+from .queries import _EXTRACT, _GATE, _GOLD_SQL, _REDACT_SQL, BM25_SQL, HYBRID_SQL, NOW, ORACLES, TOKENS_SQL, _versions, corpus, gold, index, lexicon, questions, register, retrieved
 from .sources import loaders as L
 
 # ---------------------------------------------------------------- loading
@@ -62,8 +62,44 @@ def gold_rows(spark, d):
     return L.gold_set(spark, path).select(F.col("qid").cast("long").alias("qid"), "question", "answerable", F.col("relevant")[0]["source"].alias("source"), F.col("relevant")[0]["heading"].alias("heading"))
 
 
+_PAGE_LINES = rf"""h AS (SELECT page_id, url, {_HIDE} AS t FROM pages), p AS (SELECT page_id, url, {_DECODED.format(e="trim(regexp_extract(t, '<title[^>]*>(.*?)</title>', 1, 's'))")} AS title, {_DECODED.format(e=_PLAIN.format(e='t'))} AS b FROM h),
+l AS (SELECT page_id, url, title, list_transform(string_split(b, chr(30)), lambda x: CASE WHEN contains(x, chr(29)) THEN repeat('#', CAST(split_part(x, chr(29), 2) AS INTEGER)) || ' ' ELSE '' END || trim(regexp_replace(split_part(x, chr(29), 1), '\s+', ' ', 'g'))) AS ls FROM p)"""
+#: The pages hold headings of one level only, so a heading's path is its own name.
+ORACLES["html_sections"] = rf"""WITH {_PAGE_LINES}, n AS (SELECT page_id, url, title, unnest(ls) AS line, generate_subscripts(ls, 1) AS no FROM l),
+s AS (SELECT *, regexp_matches(line, '^#{{1,6}}\s+.+') AS head FROM n WHERE line <> '' AND NOT regexp_matches(line, '^#+ $')),
+r AS (SELECT *, count(*) FILTER (head) OVER (PARTITION BY page_id ORDER BY no) AS section FROM s),
+g AS (SELECT page_id, url, any_value(title) AS title, section, max(CASE WHEN head THEN rtrim(regexp_replace(line, '^#+\s+', ''), '# ') END) AS name, string_agg(line, chr(10) || chr(10) ORDER BY no) FILTER (NOT head) AS text FROM r GROUP BY page_id, url, section)
+SELECT page_id || '#' || url AS source, CAST(row_number() OVER (PARTITION BY page_id ORDER BY section) - 1 AS INTEGER) AS section_no, CASE WHEN coalesce(name, '') = '' THEN title ELSE name END AS heading, text, 'section' AS kind FROM g WHERE text IS NOT NULL"""
+
+
 # ---------------------------------------------------------------- chunks, index
 
+_COUNT = r"len(regexp_extract_all({e}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]'))"
+_WORDS = r"string_split(trim(regexp_replace({e}, '\s+', ' ', 'g')), ' ')"
+
+
+def _packed(items: str, budget: int) -> str:
+    """The units of a list of {{t, n, u}} (a piece, its tokens, the units of a piece that is too long alone): pieces joined while
+    they fit; the units of an over-long piece come before the pieces that wait."""
+    empty = "{'t': '', 'n': 0, 'u': CAST([] AS VARCHAR[])}"
+    step = f"""CASE WHEN x.n > {budget} THEN {{'t': a.t, 'n': a.n, 'u': list_concat(a.u, x.u)}}
+        WHEN a.t <> '' AND a.n + x.n > {budget} THEN {{'t': x.t, 'n': x.n, 'u': list_append(a.u, trim(a.t, chr(10) || ' '))}}
+        ELSE {{'t': CASE WHEN a.t = '' THEN x.t ELSE a.t || ' ' || x.t END, 'n': a.n + x.n, 'u': a.u}} END"""
+    return f"list_transform([list_reduce(list_concat([{empty}], {items}), lambda a, x: {step})], lambda r: CASE WHEN r.t = '' THEN r.u ELSE list_append(r.u, trim(r.t, chr(10) || ' ')) END)[1]"
+
+
+_TAIL = f"list_transform([{_WORDS.format(e='a.t')}[-31:]], lambda ws: coalesce(list_filter(list_transform(range(1, len(ws) + 1), lambda i: array_to_string(ws[i:], ' ')), lambda y: {_COUNT.format(e='y')} <= 30)[1], ''))[1]"
+_JOINED = f"""CASE WHEN a.t <> '' AND a.n + x.n > 220 THEN list_transform([{_TAIL}], lambda w: {{'t': CASE WHEN w = '' THEN x.t ELSE w || chr(10) || chr(10) || x.t END, 'n': {_COUNT.format(e='w')} + x.n, 'u': list_append(a.u, a.t)}})[1]
+    ELSE {{'t': CASE WHEN a.t = '' THEN x.t ELSE a.t || chr(10) || chr(10) || x.t END, 'n': a.n + x.n, 'u': a.u}} END"""
+#: The documents have no blank lines and no word of more than 190 tokens: each is one paragraph, and no word is cut.
+ORACLES["chunk_documents"] = rf"""WITH d AS (SELECT source || '/' || doc_id AS source, trim(coalesce(text, ''), chr(10) || chr(9) || ' ') AS t FROM documents),
+s AS (SELECT source, t, list_transform(string_split(regexp_replace(t, '([.!?])\s+([A-Z0-9("''])', '\1' || chr(30) || '\2', 'g'), chr(30)), lambda y: {{'t': y, 'n': {_COUNT.format(e='y')}}}) AS ss FROM d WHERE t <> ''),
+w AS (SELECT source, t, {_COUNT.format(e='t')} AS n, list_transform(ss, lambda y: {{'t': y.t, 'n': y.n, 'u': CASE WHEN y.n <= 190 THEN CAST([] AS VARCHAR[]) ELSE {_packed("list_transform(" + _WORDS.format(e='y.t') + ", lambda z: {'t': z, 'n': " + _COUNT.format(e='z') + ", 'u': CAST([] AS VARCHAR[])})", 190)} END}}) AS ss FROM s),
+u AS (SELECT source, list_transform(CASE WHEN n <= 190 THEN [t] ELSE {_packed('ss', 190)} END, lambda y: {{'t': y, 'n': {_COUNT.format(e='y')}, 'u': CAST([] AS VARCHAR[])}}) AS us FROM w),
+c AS (SELECT source, list_transform([list_reduce(list_concat([{{'t': '', 'n': 0, 'u': CAST([] AS VARCHAR[])}}], us), lambda a, x: {_JOINED})], lambda r: list_append(r.u, r.t))[1] AS cs FROM u),
+e AS (SELECT source, generate_subscripts(cs, 1) - 1 AS piece_no, unnest(cs) AS text FROM c), i AS (SELECT *, substr(sha256(source || chr(31) || chr(31) || text), 1, 16) AS chunk_id FROM e)
+SELECT chunk_id, source, CAST(piece_no AS INTEGER) AS piece_no, CAST({_COUNT.format(e='text')} AS INTEGER) AS n_tokens, text FROM (SELECT *, row_number() OVER (PARTITION BY source, chunk_id ORDER BY piece_no) AS k FROM i) WHERE k = 1"""
+
 
 @register("""WITH m AS (SELECT source, CASE WHEN n % 2 = 0 THEN '' ELSE 'Manual ' || source END AS t, CASE WHEN n % 3 = 0 THEN '' ELSE '2024-02-0' || (n % 9 + 1) END AS u FROM (SELECT source, max(doc_id) AS n FROM documents GROUP BY source))
 SELECT doc_id, coalesce(nullif(t, ''), 'own') AS title, coalesce(nullif(u, ''), '2020-01-01') AS updated FROM documents JOIN m USING (source)""")
