@@ -83,6 +83,7 @@ def bm25(questions: DataFrame, chunks: DataFrame, k: int = CANDIDATES, k1: float
     found = postings(chunks, frozenset(some) if len(some) <= FEW_TERMS else None)
     if len(some) > FEW_TERMS:
         found = found.join(terms, "term", "left_semi")
+    found = cut(found)  # counted, then scored
     stats = F.broadcast(statistics(chunks))  # one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = found.groupBy("term").agg(F.count("*").alias("df")).crossJoin(stats).select("term", "avgdl", idf.alias("idf"))
