@@ -211,13 +211,16 @@ def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
 
 
 class Words:
-    """The words [^\\x20\\x09-\\x0D]+ of Texts: start, end (bytes), hash, and each document's bounds in them."""
+    """The words [^\\x20\\x09-\\x0D]+ of Texts: start, end (bytes), hash, and each document's bounds in them.
 
-    def __init__(self, t: Texts, lower: bool = False, hashes: bool = True):
+    space: which bytes stand between words, if others than white space do.
+    """
+
+    def __init__(self, t: Texts, lower: bool = False, hashes: bool = True, space: np.ndarray = _SPACE):
         buf = _LOWER[t.buf] if lower else t.buf
         n = len(buf)
         gap = np.ones(n + 1, bool)  # gap[i]: byte i - 1 can't belong to the word of byte i
-        solid = ~_SPACE[buf]
+        solid = ~space[buf]
         first = np.zeros(n + 1, bool)
         first[t.at] = True
         gap[1:n] = ~solid[:-1] if n else gap[1:n]
