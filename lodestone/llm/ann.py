@@ -9,17 +9,20 @@ What is coded is a vector's offset from the nearest of the coarse centres, broug
 that the codes tell vectors of a dense cluster apart as well as others.  There is a centre for every ``CELL`` vectors,
 from ``COARSE[0]`` to ``COARSE[1]`` of them (so that they can be sent to every task).
 
-A query skips the cells of centres that can't matter: its ``k``-th best score among the sample is a lower bound of what its
-k-th neighbour scores, and a cell's best score is at most about q . c + Z s |q|, s being the spread of its offsets along a
-direction.  How much that prunes depends on the data: little if vectors have no clusters, most of it if they do.
+Cells are searched in two rounds.  First each query scans its ``FIRST`` most promising cells; the best of these are scored
+exactly, and the k-th of these scores (or of the sample's, if higher) is a lower bound of what its k-th neighbour scores.
+Then it scans every other cell whose best score, about q . c + Z s |q| (s: the spread of the cell's offsets along a
+direction), reaches that bound, and passes on only what comes within ``SLACK`` standard errors of it.  The bound is a score
+that k rows have, never an estimate, so it can't rise above what there is to find.  A query that still has fewer than k
+rows is searched again in all cells without a bound.  How much the bound prunes depends on the data: little if vectors
+have no clusters, most of it if they do.
 
 A scan adds, for each query, table entries instead of products: one table of 16 x 16 sums for each byte of two codes.
 Codes and the queries that probe their cell meet by a join on the cell, both in blocks, so a row of the join stands for
-hundreds of queries and codes.  A scan passes on its best ``KEPT`` a query that come near the bound and near what the
-sample says the ``KEPT``-th best of all vectors scores, so that what is passed on doesn't grow with the table; these are cut to the
-best ``KEPT`` a query by a ranked window, whose limit Spark applies before the shuffle as well, and reranked in double
-precision on the original vectors, so returned scores are exact.  Equal vectors are indexed once and put back at the end
-with their smallest ids, so copies can't crowd out others.
+hundreds of queries and codes.  The codes of a large cell are dealt over several tasks (``SHARE`` each) and its queries
+sent to each of these.  What scans pass on is cut to the best ``KEPT`` a query by a ranked window, whose limit Spark
+applies before the shuffle as well, and reranked in double precision on the original vectors, so returned scores are
+exact.  Equal vectors are indexed once and put back at the end with their smallest ids, so copies can't crowd out others.
 
 Defined results: a vector that is null, zero, of another length than the commonest, or holds null or non-finite
 components takes no part; rows that repeat a vec_id count once, with their least vector; rows without a vec_id are
@@ -29,7 +32,6 @@ dropped; an empty table gives no rows; ties go to the smaller vec_id.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +51,8 @@ Z = 4.0
 SLACK = 3.0  # standard errors of a coded score that a candidate may fall below the bound
 CODE_BLOCK = 2048
 QUERY_BLOCK = 256
-SALTS = 4  # ways in which the queries of a cell are dealt
+FIRST = 8  # cells of the first round
+SHARE = 16_384  # codes of a cell that are one task's
 
 
 def sound(rows: DataFrame) -> DataFrame:
@@ -183,12 +186,12 @@ def train(distinct: DataFrame, sample: int = SAMPLE) -> dict | None:
     return {"d": d, "centres": centres, "spread": spread, "books": books, "sample": x.astype(np.float32), "error": error, "n": many}
 
 
-_CODE = {"cell": pa.int32(), "salt": pa.int32(), "id": pa.int64(), "data": pa.binary()}
-_CODE_DDL = "cell int, salt int, id long, data binary"
+_CODE = {"cell": pa.int32(), "id": pa.int64(), "data": pa.binary()}
+_PROBE = {"cell": pa.int32(), "salt": pa.int32(), "id": pa.int64(), "data": pa.binary()}
 
 
 def _codes(model):
-    """cell, salt, rep and data (length of the offset, codes of two to a byte) of each vector, for each way of dealing queries."""
+    """cell, rep and data (length of the offset, codes of two to a byte) of each vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -200,30 +203,16 @@ def _codes(model):
                 c = quantise(r, _unit(x), m["books"], eta(m["d"]))
                 c = np.pad(c, ((0, 0), (0, c.shape[1] % 2)))
                 raw = np.concatenate([length.astype(np.float32).view(np.uint8).reshape(-1, 4), c[:, ::2] << np.uint8(4) | c[:, 1::2]], axis=1)
-                data = [r.tobytes() for r in raw]
-                for salt in range(SALTS):
-                    yield batch(_CODE, cell=near.astype(np.int32), salt=np.full(len(x), salt, np.int32), id=part.column("key"), data=data)
+                yield batch(_CODE, cell=near.astype(np.int32), id=part.column("key"), data=[r.tobytes() for r in raw])
 
     return run
 
 
-def ranked(known: np.ndarray, n: int, rank: int, least: int = 20) -> np.ndarray:
-    """About what the rank-th best of n vectors scores, from the scores of a sample of them in falling order.
+def _probes(model, ways: np.ndarray, k: int, which: str):
+    """cell, salt, query and data (floor, vector) of the cells that a query probes, and each share of their codes.
 
-    The sample's own rank tells it, down to its least-th best; beyond that the tail is carried on as a normal one's, by three
-    quarters of the way, so that rather more than rank vectors score as much than fewer.
+    which: "first" (the most promising ones), "rest" (others that reach the bound; rows hold one) or "all", without a floor.
     """
-    m = known.shape[1]
-    at = rank * m / n
-    if at >= least or m < 11 * least:
-        return known[:, min(m - 1, int(max(at, 1)))] if m > rank or at < m else np.full(len(known), -np.inf, np.float32)
-    z = lambda r: NormalDist().inv_cdf(1 - r / m)
-    near, far = known[:, least - 1], known[:, 10 * least - 1]
-    return near + 0.75 * (near - far) * (z(at) - z(least)) / (z(least) - z(10 * least))
-
-
-def _probes(model, k: int, kept: int):
-    """cell, salt, query and data (floor, vector) for each cell that the query's bound doesn't rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -232,14 +221,28 @@ def _probes(model, k: int, kept: int):
                 part = b.slice(lo, 512)
                 x, ids = _matrix(part.column("embedding"), m["d"]), part.column("key").to_numpy(zero_copy_only=False)
                 size = np.linalg.norm(x, axis=1)
-                known = np.sort(x.astype(np.float32) @ m["sample"].T, axis=1)[:, ::-1]
-                bound = known[:, k] if known.shape[1] > k else np.full(len(x), -np.inf, np.float32)  # the query itself may be in the sample, so one more
+                bound = np.full(len(x), -np.inf)
                 reach = x @ m["centres"].T + Z * size[:, None] * m["spread"][None]
-                i, cell = np.nonzero(reach >= bound[:, None])
-                floor = np.maximum(bound - SLACK * m["error"] * size, ranked(known, m["n"], kept)).astype(np.float32)
+                wanted = np.ones(reach.shape, bool)
+                if which != "all":
+                    best = np.argsort(-reach, axis=1, kind="stable")[:, :FIRST]
+                    np.put_along_axis(wanted, best, False, axis=1)
+                    known = np.sort(x.astype(np.float32) @ m["sample"].T, axis=1)[:, ::-1]
+                    if known.shape[1] > k:  # the query itself may be in the sample, so one more
+                        bound = known[:, k].astype(float)
+                    if which == "first":
+                        wanted = ~wanted
+                    else:
+                        bound = np.fmax(bound, part.column("bound").to_numpy(zero_copy_only=False))
+                        wanted &= reach >= bound[:, None]
+                i, cell = np.nonzero(wanted & (ways > 0)[None])
+                many = ways[cell]
+                salt = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                i, cell = np.repeat(i, many), np.repeat(cell, many)
+                floor = (bound - SLACK * m["error"] * size).astype(np.float32)
                 raw = np.concatenate([floor[:, None], x.astype(np.float32)], axis=1)
                 data = [r.tobytes() for r in raw]
-                yield batch(_CODE, cell=cell.astype(np.int32), salt=(ids[i] // 20 % SALTS).astype(np.int32), id=ids[i], data=[data[j] for j in i])
+                yield batch(_PROBE, cell=cell.astype(np.int32), salt=salt.astype(np.int32), id=ids[i], data=[data[j] for j in i])
 
     return run
 
@@ -321,19 +324,49 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, kept: int = KEPT, s
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     model = spark.sparkContext.broadcast(fitted)  # at most the sample, COARSE[1] centres and the codebooks
     asked = cut(good.join(queries.select(F.col("vec_id")).distinct(), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")))
-    vec = lambda df, name, col: df.select(F.col(name).alias("key"), F.col(col).alias("embedding"))
-    codes = _packed(vec(distinct, "rep", "embedding").mapInArrow(_codes(model), _CODE_DDL), CODE_BLOCK).withColumnsRenamed({"ids": "c_ids", "data": "c_data"})
-    sought = _packed(vec(asked, "query_id", "qv").mapInArrow(_probes(model, k, kept), _CODE_DDL), QUERY_BLOCK).withColumnsRenamed({"ids": "q_ids", "data": "q_data"})
-    scanned = codes.join(sought, ["cell", "salt"]).select("cell", "q_ids", "q_data", "c_ids", "c_data").mapInArrow(_scan(model, kept), "query_id long, rep long, s float")
-    first = Window.partitionBy("query_id").orderBy(F.desc("s"), "rep")
-    top = cut(scanned.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= kept).select("query_id", "rep"))
-    top = top.join(asked, "query_id")
-    exact = top.join(distinct, "rep").select("query_id", "qv", "rep", "embedding").mapInArrow(_exact(fitted["d"]), "query_id long, rep long, score double")
+    coded = cut(distinct.select(F.col("rep").alias("key"), "embedding").mapInArrow(_codes(model), "cell int, id long, data binary"))
+    ways = np.zeros(len(fitted["centres"]), np.int64)
+    for r in coded.groupBy("cell").count().collect():  # a row a cell, COARSE[1] at most
+        ways[r.cell] = -(-r["count"] // SHARE)
+    of = F.broadcast(spark.createDataFrame([(int(c), int(w)) for c, w in enumerate(ways) if w], "cell int, ways int"))
+    codes = coded.join(of, "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("ways").cast("long")).cast("int").alias("salt"), "id", "data")
+    codes = cut(_packed(codes, CODE_BLOCK).withColumnsRenamed({"ids": "c_ids", "data": "c_data"}))
+
+    def scan(some: DataFrame, which: str) -> DataFrame:
+        """query_id, rep of the best kept codes of some of the queries (query_id, qv, bound)."""
+        keyed = some.select(F.col("query_id").alias("key"), F.col("qv").alias("embedding"), "bound")
+        sought = _packed(keyed.mapInArrow(_probes(model, ways, k, which), "cell int, salt int, id long, data binary"), QUERY_BLOCK).withColumnsRenamed({"ids": "q_ids", "data": "q_data"})
+        met = codes.join(sought, ["cell", "salt"]).select("cell", "q_ids", "q_data", "c_ids", "c_data").mapInArrow(_scan(model, kept), "query_id long, rep long, s float")
+        first = Window.partitionBy("query_id").orderBy(F.desc("s"), "rep")
+        return met.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= kept).select("query_id", "rep")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        """query_id, rep, score of a query's k + 1 best of pairs."""
+        both = pairs.join(asked, "query_id").join(distinct, "rep").select("query_id", "qv", "rep", "embedding")
+        exact = both.mapInArrow(_exact(fitted["d"]), "query_id long, rep long, score double")
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
+        return exact.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1)
+
+    def answers(near: DataFrame) -> DataFrame:
+        rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        every = near.join(members.select("rep", "vec_id"), "rep").filter("vec_id <> query_id")
+        return every.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    none = F.lit(None).cast("double").alias("bound")
+    near = cut(scored(scan(asked.select("*", none), "first")))
+    bound = near.filter(F.col("n") == k + 1).select("query_id", F.col("score").alias("bound"))
+    rest = scored(scan(asked.join(bound, "query_id", "left"), "rest"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
-    near = exact.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).drop("n")
-    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    every = near.join(members.select("rep", "vec_id"), "rep").filter("vec_id <> query_id")
-    return every.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    both = near.drop("n").unionByName(rest.drop("n")).withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1)
+    found = cut(answers(both))
+    # a query with fewer than k rows, though there are others, lost them to the codes' errors: it is searched without a bound
+    possible = min(k, max(good.limit(k + 1).count() - 1, 0))
+    full = found.groupBy("query_id").count().filter(F.col("count") >= possible)
+    short = cut(asked.join(full, "query_id", "left_anti"))
+    if not possible or not short.take(1):
+        return found
+    again = answers(scored(scan(short.select("*", none), "all")))
+    return found.join(short, "query_id", "left_anti").unionByName(again)
 
 
 def op3_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -183,15 +183,56 @@ def test_ann(spark):
     assert [r.vec_id for r in ann.search(few, few.filter("vec_id = 0").select("vec_id")).orderBy("rank").collect()] and ann.search(few, few.select("vec_id")).count() == 6
 
 
-def test_rank_of_all_from_a_sample():
-    rng = np.random.default_rng(22)
-    every = np.sort(rng.normal(size=(4, 400_000)), axis=1)[:, ::-1]
-    known = np.sort(rng.permuted(every, axis=1)[:, :4000], axis=1)[:, ::-1]
-    for rank in (20_000, 4000, 256, 40):
-        floor = ann.ranked(known, 400_000, rank)
-        above = (every >= floor[:, None]).sum(1)
-        assert (above > 0.5 * rank).all() and (above < 12 * rank).all()
-    assert np.isneginf(ann.ranked(known[:, :10], 10, 256)).all()
+def ann_recall(spark, x, k=20, step=20, **options):
+    """Recall against brute force, and the number of rows of each query."""
+    df = spark.createDataFrame([(i, v.tolist(), "z", 1, 2) for i, v in enumerate(x)], "vec_id long, embedding array<float>, rep string, n int, cell int").repartition(4)
+    got = collections.defaultdict(list)
+    for r in ann.search(df, df.filter(f"vec_id % {step} = 0").select("vec_id"), **options).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    hits, sizes = 0, []
+    for q in range(0, len(x), step):
+        found = sorted(got[q])
+        s = x.astype(float) @ x[q].astype(float)
+        assert [r for r, _, _ in found] == list(range(1, len(found) + 1)) and np.allclose([v for _, _, v in found], s[[i for _, i, _ in found]])
+        s[q] = -np.inf
+        hits += len({i for _, i, _ in found} & set(np.argsort(-s)[:k].tolist()))
+        sizes.append(len(found))
+    return hits / (k * len(sizes)), set(sizes)
+
+
+@pytest.mark.parametrize("clusters", [20, 150])
+def test_ann_of_many_more_vectors_than_the_sample_in_small_clusters(spark, clusters):
+    """Vectors 30 times the sample, clusters of 5 and of 0.7 %: every query has its 20 rows, and nearly all are right."""
+    rng = np.random.default_rng(clusters)
+    x = (rng.normal(size=(clusters, 32))[rng.integers(0, clusters, 15_000)] + 0.3 * rng.normal(size=(15_000, 32))).astype(np.float32)
+    recall, sizes = ann_recall(spark, x, step=300, sample=500)
+    assert sizes == {20} and recall >= 0.9
+
+
+def test_ann_of_a_hot_vector_and_a_hot_cell(spark, monkeypatch):
+    """A third of all rows are one vector, another third lie in one cell, which is dealt over many tasks."""
+    monkeypatch.setattr(ann, "SHARE", 100)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 8)).astype(np.float32)
+    x[:1000] = x[0]
+    x[1000:2000] = x[0] + 0.01 * rng.normal(size=(1000, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = collections.defaultdict(list)
+    for r in ann.search(df, df.filter("vec_id % 100 = 0").select("vec_id")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.score)
+    assert set(got) == set(range(0, 3000, 100)) and {len(v) for v in got.values()} == {20}
+    right = []
+    for q, found in got.items():
+        s = np.delete(x.astype(float) @ x[q].astype(float), q)
+        right += [v >= np.sort(s)[-20] - 1e-9 for v in found]
+    assert np.mean(right) >= 0.9
+
+
+def test_ann_searches_again_what_the_codes_lost(spark, monkeypatch):
+    """Without any slack the bound rules out vectors with poor codes; queries left with too few are searched anew."""
+    monkeypatch.setattr(ann, "SLACK", -30.0)
+    x = np.random.default_rng(7).normal(size=(2000, 16)).astype(np.float32)
+    assert ann_recall(spark, x, step=100)[1] == {20}
 
 
 def test_ann_recall_with_few_kept(spark):
