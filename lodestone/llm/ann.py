@@ -12,8 +12,9 @@ from ``COARSE[0]`` to ``COARSE[1]`` of them (so that they can be sent to every t
 Cells are searched in two rounds.  First each query scans its ``FIRST`` most promising cells; the best of these are scored
 exactly, and the k-th of these scores (or of the sample's, if higher) is a lower bound of what its k-th neighbour scores.
 Then it scans every other cell whose best score, about q . c + Z s |q| (s: the spread of the cell's offsets along a
-direction), reaches that bound, and passes on only what comes within ``SLACK`` standard errors of it.  The bound is a score
-that k rows have, never an estimate, so it can't rise above what there is to find.  A query that still has fewer than k
+direction), reaches that bound, and passes on only what comes within ``SLACK`` standard errors of it and is above the
+``KEPT``-th best coded score of the first round.  Both are scores that so many rows have, never estimates, so they can't
+rise above what there is to find.  A query that still has fewer than k
 rows is searched again in all cells without a bound.  How much the bound prunes depends on the data: little if vectors
 have no clusters, most of it if they do.
 
@@ -48,10 +49,10 @@ COARSE = (64, 4096)
 KEPT = 256
 T = 0.2
 Z = 4.0
-SLACK = 3.0  # standard errors of a coded score that a candidate may fall below the bound
+SLACK = 2.0  # standard errors of a coded score that a candidate may fall below the bound
 CODE_BLOCK = 2048
 QUERY_BLOCK = 256
-FIRST = 8  # cells of the first round
+FIRST = 16  # cells of the first round
 SHARE = 16_384  # codes of a cell that are one task's
 
 
@@ -211,7 +212,8 @@ def _codes(model):
 def _probes(model, ways: np.ndarray, k: int, which: str):
     """cell, salt, query and data (floor, vector) of the cells that a query probes, and each share of their codes.
 
-    which: "first" (the most promising ones), "rest" (others that reach the bound; rows hold one) or "all", without a floor.
+    which: "first" (the most promising ones), "rest" (others that reach the bound of the row, which also holds a least
+    coded score, least) or "all", without a floor.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +223,7 @@ def _probes(model, ways: np.ndarray, k: int, which: str):
                 part = b.slice(lo, 512)
                 x, ids = _matrix(part.column("embedding"), m["d"]), part.column("key").to_numpy(zero_copy_only=False)
                 size = np.linalg.norm(x, axis=1)
-                bound = np.full(len(x), -np.inf)
+                bound, least = np.full(len(x), -np.inf), np.full(len(x), -np.inf)
                 reach = x @ m["centres"].T + Z * size[:, None] * m["spread"][None]
                 wanted = np.ones(reach.shape, bool)
                 if which != "all":
@@ -234,12 +236,13 @@ def _probes(model, ways: np.ndarray, k: int, which: str):
                         wanted = ~wanted
                     else:
                         bound = np.fmax(bound, part.column("bound").to_numpy(zero_copy_only=False))
+                        least = np.fmax(least, part.column("least").to_numpy(zero_copy_only=False))
                         wanted &= reach >= bound[:, None]
                 i, cell = np.nonzero(wanted & (ways > 0)[None])
                 many = ways[cell]
                 salt = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                 i, cell = np.repeat(i, many), np.repeat(cell, many)
-                floor = (bound - SLACK * m["error"] * size).astype(np.float32)
+                floor = np.maximum(bound - SLACK * m["error"] * size, least).astype(np.float32)
                 raw = np.concatenate([floor[:, None], x.astype(np.float32)], axis=1)
                 data = [r.tobytes() for r in raw]
                 yield batch(_PROBE, cell=cell.astype(np.int32), salt=salt.astype(np.int32), id=ids[i], data=[data[j] for j in i])
@@ -333,16 +336,16 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, kept: int = KEPT, s
     codes = cut(_packed(codes, CODE_BLOCK).withColumnsRenamed({"ids": "c_ids", "data": "c_data"}))
 
     def scan(some: DataFrame, which: str) -> DataFrame:
-        """query_id, rep of the best kept codes of some of the queries (query_id, qv, bound)."""
-        keyed = some.select(F.col("query_id").alias("key"), F.col("qv").alias("embedding"), "bound")
+        """query_id, rep, n of the best kept codes of some of the queries (query_id, qv, bound, least), and their scores s."""
+        keyed = some.select(F.col("query_id").alias("key"), F.col("qv").alias("embedding"), "bound", "least")
         sought = _packed(keyed.mapInArrow(_probes(model, ways, k, which), "cell int, salt int, id long, data binary"), QUERY_BLOCK).withColumnsRenamed({"ids": "q_ids", "data": "q_data"})
         met = codes.join(sought, ["cell", "salt"]).select("cell", "q_ids", "q_data", "c_ids", "c_data").mapInArrow(_scan(model, kept), "query_id long, rep long, s float")
         first = Window.partitionBy("query_id").orderBy(F.desc("s"), "rep")
-        return met.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= kept).select("query_id", "rep")
+        return met.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= kept).select("query_id", "rep", "n", "s")
 
     def scored(pairs: DataFrame) -> DataFrame:
         """query_id, rep, score of a query's k + 1 best of pairs."""
-        both = pairs.join(asked, "query_id").join(distinct, "rep").select("query_id", "qv", "rep", "embedding")
+        both = pairs.select("query_id", "rep").join(asked, "query_id").join(distinct, "rep").select("query_id", "qv", "rep", "embedding")
         exact = both.mapInArrow(_exact(fitted["d"]), "query_id long, rep long, score double")
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
         return exact.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1)
@@ -352,9 +355,11 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, kept: int = KEPT, s
         every = near.join(members.select("rep", "vec_id"), "rep").filter("vec_id <> query_id")
         return every.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    none = F.lit(None).cast("double").alias("bound")
-    near = cut(scored(scan(asked.select("*", none), "first")))
+    none = [F.lit(None).cast("double").alias(c) for c in ("bound", "least")]
+    coarsely = cut(scan(asked.select("*", *none), "first"))
+    near = cut(scored(coarsely))
     bound = near.filter(F.col("n") == k + 1).select("query_id", F.col("score").alias("bound"))
+    bound = bound.join(coarsely.filter(F.col("n") == kept).select("query_id", F.col("s").cast("double").alias("least")), "query_id", "full_outer")
     rest = scored(scan(asked.join(bound, "query_id", "left"), "rest"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
     both = near.drop("n").unionByName(rest.drop("n")).withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1)
@@ -365,7 +370,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, kept: int = KEPT, s
     short = cut(asked.join(full, "query_id", "left_anti"))
     if not possible or not short.take(1):
         return found
-    again = answers(scored(scan(short.select("*", none), "all")))
+    again = answers(scored(scan(short.select("*", *none), "all")))
     return found.join(short, "query_id", "left_anti").unionByName(again)
 
 
