@@ -2,6 +2,8 @@
 
 #: White space of line and word splitting.
 SPACE = " \\t\\n\\r\\x0b\\f"
+#: The same as characters.
+BLANKS = " \t\n\r\x0b\f"
 #: Word characters of any script, one meaning in Java and RE2.
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 TERM = r"[a-z0-9]+(?:['.][a-z0-9]+)*"
@@ -11,12 +13,13 @@ STOPWORDS = (
     "what when where which who whom why will with would you your"
 ).split()
 #: A match starts at the first of a run of its characters, or where the last one ended, so that a long run is read once.
-EMAIL = r"(?:\G|(?<![\p{L}\p{N}_.+-]))[\p{L}\p{N}_.+-]++@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)+"
+#: Groups are repeated possessively (++, *+), which Java does in a loop; a plain repeat of a group is a recursion a round.
+EMAIL = r"(?:\G|(?<![\p{L}\p{N}_.+-]))[\p{L}\p{N}_.+-]++@[\p{L}\p{N}_-]++(?:\.[\p{L}\p{N}_-]++)++"
 PHONE = r"(?<![\p{L}\p{N}_])(?:\+?\d[\d\s().-]{7,}\d)(?![\p{L}\p{N}_])"
 LONG_NUMBER = r"\b\d{5,}\b"
 SENTENCE = r"""(?<=[.!?])\s+(?=[A-Z0-9("'])"""
-MARKER = r"\[(\d+(?:\s*,\s*\d+)*)\]"
-HEADING = r"^(#{1,6})\s+(.+?)\s*#*\s*$"
+MARKER = r"\[(\d++(?:\s*+,\s*+\d++)*+)\]"
+HEADING = r"^(#{1,6})\s[\s\S]"
 QUESTION_KEYS = ("question", "q", "title", "prompt")
 ANSWER_KEYS = ("answer", "a", "response", "body", "text")
 LIST_KEYS = ("faqs", "faq", "questions", "items", "entries")

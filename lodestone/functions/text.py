@@ -12,6 +12,18 @@ def blank(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at both ends, in one pass; a pattern for the end would try every blank of the text."""
+    return F.btrim(text, F.lit(P.BLANKS))
+
+
+def heading_name(line: Column) -> Column:
+    """What a heading line says: without its first and last number signs and the blanks about them; one of number signs is a sign."""
+    rest = stripped(F.substr(line, F.length(F.regexp_extract(line, P.HEADING, 1)) + 1))
+    bare = F.rtrim(rest, F.lit("#"))
+    return F.when((bare == "") & (rest != ""), "#").otherwise(F.rtrim(bare, F.lit(P.BLANKS)))
+
+
 def token_count(text: Column) -> Column:
     """Words of any script and single other characters."""
     return F.regexp_count(blank(text), F.lit(P.TOKEN))
@@ -66,13 +78,18 @@ def escape(text: Column) -> Column:
 
 
 def without_markers(text: Column) -> Column:
-    return F.regexp_replace(blank(text), "\\s*\\[\\d+(?:\\s*,\\s*\\d+)*\\]", "")
+    return F.regexp_replace(blank(text), "(?<!\\s)\\s*+" + P.MARKER, "")
+
+
+def _numbers(group: Column) -> Column:
+    """The numbers of a mark's inside, as strings."""
+    return F.split(F.regexp_replace(group, "\\s", ""), ",")
 
 
 def cited_numbers(text: Column) -> Column:
     """Distinct numbers of [n] and [n, m] in order of first use; a number that no int holds is left out."""
     groups = F.regexp_extract_all(blank(text), F.lit(P.MARKER), F.lit(1))
-    numbers = F.flatten(F.transform(groups, lambda g: F.transform(F.split(g, "\\s*,\\s*"), lambda n: n.try_cast("int"))))
+    numbers = F.flatten(F.transform(groups, lambda g: F.transform(_numbers(g), lambda n: n.try_cast("int"))))
     return F.array_distinct(F.filter(numbers, lambda n: n.isNotNull()))
 
 
@@ -81,13 +98,13 @@ def repair_marks(answer: Column, n_passages: Column) -> Column:
     groups = F.regexp_extract_all(blank(answer), F.lit(P.MARKER), F.lit(1))
 
     def mark(group: Column) -> Column:
-        good = F.filter(F.split(F.trim(group), "\\s*,\\s*"), lambda n: n.try_cast("int").between(1, n_passages))
+        good = F.filter(_numbers(group), lambda n: n.try_cast("int").between(1, n_passages))
         return F.when(F.size(good) > 0, F.concat(F.lit("["), F.array_join(good, ", "), F.lit("]"))).otherwise("")
 
     marks = F.transform(groups, mark)
     text = F.array_join(F.transform(F.split(blank(answer), P.MARKER, -1), lambda p, i: F.concat(p, F.coalesce(F.get(marks, i), F.lit("")))), "")
     text = F.regexp_replace(F.regexp_replace(text, "[ \t]{2,}", " "), "[ \t]+([.,;:!?])", "$1")
-    return F.regexp_replace(text, "^\\s+|\\s+$", "")
+    return stripped(text)
 
 
 def default_title(path: Column) -> Column:

@@ -75,7 +75,7 @@ def messages(questions: DataFrame, hits: DataFrame, past: DataFrame | None = Non
 def extractive(questions: DataFrame, hits: DataFrame, first: int = 2) -> DataFrame:
     """qid, answer: of each of the first passages the sentence with most of the question's terms, and its number."""
     text = F.regexp_replace("text", "(?s)^Q:.*?\\nA:\\s*", "")
-    parts = F.filter(F.split(F.regexp_replace(text, "^\\s+|\\s+$", ""), "(?<=[.!?])\\s+|\\n+"), lambda s: F.trim(s) != "")
+    parts = F.filter(F.split(X.stripped(text), "(?<=[.!?])\\s+|\\n+"), lambda s: F.trim(s) != "")
     s = hits.filter(F.col("rank") <= first).select("qid", "question", "rank", F.posexplode(parts).alias("pos", "sentence"))
     terms = F.array_distinct(X.search_terms(F.col("question")))
     s = s.withColumn("n", F.size(F.array_intersect(terms, X.search_terms(F.col("sentence")))))
