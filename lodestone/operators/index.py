@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import cut
-from .retrieve import postings, search_text, statistics
+from . import inverted
+from .retrieve import search_text
 
 
 def file_hashes(files: DataFrame, content: str = "text") -> DataFrame:
@@ -114,12 +115,12 @@ def save(path: str, chunks: DataFrame, vectors: DataFrame, embedder: str, settin
     at = f"{path.rstrip('/')}/{name}"
     chunks.write.parquet(f"{at}/chunks")
     stored = spark.read.parquet(f"{at}/chunks")
-    postings(stored).write.parquet(f"{at}/postings")
+    stats = inverted.write(at, stored)
     vectors.write.parquet(f"{at}/vectors")
     files = file_hashes(chunks.select("source", F.lit("").alias("text"))).limit(0) if files is None else files
     files.write.parquet(f"{at}/files")
     settings = F.lit(settings) if isinstance(settings, str) else settings
-    manifest = statistics(stored).select("n", "avgdl", F.lit(embedder).alias("embedder"), settings.alias("settings"), F.lit(indexed_at).alias("indexed_at"), F.lit(name).alias("snapshot"))
+    manifest = stats.select("n", "avgdl", F.lit(embedder).alias("embedder"), settings.alias("settings"), F.lit(indexed_at).alias("indexed_at"), F.lit(name).alias("snapshot"))
     manifest.coalesce(1).write.parquet(f"{path.rstrip('/')}/manifests/{name}")
     return name
 
@@ -141,7 +142,7 @@ def load(spark: SparkSession, path: str, embedder: str | None = None) -> dict[st
     if embedder is not None and last.embedder != embedder:
         raise ValueError(f"the index was embedded with {last.embedder!r}, the question with {embedder!r}")
     at = f"{path.rstrip('/')}/{last.snapshot}"
-    return {"manifest": spark.createDataFrame([last])} | {t: spark.read.parquet(f"{at}/{t}") for t in ("chunks", "postings", "vectors", "files")}
+    return {"manifest": spark.createDataFrame([last])} | {t: spark.read.parquet(f"{at}/{t}") for t in ("chunks", "places", "postings", "terms", "vectors", "files")}
 
 
 def sync(spark: SparkSession, path: str, files: DataFrame, chunk, embed, embedder: str, settings: str, indexed_at: str, force: bool = False) -> dict:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -81,6 +81,35 @@ def rate_limit(events: DataFrame, key: str, ts: str, order: str, limit: int, win
     return dealt.mapInArrow(run, f"{fields}, allowed boolean")
 
 
+def rate_limit_by_sessions(events: DataFrame, key: str, ts: str, order: str, limit: int, window_s: int) -> DataFrame:
+    """As rate_limit; a key's events are dealt by its sessions, which idle times of a window or more divide.
+
+    After such a time nothing that was allowed before matters.  Events are counted by windows of time: only the first event
+    of a window can begin a session, and does unless the window before has one less than a window earlier.  So sessions are
+    found on one row for each key and window of time, and no key's events meet in one task unless it is never idle.
+    Events without a time come last, as in the plain form: they are allowed while the key has been allowed fewer than limit.
+    """
+    epoch = F.lit("1970-01-01 00:00:00").cast(events.schema[ts].dataType)  # with or without a time zone
+    us, w = F.timestamp_diff("MICROSECOND", epoch, F.col(ts)), F.lit(int(window_s * 1_000_000))
+    at = events.withColumn("_w", F.floor(us / w))
+    spans = at.filter(F.col(ts).isNotNull()).groupBy(F.col(key).alias("_k"), "_w").agg(F.min(us).alias("lo"), F.max(us).alias("hi"))
+    by = Window.partitionBy("_k").orderBy("_w")
+    begins = F.coalesce((F.lag("_w").over(by) < F.col("_w") - 1) | (F.col("lo") - F.lag("hi").over(by) >= w), F.lit(True))
+    spans = spans.withColumn("_b", F.when(begins, F.col("_w")))
+    spans = spans.select("_k", "_w", F.last("_b", True).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("_s"))
+    same = F.col(key).eqNullSafe(F.col("_k"))
+    timed = at.filter(F.col(ts).isNotNull()).alias("e").join(spans.alias("s"), same & (F.col("e._w") == F.col("s._w"))).select("e.*", "_s")
+    keyed = timed.withColumn("_k", F.struct(F.col(key).alias("k"), "_s")).drop("_w", "_s")
+    timed = rate_limit(keyed, "_k", ts, order, limit, window_s).drop("_k")
+    if limit <= 0:
+        return timed.unionByName(events.filter(F.col(ts).isNull()).withColumn("allowed", F.lit(True)))
+    used = timed.filter("allowed").groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n"))
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).asc_nulls_last()))
+    timeless = events.filter(F.col(ts).isNull()).withColumn("_i", nth).join(used, same, "left")
+    timeless = timeless.withColumn("allowed", F.coalesce("_n", F.lit(0)) + F.col("_i") <= limit)
+    return timed.unionByName(timeless.drop("_n", "_i", "_k"))
+
+
 def admission(requests: DataFrame, limit: int, window_s: float, modes: tuple = ("bm25", "vector", "hybrid"), max_chars: int = 1000, max_history: int = 20) -> DataFrame:
     """requests with status: 422 malformed (never counted), 429 over the limit, 422 unknown mode (counted), else 200.
 
