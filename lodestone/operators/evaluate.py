@@ -5,12 +5,60 @@ gold: qid, answerable, relevant array<struct<source, heading>>.  hits: mode, qid
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+#: Characters of passages that are looked for at once: what one automaton, which every task builds, is made of.
+AT_ONCE = 4 << 20
 KS = (1, 3, 5)
 
 
+def containing(docs: DataFrame, key: str, passages: DataFrame, item: str, at_once: int = AT_ONCE) -> DataFrame:
+    """key, item of each two such that docs.text contains passages.text; an empty passage is in every text, null in none.
+
+    An automaton of all passages reads each text once, where it lies, and only hits leave a task.  Passages of more than
+    at_once characters are taken in rounds, by a hash of the passage; equal passages are looked for once.
+    """
+    passages = passages.filter(F.col("text").isNotNull()).select(item, "text")
+    total = passages.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    rounds = max(1, -(-total // at_once))
+    kinds = [docs.schema[key].dataType, passages.schema[item].dataType]
+    arrow = [to_arrow_type(k) for k in kinds]
+    schema = f"{key} {kinds[0].simpleString()}, {item} {kinds[1].simpleString()}"
+    out = None
+    for r in range(rounds):
+        items: dict[str, list] = {}
+        for p in passages.filter(F.pmod(F.xxhash64("text"), F.lit(rounds)) == r).collect():  # a round's passages
+            items.setdefault(p.text, []).append(p[item])
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            everywhere = shared.value.get("", [])
+            automaton = ahocorasick.Automaton()
+            for text, ids in shared.value.items():
+                if text:
+                    automaton.add_word(text, ids)
+            automaton.make_automaton()
+            for b in batches:
+                keys, found = [], []
+                for k, text in zip(b.column(key).to_pylist(), b.column("text")):
+                    if text.is_valid:
+                        hits = {id(ids): ids for _, ids in automaton.iter(text.as_py())} if len(automaton) else {}
+                        ids = [i for some in (*hits.values(), everywhere) for i in some]
+                        keys += [k] * len(ids)
+                        found += ids
+                yield pa.RecordBatch.from_arrays([pa.array(keys, arrow[0]), pa.array(found, arrow[1])], names=[key, item])
+
+        part = docs.select(key, "text").mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def targets(gold: DataFrame) -> DataFrame:
     return gold.filter("answerable").select("qid", F.posexplode("relevant").alias("target_no", "t")).select("qid", "target_no", F.col("t.source").alias("source"), F.col("t.heading").alias("target"))
 

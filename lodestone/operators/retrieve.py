@@ -212,20 +212,22 @@ def search(
     return found.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("rank").withColumnRenamed("_r", "rank")
 
 
-def all_modes(questions: DataFrame, chunks: DataFrame, query_vectors: DataFrame, vectors: DataFrame, k: int = TOP_K, candidate_k: int = CANDIDATES) -> DataFrame:
-    """mode, qid, rank, chunk_id of every mode's k best, the lists of both kinds being made once (lexical reranking)."""
+def all_modes(questions: DataFrame, chunks: DataFrame, query_vectors: DataFrame, vectors: DataFrame, k: int = TOP_K, candidate_k: int = CANDIDATES, modes: tuple = MODES) -> DataFrame:
+    """mode, qid, rank, chunk_id of each mode's k best, the lists of both kinds being made once (lexical reranking)."""
     questions = questions.filter(F.trim("question") != "")
     asked = query_vectors.join(questions.select("qid"), "qid", "left_semi")
     lexical, dense = cut(bm25(questions, chunks, candidate_k)), cut(vector(asked, vectors, candidate_k))
     fused = cut(fuse([("bm25", lexical), ("vector", dense)]).filter(F.col("rank") <= candidate_k).select("qid", "chunk_id", "rank"))
-    text = chunks.join(fused.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", "heading", "text")
-    scored = fused.join(questions.select("qid", "question"), "qid").join(text, "chunk_id")
-    scored = scored.withColumn("s", rerank_score(F.col("question"), F.col("heading"), F.col("text")))
-    order = Window.partitionBy("qid").orderBy(F.round("s", 9).desc(), "rank")
-    again = scored.select("qid", "chunk_id", F.row_number().over(order).alias("rank"))
+    found = {"bm25": lexical, "vector": dense, "hybrid": fused}
+    if "hybrid+rerank" in modes:
+        text = chunks.join(fused.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", "heading", "text")
+        scored = fused.join(questions.select("qid", "question"), "qid").join(text, "chunk_id")
+        scored = scored.withColumn("s", rerank_score(F.col("question"), F.col("heading"), F.col("text")))
+        order = Window.partitionBy("qid").orderBy(F.round("s", 9).desc(), "rank")
+        found["hybrid+rerank"] = scored.select("qid", "chunk_id", F.row_number().over(order).alias("rank"))
     every = None
-    for mode, rows in zip(MODES, (lexical, dense, fused, again)):
-        part = rows.filter(F.col("rank") <= k).select(F.lit(mode).alias("mode"), "qid", "rank", "chunk_id")
+    for mode in modes:
+        part = found[mode].filter(F.col("rank") <= k).select(F.lit(mode).alias("mode"), "qid", "rank", "chunk_id")
         every = part if every is None else every.unionByName(part)
     return every
 

@@ -72,13 +72,7 @@ def gold(spark: SparkSession, d: str) -> DataFrame:
     """Answerable are the items whose text some document contains; those documents are the targets."""
     b, docs = _t(spark, d, "benchmark"), _t(spark, d, "documents")
     source = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
-    # an equi-join on a hash of a passage's first six whole words keeps the containment test off most pairs
-    words = lambda c: F.regexp_extract_all(c, F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
-    heads = b.select("item_id", F.col("text").alias("passage"), F.xxhash64(F.slice(words(F.col("text")), 2, 6)).alias("g"))
-    w = docs.select("doc_id", source.alias("source"), "text", words(F.col("text")).alias("w")).filter("size(w) >= 6")
-    grams = w.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 5), lambda i: F.xxhash64(F.slice("w", i, 6))))).alias("g"))
-    near = cut(grams.join(heads.select("item_id", "g"), "g").select("doc_id", "item_id").distinct())
-    hit = docs.select("doc_id", source.alias("source"), "text").join(near, "doc_id").join(heads.select("item_id", "passage"), "item_id").filter(F.contains("text", "passage"))
+    hit = V.containing(docs.select(source.alias("source"), "text"), "source", b, "item_id")
     rel = hit.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("source", F.lit("").alias("heading")))).alias("relevant"))
     none = F.array().cast("array<struct<source:string,heading:string>>")
     out = b.select("item_id").join(rel, "item_id", "left")
@@ -424,10 +418,8 @@ per AS (SELECT mode, qid, count(DISTINCT source) FILTER (rank <= 1) AS m1, count
 SELECT mode, count(*) AS questions, round(avg(coalesce(m1, 0) / n), 6) AS recall_at_1, round(avg(coalesce(m3, 0) / n), 6) AS recall_at_3, round(avg(coalesce(m5, 0) / n), 6) AS recall_at_5, round(avg(coalesce(1.0 / f, 0.0)), 6) AS mrr
 FROM (SELECT unnest(['bm25', 'vector', 'hybrid']) AS mode) CROSS JOIN goldn LEFT JOIN per USING (mode, qid) GROUP BY mode""")
 def retrieval_report(spark, d):
-    hits, built = None, index(spark, d)
-    for mode in ("bm25", "vector", "hybrid"):
-        h = retrieved(spark, d, mode, max(V.KS), built).select(F.lit(mode).alias("mode"), "qid", "rank", "source", "heading")
-        hits = h if hits is None else hits.unionByName(h)
+    q, (c, cv), three = questions(spark, d), index(spark, d), S.MODES[:3]
+    hits = S.all_modes(q, c, E.hashing(q, "qid", "question"), cv, max(V.KS), modes=three).join(c.select("chunk_id", "source", "heading"), "chunk_id")
     modes = spark.createDataFrame([("bm25",), ("vector",), ("hybrid",)], "mode string")
     r = V.retrieval_report(hits, gold(spark, d), modes)
     return r.select("mode", "questions", *[F.round(c, 6).alias(c) for c in ("recall_at_1", "recall_at_3", "recall_at_5", "mrr")])

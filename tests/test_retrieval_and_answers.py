@@ -217,3 +217,14 @@ def test_ablation_is_hybrid_and_counts_chunks(spark, monkeypatch):
     got = {r.chunk_tokens: r for r in Q.chunk_size_ablation(spark, "").collect()}
     assert modes == ["hybrid"] * 4 and [got[s].chunks for s in ("60", "120", "220", "400")] == [3, 2, 2, 2]
     assert all(r.questions == 1 and r.recall_at_1 == 1.0 for r in got.values())
+
+
+def test_passages_by_an_automaton(spark):
+    docs = [("a", "the cat sat on the mat, the cat"), ("b", "Thé cat"), ("c", ""), ("d", None), ("e", "cat sat")]
+    passages = [(1, "cat"), (2, "cat sat"), (3, "é c"), (4, "dog"), (5, ""), (6, None), (7, "cat"), (None, "mat")]
+    d = spark.createDataFrame(docs, "source string, text string")
+    p = spark.createDataFrame(passages, "qid int, text string")
+    want = sorted(((s, i) for s, t in docs for i, x in passages if t is not None and x is not None and x in t), key=repr)
+    for at_once in (1 << 20, 4):
+        assert sorted(map(tuple, V.containing(d, "source", p, "qid", at_once).collect()), key=repr) == want
+    assert V.containing(d, "source", p.limit(0), "qid").collect() == [] == V.containing(d.limit(0), "source", p, "qid").collect()

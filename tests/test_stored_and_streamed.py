@@ -194,5 +194,5 @@ def test_sessions_spread_a_hot_key(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     where = R.rate_limit_by_sessions(df, "user", "ts", "event_id", 3, 60).filter("user = 7").groupBy(F.spark_partition_id()).count().collect()
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert len(where) == 4 and max(r["count"] for r in where) < 1000  # of 2,000
+    assert len(where) >= 4 and max(r["count"] for r in where) < 1000  # of 2,000
     assert R.rate_limit_by_sessions(df.limit(0), "user", "ts", "event_id", 3, 60).collect() == []
