@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..plans.tables import cut, remove
 
 
 def log_records(answers: DataFrame) -> DataFrame:
@@ -40,6 +41,49 @@ def purge(log: DataFrame, now: str, days: int, ts: str = "ts") -> DataFrame:
     return log.filter(_fresh(now, days, ts))
 
 
+#: The partition of records without a readable time.
+UNREADABLE = "unreadable"
+
+
+def append_by_day(records: DataFrame, path: str, ts: str = "ts") -> None:
+    """Appends records to a log that is partitioned by the day of their time, one file a day and task."""
+    day = F.date_format(F.try_to_timestamp(F.col(ts).cast("string")), "yyyy-MM-dd")
+    dealt = records.withColumn("day", F.coalesce(day, F.lit(UNREADABLE)))
+    dealt.write.mode("append").partitionBy("day").parquet(path)
+
+
+def purge_days(spark: SparkSession, path: str, now: str, days: int, ts: str = "ts") -> tuple[int, int]:
+    """Purges a log of append_by_day in place; how many records it kept and dropped, as purge_counts.
+
+    Whole days before the limit and unreadable times go as folders, without a record being read (their number is in the
+    files' footers); the day in which the limit falls is the only one that is written again.
+    """
+    path = path.rstrip("/")
+    log = spark.read.option("basePath", path).schema(spark.read.parquet(path).schema).parquet(path).withColumn("day", F.col("day").cast("string"))
+    edge = str(spark.range(1).select(F.date_format(F.to_timestamp(F.lit(now)) - F.expr(f"interval {int(days)} days"), "yyyy-MM-dd").alias("d")).first().d)
+    per = {r.day: r["count"] for r in log.groupBy("day").count().collect()}  # a row a day
+    kept, dropped = 0, 0
+    for day, n in sorted(per.items()):
+        if day == edge:
+            stays = cut(purge(log.filter(F.col("day") == edge), now, days, ts).drop("day"))
+            left = stays.count()
+            if left:  # beside the old files first, so that a purge that breaks off loses none
+                if left < n:
+                    old = [r.f for r in log.filter(F.col("day") == edge).select(F.input_file_name().alias("f")).distinct().collect()]  # a day's files
+                    stays.write.mode("append").parquet(f"{path}/day={day}")
+                    for f in old:
+                        remove(spark, f)
+            else:
+                remove(spark, f"{path}/day={day}")
+            kept, dropped = kept + left, dropped + n - left
+        elif day == UNREADABLE or day < edge:
+            remove(spark, f"{path}/day={day}")
+            dropped += n
+        else:
+            kept += n
+    return kept, dropped
+
+
 def allowed(times: list[float], limit: int, window: float, recent: list[float] | None = None) -> tuple[list[bool], list[float]]:
     """For each time, in order, whether fewer than limit allowed ones lie within the window before it."""
     recent, out = list(recent or []), []

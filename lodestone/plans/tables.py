@@ -57,3 +57,9 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, in whatever store it lies; none is no error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

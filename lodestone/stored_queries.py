@@ -10,12 +10,16 @@ from .functions import text as X
 from .operators import chunking as C
 from .operators import embed as E
 from .operators import evaluate as V
+from .operators import index as I
 from .operators import inverted as N
+from .operators import merkle as M
 from .operators import privacy as R
 from .operators import retrieve as S
+from .operators import answer as A
 from .plans.tables import shared_dir
 from .plans.tables import table as _t
-from .queries import _GOLD_SQL, _RERANK, HYBRID_SQL, ORACLES, _versions, corpus, gold, index, questions, register
+from .queries import _GOLD_SQL, _RERANK, HYBRID_SQL, NOW, ORACLES, _versions, corpus, gold, index, questions, register
+from .sources import loaders as L
 from .streaming import documents as T
 from .streaming import jobs as J
 
@@ -88,3 +92,40 @@ def retrieval_report_all_modes(spark, d):
     hits = S.all_modes(q, c, E.hashing(q, "qid", "question"), cv, max(V.KS)).join(c.select("chunk_id", "source", "heading"), "chunk_id")
     r = V.retrieval_report(hits, gold(spark, d), spark.createDataFrame([(m,) for m in S.MODES], "mode string"))
     return r.select("mode", "questions", *[F.round(x, 6).alias(x) for x in ("recall_at_1", "recall_at_3", "recall_at_5", "mrr")])
+
+
+@register("""SELECT 'dropped' AS what, count(*) AS records FROM events WHERE NOT (event_id % 50 <> 0 AND ts >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 15 DAY)
+    UNION ALL SELECT CAST(event_id AS VARCHAR), 1 FROM events WHERE event_id % 50 <> 0 AND ts >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 15 DAY""")
+def log_by_days(spark, d):
+    """The log written by days and purged in place: what is left, and how many records went."""
+    path = _place(spark, "days")
+    log = _t(spark, d, "events").select("event_id", F.when(F.col("event_id") % 50 == 0, "unreadable").otherwise(F.col("ts").cast("string")).alias("ts"))
+    R.append_by_day(log, path)
+    _, dropped = R.purge_days(spark, path, NOW, 15)
+    left = spark.read.parquet(path).select(F.col("event_id").cast("string").alias("what"), F.lit(1).cast("long").alias("records"))
+    return left.unionByName(spark.createDataFrame([("dropped", dropped)], "what string, records long"))
+
+
+@register(r"""WITH l AS (SELECT 'Doc ' || doc_id AS heading, regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') AS t FROM documents),
+t AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT heading, md5(t) AS text_md5, 'section' AS kind, 'txt' AS suffix FROM l WHERE t <> '' UNION ALL SELECT text, md5(nt), 'faq', 'json' FROM t WHERE role = 'user' AND nr = 'assistant'""")
+def folder_load(spark, d):
+    """Documents under headings in text files and question pairs in JSON lines, written as a folder and loaded by their formats."""
+    path = _place(spark, "folder")
+    docs = _t(spark, d, "documents").select(F.concat(F.lit("# Doc "), F.col("doc_id").cast("string"), F.lit("\n"), X.blank(F.col("text"))).alias("value"))
+    docs.write.text(f"{path}/plain")
+    A.exchanges(_t(spark, d, "conversations")).select(F.col("question").alias("Q"), F.col("answer").alias("response")).write.json(f"{path}/faq")
+    got = L.load_folder(spark, path)
+    return got.select("heading", F.md5(F.col("text").cast("binary")).alias("text_md5"), "kind", F.substring_index("source", ".", -1).alias("suffix"))
+
+
+@register("""SELECT CAST(doc_id AS VARCHAR) AS source, CASE WHEN doc_id % 10 = 3 THEN 'removed' ELSE 'changed' END AS status FROM documents WHERE doc_id % 10 IN (3, 4)""")
+def merkle_changes(spark, d):
+    """What differs between two versions of the documents, found from the root of their digest trees."""
+    old, new = (I.file_hashes(v.select("source", "text")) for v in _versions(spark, d))
+    trees = []
+    for hashes in (old, new):
+        at = _place(spark, "merkle")
+        M.write(at, hashes)
+        trees.append(M.read(spark, at))
+    return M.changes(*trees)[0]

@@ -11,6 +11,7 @@ from lodestone.operators import chunking as C
 from lodestone.operators import embed as E
 from lodestone.operators import index as I
 from lodestone.operators import inverted as N
+from lodestone.operators import merkle as M
 from lodestone.operators import privacy as R
 from lodestone.operators import retrieve as S
 from lodestone.streaming import documents as T
@@ -196,3 +197,37 @@ def test_sessions_spread_a_hot_key(spark):
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(where) >= 4 and max(r["count"] for r in where) < 1000  # of 2,000
     assert R.rate_limit_by_sessions(df.limit(0), "user", "ts", "event_id", 3, 60).collect() == []
+
+
+def test_days_are_purged_in_place(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = [(i, t) for i, t in enumerate(["2024-01-01 10:00:00", "2024-01-04 23:59:59", "2024-01-05 00:00:00", "2024-01-05 12:00:00", "2024-01-05 11:59:59", "2024-01-09 00:00:00", "never", None, "2024-02-01 00:00:00"])]
+    log = spark.createDataFrame(rows, "id int, ts string").repartition(3)
+    for part in (log.filter("id < 4"), log.filter("id >= 4")):
+        R.append_by_day(part, path)
+    later = next((tmp_path / "log" / "day=2024-01-09").glob("*.parquet"))
+    stamp = later.stat().st_mtime_ns
+    want = R.purge_counts(log, "2024-01-20 12:00:00", 15).first()
+    assert R.purge_days(spark, path, "2024-01-20 12:00:00", 15) == (want.kept, want.dropped) == (3, 6)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == sorted(r.id for r in R.purge(log, "2024-01-20 12:00:00", 15).collect()) == [3, 5, 8]
+    assert later.stat().st_mtime_ns == stamp and sorted(p.name for p in (tmp_path / "log").iterdir() if p.is_dir()) == ["day=2024-01-05", "day=2024-01-09", "day=2024-02-01"]
+    assert R.purge_days(spark, path, "2024-01-20 12:00:00", 15) == (3, 0)
+
+
+def test_trees_are_read_where_they_differ(spark, tmp_path):
+    base = {f"dir/{i}": f"{i:064x}" for i in range(3000)}
+    frame = lambda files: spark.createDataFrame(list(files.items()), "source string, sha256 string")
+    new = {k: v for k, v in base.items() if k != "dir/7"} | {"dir/9": "f" * 64, "more": "0" * 64}
+    for name, files in (("old", base), ("new", new), ("none", {})):
+        M.write(str(tmp_path / name), frame(files) if files else frame(base).limit(0))
+    old, now, none = (M.read(spark, str(tmp_path / n)) for n in ("old", "new", "none"))
+    found, compared = M.changes(old, now)
+    assert sorted(map(tuple, found.collect())) == [("dir/7", "removed"), ("dir/9", "changed"), ("more", "added")]
+    # a root, and at most sixteen children of each of three prefixes that differ
+    assert compared[0] == 1 and compared[1] == 16 and all(n <= 48 for n in compared[2:])
+    assert old["digests"].filter("level = 4").count() > 2500
+    same, compared = M.changes(old, old)
+    assert same.collect() == [] and compared == [1, 0, 0, 0, 0]
+    assert M.changes(old, none)[0].filter("status = 'removed'").count() == 3000 and M.changes(none, none)[0].collect() == []
+    plain = I.changed_sources(frame(base), frame(new))
+    assert {r.source for r in plain.collect()} == {r.source for r in found.filter("status <> 'removed'").collect()}
