@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, batch, cut, table
+from .common import HOT_SHARE, batch, cut, id_bucket, table
 
 MIN_BYTES = 100
 ARCHIVE_BYTES = 8 << 20
@@ -37,8 +37,9 @@ def with_roles(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """page_id, url, payload binary, payload_bytes, payload_digest, record_type, refers_to, first_url.
 
     The first page of each digest is found by a grouped minimum over ids and digests (partial sums first, so a payload that
-    a third of all pages share is one row a task).  The few hot digests are sent to the pages (fewer than HOT_SHARE rows);
-    the others are joined, by Spark's choice: sent too while they are small, else by a shuffle that hot ones don't skew.
+    a third of all pages share is one row a task).  The few hot digests are sent to the pages (fewer than HOT_SHARE rows).
+    Of the others a filter of fixed size is sent: pages that it rules out are of one of a kind and stay where they are, only
+    the payloads of those that may repeat are joined, by Spark's choice: by a shuffle that hot ones don't skew.
     """
     p = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     p = p.withColumn("payload_bytes", F.length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
@@ -48,11 +49,15 @@ def with_roles(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     total = first.agg(F.sum("n")).first()[0] or 0
     hot = F.col("n") * HOT_SHARE > total
     named = lambda df, x: df.select(F.col("payload_digest").alias(f"key_{x}"), F.col("first_url").alias(f"url_{x}"), F.col("first_id").alias(f"id_{x}"))
-    out = p.join(F.broadcast(named(first.filter(hot), "hot")), F.col("payload_digest") == F.col("key_hot"), "left")
-    # a page of a hot digest meets nothing more: a key of its own keeps it from one task
-    key = F.when(F.col("key_hot").isNull(), F.col("payload_digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
-    out = out.withColumn("key", key).join(named(first.filter(~hot), "rest"), F.col("key") == F.col("key_rest"), "left")
-    out = out.withColumns({"first_id": F.coalesce("id_hot", "id_rest"), "first_url": F.when(F.col("key_hot").isNotNull(), F.col("url_hot")).otherwise(F.col("url_rest"))})
+    p = p.join(F.broadcast(named(first.filter(hot), "hot")), F.col("payload_digest") == F.col("key_hot"), "left")
+    rest = first.filter(~hot)
+    # pages of hot digests are settled, and so are those whose digest the filter doesn't know
+    buckets = F.broadcast(rest.select(id_bucket("payload_digest").alias("_b")).distinct())  # 2**FILTER_BITS at most
+    p = p.withColumn("_k", F.when(F.col("key_hot").isNull(), id_bucket("payload_digest")))
+    cols = ["page_id", "url", "payload", "payload_bytes", "payload_digest"]
+    settled = p.join(buckets, F.col("_k") == F.col("_b"), "left_anti").select(*cols, F.col("id_hot").alias("first_id"), F.col("url_hot").alias("first_url"))
+    open_ = p.join(buckets, F.col("_k") == F.col("_b"), "left_semi").join(named(rest, "rest"), F.col("payload_digest") == F.col("key_rest"), "left")
+    out = settled.unionByName(open_.select(*cols, F.col("id_rest").alias("first_id"), F.col("url_rest").alias("first_url")))
     again = F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id"))
     return out.select(
         "page_id", "url", F.when(~again, F.col("payload")).alias("payload"), "payload_bytes", "payload_digest",

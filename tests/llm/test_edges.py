@@ -97,3 +97,19 @@ def test_trees_do_not_see_what_labels_them(spark):
     model = pii.train(spark.createDataFrame(keyed, "doc_id long, text string"))
     used = {t[0] for t in model["trees"]} | {side[0] for t in model["trees"] for side in t[2:] if side[2] != side[3]}
     assert pii.FEATURES.index("keyword") not in used
+
+
+def test_unique_payloads_stay_out_of_the_join(spark, monkeypatch):
+    """Pages whose payload comes once are never shuffled, even if repeated digests are too many to be sent."""
+    monkeypatch.setattr(warc, "HOT_SHARE", 1)  # no digest is hot
+    rows = [(i, f"u{i}", ("same %d " % (i % 4) if i < 40 else f"own {i} ") * 20) for i in range(400)] + [(900, "v", "x"), (901, "v", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = warc.with_roles(pages)
+        got = {r.page_id: (r.record_type, r.refers_to, r.payload is None) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {i: ("revisit", i % 4, True) if 4 <= i < 40 else ("response", None, False) for i, _, _ in rows}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") >= 2 and "LeftAnti" in plan
