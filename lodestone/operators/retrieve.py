@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ RRF_K = 60
 FEW_TERMS = 50_000
 #: Bytes of query vectors that are sent to every task; more of them meet the vectors' blocks by a product of partitions.
 FEW_BYTES = 64 << 20
+#: Scores are ranked at nine decimals, so what is this near counts as equal.
+NEAR = 1e-8
 MODES = ("bm25", "vector", "hybrid", "hybrid+rerank")
 
 
@@ -93,45 +96,99 @@ def bm25(questions: DataFrame, chunks: DataFrame, k: int = CANDIDATES, k1: float
     return _top(scored, k)
 
 
-def _blocks(rows: DataFrame, names: list[str], size: int) -> DataFrame:
-    """Rows of a task in blocks of at most size, as arrays."""
+def _packed(x: np.ndarray) -> pa.Array:
+    return pa.array([np.ascontiguousarray(x, np.float64).tobytes()])
+
+
+def _near(x: np.ndarray, size: int, rounds: int = 3) -> np.ndarray:
+    """An order of rows in which each stretch of size rows lies close together: by the nearest of as many centres as stretches."""
+    m = -(-len(x) // size)
+    if m < 2:
+        return np.arange(len(x))
+    c = x[np.linspace(0, len(x) - 1, m).astype(int)]
+    for _ in range(rounds):
+        at = ((c * c).sum(1)[None] / 2 - x @ c.T).argmin(1)
+        c = np.stack([x[at == i].mean(axis=0) if (at == i).any() else c[i] for i in range(m)])
+    return np.argsort(at, kind="stable")
+
+
+def _query_blocks(queries: DataFrame, size: int, sample: np.ndarray | None, k: int) -> DataFrame:
+    """qid array, q_vecs, floors: blocks of queries that lie close together, and of each the k-th best score in the sample, if that is so large."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in frames:
+            x = b.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(b), -1) if len(b) else np.zeros((0, 1))
+            order = _near(x, size)
+            for lo in range(0, len(b), size):
+                at = order[lo : lo + size]
+                floor = np.full(len(at), -np.inf)
+                if sample is not None and len(sample) >= k:
+                    floor = np.partition(x[at] @ sample.T, -k, axis=1)[:, -k]
+                ids = pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), b.column("qid").take(pa.array(at)))
+                yield pa.RecordBatch.from_arrays([ids, _packed(x[at]), _packed(floor)], names=["qid", "q_vecs", "floors"])
+
+    return queries.select("qid", "vec").mapInArrow(run, f"qid array<{queries.schema['qid'].dataType.simpleString()}>, q_vecs binary, floors binary")
+
+
+def _blocks(vectors: DataFrame, size: int) -> DataFrame:
+    """chunk_id, okey arrays in corpus order, vecs, centre, radius: blocks of a task's vectors that lie close together."""
+    kinds = [f"{n} array<{vectors.schema[n].dataType.simpleString()}>" for n in ("chunk_id", "okey")]
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in frames:
+            if not len(b):
+                continue
+            x = b.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(b), -1)
+            order = _near(x, size)
             for lo in range(0, len(b), size):
-                part = b.slice(lo, size)
-                x = part.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(n).to_pylist()], pa.list_(part.column(n).type)) for n in names] + [pa.array([x.tobytes()])], names=[*names, "vecs"])
+                at = order[lo : lo + size]
+                at = at[pc.sort_indices(b.column("okey").take(pa.array(at))).to_numpy()]
+                centre = x[at].mean(axis=0)
+                radius = float(np.linalg.norm(x[at] - centre, axis=1).max())
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), b.column(n).take(pa.array(at))) for n in ("chunk_id", "okey")]
+                yield pa.RecordBatch.from_arrays([*lists, _packed(x[at]), _packed(centre), pa.array([radius])], names=["chunk_id", "okey", "vecs", "centre", "radius"])
 
-    kinds = ", ".join(f"{n} array<{rows.schema[n].dataType.simpleString()}>" for n in names)
-    return rows.select(*names, "vec").mapInArrow(run, f"{kinds}, vecs binary")
+    return vectors.select("chunk_id", "okey", "vec").mapInArrow(run, f"{', '.join(kinds)}, vecs binary, centre binary, radius double")
 
 
-def vector(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, query_block: int = 512, block: int = 2048) -> DataFrame:
+def vector(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, query_block: int = 512, block: int = 1024, sample: int = 2048, told=None) -> DataFrame:
     """qid, chunk_id, okey, score, rank: exact inner products of queries (qid, vec) with all vectors (chunk_id, okey, vec).
 
-    Blocks of queries meet blocks of vectors; each two keep the best k a query, so queries x vectors is never a table.
+    Blocks of queries meet blocks of vectors, so queries x vectors is never a table.  No vector of a block scores more than
+    q . centre + |q| radius; a query whose k-th best score so far is above that skips the block.  What it has at first is its
+    k-th best in a sample of the vectors.  told: an accumulator of the products of queries and vectors that were worked out.
     """
-    q, c = _blocks(queries, ["qid"], query_block), _blocks(vectors, ["chunk_id", "okey"], block)
-    kinds = {n: (queries if n == "qid" else vectors).schema[n].dataType.simpleString() for n in ("qid", "chunk_id", "okey")}
-    schema = f"qid {kinds['qid']}, chunk_id {kinds['chunk_id']}, okey {kinds['okey']}, score double"
+    few = vectors.select("vec").limit(sample).toArrow()  # bounded: any rows will do
+    known = few.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(few.num_rows, -1) if few.num_rows else None
+    kinds = {n: (queries if n == "qid" else vectors).schema[n].dataType for n in ("qid", "chunk_id", "okey")}
+    schema = ", ".join(f"{n} {t.simpleString()}" for n, t in kinds.items()) + ", score double"
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}  # floors of the query blocks that this task has met, a few numbers a query
         for b in frames:
-            for qid, qv, ids, keys, cv in zip(b.column("qid"), b.column("q_vecs"), b.column("chunk_id"), b.column("okey"), b.column("vecs")):
-                qid, ids, keys = np.array(qid.as_py(), object), np.array(ids.as_py(), object), np.array(keys.as_py(), object)
-                x, y = (np.frombuffer(v.as_buffer()).reshape(len(n), -1) for v, n in ((qv, qid), (cv, ids)))
-                order = np.argsort(keys, kind="stable")
-                ids, keys, s = ids[order], keys[order], x @ y[order].T
+            for i in range(len(b)):
+                qid, ids, keys = (b.column(c)[i].values for c in ("qid", "chunk_id", "okey"))
+                x, y, centre = (np.frombuffer(b.column(c)[i].as_buffer()) for c in ("q_vecs", "vecs", "centre"))
+                x, y = x.reshape(len(qid), -1), y.reshape(len(ids), -1)
+                floor = held.setdefault(b.column("q_no")[i].as_py(), np.frombuffer(b.column("floors")[i].as_buffer()).copy())
+                reach = x @ centre + np.linalg.norm(x, axis=1) * b.column("radius")[i].as_py()
+                some = np.flatnonzero(reach >= floor - NEAR)
+                if not len(some):
+                    continue
+                s = x[some] @ y.T
+                if told is not None:
+                    told.add(s.size)
                 best = np.argsort(-s.round(9), axis=1, kind="stable")[:, :k]
-                n = best.shape[1]
-                cols = {"qid": np.repeat(qid, n), "chunk_id": ids[best.ravel()], "okey": keys[best.ravel()]}
-                arrays = [pa.array(v.tolist(), b.column(c).type.value_type) for c, v in cols.items()]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.take_along_axis(s, best, 1).ravel())], names=[*cols, "score"])
-
-    q = cut(q.select("qid", F.col("vecs").alias("q_vecs")))
+                top = np.take_along_axis(s, best, 1)
+                row, col = np.nonzero(top >= floor[some][:, None] - NEAR)
+                if top.shape[1] == k:
+                    floor[some] = np.maximum(floor[some], top[:, -1])
+                at = pa.array(best[row, col])
+                yield pa.RecordBatch.from_arrays([qid.take(pa.array(some[row])), ids.take(at), keys.take(at), pa.array(top[row, col])], names=["qid", "chunk_id", "okey", "score"])
+
+    q = cut(_query_blocks(queries, query_block, known, k).withColumn("q_no", F.monotonically_increasing_id()))
     size = q.agg(F.coalesce(F.sum(F.length("q_vecs")), F.lit(0))).first()[0]
-    met = c.crossJoin(F.broadcast(q) if size <= FEW_BYTES else q)  # a row for each two blocks
+    met = _blocks(vectors, block).crossJoin(F.broadcast(q) if size <= FEW_BYTES else q)  # a row for each two blocks
     return _top(met.mapInArrow(run, schema), k)
 
 

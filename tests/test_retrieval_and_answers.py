@@ -228,3 +228,25 @@ def test_passages_by_an_automaton(spark):
     for at_once in (1 << 20, 4):
         assert sorted(map(tuple, V.containing(d, "source", p, "qid", at_once).collect()), key=repr) == want
     assert V.containing(d, "source", p.limit(0), "qid").collect() == [] == V.containing(d.limit(0), "source", p, "qid").collect()
+
+
+def test_vector_search_skips_blocks_that_are_too_far(spark):
+    """Clustered vectors, ties and zero vectors: the exact k best, with a part of the products."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(12, 24))[np.arange(6000) // 500] + 0.05 * rng.normal(size=(6000, 24))
+    x[100:130] = x[100]
+    x[7] = 0
+    v = spark.createDataFrame([(f"c{i}", f"{i // 2:05}", [float(c) for c in r]) for i, r in enumerate(x)], "chunk_id string, okey string, vec array<double>").coalesce(2)
+    queries = [*range(0, 6000, 300), 7, 100]
+    q = spark.createDataFrame([(i, [float(c) for c in x[i]]) for i in queries], "qid int, vec array<double>")
+    told = spark.sparkContext.accumulator(0)
+    got = {}
+    for r in S.vector(q, v, 10, query_block=4, block=128, sample=300, told=told).collect():
+        got.setdefault(r.qid, []).append((r["rank"], r.chunk_id))
+    for i in queries:
+        s = (x @ x[i]).round(9)
+        want = sorted(range(6000), key=lambda j: (-s[j], f"{j // 2:05}", f"c{j}"))[:10]
+        assert [c for _, c in sorted(got[i])] == [f"c{j}" for j in want]
+    assert told.value < 0.5 * 6000 * len(queries)
+    assert S.vector(q, v.limit(0), 10).collect() == [] == S.vector(q.limit(0), v, 10).collect()
+    assert sorted(r["rank"] for r in S.vector(q.limit(1), v.limit(3), 10).collect()) == [1, 2, 3]
