@@ -37,6 +37,13 @@ def fold(word: Column) -> Column:
     return F.when(ies, F.concat(F.left(word, n - 3), F.lit("y"))).when(s, F.left(word, n - 1)).otherwise(word)
 
 
+def folded(word: str) -> str:
+    """fold of one word, for code that looks at each different word once."""
+    if len(word) > 4 and word.endswith("ies"):
+        return word[:-3] + "y"
+    return word[:-1] if len(word) > 3 and word.endswith("s") and not word.endswith(("ss", "us", "is")) else word
+
+
 def search_terms(text: Column) -> Column:
     """Lower-cased words without stop words, plurals folded; in order, repeats kept."""
     words = F.regexp_extract_all(F.lower(blank(text)), F.lit(P.TERM), F.lit(0))

@@ -27,7 +27,7 @@ from pyspark.sql.types import DataType
 
 from ..functions import text as X
 from ..plans.tables import parts
-from .retrieve import B, CANDIDATES, K1, chunk_terms
+from .retrieve import B, CANDIDATES, K1, with_terms
 
 SHARD = 16_384  # chunks
 BLOCK = 128
@@ -46,7 +46,7 @@ def impact(tf, dl, avgdl: float, k1: float = K1, b: float = B):
 def placed(chunks: DataFrame, per_shard: int = SHARD) -> DataFrame:
     """places of chunks (chunk_id, okey, and terms or a text to take them from)."""
     n = F.broadcast(chunks.agg(F.greatest(F.ceil(F.count("*") / per_shard), F.lit(1)).alias("shards")))  # one row
-    rows = chunks.select("chunk_id", "okey", chunk_terms(chunks).alias("terms")).join(n)
+    rows = with_terms(chunks).select("chunk_id", "okey", "terms").join(n)
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.col("shards")).cast("int")).drop("shards")
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("shard").orderBy("okey", "chunk_id")) - 1)
 

@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
 from ..functions import text as X
 from ..plans.tables import cut
 
@@ -39,6 +40,31 @@ def chunk_terms(chunks: DataFrame) -> Column:
     return F.col("terms") if "terms" in chunks.columns else X.search_terms(search_text())
 
 
+def with_terms(chunks: DataFrame) -> DataFrame:
+    """chunks with the column terms, as chunk_terms works it out; each batch's different words are looked at once."""
+    if "terms" in chunks.columns:
+        return chunks
+    words = chunks.withColumn("terms", F.regexp_extract_all(F.lower(search_text()), F.lit(P.TERM), F.lit(0)))
+    stop = frozenset(P.STOPWORDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("terms")
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            coded = lists.flatten().dictionary_encode()
+            names = coded.dictionary.to_pylist()
+            keep = np.array([w not in stop for w in names], bool)
+            code = coded.indices.to_numpy(zero_copy_only=False)
+            stays = keep[code] if len(names) else np.zeros(0, bool)
+            row = np.repeat(np.arange(len(b)), sizes)[stays]
+            at = np.r_[0, np.cumsum(np.bincount(row, minlength=len(b)))].astype(np.int32)
+            terms = pa.array([X.folded(w) for w in names], pa.string()).take(pa.array(code[stays]))
+            cols = [pa.ListArray.from_arrays(pa.array(at), terms) if n == "terms" else b.column(n) for n in b.schema.names]
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
+
+    return words.mapInArrow(run, words.schema)
+
+
 def postings(chunks: DataFrame, only: frozenset | None = None) -> DataFrame:
     """term, chunk_id, okey, tf, dl: a chunk's terms are counted where the chunk lies, without a shuffle.
 

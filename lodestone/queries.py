@@ -52,8 +52,7 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 
 def lexicon(spark: SparkSession, d: str) -> DataFrame:
     """Chunks with their terms, written once."""
-    c = corpus(spark, d)
-    return cut(c.withColumn("terms", S.chunk_terms(c)))
+    return cut(S.with_terms(corpus(spark, d)))
 
 
 def index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -138,8 +137,8 @@ def token_count(spark, d):
 
 @register(f"SELECT term, count(*) AS uses, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({terms_sql('text')}) AS term FROM documents) GROUP BY term")
 def search_terms(spark, d):
-    t = _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.lit("").alias("okey"), X.search_terms(F.col("text")).alias("terms"))
-    return S.postings(t).groupBy("term").agg(F.sum("tf").alias("uses"), F.count("*").alias("docs"))
+    t = _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), *[F.lit("").alias(c) for c in ("okey", "title", "heading")], "text")
+    return S.postings(S.with_terms(t)).groupBy("term").agg(F.sum("tf").alias("uses"), F.count("*").alias("docs"))
 
 
 @register(r"""SELECT turn_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')) AS tidied
@@ -254,8 +253,7 @@ def sync_report(spark, d):
 
 @register(f"WITH {BM25_SQL} SELECT qid, CAST(rank AS INTEGER) AS rank, chunk_id, round(score, 6) AS score FROM lexical WHERE rank <= 4")
 def bm25_topk(spark, d):
-    c = corpus(spark, d)
-    c = cut(c.select("chunk_id", "okey", S.chunk_terms(c).alias("terms")))
+    c = cut(S.with_terms(corpus(spark, d)).select("chunk_id", "okey", "terms"))
     return S.bm25(questions(spark, d), c, 4).select("qid", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -452,7 +450,7 @@ def chunk_size_ablation(spark, d):
     asked = E.hashing(q, "qid", "question")
     for size in (60, 120, 220, 400):
         c = C.distinct_chunks(C.with_ids(C.chunk_sections(_sections(spark, d), size, min(30, size // 4)))).withColumn("title", F.lit(""))
-        c = cut(c.withColumn("terms", S.chunk_terms(c)))
+        c = cut(S.with_terms(c))
         cv = cut(E.hashing(c, ["chunk_id", "okey"], "terms"))
         h = S.search(q, c, asked, cv, "hybrid", max(V.KS)).join(c.select("chunk_id", "source"), "chunk_id")
         one = h.select(F.lit(str(size)).alias("mode"), "qid", "rank", "source", "heading")

@@ -31,8 +31,8 @@ def _place(spark, name: str) -> str:
 @register(ORACLES["bm25_topk"])
 def stored_bm25_topk(spark, d):
     """An index is written; its blocks alone answer the questions."""
-    at, c = _place(spark, "inverted"), corpus(spark, d)
-    stats = N.write(at, c.select("chunk_id", "okey", S.chunk_terms(c).alias("terms"))).first()
+    at = _place(spark, "inverted")
+    stats = N.write(at, corpus(spark, d)).first()
     found = N.search(N.read(spark, at), questions(spark, d), stats.n, stats.avgdl, 4)
     return found.select("qid", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
