@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import patterns as P
 from ..functions import text as X
@@ -22,8 +23,10 @@ K1, B = 1.2, 0.75
 CANDIDATES = 20
 TOP_K = 4
 RRF_K = 60
-#: Asked terms that are sent to every task (a few MB); more of them are joined.
+#: Pairs of question and term that are sent to every task (a few MB); more of them are joined.
 FEW_TERMS = 50_000
+#: Scores that a task holds at a time.
+CELLS = 1 << 21
 #: Bytes of query vectors that are sent to every task; more of them meet the vectors' blocks by a product of partitions.
 FEW_BYTES = 64 << 20
 #: Scores are ranked at nine decimals, so what is this near counts as equal.
@@ -101,25 +104,87 @@ def _top(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _asked_counts(chunks: DataFrame, names: list[str]) -> tuple[int, float, np.ndarray]:
+    """Number of chunks, their mean length, and how many chunks hold each of names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {w: i for i, w in enumerate(names)}
+        df, n, total = np.zeros(len(names), np.int64), 0, 0
+        for b in batches:
+            row, word, _, dl = _counted(b.column("terms"), place)
+            n, total = n + len(b), total + int(dl.sum())
+            df += np.bincount(word, minlength=len(names))
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-2, -1, some]), pa.array(np.r_[n, total, df[some]])], names=["at", "n"])
+
+    out = np.zeros(len(names) + 2, np.int64)
+    for r in chunks.select(chunk_terms(chunks).alias("terms")).mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect():  # a row a term asked for
+        out[r["at"] + 2] = r["n"]
+    return int(out[0]), (int(out[1]) / int(out[0]) if out[0] else 1.0), out[2:]
+
+
+def _counted(lists: pa.ListArray, place: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """row, place, tf of the terms that have a place, in order of rows and places, and each row's length."""
+    dl = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = lists.flatten().dictionary_encode()
+    own = np.array([place.get(w, -1) for w in words.dictionary.to_pylist()], np.int64)
+    at = own[words.indices.to_numpy(zero_copy_only=False)] if len(own) else np.zeros(0, np.int64)
+    has = at >= 0
+    code, tf = np.unique(np.repeat(np.arange(len(dl)), dl)[has] * max(len(place), 1) + at[has], return_counts=True)
+    row, word = np.divmod(code, max(len(place), 1))
+    return row, word, tf, dl
+
+
 def bm25(questions: DataFrame, chunks: DataFrame, k: int = CANDIDATES, k1: float = K1, b: float = B) -> DataFrame:
     """qid, chunk_id, okey, score, rank of the k best chunks with a common term.
 
-    A chunk's postings meet the questions that ask for their terms and are summed before anything is shuffled.
+    The questions' terms go to the chunks (if there are more than FEW_TERMS pairs of both, they are joined); a task scores its
+    chunks where they lie and passes on k a question and batch.
     """
-    asked = questions.select("qid", F.explode(F.array_distinct(X.search_terms(F.col("question")))).alias("term"))
-    terms = asked.select("term").distinct()
-    some = [r.term for r in terms.limit(FEW_TERMS + 1).collect()]  # bounded
-    found = postings(chunks, frozenset(some) if len(some) <= FEW_TERMS else None)
-    if len(some) > FEW_TERMS:
-        found = found.join(terms, "term", "left_semi")
-    found = cut(found)  # counted, then scored
+    asked = questions.select("qid", F.explode(F.array_distinct(X.search_terms(F.col("question")))).alias("term")).distinct()
+    pairs = asked.limit(FEW_TERMS + 1).collect()  # bounded
+    if len(pairs) > FEW_TERMS:
+        return _top(_joined_scores(asked, chunks, k1, b), k)
+    names, qids = sorted({r.term for r in pairs}), list(dict.fromkeys(r.qid for r in pairs))
+    place, no = {w: i for i, w in enumerate(names)}, {q: i for i, q in enumerate(qids)}
+    n, avgdl, df = _asked_counts(chunks, names)
+    idf = np.log((n - df + 0.5) / (df + 0.5) + 1)
+    of = np.array(sorted((place[r.term], no[r.qid]) for r in pairs), np.int64).reshape(-1, 2)
+    first = np.searchsorted(of[:, 0], np.arange(len(names) + 1))  # a term's questions
+    kinds = [questions.schema["qid"].dataType, *(chunks.schema[c].dataType for c in ("chunk_id", "okey"))]
+    arrow = to_arrow_type(kinds[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = pa.array(qids, arrow)
+        step = max(1, CELLS // max(len(qids), 1))
+        for whole in batches:
+            for lo in range(0, len(whole), step):
+                part = whole.slice(lo, step)
+                row, word, tf, dl = _counted(part.column("terms"), place)
+                share = idf[word] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[row] / avgdl))
+                many = first[word + 1] - first[word]
+                q = of[np.repeat(first[word], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many), 1]
+                score = np.bincount(q * len(part) + np.repeat(row, many), np.repeat(share, many), len(qids) * len(part)).reshape(len(qids), len(part))
+                order = pc.sort_indices(part.select(["okey", "chunk_id"]), [("okey", "ascending"), ("chunk_id", "ascending")]).to_numpy()
+                best = order[np.argsort(-score[:, order].round(9), axis=1, kind="stable")[:, :k]]
+                top = np.take_along_axis(score, best, 1)
+                i, j = np.nonzero(top > 0)
+                at = pa.array(best[i, j])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), part.column("chunk_id").take(at), part.column("okey").take(at), pa.array(top[i, j])], names=["qid", "chunk_id", "okey", "score"])
+
+    schema = ", ".join(f"{c} {t.simpleString()}" for c, t in zip(("qid", "chunk_id", "okey"), kinds)) + ", score double"
+    return _top(chunks.select("chunk_id", "okey", chunk_terms(chunks).alias("terms")).mapInArrow(run, schema), k)
+
+
+def _joined_scores(asked: DataFrame, chunks: DataFrame, k1: float, b: float) -> DataFrame:
+    """qid, chunk_id, okey, score by joins of postings and asked terms."""
+    found = cut(postings(chunks).join(asked.select("term").distinct(), "term", "left_semi"))  # counted, then scored
     stats = F.broadcast(statistics(chunks))  # one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = found.groupBy("term").agg(F.count("*").alias("df")).crossJoin(stats).select("term", "avgdl", idf.alias("idf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = found.join(asked.join(weight, "term"), "term").select("qid", "chunk_id", "okey", part.alias("part"))
-    scored = scored.groupBy("qid", "chunk_id", "okey").agg(F.sum("part").alias("score")).filter("score > 0")
-    return _top(scored, k)
+    return scored.groupBy("qid", "chunk_id", "okey").agg(F.sum("part").alias("score")).filter("score > 0")
 
 
 def _packed(x: np.ndarray) -> pa.Array:

@@ -250,3 +250,20 @@ def test_vector_search_skips_blocks_that_are_too_far(spark):
     assert told.value < 0.5 * 6000 * len(queries)
     assert S.vector(q, v.limit(0), 10).collect() == [] == S.vector(q.limit(0), v, 10).collect()
     assert sorted(r["rank"] for r in S.vector(q.limit(1), v.limit(3), 10).collect()) == [1, 2, 3]
+
+
+def test_bm25_where_chunks_lie_and_by_joins(spark, monkeypatch):
+    """Both ways give the same rows, whatever a task holds at a time."""
+    rng = np.random.default_rng(8)
+    word = lambda: f"w{int(rng.exponential(20))}"
+    rows = [(f"c{i}", f"{i % 50:03}", "", "", " ".join(word() for _ in range(int(rng.integers(0, 30))))) for i in range(300)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, okey string, title string, heading string, text string").repartition(3)
+    q = spark.createDataFrame([(i, " ".join(word() for _ in range(4))) for i in range(12)] + [(50, ""), (51, "zzz")], "qid int, question string")
+    read = lambda: sorted((r.qid, r["rank"], r.chunk_id, round(r.score, 8)) for r in S.bm25(q, chunks, 7).collect())
+    got = read()
+    assert len(got) == 12 * 7
+    monkeypatch.setattr(S, "CELLS", 30)
+    assert read() == got
+    monkeypatch.setattr(S, "FEW_TERMS", 3)
+    assert read() == got
+    assert S.bm25(q, chunks.limit(0), 7).collect() == [] == S.bm25(q.limit(0), chunks, 7).collect()
