@@ -8,7 +8,7 @@ bucket's size stays the same as the input and that setting grow together.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -103,6 +103,38 @@ def gather(batches: Iterator[pa.RecordBatch], dtypes: list) -> list[np.ndarray]
     return [np.frombuffer(b"".join(x), t) for x, t in zip(got, dtypes)]
 
 
+#: Entries under one key that a task takes in any case.
+FEW_ENTRIES = 1 << 12
+
+
+def key_bucket(h: np.ndarray) -> np.ndarray:
+    """Mixed first, as anchors are the least hashes of their windows."""
+    return (mix(h) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def frequent(docs: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], least: int = FEW_ENTRIES, share: int = 2 * HOT_SHARE) -> np.ndarray:
+    """The hash buckets (2**FILTER_BITS of them) in which a key of more than 2 / share of all keys, and of more than 2 * least, can be.
+
+    A task tells of the buckets that hold more than 1 / share of its own keys, so fewer than share.  What the tasks leave out
+    of a bucket is at most 1 / share of all keys, so no such key is missed.  Fewer than share buckets reach the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        load = np.zeros(1 << FILTER_BITS, np.int64)
+        for h in keys(batches):
+            load += np.bincount(key_bucket(h), minlength=len(load))
+        total = int(load.sum())
+        if total:
+            big = np.flatnonzero(load * share > total)
+            yield batch({"at": pa.int64(), "n": pa.int64()}, at=np.r_[-1, big], n=np.r_[total, load[big]])
+
+    sums = cut(docs.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")))
+    total = sums.filter("at = -1").first()
+    if total is None:
+        return np.zeros(0, np.int64)
+    return np.array(sorted(r["at"] for r in sums.filter((F.col("at") >= 0) & (F.col("n") > max(total["n"] // share, least))).collect()), np.int64)
+
+
 def by_bucket(df: DataFrame, n: int) -> DataFrame:
     return df.repartition(n, "bucket")
 

@@ -7,9 +7,11 @@ instead edges travel in unbranching pieces:
 1. The m-word gram of least hash in each window (m = 7) is the window's anchor; consecutive edges of a text with the same
    anchor are one piece.  Pieces meet at their anchor, dealt by hash; equal ones of one stretch of text are settled before.
 2. Equal pieces are one path without a branch: all its edges lie in the same documents, so each document but the
-   smallest loses them all.  Pieces whose anchor lies in one document only are done.
+   smallest loses them all.  Pieces whose anchor lies in one document only are done.  Anchors are counted before: a
+   frequent one (a passage of very many documents, in other surroundings each) is dealt by its pieces.
 3. Where an anchor has several different pieces the path branches inside them.  The pieces of the smallest document of
    each such path go on, with a hash for each edge, and meet at the anchor again; each edge finds its smallest document.
+   Where more than ``hot`` pieces branch at one anchor their edges are dealt one by one, equal ones settled before as in 1.
 4. Found pieces carry their source's coordinates (document and word), and each edge is in one piece.  Pieces compact to
    paths by a join: a piece's first edge meets the edge after another's last, where both run in step through one source;
    what meets nothing is a path's head or tail, and the next tail after a head ends its path (``paths``).
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, anchor_runs, batch, by_bucket, combined, covered, cut, deal, dealt_schema, gather, having_ids, mix, nested, one_text_an_id, parts, ranges, salted, table, texts, with_ranges
+from .common import FEW_ENTRIES, Words, anchor_runs, batch, by_bucket, combined, covered, cut, deal, dealt_schema, frequent, gather, having_ids, key_bucket, mix, nested, one_text_an_id, parts, ranges, runs, salted, table, texts, with_ranges
 
 K = 13
 M = 7
@@ -48,32 +50,49 @@ def _valid(w: Words, k: int) -> np.ndarray:
 
 
 _OPEN, _DONE = 0, 1  # an entry that travels, or one of a later document that is settled within its stretch of text
+_APART = 2  # added to the state of entries whose anchor is frequent: they are dealt by piece
+HOT = 1 << 14  # pieces that branch at one anchor and that one task takes
 _ENTRY = [np.uint64, np.uint64, np.int64, np.int32, np.uint8, np.uint8, np.uint8]  # anchor, piece, document, first edge, place of the anchor, edges, state
 
 
-def _find_pieces(k: int, m: int, n_buckets: int):
+def _entries(batches: Iterator[pa.RecordBatch], k: int, m: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of a stretch of text's pieces: anchor, piece, document, first edge, place of the anchor, edges, and the entry that stands for it."""
     reach = k - m
+    for b in batches:
+        for _, t in texts(b):
+            w = Words(t)
+            if len(w.start) < k:
+                continue
+            h = w.grams(m)
+            a, u, v = anchor_runs(h, reach + 1, _valid(w, k))
+            doc = np.searchsorted(w.at, a, "right") - 1
+            piece = mix((v - u).astype(np.uint64) << np.uint64(8) | (a - u).astype(np.uint64))
+            for i in range(k + reach):
+                at = u + i
+                piece = np.where(at < v + k - 1, mix(piece ^ w.hash[np.minimum(at, len(w.hash) - 1)]), piece)
+            ids = t.ids[doc]
+            yield h[a], piece, ids, (u - w.at[doc]).astype(np.int32), (a - u).astype(np.uint8), (v - u).astype(np.uint8), combined([h[a], piece], ids)[0]
+
+
+def _counted(k: int, m: int):
+    """The anchors of the entries that travel."""
 
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for h, _, ids, _, _, _, rep in _entries(batches, k, m):
+            yield h[ids == ids[rep]]
+
+    return keys
+
+
+def _find_pieces(k: int, m: int, n_buckets: int, often: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for _, t in texts(b):
-                w = Words(t)
-                if len(w.start) < k:
-                    continue
-                h = w.grams(m)
-                a, u, v = anchor_runs(h, reach + 1, _valid(w, k))
-                doc = np.searchsorted(w.at, a, "right") - 1
-                piece = mix((v - u).astype(np.uint64) << np.uint64(8) | (a - u).astype(np.uint64))
-                for i in range(k + reach):
-                    at = u + i
-                    piece = np.where(at < v + k - 1, mix(piece ^ w.hash[np.minimum(at, len(w.hash) - 1)]), piece)
-                ids, first = t.ids[doc], (u - w.at[doc]).astype(np.int32)
-                rep, _ = combined([h[a], piece], ids)
-                done = ids != ids[rep]
-                bucket = (np.where(done, mix(ids.view(np.uint64)), h[a]) % np.uint64(n_buckets)).astype(np.int64)
-                # a settled entry has its source's document and edge in place of the hashes
-                x, y = np.where(done, ids[rep].view(np.uint64), h[a]), np.where(done, first[rep].astype(np.uint64), piece)
-                yield deal(bucket, n_buckets, [x, y, ids, first, (a - u).astype(np.uint8), (v - u).astype(np.uint8), done.astype(np.uint8)])
+        for h, piece, ids, first, left, n, rep in _entries(batches, k, m):
+            done, apart = ids != ids[rep], np.isin(key_bucket(h), often)
+            key = np.where(done, mix(ids.view(np.uint64)), np.where(apart, mix(h ^ mix(piece)), h))
+            # a settled entry has its source's document and edge in place of the hashes
+            x, y = np.where(done, ids[rep].view(np.uint64), h), np.where(done, first[rep].astype(np.uint64), piece)
+            state = np.where(done, _DONE, np.where(apart, _OPEN + _APART, _OPEN)).astype(np.uint8)
+            yield deal((key % np.uint64(n_buckets)).astype(np.int64), n_buckets, [x, y, ids, first, left, n, state])
 
     return run
 
@@ -83,10 +102,14 @@ _FOUND_DDL = "doc_id long, lo int, hi int, src_doc long, src_lo int, anchor long
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces of documents after the first that holds them (anchor null), and the first's where its anchor branches; lo, hi are edges."""
+    """Pieces of documents after the first that holds them (anchor null), and the first's where its anchor branches; lo, hi are edges.
+
+    Of a frequent anchor the first's go on in any case, as its other pieces are in other tasks.
+    """
     got = gather(batches, _ENTRY)
     if got is None:
         return
+    apart, got[6] = got[6] >= _APART, got[6] % np.uint8(_APART)
     i = np.flatnonzero(got[6] == _DONE)
     if len(i):
         src, at, doc, lo, n = (got[c][i] for c in (0, 1, 2, 3, 5))
@@ -97,6 +120,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     twin = np.zeros(len(s), bool)
     twin[1:] = s[1:] == s[:-1]
     twin[:-1] |= twin[1:]
+    twin |= apart[order]
     order = order[twin]
     order = order[np.lexsort((got[3][order], got[2][order], got[1][order], got[0][order]))]
     h, piece, doc, lo, left, n, _ = (c[order] for c in got)
@@ -112,37 +136,80 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     h_size = np.diff(np.r_[h_start, len(h)])
     branches = np.repeat(np.add.reduceat(new, h_start) > 1, h_size)
     several = np.repeat(np.minimum.reduceat(doc, h_start) != np.maximum.reduceat(doc, h_start), h_size)
-    i = np.concatenate([np.flatnonzero(later), np.flatnonzero(~later & branches & several)])
+    i = np.concatenate([np.flatnonzero(later), np.flatnonzero(~later & (branches & several | apart[order]))])
     ask = np.arange(len(i)) >= later.sum()
     yield batch(_FOUND, doc_id=doc[i], lo=lo[i], hi=(lo + n)[i], src_doc=doc[src[i]], src_lo=lo[src[i]], anchor=pa.array(h.view(np.int64)[i], mask=~ask), pos=(lo + left)[i])
 
 
+def _asked(batches: Iterator[pa.RecordBatch], k: int, m: int, hot: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of a stretch of text's asked pieces: anchor, document, place of the anchor, and a hash of each edge that can reach it (0: none)."""
+    reach = k - m
+    for b in batches:
+        at, (lo, hi, anchor, pos, busy) = nested(b, "asked", ["lo", "hi", "anchor", "pos", "hot"])
+        for row, t in texts(b):
+            n = np.diff(at)[row : row + len(t.ids)]
+            i = np.arange(at[row], at[row + len(n)])
+            some = busy[i].astype(bool) == hot
+            if not some.any():
+                continue
+            w = Words(t)
+            g = w.grams(k)
+            i, base, ids = i[some], np.repeat(w.at[:-1], n)[some], np.repeat(t.ids, n)[some]
+            p = pos[i].astype(np.int64)
+            hashes = np.zeros((len(i), reach + 1), np.uint64)
+            for j in range(reach + 1):
+                first = p - reach + j
+                ok = (first >= lo[i]) & (first < hi[i])
+                hashes[ok, j] = g[(base + first)[ok]] | np.uint64(1)
+            yield np.ascontiguousarray(anchor[i]).astype(np.int64).view(np.uint64), ids, pos[i].astype(np.int32), hashes
+
+
 def _edges(k: int, m: int, n_buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in _asked(batches, k, m, False):
+            yield deal((cols[0] % np.uint64(n_buckets)).astype(np.int64), n_buckets, list(cols))
+
+    return run
+
+
+_LONE = [np.uint64, np.int64, np.int32, np.int64, np.int32, np.uint8]  # edge, document, place, source's document and place, state
+
+
+def _lone_edges(k: int, m: int, n_buckets: int):
+    """Each edge of the pieces whose anchor has very many, dealt by a hash of anchor, place in the piece and edge."""
     reach = k - m
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, (lo, hi, anchor, pos) = nested(b, "asked", ["lo", "hi", "anchor", "pos"])
-            for row, t in texts(b):
-                n = np.diff(at)[row : row + len(t.ids)]
-                if not n.sum():
-                    continue
-                w = Words(t)
-                g = w.grams(k)
-                i = np.arange(at[row], at[row + len(n)])
-                base = np.repeat(w.at[:-1], n)
-                p = pos[i].astype(np.int64)
-                hashes = np.zeros((len(i), reach + 1), np.uint64)
-                for j in range(reach + 1):
-                    first = p - reach + j
-                    ok = (first >= lo[i]) & (first < hi[i])
-                    hashes[ok, j] = g[(base + first)[ok]] | np.uint64(1)
-                h = np.ascontiguousarray(anchor[i]).view(np.uint64)
-                yield deal((h % np.uint64(n_buckets)).astype(np.int64), n_buckets, [h, np.repeat(t.ids, n), pos[i].astype(np.int32), hashes])
+        for h, ids, pos, hashes in _asked(batches, k, m, True):
+            i, j = np.nonzero(hashes)
+            first = (pos[i] - reach + j).astype(np.int32)
+            o = np.lexsort((first, ids[i]))
+            i, j, first = i[o], j[o], first[o]
+            edge, doc = mix(hashes[i, j] ^ mix(h[i] + j.astype(np.uint64))), ids[i]
+            rep, _ = combined([edge], doc)
+            done = doc != doc[rep]
+            bucket = (np.where(done, mix(doc.view(np.uint64) + i.astype(np.uint64)), edge) % np.uint64(n_buckets)).astype(np.int64)
+            yield deal(bucket, n_buckets, [edge, doc, first, doc[rep], first[rep], np.where(done, _DONE, _OPEN).astype(np.uint8)])
 
     return run
 
 
+def _lone_branched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of documents after the first that holds them, each a piece of its own."""
+    got = gather(batches, _LONE)
+    if got is None:
+        return
+    edge, doc, first, src_doc, src_lo, state = got
+    src_doc, src_lo, later = src_doc.copy(), src_lo.copy(), state == _DONE
+    i = np.flatnonzero(~later)
+    i = i[np.lexsort((first[i], doc[i], edge[i]))]
+    start, size = runs(edge[i])
+    src = i[np.repeat(start, size)]
+    src_doc[i], src_lo[i], later[i] = doc[src], first[src], doc[i] != doc[src]
+    kinds = {x: _FOUND[x] for x in ("doc_id", "lo", "hi", "src_doc", "src_lo")}
+    yield batch(kinds, doc_id=doc[later], lo=first[later], hi=first[later] + 1, src_doc=src_doc[later], src_lo=src_lo[later])
+
+
 def _branched(k: int, m: int):
     reach = k - m
 
@@ -176,14 +243,23 @@ def _branched(k: int, m: int):
     return run
 
 
-def pieces(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
-    """doc_id, lo, hi (edges, by their first word), src_doc, src_lo: edges of a document that an earlier one holds; each is in one piece."""
+def pieces(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT, few: int = FEW_ENTRIES) -> DataFrame:
+    """doc_id, lo, hi (edges, by their first word), src_doc, src_lo: edges of a document that an earlier one holds; each is in one piece.
+
+    few: entries of an anchor that are never dealt apart.
+    """
     docs, n = docs.select("doc_id", "text").filter("doc_id is not null"), parts(docs.sparkSession)
-    met = by_bucket(docs.mapInArrow(_find_pieces(k, m, n), dealt_schema(len(_ENTRY))), n)
+    often = frequent(docs, _counted(k, m), few)
+    met = by_bucket(docs.mapInArrow(_find_pieces(k, m, n, often), dealt_schema(len(_ENTRY))), n)
     found = cut(met.mapInArrow(_settle, _FOUND_DDL))
-    asked = cut(found.filter("anchor is not null").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "anchor", "pos")).alias("asked")))
-    spread = having_ids(docs, asked).join(asked, "doc_id").mapInArrow(_edges(k, m, n), dealt_schema(4))
-    more = by_bucket(spread, n).mapInArrow(_branched(k, m), "doc_id long, lo int, hi int, src_doc long, src_lo int")
+    open_ = found.filter("anchor is not null")
+    busy = cut(open_.groupBy("anchor").count().filter(F.col("count") > hot).select("anchor", F.lit(True).alias("hot")))
+    open_ = open_.join(busy, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    asked = cut(open_.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "anchor", "pos", "hot")).alias("asked")))
+    met, ddl = having_ids(docs, asked).join(asked, "doc_id"), "doc_id long, lo int, hi int, src_doc long, src_lo int"
+    more = by_bucket(met.mapInArrow(_edges(k, m, n), dealt_schema(4)), n).mapInArrow(_branched(k, m), ddl)
+    if busy.take(1):
+        more = more.unionByName(by_bucket(met.mapInArrow(_lone_edges(k, m, n), dealt_schema(len(_LONE))), n).mapInArrow(_lone_branched, ddl))
     cols = ["doc_id", "lo", "hi", "src_doc", "src_lo"]
     return found.filter("anchor is null").select(*cols).unionByName(more)
 

@@ -9,7 +9,8 @@ the common prefixes' lengths taken in order until the least length decides.  To
    hash of its context: the bytes that windows with this anchor can reach.
 2. Occurrences of an anchor with equal contexts are settled at once: all windows of that context repeat.  Those of one
    piece of text are settled before the shuffle, so a third of all rows with one text are an entry a piece.  One of each
-   distinct context of an anchor goes on, if there are several; anchors that occur once are done.
+   distinct context of an anchor goes on, if there are several; anchors that occur once are done.  Anchors are counted
+   before: a frequent one (a licence line of very many documents, each with other surroundings) is dealt by its contexts.
 3. The contexts that go on are dealt by anchor with their bytes.  In each anchor's interval the suffixes from the anchor
    on are sorted; neighbours' common prefixes are known.  Then the interval is extended backwards byte by byte: each
    step splits intervals by the preceding byte (the transform's column), keeps the order within, and takes the common
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE, CHUNK_BYTES, STEP, Texts, anchors, batch, by_bucket, combined, covered, cut, deal, dealt_schema, gather, having_ids, mix, nested, one_text_an_id, parts, powers, ranges, runs, sums, table, texts, with_ranges
+from .common import BYTE, CHUNK_BYTES, FEW_ENTRIES, STEP, Texts, anchors, batch, by_bucket, combined, covered, cut, deal, dealt_schema, frequent, gather, having_ids, key_bucket, mix, nested, one_text_an_id, parts, powers, ranges, runs, sums, table, texts, with_ranges
 
 LENGTH = 200
 HOT = 1 << 14  # contexts of one anchor that one task expands; beyond it windows are dealt one by one
@@ -43,9 +44,11 @@ HOT = 1 << 14  # contexts of one anchor that one task expands; beyond it windows
 
 _ENTRY = [np.uint64, np.uint64, np.int64, np.int32, np.uint16, np.uint16, np.uint8]  # anchor, context, document, place, left, right, state
 _OPEN, _TWICE, _DONE = 0, 1, 2  # an entry is alone in its piece of text, stands for several of it, or is one of these others
+_APART = 4  # added to the state of entries whose anchor is frequent: they are dealt by context
 
 
-def _find_anchors(length: int, n_buckets: int):
+def _entries(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of a piece of text's anchors: hash, context, document, place, bytes before and after."""
     k = length // 2
     w = length - k + 1
 
@@ -74,25 +77,42 @@ def _find_anchors(length: int, n_buckets: int):
                 found.append([h[a - lo], ctx, a, left, right])
         return [np.concatenate(c) for c in zip(*found)]
 
+    for b in batches:
+        for _, t in texts(b, limit=4 * CHUNK_BYTES):
+            got = of(t) if len(t.buf) >= length else []
+            if got:
+                h, ctx, a, left, right = got
+                doc = np.searchsorted(t.at, a, "right") - 1
+                yield h, ctx, t.ids[doc], (a - t.at[doc]).astype(np.int32), left, right
+
+
+def _counted(length: int):
+    """The anchors of the entries that travel."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for h, ctx, *_ in _entries(batches, length):
+            yield h[combined([h, ctx])[0] == np.arange(len(h))]
+
+    return keys
+
+
+def _find_anchors(length: int, n_buckets: int, often: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for _, t in texts(b, limit=4 * CHUNK_BYTES):
-                got = of(t) if len(t.buf) >= length else []
-                if got:
-                    h, ctx, a, left, right = got
-                    doc = np.searchsorted(t.at, a, "right") - 1
-                    bucket, state = _spread([h, ctx], t.ids[doc], n_buckets)
-                    yield deal(bucket, n_buckets, [h, ctx, t.ids[doc], (a - t.at[doc]).astype(np.int32), left, right, state])
+        for h, ctx, doc, *rest in _entries(batches, length):
+            apart = np.isin(key_bucket(h), often)
+            bucket, state = _spread([h, ctx], doc, n_buckets, apart)
+            yield deal(bucket, n_buckets, [h, ctx, doc, *rest, state | apart.astype(np.uint8) * np.uint8(_APART)])
 
     return run
 
 
-def _spread(keys: list[np.ndarray], doc: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each entry's bucket and state: one of equal entries goes where its first key is dealt, the others anywhere."""
+def _spread(keys: list[np.ndarray], doc: np.ndarray, n_buckets: int, apart: np.ndarray | bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Each entry's bucket and state: one of equal entries goes where its first key is dealt (apart: all its keys), the others anywhere."""
     first, many = combined(keys)
     own = first == np.arange(len(first))
     state = np.where(~own, _DONE, np.where(many > 1, _TWICE, _OPEN)).astype(np.uint8)
-    key = np.where(own, keys[0], mix(doc.view(np.uint64) + np.arange(len(doc), dtype=np.uint64)))
+    key = np.where(apart, mix(keys[0] ^ mix(keys[-1])), keys[0])
+    key = np.where(own, key, mix(doc.view(np.uint64) + np.arange(len(doc), dtype=np.uint64)))
     return (key % np.uint64(n_buckets)).astype(np.int64), state
 
 
@@ -101,10 +121,14 @@ _FOUND_DDL = "doc_id long, lo int, hi int, anchor long, pos int"
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ranges of contexts that occur twice or more (anchor null), and one of each other context of an anchor."""
+    """Ranges of contexts that occur twice or more (anchor null), and one of each other context of an anchor.
+
+    Of a frequent anchor one of each context goes on in any case, as the others are in other tasks.
+    """
     got = gather(batches, _ENTRY)
     if got is None:
         return
+    apart, got[6] = got[6] >= _APART, got[6] % np.uint8(_APART)
     done = got[6] == _DONE
     if done.any():
         doc, p, le, ri = (got[c][done] for c in (2, 3, 4, 5))
@@ -112,7 +136,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     order = np.flatnonzero(~done)
     order = order[np.argsort(got[0][order], kind="stable")]
     s = got[0][order]
-    twin = got[6][order] == _TWICE
+    twin = (got[6][order] == _TWICE) | apart[order]
     if len(s):
         twin[1:] |= s[1:] == s[:-1]
         twin[:-1] |= s[1:] == s[:-1]
@@ -126,7 +150,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = np.diff(np.r_[start, len(h)])
     several = np.repeat((size > 1) | (np.maximum.reduceat(state, start) == _TWICE), size)
     _, per_anchor = runs(h[start])
-    first = start[np.repeat(per_anchor > 1, per_anchor)]
+    first = start[np.repeat(per_anchor > 1, per_anchor) | apart[order][start]]
     i = np.concatenate([np.flatnonzero(several), first])
     ask = np.arange(len(i)) >= several.sum()
     p, le, ri = pos[i], left[i].astype(np.int32), right[i].astype(np.int32)
@@ -274,10 +298,11 @@ def _expanded(length: int):
     return run
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """doc_id, lo, hi: byte ranges whose every byte is in a repeated string; they may overlap."""
+def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, few: int = FEW_ENTRIES) -> DataFrame:
+    """doc_id, lo, hi: byte ranges whose every byte is in a repeated string; they may overlap. few: entries of an anchor that are never dealt apart."""
     docs, n = docs.select("doc_id", "text").filter("doc_id is not null"), parts(docs.sparkSession)
-    met = by_bucket(docs.mapInArrow(_find_anchors(length, n), dealt_schema(len(_ENTRY))), n)
+    often = frequent(docs, _counted(length), few)
+    met = by_bucket(docs.mapInArrow(_find_anchors(length, n, often), dealt_schema(len(_ENTRY))), n)
     found = cut(met.mapInArrow(_settle, _FOUND_DDL))
     open_ = found.filter("anchor is not null")
     busy = cut(open_.groupBy("anchor").count().filter(F.col("count") > hot).select("anchor", F.lit(True).alias("hot")))
