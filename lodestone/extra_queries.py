@@ -101,6 +101,23 @@ e AS (SELECT source, generate_subscripts(cs, 1) - 1 AS piece_no, unnest(cs) AS t
 SELECT chunk_id, source, CAST(piece_no AS INTEGER) AS piece_no, CAST({_COUNT.format(e='text')} AS INTEGER) AS n_tokens, text FROM (SELECT *, row_number() OVER (PARTITION BY source, chunk_id ORDER BY piece_no) AS k FROM i) WHERE k = 1"""
 
 
+#: Questions have fewer than 400 tokens and no word has more than are left for its answer.
+@register(rf"""WITH t AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+p AS (SELECT CAST(conv_id AS VARCHAR) AS source, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS section_no, text AS q, nt AS t, 400 - {_COUNT.format(e='text')} AS b FROM t WHERE role = 'user' AND nr = 'assistant'),
+s AS (SELECT *, list_transform(string_split(regexp_replace(t, '([.!?])\s+([A-Z0-9("''])', '\1' || chr(30) || '\2', 'g'), chr(30)), lambda y: {{'t': y, 'n': {_COUNT.format(e='y')}}}) AS ss FROM p),
+w AS (SELECT * EXCLUDE (ss), list_transform(ss, lambda y: {{'t': y.t, 'n': y.n, 'u': CASE WHEN y.n <= b THEN CAST([] AS VARCHAR[]) ELSE {_packed("list_transform(" + _WORDS.format(e='y.t') + ", lambda z: {'t': z, 'n': " + _COUNT.format(e='z') + ", 'u': CAST([] AS VARCHAR[])})", 'b')} END}}) AS ss FROM s),
+u AS (SELECT source, section_no, q, CASE WHEN {_COUNT.format(e='t')} <= b THEN [t] ELSE {_packed('ss', 'b')} END AS us FROM w),
+c AS (SELECT source, section_no, q, generate_subscripts(us, 1) - 1 AS piece_no, 'Q: ' || q || chr(10) || 'A: ' || unnest(us) AS text FROM u)
+SELECT substr(sha256(source || chr(31) || q || chr(31) || text), 1, 16) AS chunk_id, source, CAST(section_no AS INTEGER) AS section_no, CAST(piece_no AS INTEGER) AS piece_no, CAST({_COUNT.format(e='text')} AS INTEGER) AS n_tokens, text FROM c""")
+def faq_chunks(spark, d):
+    """Exchanges as JSON lines of question and answer, loaded and cut: each piece of a long answer keeps its question."""
+    pairs = A.exchanges(_t(spark, d, "conversations"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", "question", "answer"))), lambda x: F.to_json(F.struct(x["question"].alias("question"), x["answer"].alias("answer"))))
+    files = pairs.groupBy(F.col("conv_id").cast("string").alias("source")).agg(F.concat_ws("\n", lines).alias("text"))
+    chunks = C.with_ids(C.chunk_sections(L.faq_sections(files), 400))
+    return chunks.select("chunk_id", "source", "section_no", "piece_no", "n_tokens", "text")
+
+
 @register("""WITH m AS (SELECT source, CASE WHEN n % 2 = 0 THEN '' ELSE 'Manual ' || source END AS t, CASE WHEN n % 3 = 0 THEN '' ELSE '2024-02-0' || (n % 9 + 1) END AS u FROM (SELECT source, max(doc_id) AS n FROM documents GROUP BY source))
 SELECT doc_id, coalesce(nullif(t, ''), 'own') AS title, coalesce(nullif(u, ''), '2020-01-01') AS updated FROM documents JOIN m USING (source)""")
 def manifest_override(spark, d):
