@@ -360,11 +360,17 @@ def search(
     return found.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("rank").withColumnRenamed("_r", "rank")
 
 
-def all_modes(questions: DataFrame, chunks: DataFrame, query_vectors: DataFrame, vectors: DataFrame, k: int = TOP_K, candidate_k: int = CANDIDATES, modes: tuple = MODES) -> DataFrame:
-    """mode, qid, rank, chunk_id of each mode's k best, the lists of both kinds being made once (lexical reranking)."""
+def all_modes(questions: DataFrame, chunks: DataFrame, query_vectors: DataFrame, vectors: DataFrame, k: int = TOP_K, candidate_k: int = CANDIDATES, modes: tuple = MODES, wanted: DataFrame | None = None) -> DataFrame:
+    """mode, qid, rank, chunk_id of each mode's k best, the lists of both kinds being made once (lexical reranking).
+
+    wanted (qid, mode): only these modes of each question, and only the lists that they take.
+    """
     questions = questions.filter(F.trim("question") != "")
-    asked = query_vectors.join(questions.select("qid"), "qid", "left_semi")
-    lexical, dense = cut(bm25(questions, chunks, candidate_k)), cut(vector(asked, vectors, candidate_k))
+    asked, lexical = query_vectors.join(questions.select("qid"), "qid", "left_semi"), questions
+    if wanted is not None:
+        lexical = questions.join(wanted.filter("mode <> 'vector'").select("qid"), "qid", "left_semi")
+        asked = asked.join(wanted.filter("mode <> 'bm25'").select("qid"), "qid", "left_semi")
+    lexical, dense = cut(bm25(lexical, chunks, candidate_k)), cut(vector(asked, vectors, candidate_k))
     fused = cut(fuse([("bm25", lexical), ("vector", dense)]).filter(F.col("rank") <= candidate_k).select("qid", "chunk_id", "rank"))
     found = {"bm25": lexical, "vector": dense, "hybrid": fused}
     if "hybrid+rerank" in modes:
@@ -377,7 +383,34 @@ def all_modes(questions: DataFrame, chunks: DataFrame, query_vectors: DataFrame,
     for mode in modes:
         part = found[mode].filter(F.col("rank") <= k).select(F.lit(mode).alias("mode"), "qid", "rank", "chunk_id")
         every = part if every is None else every.unionByName(part)
-    return every
+    return every if wanted is None else every.join(wanted, ["qid", "mode"], "left_semi")
+
+
+OK, NO_MODE, NO_RERANKER, NO_EMBEDDER, NO_QUESTION = "ok", "unknown mode", "no reranker", "other embedder", "no question"
+
+
+def request_status(indexed: str) -> F.Column:
+    """Why a request (question, mode, embedder, reranker boolean) can't be searched in an index of the embedder ``indexed``, or ok.
+
+    Of several reasons the first of: mode, reranker, embedder, question. Nulls are no mode, none, another, and blank.
+    """
+    status = F.when(~F.coalesce(F.col("mode").isin(*MODES), F.lit(False)), NO_MODE)
+    status = status.when((F.col("mode") == "hybrid+rerank") & ~F.coalesce("reranker", F.lit(False)), NO_RERANKER)
+    status = status.when(~F.col("embedder").eqNullSafe(F.lit(indexed)), NO_EMBEDDER)
+    return status.when(F.trim(F.coalesce("question", F.lit(""))) == "", NO_QUESTION).otherwise(OK)
+
+
+def search_requests(requests: DataFrame, chunks: DataFrame, vectors: DataFrame, embed: Callable[[DataFrame], DataFrame], indexed: str, k: int = TOP_K) -> DataFrame:
+    """qid, status, rank, chunk_id: the hits of requests (qid, question, mode, embedder, reranker), each by its own mode.
+
+    A request that is rejected, or has no hits, is one row without rank and chunk_id.  Rejected ones are neither embedded
+    nor searched.  embed(questions) gives qid, vec.  qid is a key.
+    """
+    judged = cut(requests.withColumn("status", request_status(indexed)))
+    sound = judged.filter(F.col("status") == OK)
+    questions = sound.select("qid", "question")
+    hits = all_modes(questions, chunks, embed(questions), vectors, k, wanted=sound.select("qid", "mode"))
+    return judged.select("qid", "status").join(hits.select("qid", "rank", "chunk_id"), "qid", "left")
 
 
 def evidence(hits: DataFrame) -> DataFrame:

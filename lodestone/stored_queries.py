@@ -94,6 +94,27 @@ def retrieval_report_all_modes(spark, d):
     return r.select("mode", "questions", *[F.round(x, 6).alias(x) for x in ("recall_at_1", "recall_at_3", "recall_at_5", "mrr")])
 
 
+_REQUESTS = """requests AS (SELECT item_id AS qid, CASE item_id % 6 WHEN 0 THEN 'bm25' WHEN 1 THEN 'vector' WHEN 2 THEN 'hybrid' WHEN 3 THEN 'hybrid+rerank' WHEN 4 THEN 'fuzzy' WHEN 5 THEN 'hybrid' END AS mode,
+    CASE WHEN item_id % 7 = 0 THEN 'other-384' ELSE 'hashing-384' END AS embedder, item_id % 4 <> 3 AS reranker, CASE WHEN item_id % 11 = 0 THEN '  ' ELSE text END AS question FROM benchmark)"""
+
+
+@register(f"""WITH {HYBRID_SQL}, {_RERANK}, {_REQUESTS}, modes AS (SELECT qid, chunk_id, rank, 'bm25' AS mode FROM lexical WHERE rank <= 4 UNION ALL SELECT qid, chunk_id, rank, 'vector' FROM dense WHERE rank <= 4
+    UNION ALL SELECT qid, chunk_id, rank, 'hybrid' FROM ranked WHERE rank <= 4 UNION ALL SELECT qid, chunk_id, r, 'hybrid+rerank' FROM reranked WHERE r <= 4),
+judged AS (SELECT qid, mode, CASE WHEN mode = 'fuzzy' THEN 'unknown mode' WHEN mode = 'hybrid+rerank' AND NOT reranker THEN 'no reranker' WHEN embedder <> 'hashing-384' THEN 'other embedder' WHEN trim(question) = '' THEN 'no question' ELSE 'ok' END AS status FROM requests)
+SELECT j.qid, j.status, CAST(m.rank AS INTEGER) AS rank, m.chunk_id FROM judged j LEFT JOIN modes m ON j.status = 'ok' AND m.qid = j.qid AND m.mode = j.mode""")
+def search_requests(spark, d):
+    """Requests of mixed modes against a saved index, whose manifest names the embedder; some can't be searched."""
+    at, built = _place(spark, "index"), index(spark, d)
+    I.save(at, *built, "hashing-384", "v1", "2024-01-01")
+    saved, i = I.load(spark, at), F.col("qid")
+    mode = F.when(i % 6 == 0, "bm25").when(i % 6 == 1, "vector").when(i % 6 == 3, "hybrid+rerank").when(i % 6 == 4, "fuzzy").otherwise("hybrid")
+    asked = questions(spark, d).select(
+        "qid", mode.alias("mode"), F.when(i % 7 == 0, "other-384").otherwise("hashing-384").alias("embedder"), (i % 4 != 3).alias("reranker"), F.when(i % 11 == 0, "  ").otherwise(F.col("question")).alias("question")
+    )
+    found = S.search_requests(asked, saved["chunks"], saved["vectors"], lambda q: E.hashing(q, "qid", "question"), saved["manifest"].first().embedder, 4)
+    return found.select("qid", "status", F.col("rank").cast("int").alias("rank"), "chunk_id")
+
+
 @register("""SELECT 'dropped' AS what, count(*) AS records FROM events WHERE NOT (event_id % 50 <> 0 AND ts >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 15 DAY)
     UNION ALL SELECT CAST(event_id AS VARCHAR), 1 FROM events WHERE event_id % 50 <> 0 AND ts >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 15 DAY""")
 def log_by_days(spark, d):

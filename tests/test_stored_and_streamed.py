@@ -231,3 +231,28 @@ def test_trees_are_read_where_they_differ(spark, tmp_path):
     assert M.changes(old, none)[0].filter("status = 'removed'").count() == 3000 and M.changes(none, none)[0].collect() == []
     plain = I.changed_sources(frame(base), frame(new))
     assert {r.source for r in plain.collect()} == {r.source for r in found.filter("status <> 'removed'").collect()}
+
+
+def test_requests_of_mixed_modes(spark):
+    """Each request is searched by its own mode, as a search of that mode alone; rejected ones say why and have no hits."""
+    texts = [f"alpha word{i % 5} beta{i}" for i in range(30)]
+    chunks = spark.createDataFrame([(f"c{i:02}", f"k{i:02}", "", "", t) for i, t in enumerate(texts)], "chunk_id string, okey string, title string, heading string, text string")
+    chunks = S.with_terms(chunks).cache()
+    vectors = E.hashing(chunks, ["chunk_id", "okey"], "terms").cache()
+    embed = lambda q: E.hashing(q, "qid", "question")
+    sound = [(i, f"word{i % 5} beta{i}", m, "e", True) for i, m in enumerate(S.MODES)] + [(4, "nothing here", "bm25", "e", None)]
+    bad = [
+        (10, "beta1", "fuzzy", "e", True), (11, "beta1", None, "e", True), (12, "beta1", "hybrid+rerank", "e", False), (13, "beta1", "hybrid+rerank", "e", None),
+        (14, "beta1", "bm25", "f", True), (15, "beta1", "vector", None, True), (16, " ", "hybrid", "e", True), (17, None, "bm25", "e", True), (18, "", "fuzzy", "f", False),
+    ]
+    asked = spark.createDataFrame(sound + bad, "qid long, question string, mode string, embedder string, reranker boolean")
+    got = S.search_requests(asked, chunks, vectors, embed, "e", 3).collect()
+    why = {10: S.NO_MODE, 11: S.NO_MODE, 12: S.NO_RERANKER, 13: S.NO_RERANKER, 14: S.NO_EMBEDDER, 15: S.NO_EMBEDDER, 16: S.NO_QUESTION, 17: S.NO_QUESTION, 18: S.NO_MODE, 4: S.OK}
+    assert {r.qid: (r.status, r.rank, r.chunk_id) for r in got if r.qid in why} == {q: (s, None, None) for q, s in why.items()}
+    for qid, _, mode, _, _ in sound[:4]:
+        one = asked.filter(F.col("qid") == qid).select("qid", "question")
+        want = {(r.rank, r.chunk_id) for r in S.search(one, chunks, embed(one), vectors, mode, 3).collect()}
+        assert want and {(r.rank, r.chunk_id) for r in got if r.qid == qid} == want
+        assert {r.status for r in got if r.qid == qid} == {S.OK}
+    assert S.search_requests(asked.limit(0), chunks, vectors, embed, "e").count() == 0
+    assert {r.rank for r in S.search_requests(asked, chunks.limit(0), vectors.limit(0), embed, "e").collect()} == {None}
