@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 import uuid
 from collections.abc import Iterator
 from hashlib import sha256
@@ -107,11 +106,14 @@ def reuse_vectors(chunks: DataFrame, changes: DataFrame, old_vectors: DataFrame,
 
 def save(path: str, chunks: DataFrame, vectors: DataFrame, embedder: str, settings: Column | str, indexed_at: str, files: DataFrame | None = None) -> str:
     """A snapshot in a folder of its own below path; its manifest is written last, so a broken-off one never counts.
+    Snapshots are numbered on from the newest; of two that were begun at once, all readers take the same one.
 
     files (source, sha256) are kept for the next sync.  The name of the snapshot is returned; older ones stay readable.
     """
     spark = chunks.sparkSession
-    name = f"snapshot-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    last = newest(spark, path)
+    number = 1 + int(last.snapshot.split("-")[1]) if last is not None else 0  # no clock: drivers' clocks differ
+    name = f"snapshot-{number:020d}-{uuid.uuid4().hex[:8]}"
     at = f"{path.rstrip('/')}/{name}"
     chunks.write.parquet(f"{at}/chunks")
     stored = spark.read.parquet(f"{at}/chunks")
