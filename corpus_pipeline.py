@@ -8,7 +8,7 @@ from lodestone.llm import bpe, jaccard, mixing, pii, quality_rules
 from lodestone.llm.common import cut, table
 
 
-#: Least number of words of the quality stage: a clean text of few words is no reason to drop it.
+#: Least number of words of the quality stage.  op6's 50 would drop clean texts: by labels most shorter ones are (README has figures).
 MIN_WORDS = 1
 
 
