@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from .functions import text as X
+from .operators import ablation as B
 from .operators import answer as A
 from .operators import chunking as C
 from .operators import embed as E
@@ -17,7 +18,7 @@ from .operators import privacy as R
 from .operators import retrieve as S
 from .plans.tables import cut, shared_dir
 from .plans.tables import table as _t
-from .queries import _EXTRACT, _GATE, _GOLD_SQL, _REDACT_SQL, BM25_SQL, HYBRID_SQL, NOW, ORACLES, TOKENS_SQL, _versions, corpus, gold, index, lexicon, questions, register, retrieved
+from .queries import _EXTRACT, _GATE, _GOLD_SQL, _REDACT_SQL, BM25_SQL, CORPUS_SQL, HYBRID_SQL, NOW, ORACLES, TOKENS_SQL, _sections, _versions, corpus, gold, index, lexicon, questions, register, retrieved
 from .sources import loaders as L
 
 # ---------------------------------------------------------------- loading
@@ -88,17 +89,50 @@ def _packed(items: str, budget: int) -> str:
     return f"list_transform([list_reduce(list_concat([{empty}], {items}), lambda a, x: {step})], lambda r: CASE WHEN r.t = '' THEN r.u ELSE list_append(r.u, trim(r.t, chr(10) || ' ')) END)[1]"
 
 
-_TAIL = f"list_transform([{_WORDS.format(e='a.t')}[-31:]], lambda ws: coalesce(list_filter(list_transform(range(1, len(ws) + 1), lambda i: array_to_string(ws[i:], ' ')), lambda y: {_COUNT.format(e='y')} <= 30)[1], ''))[1]"
-_JOINED = f"""CASE WHEN a.t <> '' AND a.n + x.n > 220 THEN list_transform([{_TAIL}], lambda w: {{'t': CASE WHEN w = '' THEN x.t ELSE w || chr(10) || chr(10) || x.t END, 'n': {_COUNT.format(e='w')} + x.n, 'u': list_append(a.u, a.t)}})[1]
+def _tail(overlap: int) -> str:
+    return f"list_transform([{_WORDS.format(e='a.t')}[-{overlap + 1}:]], lambda ws: coalesce(list_filter(list_transform(range(1, len(ws) + 1), lambda i: array_to_string(ws[i:], ' ')), lambda y: {_COUNT.format(e='y')} <= {overlap})[1], ''))[1]"
+
+
+def _joined(size: int, overlap: int) -> str:
+    return f"""CASE WHEN a.t <> '' AND a.n + x.n > {size} THEN list_transform([{_tail(overlap)}], lambda w: {{'t': CASE WHEN w = '' THEN x.t ELSE w || chr(10) || chr(10) || x.t END, 'n': {_COUNT.format(e='w')} + x.n, 'u': list_append(a.u, a.t)}})[1]
     ELSE {{'t': CASE WHEN a.t = '' THEN x.t ELSE a.t || chr(10) || chr(10) || x.t END, 'n': a.n + x.n, 'u': a.u}} END"""
-#: The documents have no blank lines and no word of more than 190 tokens: each is one paragraph, and no word is cut.
-ORACLES["chunk_documents"] = rf"""WITH d AS (SELECT source || '/' || doc_id AS source, trim(coalesce(text, ''), chr(10) || chr(9) || ' ') AS t FROM documents),
+
+
+def _chunks_sql(size: int, overlap: int) -> str:
+    """chunks: chunk_id, source, piece_no, text of documents, which have no blank lines and no word of as many tokens: each is one
+    paragraph, and no word is cut."""
+    room = size - overlap
+    return rf"""d AS (SELECT source || '/' || doc_id AS source, trim(coalesce(text, ''), chr(10) || chr(9) || ' ') AS t FROM documents),
 s AS (SELECT source, t, list_transform(string_split(regexp_replace(t, '([.!?])\s+([A-Z0-9("''])', '\1' || chr(30) || '\2', 'g'), chr(30)), lambda y: {{'t': y, 'n': {_COUNT.format(e='y')}}}) AS ss FROM d WHERE t <> ''),
-w AS (SELECT source, t, {_COUNT.format(e='t')} AS n, list_transform(ss, lambda y: {{'t': y.t, 'n': y.n, 'u': CASE WHEN y.n <= 190 THEN CAST([] AS VARCHAR[]) ELSE {_packed("list_transform(" + _WORDS.format(e='y.t') + ", lambda z: {'t': z, 'n': " + _COUNT.format(e='z') + ", 'u': CAST([] AS VARCHAR[])})", 190)} END}}) AS ss FROM s),
-u AS (SELECT source, list_transform(CASE WHEN n <= 190 THEN [t] ELSE {_packed('ss', 190)} END, lambda y: {{'t': y, 'n': {_COUNT.format(e='y')}, 'u': CAST([] AS VARCHAR[])}}) AS us FROM w),
-c AS (SELECT source, list_transform([list_reduce(list_concat([{{'t': '', 'n': 0, 'u': CAST([] AS VARCHAR[])}}], us), lambda a, x: {_JOINED})], lambda r: list_append(r.u, r.t))[1] AS cs FROM u),
-e AS (SELECT source, generate_subscripts(cs, 1) - 1 AS piece_no, unnest(cs) AS text FROM c), i AS (SELECT *, substr(sha256(source || chr(31) || chr(31) || text), 1, 16) AS chunk_id FROM e)
-SELECT chunk_id, source, CAST(piece_no AS INTEGER) AS piece_no, CAST({_COUNT.format(e='text')} AS INTEGER) AS n_tokens, text FROM (SELECT *, row_number() OVER (PARTITION BY source, chunk_id ORDER BY piece_no) AS k FROM i) WHERE k = 1"""
+w AS (SELECT source, t, {_COUNT.format(e='t')} AS n, list_transform(ss, lambda y: {{'t': y.t, 'n': y.n, 'u': CASE WHEN y.n <= {room} THEN CAST([] AS VARCHAR[]) ELSE {_packed("list_transform(" + _WORDS.format(e='y.t') + ", lambda z: {'t': z, 'n': " + _COUNT.format(e='z') + ", 'u': CAST([] AS VARCHAR[])})", room)} END}}) AS ss FROM s),
+u AS (SELECT source, list_transform(CASE WHEN n <= {room} THEN [t] ELSE {_packed('ss', room)} END, lambda y: {{'t': y, 'n': {_COUNT.format(e='y')}, 'u': CAST([] AS VARCHAR[])}}) AS us FROM w),
+c AS (SELECT source, list_transform([list_reduce(list_concat([{{'t': '', 'n': 0, 'u': CAST([] AS VARCHAR[])}}], us), lambda a, x: {_joined(size, overlap)})], lambda r: list_append(r.u, r.t))[1] AS cs FROM u),
+e AS (SELECT source, generate_subscripts(cs, 1) - 1 AS piece_no, unnest(cs) AS text FROM c), i AS (SELECT *, substr(sha256(source || chr(31) || chr(31) || text), 1, 16) AS chunk_id FROM e),
+chunks AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, chunk_id ORDER BY piece_no) AS k FROM i) WHERE k = 1)"""
+
+
+ORACLES["chunk_documents"] = f"WITH {_chunks_sql(220, 30)} SELECT chunk_id, source, CAST(piece_no AS INTEGER) AS piece_no, CAST({_COUNT.format(e='text')} AS INTEGER) AS n_tokens, text FROM chunks"
+
+
+def _ablation_sql() -> str:
+    """Hybrid retrieval over the chunks of each size, and a report of each."""
+    each = []
+    for name, (size, overlap) in B.variants().items():
+        okey = "replace(source, '/', chr(1)) || chr(1) || '0000000000' || chr(1) || lpad(CAST(piece_no AS VARCHAR), 10, '0')"
+        chunks = f"{_chunks_sql(size, overlap)}, corpus AS (SELECT source, text, chunk_id, {okey} AS okey FROM chunks)"
+        each.append(f"SELECT * FROM (WITH {HYBRID_SQL.replace(CORPUS_SQL, chunks)} SELECT '{name}' AS variant, r.qid, r.rank, k.source, (SELECT count(*) FROM corpus) AS chunks FROM ranked r JOIN corpus k USING (chunk_id) WHERE r.rank <= 5)")
+    share = lambda k: f"round(avg(coalesce(m{k}, 0) / n), 6) AS recall_at_{k}"
+    return f"""WITH {_GOLD_SQL}, every AS ({" UNION ALL ".join(each)}), sizes AS (SELECT variant, max(chunks) AS chunks FROM every GROUP BY variant),
+per AS (SELECT variant, qid, count(DISTINCT e.source) FILTER (rank <= 1) AS m1, count(DISTINCT e.source) FILTER (rank <= 3) AS m3, count(DISTINCT e.source) FILTER (rank <= 5) AS m5, min(rank) AS f
+    FROM every e JOIN goldt g USING (qid, source) GROUP BY variant, qid)
+SELECT variant AS chunk_tokens, chunks, count(*) AS questions, {share(1)}, {share(3)}, {share(5)}, round(avg(coalesce(1.0 / f, 0.0)), 6) AS mrr FROM sizes CROSS JOIN goldn LEFT JOIN per USING (variant, qid) GROUP BY variant, chunks"""
+
+
+@register(_ablation_sql())
+def ablation_by_size(spark, d):
+    """The chunk sizes of chunk_size_ablation in one plan keyed by size: texts are read once for all."""
+    r = B.report(_sections(spark, d), questions(spark, d), gold(spark, d)).withColumnRenamed("variant", "chunk_tokens")
+    return r.select("chunk_tokens", "chunks", "questions", *[F.round(c, 6).alias(c) for c in ("recall_at_1", "recall_at_3", "recall_at_5", "mrr")])
 
 
 #: Questions have fewer than 400 tokens and no word has more than are left for its answer.

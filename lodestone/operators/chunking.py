@@ -108,22 +108,28 @@ SCHEMA = "source string, heading string, text string, kind string, section_no in
 
 def chunk_sections(sections: DataFrame, max_tokens: int = 220, overlap: int = 30, count: Counter = count_tokens) -> DataFrame:
     """source, heading, text, kind, section_no, piece_no, n_tokens of sections, one batch at a time, without a shuffle."""
-    if overlap >= max_tokens:
+    return chunk_variants(sections, {"": (max_tokens, overlap)}, count).drop("variant")
+
+
+def chunk_variants(sections: DataFrame, variants: dict[str, tuple[int, int]], count: Counter = count_tokens) -> DataFrame:
+    """variant and the columns of chunk_sections: the chunks by each of some named (max_tokens, overlap), in one pass of the sections."""
+    if any(overlap >= max_tokens for max_tokens, overlap in variants.values()):
         raise ValueError("overlap must be smaller than the chunk size")
-    kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
+    names = ["variant", *(c.split()[0] for c in SCHEMA.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, len(b), 500):
                 part, rows = b.slice(lo, 500), []
                 for source, heading, text, kind, no in zip(*(part.column(c).to_pylist() for c in ("source", "heading", "text", "kind", "section_no"))):
-                    found = faq_chunks(heading or "", text or "", max_tokens, count) if kind == "faq" else pack(text or "", max_tokens, overlap, count)
-                    rows += [(source, heading or "", t, kind, no, i, count(t)) for i, t in enumerate(found)]
+                    for variant, (max_tokens, overlap) in variants.items():
+                        found = faq_chunks(heading or "", text or "", max_tokens, count) if kind == "faq" else pack(text or "", max_tokens, overlap, count)
+                        rows += [(variant, source, heading or "", t, kind, no, i, count(t)) for i, t in enumerate(found)]
                 cols = list(zip(*rows)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
-    return sections.select("source", "heading", "text", "kind", F.col("section_no").cast("int").alias("section_no")).mapInArrow(run, SCHEMA)
+    return sections.select("source", "heading", "text", "kind", F.col("section_no").cast("int").alias("section_no")).mapInArrow(run, f"variant string, {SCHEMA}")
 
 
 def chunk_id(source, heading, text):
@@ -135,9 +141,9 @@ def with_ids(chunks: DataFrame) -> DataFrame:
     return chunks.withColumns({"chunk_id": chunk_id(F.col("source"), F.col("heading"), F.col("text")), "okey": X.order_key(F.col("source"), F.col("section_no"), F.col("piece_no"))})
 
 
-def distinct_chunks(chunks: DataFrame) -> DataFrame:
-    """The first row, in corpus order, of each chunk_id. Equal ids share their source, so no other shuffle is added."""
-    first = Window.partitionBy("source", "chunk_id").orderBy("okey")
+def distinct_chunks(chunks: DataFrame, by: str | None = None) -> DataFrame:
+    """The first row, in corpus order, of each chunk_id (of each value of ``by``). Equal ids share their source, so no other shuffle is added."""
+    first = Window.partitionBy(*([by] if by else []), "source", "chunk_id").orderBy("okey")
     return chunks.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 

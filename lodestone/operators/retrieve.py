@@ -71,10 +71,11 @@ def with_terms(chunks: DataFrame) -> DataFrame:
 def postings(chunks: DataFrame, only: frozenset | None = None) -> DataFrame:
     """term, chunk_id, okey, tf, dl: a chunk's terms are counted where the chunk lies, without a shuffle.
 
-    only: the terms that are asked for, if they are few; others don't leave the task.
+    only: the terms that are asked for, if they are few; others don't leave the task.  A column variant of chunks is kept.
     """
-    chunks = chunks.select("chunk_id", "okey", chunk_terms(chunks).alias("terms"))
-    kinds = {n: chunks.schema[n].dataType.simpleString() for n in ("chunk_id", "okey")}
+    own = ["chunk_id", "okey", *(["variant"] if "variant" in chunks.columns else [])]
+    chunks = chunks.select(*own, chunk_terms(chunks).alias("terms"))
+    kinds = ", ".join(f"{n} {chunks.schema[n].dataType.simpleString()}" for n in own)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in frames:
@@ -88,39 +89,50 @@ def postings(chunks: DataFrame, only: frozenset | None = None) -> DataFrame:
                 wanted = np.array([w in only for w in words.dictionary.to_pylist()], bool)[word] if len(word) else np.zeros(0, bool)
                 row, word, tf = row[wanted], word[wanted], tf[wanted]
             at = pa.array(row)
-            arrays = [words.dictionary.take(pa.array(word)), b.column("chunk_id").take(at), b.column("okey").take(at), pa.array(tf), pa.array(dl[row])]
-            yield pa.RecordBatch.from_arrays(arrays, names=["term", "chunk_id", "okey", "tf", "dl"])
+            arrays = [words.dictionary.take(pa.array(word)), *(b.column(n).take(at) for n in own), pa.array(tf), pa.array(dl[row])]
+            yield pa.RecordBatch.from_arrays(arrays, names=["term", *own, "tf", "dl"])
 
-    return chunks.mapInArrow(run, f"term string, chunk_id {kinds['chunk_id']}, okey {kinds['okey']}, tf bigint, dl int")
+    return chunks.mapInArrow(run, f"term string, {kinds}, tf bigint, dl int")
 
 
-def statistics(chunks: DataFrame) -> DataFrame:
-    """n, avgdl in one row; chunks without terms count too, an empty corpus has avgdl 1."""
-    return chunks.select(F.size(chunk_terms(chunks)).alias("dl")).agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
+def statistics(chunks: DataFrame, *by: str) -> DataFrame:
+    """n, avgdl in one row (of each value of ``by``); chunks without terms count too, an empty corpus has avgdl 1."""
+    return chunks.select(*by, F.size(chunk_terms(chunks)).alias("dl")).groupBy(*by).agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
 
 
-def _top(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
-    order = Window.partitionBy("qid").orderBy(F.round(score, 9).desc(), "okey", "chunk_id")
+def _top(scored: DataFrame, k: int, by: tuple = ()) -> DataFrame:
+    order = Window.partitionBy(*by, "qid").orderBy(F.round("score", 9).desc(), "okey", "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _asked_counts(chunks: DataFrame, names: list[str]) -> tuple[int, float, np.ndarray]:
-    """Number of chunks, their mean length, and how many chunks hold each of names."""
+def _groups(b: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
+    """The rows of a batch by their value of the column variant."""
+    coded = b.column("variant").dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    for i, name in enumerate(coded.dictionary.to_pylist()):
+        yield name, b if len(coded.dictionary) == 1 else b.take(pa.array(np.flatnonzero(code == i)))
+
+
+def _asked_counts(chunks: DataFrame, names: list[str]) -> dict[str, tuple[int, float, np.ndarray]]:
+    """Of each variant the number of chunks, their mean length, and how many chunks hold each of names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {w: i for i, w in enumerate(names)}
-        df, n, total = np.zeros(len(names), np.int64), 0, 0
-        for b in batches:
-            row, word, _, dl = _counted(b.column("terms"), place)
-            n, total = n + len(b), total + int(dl.sum())
-            df += np.bincount(word, minlength=len(names))
-        some = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-2, -1, some]), pa.array(np.r_[n, total, df[some]])], names=["at", "n"])
+        sums: dict[str, np.ndarray] = {}
+        for whole in batches:
+            for variant, b in _groups(whole):
+                _, word, _, dl = _counted(b.column("terms"), place)
+                sums.setdefault(variant, np.zeros(len(names) + 2, np.int64))
+                sums[variant] += np.r_[len(b), int(dl.sum()), np.bincount(word, minlength=len(names))]
+        for variant, n in sums.items():
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([variant] * len(some), pa.string()), pa.array(some), pa.array(n[some])], names=["variant", "at", "n"])
 
-    out = np.zeros(len(names) + 2, np.int64)
-    for r in chunks.select(chunk_terms(chunks).alias("terms")).mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect():  # a row a term asked for
-        out[r["at"] + 2] = r["n"]
-    return int(out[0]), (int(out[1]) / int(out[0]) if out[0] else 1.0), out[2:]
+    summed = chunks.select("variant", "terms").mapInArrow(run, "variant string, at bigint, n bigint").groupBy("variant", "at").agg(F.sum("n").alias("n"))
+    out: dict[str, np.ndarray] = {}
+    for r in summed.collect():  # a row a variant and term asked for
+        out.setdefault(r.variant, np.zeros(len(names) + 2, np.int64))[r["at"]] = r["n"]
+    return {v: (int(n[0]), int(n[1]) / int(n[0]), n[2:]) for v, n in out.items()}
 
 
 def _counted(lists: pa.ListArray, place: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -135,20 +147,24 @@ def _counted(lists: pa.ListArray, place: dict[str, int]) -> tuple[np.ndarray, np
     return row, word, tf, dl
 
 
-def bm25(questions: DataFrame, chunks: DataFrame, k: int = CANDIDATES, k1: float = K1, b: float = B) -> DataFrame:
+def bm25(questions: DataFrame, chunks: DataFrame, k: int = CANDIDATES, k1: float = K1, b: float = B, by: str | None = None) -> DataFrame:
     """qid, chunk_id, okey, score, rank of the k best chunks with a common term.
 
+    by: a string column of chunks with few values; the chunks of each value are a corpus of their own, with its own statistics
+    and its own k best (``by`` comes first in the result), those of null are in none.
+
     The questions' terms go to the chunks (if there are more than FEW_TERMS pairs of both, they are joined); a task scores its
     chunks where they lie and passes on k a question and batch.
     """
     asked = questions.select("qid", F.explode(F.array_distinct(X.search_terms(F.col("question")))).alias("term")).distinct()
     pairs = asked.limit(FEW_TERMS + 1).collect()  # bounded
+    chunks = _keyed(chunks, by).select("variant", "chunk_id", "okey", chunk_terms(chunks).alias("terms"))
     if len(pairs) > FEW_TERMS:
-        return _top(_joined_scores(asked, chunks, k1, b), k)
+        return _of_variants(_top(_joined_scores(asked, chunks, k1, b), k, ("variant",)), by)
     names, qids = sorted({r.term for r in pairs}), list(dict.fromkeys(r.qid for r in pairs))
     place, no = {w: i for i, w in enumerate(names)}, {q: i for i, q in enumerate(qids)}
-    n, avgdl, df = _asked_counts(chunks, names)
-    idf = np.log((n - df + 0.5) / (df + 0.5) + 1)
+    counts = _asked_counts(chunks, names)
+    weights = {v: (np.log((n - df + 0.5) / (df + 0.5) + 1), avgdl) for v, (n, avgdl, df) in counts.items()}
     of = np.array(sorted((place[r.term], no[r.qid]) for r in pairs), np.int64).reshape(-1, 2)
     first = np.searchsorted(of[:, 0], np.arange(len(names) + 1))  # a term's questions
     kinds = [questions.schema["qid"].dataType, *(chunks.schema[c].dataType for c in ("chunk_id", "okey"))]
@@ -158,33 +174,44 @@ def bm25(questions: DataFrame, chunks: DataFrame, k: int = CANDIDATES, k1: float
         ids = pa.array(qids, arrow)
         step = max(1, CELLS // max(len(qids), 1))
         for whole in batches:
-            for lo in range(0, len(whole), step):
-                part = whole.slice(lo, step)
-                row, word, tf, dl = _counted(part.column("terms"), place)
-                share = idf[word] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[row] / avgdl))
-                many = first[word + 1] - first[word]
-                q = of[np.repeat(first[word], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many), 1]
-                score = np.bincount(q * len(part) + np.repeat(row, many), np.repeat(share, many), len(qids) * len(part)).reshape(len(qids), len(part))
-                order = pc.sort_indices(part.select(["okey", "chunk_id"]), [("okey", "ascending"), ("chunk_id", "ascending")]).to_numpy()
-                best = order[np.argsort(-score[:, order].round(9), axis=1, kind="stable")[:, :k]]
-                top = np.take_along_axis(score, best, 1)
-                i, j = np.nonzero(top > 0)
-                at = pa.array(best[i, j])
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), part.column("chunk_id").take(at), part.column("okey").take(at), pa.array(top[i, j])], names=["qid", "chunk_id", "okey", "score"])
-
-    schema = ", ".join(f"{c} {t.simpleString()}" for c, t in zip(("qid", "chunk_id", "okey"), kinds)) + ", score double"
-    return _top(chunks.select("chunk_id", "okey", chunk_terms(chunks).alias("terms")).mapInArrow(run, schema), k)
+            for variant, rows in _groups(whole):
+                idf, avgdl = weights[variant]
+                for lo in range(0, len(rows), step):
+                    part = rows.slice(lo, step)
+                    row, word, tf, dl = _counted(part.column("terms"), place)
+                    share = idf[word] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[row] / avgdl))
+                    many = first[word + 1] - first[word]
+                    q = of[np.repeat(first[word], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many), 1]
+                    score = np.bincount(q * len(part) + np.repeat(row, many), np.repeat(share, many), len(qids) * len(part)).reshape(len(qids), len(part))
+                    order = pc.sort_indices(part.select(["okey", "chunk_id"]), [("okey", "ascending"), ("chunk_id", "ascending")]).to_numpy()
+                    best = order[np.argsort(-score[:, order].round(9), axis=1, kind="stable")[:, :k]]
+                    top = np.take_along_axis(score, best, 1)
+                    i, j = np.nonzero(top > 0)
+                    at = pa.array(best[i, j])
+                    arrays = [part.column("variant").take(at), ids.take(pa.array(i)), part.column("chunk_id").take(at), part.column("okey").take(at), pa.array(top[i, j])]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["variant", "qid", "chunk_id", "okey", "score"])
+
+    schema = "variant string, " + ", ".join(f"{c} {t.simpleString()}" for c, t in zip(("qid", "chunk_id", "okey"), kinds)) + ", score double"
+    return _of_variants(_top(chunks.mapInArrow(run, schema), k, ("variant",)), by)
+
+
+def _keyed(rows: DataFrame, by: str | None) -> DataFrame:
+    return rows.filter(F.col(by).isNotNull()).withColumn("variant", F.col(by)) if by else rows.withColumn("variant", F.lit(""))
+
+
+def _of_variants(found: DataFrame, by: str | None) -> DataFrame:
+    return found.withColumnRenamed("variant", by) if by else found.drop("variant")
 
 
 def _joined_scores(asked: DataFrame, chunks: DataFrame, k1: float, b: float) -> DataFrame:
-    """qid, chunk_id, okey, score by joins of postings and asked terms."""
+    """variant, qid, chunk_id, okey, score by joins of postings and asked terms. chunks: variant, chunk_id, okey, terms."""
     found = cut(postings(chunks).join(asked.select("term").distinct(), "term", "left_semi"))  # counted, then scored
-    stats = F.broadcast(statistics(chunks))  # one row
+    stats = F.broadcast(statistics(chunks, "variant"))  # a row a variant
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weight = found.groupBy("term").agg(F.count("*").alias("df")).crossJoin(stats).select("term", "avgdl", idf.alias("idf"))
+    weight = found.groupBy("variant", "term").agg(F.count("*").alias("df")).join(stats, "variant").select("variant", "term", "avgdl", idf.alias("idf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = found.join(asked.join(weight, "term"), "term").select("qid", "chunk_id", "okey", part.alias("part"))
-    return scored.groupBy("qid", "chunk_id", "okey").agg(F.sum("part").alias("score")).filter("score > 0")
+    scored = found.join(asked.join(weight, "term"), ["variant", "term"]).select("variant", "qid", "chunk_id", "okey", part.alias("part"))
+    return scored.groupBy("variant", "qid", "chunk_id", "okey").agg(F.sum("part").alias("score")).filter("score > 0")
 
 
 def _packed(x: np.ndarray) -> pa.Array:
@@ -222,13 +249,11 @@ def _query_blocks(queries: DataFrame, size: int, sample: np.ndarray | None, k: i
 
 
 def _blocks(vectors: DataFrame, size: int) -> DataFrame:
-    """chunk_id, okey arrays in corpus order, vecs, centre, radius: blocks of a task's vectors that lie close together."""
+    """variant, chunk_id, okey arrays in corpus order, vecs, centre, radius: blocks of a task's vectors of a variant that lie close together."""
     kinds = [f"{n} array<{vectors.schema[n].dataType.simpleString()}>" for n in ("chunk_id", "okey")]
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in frames:
-            if not len(b):
-                continue
+        for variant, b in (group for whole in frames for group in _groups(whole)):
             x = b.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(b), -1)
             order = _near(x, size)
             for lo in range(0, len(b), size):
@@ -237,22 +262,24 @@ def _blocks(vectors: DataFrame, size: int) -> DataFrame:
                 centre = x[at].mean(axis=0)
                 radius = float(np.linalg.norm(x[at] - centre, axis=1).max())
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), b.column(n).take(pa.array(at))) for n in ("chunk_id", "okey")]
-                yield pa.RecordBatch.from_arrays([*lists, _packed(x[at]), _packed(centre), pa.array([radius])], names=["chunk_id", "okey", "vecs", "centre", "radius"])
+                yield pa.RecordBatch.from_arrays([pa.array([variant]), *lists, _packed(x[at]), _packed(centre), pa.array([radius])], names=["variant", "chunk_id", "okey", "vecs", "centre", "radius"])
 
-    return vectors.select("chunk_id", "okey", "vec").mapInArrow(run, f"{', '.join(kinds)}, vecs binary, centre binary, radius double")
+    return vectors.select("variant", "chunk_id", "okey", "vec").mapInArrow(run, f"variant string, {', '.join(kinds)}, vecs binary, centre binary, radius double")
 
 
-def vector(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, query_block: int = 512, block: int = 1024, sample: int = 2048, told=None) -> DataFrame:
+def vector(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, query_block: int = 512, block: int = 1024, sample: int = 2048, told=None, by: str | None = None) -> DataFrame:
     """qid, chunk_id, okey, score, rank: exact inner products of queries (qid, vec) with all vectors (chunk_id, okey, vec).
 
     Blocks of queries meet blocks of vectors, so queries x vectors is never a table.  No vector of a block scores more than
     q . centre + |q| radius; a query whose k-th best score so far is above that skips the block.  What it has at first is its
     k-th best in a sample of the vectors.  told: an accumulator of the products of queries and vectors that were worked out.
+    by: as in bm25; a query's bound holds for one value of it, so none comes from a sample of all.
     """
+    vectors, sample = _keyed(vectors, by), 0 if by else sample
     few = vectors.select("vec").limit(sample).toArrow()  # bounded: any rows will do
     known = few.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(few.num_rows, -1) if few.num_rows else None
     kinds = {n: (queries if n == "qid" else vectors).schema[n].dataType for n in ("qid", "chunk_id", "okey")}
-    schema = ", ".join(f"{n} {t.simpleString()}" for n, t in kinds.items()) + ", score double"
+    schema = "variant string, " + ", ".join(f"{n} {t.simpleString()}" for n, t in kinds.items()) + ", score double"
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}  # floors of the query blocks that this task has met, a few numbers a query
@@ -261,7 +288,7 @@ def vector(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, query_bl
                 qid, ids, keys = (b.column(c)[i].values for c in ("qid", "chunk_id", "okey"))
                 x, y, centre = (np.frombuffer(b.column(c)[i].as_buffer()) for c in ("q_vecs", "vecs", "centre"))
                 x, y = x.reshape(len(qid), -1), y.reshape(len(ids), -1)
-                floor = held.setdefault(b.column("q_no")[i].as_py(), np.frombuffer(b.column("floors")[i].as_buffer()).copy())
+                floor = held.setdefault((b.column("variant")[i].as_py(), b.column("q_no")[i].as_py()), np.frombuffer(b.column("floors")[i].as_buffer()).copy())
                 reach = x @ centre + np.linalg.norm(x, axis=1) * b.column("radius")[i].as_py()
                 some = np.flatnonzero(reach >= floor - NEAR)
                 if not len(some):
@@ -275,33 +302,35 @@ def vector(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, query_bl
                 if top.shape[1] == k:
                     floor[some] = np.maximum(floor[some], top[:, -1])
                 at = pa.array(best[row, col])
-                yield pa.RecordBatch.from_arrays([qid.take(pa.array(some[row])), ids.take(at), keys.take(at), pa.array(top[row, col])], names=["qid", "chunk_id", "okey", "score"])
+                arrays = [pa.array([b.column("variant")[i].as_py()] * len(row), pa.string()), qid.take(pa.array(some[row])), ids.take(at), keys.take(at), pa.array(top[row, col])]
+                yield pa.RecordBatch.from_arrays(arrays, names=["variant", "qid", "chunk_id", "okey", "score"])
 
     q = cut(_query_blocks(queries, query_block, known, k).withColumn("q_no", F.monotonically_increasing_id()))
     size = q.agg(F.coalesce(F.sum(F.length("q_vecs")), F.lit(0))).first()[0]
     met = _blocks(vectors, block).crossJoin(F.broadcast(q) if size <= FEW_BYTES else q)  # a row for each two blocks
-    return _top(met.mapInArrow(run, schema), k)
+    return _of_variants(_top(met.mapInArrow(run, schema), k, ("variant",)), by)
 
 
-def fuse(lists: list[tuple[str, DataFrame]], k: int = RRF_K) -> DataFrame:
+def fuse(lists: list[tuple[str, DataFrame]], k: int = RRF_K, by: str | None = None) -> DataFrame:
     """qid, chunk_id, okey, score, rank, ranks, scores: reciprocal-rank fusion of named lists (qid, chunk_id, okey, rank).
 
     A repeat within a list counts at its first place; ties go to what was seen first, by list and then by rank.
-    ranks and scores map a list's name to the place there and, where the list has one, the score there.
+    ranks and scores map a list's name to the place there and, where the list has one, the score there.  by: a column of the
+    lists, each of whose values is fused for itself.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    every = None
+    every, keys = None, [by] if by else []
     for no, (name, rows) in enumerate(lists):
         own = F.col("score") if "score" in rows.columns else F.lit(None).cast("double")
-        part = rows.groupBy("qid", "chunk_id", "okey").agg(F.min(F.struct(F.col("rank").alias("r"), own.alias("s"))).alias("at"))
-        part = part.select("qid", "chunk_id", "okey", "at.r", "at.s", F.lit(no).alias("no"), F.lit(name).alias("name"))
+        part = rows.groupBy(*keys, "qid", "chunk_id", "okey").agg(F.min(F.struct(F.col("rank").alias("r"), own.alias("s"))).alias("at"))
+        part = part.select(*keys, "qid", "chunk_id", "okey", "at.r", "at.s", F.lit(no).alias("no"), F.lit(name).alias("name"))
         every = part if every is None else every.unionByName(part)
-    got = every.groupBy("qid", "chunk_id", "okey").agg(
+    got = every.groupBy(*keys, "qid", "chunk_id", "okey").agg(
         F.sum(1 / (F.col("r") + k)).alias("score"), F.min(F.struct("no", "r")).alias("seen"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "r")))).alias("ranks"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "s")))).alias("scores"),
     )
-    order = Window.partitionBy("qid").orderBy(F.round("score", 12).desc(), "seen")
+    order = Window.partitionBy(*keys, "qid").orderBy(F.round("score", 12).desc(), "seen")
     return got.withColumn("rank", F.row_number().over(order)).drop("seen")
 
 

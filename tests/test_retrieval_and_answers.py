@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone import queries as Q
+from lodestone.operators import ablation as B
 from lodestone.operators import answer as A
 from lodestone.operators import embed as E
 from lodestone.operators import evaluate as V
@@ -267,3 +268,45 @@ def test_bm25_where_chunks_lie_and_by_joins(spark, monkeypatch):
     monkeypatch.setattr(S, "FEW_TERMS", 3)
     assert read() == got
     assert S.bm25(q, chunks.limit(0), 7).collect() == [] == S.bm25(q.limit(0), chunks, 7).collect()
+
+
+def test_variants_are_corpora_of_their_own(spark, monkeypatch):
+    """Searching keyed rows gives what each key's rows give alone, whether terms are sent or joined; rows of no key are in none."""
+    rng = np.random.default_rng(11)
+    word = lambda: f"w{int(rng.exponential(15))}"
+    rows = [(v, f"c{i}", f"{i % 40:03}", [word() for _ in range(int(rng.integers(0, 5 + 20 * n)))]) for n, v in enumerate(("a", "b", None)) for i in range(150 * (n + 1))]
+    chunks = spark.createDataFrame(rows, "size string, chunk_id string, okey string, terms array<string>").repartition(3)
+    q = spark.createDataFrame([(i, " ".join(word() for _ in range(4))) for i in range(9)] + [(50, "zzz")], "qid int, question string")
+    vectors, asked = E.hashing(chunks, ["size", "chunk_id", "okey"], "terms", 16), E.hashing(q, "qid", "question", 16)
+    read = lambda df, v: sorted((v or r["size"], r.qid, r["rank"], r.chunk_id, round(r.score, 8)) for r in df.collect())
+    own = lambda df, v: df.filter(F.col("size") == v).drop("size")
+    lexical = [x for v in ("a", "b") for x in read(S.bm25(q, own(chunks, v), 6), v)]
+    dense = [x for v in ("a", "b") for x in read(S.vector(asked, own(vectors, v), 6), v)]
+    pairs = lambda v: [("bm25", S.bm25(q, own(chunks, v), 6)), ("vector", S.vector(asked, own(vectors, v), 6))]
+    fused = [x for v in ("a", "b") for x in read(S.fuse(pairs(v)), v)]
+    assert len(lexical) == 2 * 9 * 6 and len(dense) == 2 * 10 * 6
+    assert read(S.bm25(q, chunks, 6, by="size"), None) == lexical
+    assert read(S.vector(asked, vectors, 6, query_block=4, block=32, by="size"), None) == dense
+    assert read(S.fuse([("bm25", S.bm25(q, chunks, 6, by="size")), ("vector", S.vector(asked, vectors, 6, by="size"))], by="size"), None) == fused
+    monkeypatch.setattr(S, "FEW_TERMS", 3)
+    assert read(S.bm25(q, chunks, 6, by="size"), None) == lexical
+    assert S.bm25(q, chunks.limit(0), 6, by="size").collect() == [] == S.vector(asked, vectors.limit(0), 6, by="size").collect()
+
+
+def test_ablation_in_one_plan(spark, monkeypatch):
+    """One pass over the sections gives what the loop over sizes gives, and a chunking without chunks has a row of zeros."""
+    t = {
+        "documents": spark.createDataFrame([(i, "s", " ".join(f"w{(i * 7 + j) % 90}." if j % 9 == 8 else f"w{(i * j) % 70}" for j in range(40 * i))) for i in range(12)] + [(99, "s", None)], "doc_id long, source string, text string"),
+        "benchmark": spark.createDataFrame([(1, "w1 w2 w3"), (2, "w0 w7 w14"), (3, "w0 w5 w10 w15"), (4, " ")], "item_id long, text string"),
+    }
+    monkeypatch.setattr(Q, "_t", lambda spark, d, name: t[name])
+    want = sorted((r.chunk_tokens, r.chunks, r.questions, r.recall_at_1, r.recall_at_3, r.recall_at_5, r.mrr) for r in Q.chunk_size_ablation(spark, "").collect())
+    sections, asked, gold = Q._sections(spark, ""), Q.questions(spark, ""), Q.gold(spark, "")
+    got = sorted((r.variant, r.chunks, r.questions, r.recall_at_1, r.recall_at_3, r.recall_at_5, r.mrr) for r in B.report(sections, asked, gold).collect())
+    assert len(got) == 4 and [g[:3] for g in got] == [w[:3] for w in want]
+    assert [x for g in got for x in g[3:]] == pytest.approx([x for w in want for x in w[3:]])
+    none = B.report(sections.limit(0), asked, gold, {"60": (60, 15)}).first()
+    assert (none.variant, none.chunks, none.recall_at_5, none.mrr) == ("60", 0, 0.0, 0.0)
+    with pytest.raises(ValueError):
+        B.report(sections, asked, gold, {"x": (10, 10)})
+    assert {v: o for v, (_, o) in B.variants((60, 400), 30).items()} == {"60": 15, "400": 30}
