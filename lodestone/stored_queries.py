@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import text as X
@@ -16,9 +18,9 @@ from .operators import merkle as M
 from .operators import privacy as R
 from .operators import retrieve as S
 from .operators import answer as A
-from .plans.tables import shared_dir
+from .plans.tables import cut, shared_dir
 from .plans.tables import table as _t
-from .queries import _GOLD_SQL, _RERANK, HYBRID_SQL, NOW, ORACLES, _versions, corpus, gold, index, questions, register
+from .queries import _EXTRACT, _GOLD_SQL, _RERANK, HYBRID_SQL, NOW, ORACLES, _structured, _versions, corpus, gold, index, questions, register, retrieved
 from .sources import loaders as L
 from .streaming import documents as T
 from .streaming import jobs as J
@@ -140,6 +142,53 @@ def folder_load(spark, d):
     return got.select("heading", F.md5(F.col("text").cast("binary")).alias("text_md5"), "kind", F.substring_index("source", ".", -1).alias("suffix"))
 
 
+_TIDY_SQL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
+
+
+@register(f"""WITH md AS ({ORACLES['markdown_sections']}), web AS ({ORACLES['html_sections']}), pages_text AS ({ORACLES['html_text']}),
+t AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+p AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS section_no, text AS q, md5(nt) AS a FROM t WHERE role = 'user' AND nr = 'assistant')
+SELECT 'md/doc_' || source || '.md' AS source, 'Last' AS title, '2024-01-0' || (CAST(source AS BIGINT) % 9 + 1) AS updated, section_no, CASE heading WHEN 'none' THEN 'Last' ELSE heading END AS heading, text_md5, 'section' AS kind FROM md
+UNION ALL SELECT 'web/page-' || page_id || '.HTML', CASE WHEN title = '' THEN 'Page ' || page_id ELSE title END, '', section_no, CASE WHEN heading = '' THEN 'Page ' || page_id ELSE heading END, md5(text), kind FROM web JOIN pages_text ON CAST(split_part(source, '#', 1) AS BIGINT) = page_id
+UNION ALL SELECT 'txt/turn_' || conv_id || '-' || turn || '.txt', 'Turn ' || conv_id || ' ' || turn, '', 0, 'Turn ' || conv_id || ' ' || turn, md5(x), 'section' FROM (SELECT conv_id, turn, {_TIDY_SQL} AS x FROM conversations) WHERE x <> ''
+UNION ALL SELECT 'faq/asked_' || conv_id || '.json', 'FAQ', '', section_no, q, a, 'faq' FROM p UNION ALL SELECT 'faq/lines_' || conv_id || '.jsonl', 'Lines ' || conv_id, '', section_no, q, a, 'faq' FROM p""")
+def files_by_format(spark, d):
+    """A table of files of all formats: Markdown with front matter, web pages, text, JSON, JSON lines, and some that aren't loaded."""
+    at = lambda folder, key, suffix: F.concat(F.lit(folder), key, F.lit(suffix)).alias("source")
+    pairs = A.exchanges(_t(spark, d, "conversations")).withColumn("key", F.col("conv_id").cast("string"))
+    asked = F.array_sort(F.collect_list(F.struct("turn", "question", "answer")))
+    rows = F.transform(asked, lambda x: F.struct(x["question"].alias("Q"), x["answer"].alias("response")))
+    lines = F.transform(asked, lambda x: F.to_json(F.struct(x["question"].alias("prompt"), x["answer"].alias("A"))))
+    turns, pages = _t(spark, d, "conversations"), _t(spark, d, "pages")
+    kinds = [
+        _structured(spark, d).select(at("md/doc_", F.col("source"), ".md"), "text"),
+        pages.select(at("web/page-", F.col("page_id").cast("string"), ".HTML"), F.col("html").alias("text")),
+        pages.select(at("web/", F.col("page_id").cast("string"), ".css"), F.lit("p { }").alias("text")),
+        pages.select(at("web/", F.col("page_id").cast("string"), "/README.md"), F.lit("# Not a document").alias("text")),
+        turns.select(at("txt/turn_", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")), ".txt"), "text"),
+        pairs.groupBy("key").agg(F.to_json(F.struct(F.lit("FAQ").alias("title"), rows.alias("faqs"))).alias("text")).select(at("faq/asked_", F.col("key"), ".json"), "text"),
+        pairs.groupBy("key").agg(F.concat_ws("\n", lines).alias("text")).select(at("faq/lines_", F.col("key"), ".jsonl"), "text"),
+    ]
+    got = L.load_files(cut(reduce(DataFrame.unionByName, kinds)))
+    return got.select("source", "title", "updated", "section_no", "heading", F.md5(F.col("text").cast("binary")).alias("text_md5"), "kind")
+
+
+_MARKED = r"""shown AS (SELECT qid, max(rank) AS n FROM hybrid WHERE rank <= 4 GROUP BY qid), tidied AS (SELECT qid, trim(regexp_replace(regexp_replace(answer, '[ \t]{2,}', ' ', 'g'), '[ \t]+([.,;:!?])', '\1', 'g'), chr(10) || chr(9) || ' ') AS t FROM said),
+marked AS (SELECT qid, n, CASE qid % 5 WHEN 0 THEN t WHEN 1 THEN trim(regexp_replace(t, ' \[[0-9]+\]', '', 'g'), chr(10) || chr(9) || ' ') WHEN 2 THEN t || '.' WHEN 3 THEN t || ' [1][1, 1]' WHEN 4 THEN t || CASE WHEN n > 1 THEN ' [2, 1]' ELSE ' [1]' END END AS text FROM tidied JOIN shown USING (qid)),
+used AS (SELECT qid, text, unnest(range(1, CASE WHEN qid % 5 = 1 THEN n ELSE least(n, 2) END + 1)) AS marker FROM marked)"""
+
+
+@register(f"WITH {HYBRID_SQL}, {_EXTRACT}, {_MARKED} SELECT u.qid, md5(u.text) AS text_md5, CAST(u.marker AS INTEGER) AS marker, h.chunk_id, h.source FROM used u JOIN hybrid h ON h.qid = u.qid AND h.rank = u.marker")
+def citation_marks(spark, d):
+    """Extractive answers whose marks vary: as they are, none, of passages that weren't shown, repeated, lists with a wrong number."""
+    q, hits = questions(spark, d), cut(retrieved(spark, d, "hybrid"))
+    answers = A.extractive(q, hits).filter("answer <> ''")
+    i, said = F.col("qid") % 5, F.col("answer")
+    more = F.when(i == 1, F.regexp_replace(said, " \\[[0-9]+\\]", "")).when(i == 2, F.concat(said, F.lit(" [77] [99999999999]."))).when(i == 3, F.concat(said, F.lit(" [1][1, 1]")))
+    marked = answers.select("qid", more.when(i == 4, F.concat(said, F.lit(" [2, 99,1]"))).otherwise(said).alias("answer"))
+    return A.cite(marked, hits).select("qid", F.md5(F.col("text").cast("binary")).alias("text_md5"), "marker", "chunk_id", "source")
+
+
 @register("""SELECT CAST(doc_id AS VARCHAR) AS source, CASE WHEN doc_id % 10 = 3 THEN 'removed' ELSE 'changed' END AS status FROM documents WHERE doc_id % 10 IN (3, 4)""")
 def merkle_changes(spark, d):
     """What differs between two versions of the documents, found from the root of their digest trees."""

@@ -91,3 +91,18 @@ def test_ids_and_distinct(spark):
     c = C.distinct_chunks(C.with_ids(C.chunk_sections(s)))
     assert sorted((r.source, r.section_no) for r in c.collect()) == [("a", 0), ("a/b", 0)]
     assert C.describe(c).first().sources == 2
+
+
+def test_files_from_a_table(spark):
+    """Files as rows go by their suffix, whatever its case; unknown ones, PDF and read-me files are left out; null is empty."""
+    files = [
+        ("a/note_one.MD", "---\ntitle: N\nupdated: 2024-01-01\n---\nlead\n# H\nbody"), ("b/page-two.htm", "<h1>T</h1><p>x</p>"), ("c.txt", "just text"), ("d.json", '{"Q": "q?", "A": "a"}'),
+        ("e.jsonl", '{"Q": "1?", "A": "x"}\n{"prompt": "2?", "response": "y"}'), ("f.css", "p {}"), ("README.md", "# No"), ("g.pdf", "%PDF"), ("h.txt", None), ("nosuffix", "t"),
+    ]
+    got = {(r.source, r.section_no): (r.title, r.updated, r.heading, r.text, r.kind) for r in L.load_files(spark.createDataFrame(files, "source string, text string")).collect()}
+    assert got == {
+        ("a/note_one.MD", 0): ("N", "2024-01-01", "N", "lead", "section"), ("a/note_one.MD", 1): ("N", "2024-01-01", "H", "body", "section"),
+        ("b/page-two.htm", 0): ("Page two", "", "T", "x", "section"), ("c.txt", 0): ("C", "", "C", "just text", "section"), ("d.json", 0): ("D", "", "q?", "a", "faq"),
+        ("e.jsonl", 0): ("E", "", "1?", "x", "faq"), ("e.jsonl", 1): ("E", "", "2?", "y", "faq"),
+    }
+    assert L.load_files(spark.createDataFrame(files[:0], "source string, text string")).collect() == []
