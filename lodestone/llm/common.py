@@ -113,7 +113,13 @@ def key_bucket(h: np.ndarray) -> np.ndarray:
 
 
 def frequent(docs: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], least: int = FEW_ENTRIES, share: int = 2 * HOT_SHARE) -> np.ndarray:
-    """The hash buckets (2**FILTER_BITS of them) in which a key of more than 2 / share of all keys, and of more than 2 * least, can be.
+    """The hash buckets of ``frequent_counts``, in order."""
+    return np.array(sorted(frequent_counts(docs, keys, least, share)), np.int64)
+
+
+def frequent_counts(docs: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], least: int = FEW_ENTRIES, share: int = 2 * HOT_SHARE) -> dict[int, int]:
+    """The hash buckets (2**FILTER_BITS of them) in which a key of more than 2 / share of all keys, and of more than 2 * least, can be,
+    and at most how many keys each of them holds.
 
     A task tells of the buckets that hold more than 1 / share of its own keys, so fewer than share.  What the tasks leave out
     of a bucket is at most 1 / share of all keys, so no such key is missed.  Fewer than share buckets reach the driver.
@@ -131,8 +137,9 @@ def frequent(docs: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterato
     sums = cut(docs.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")))
     total = sums.filter("at = -1").first()
     if total is None:
-        return np.zeros(0, np.int64)
-    return np.array(sorted(r["at"] for r in sums.filter((F.col("at") >= 0) & (F.col("n") > max(total["n"] // share, least))).collect()), np.int64)
+        return {}
+    left_out = total["n"] // share
+    return {r["at"]: r["n"] + left_out for r in sums.filter((F.col("at") >= 0) & (F.col("n") > max(left_out, least))).collect()}
 
 
 def by_bucket(df: DataFrame, n: int) -> DataFrame:

@@ -10,7 +10,8 @@ Documents link when 100 * |x & y| >= PERCENT * |x | y| for their sets of distinc
    2**SKETCH_BITS counts, whatever the input's size), rare first; two sets that link share a shingle among the first
    n - ceil(t n) + 1 of each.  Lists are dealt by shingle.  In a list, entries are ordered by set size and position;
    blocks that are too small for a probe, or whose least position already rules a link out, are skipped whole, and so
-   are pairs under one leader.
+   are pairs under one leader.  Lists are counted before: one with more than 1/4096 of all entries is split into groups,
+   and a task takes a group or two of them, so that none has the whole list.
 4. A pair (x, y) that is left is first lifted to its leaders (a, b).  If these link, x and y are connected already.  If
    not, the distance is a metric: d(x, y) >= d(a, b) - d(a, x) - d(b, y), and a pair ruled out by that is never compared.
    What then remains is compared on the sets themselves.
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Texts, Words, batch, by_bucket, cut, deal, dealt_schema, gather, having_ids, mix, one_text_an_id, parts, ranges, runs, salted, table, texts, with_groups
+from .common import FEW_ENTRIES, STEP, Texts, Words, batch, by_bucket, cut, deal, dealt_schema, frequent_counts, gather, having_ids, key_bucket, mix, one_text_an_id, parts, ranges, runs, salted, table, texts, with_groups
 
 K = 5
 PERCENT = 75
@@ -44,6 +45,7 @@ SKETCH_BITS = 20
 KEYS = 6
 AGREE = 3
 BLOCK = 128
+PART = 1 << 14
 BLOCK_SETS = 512  # a block of step 6 has about so many sets, and so many shingles
 BLOCK_SHINGLES = 1 << 18
 COLUMNS = 4096
@@ -181,22 +183,60 @@ def leaders(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
 # ---------------------------------------------------------------- 3. lists
 
 
-def _postings(k: int, percent: int, n_buckets: int, load, bits: int):
+def _heads(batches: Iterator[pa.RecordBatch], k: int, percent: int, loads: np.ndarray, bits: int) -> Iterator[list[np.ndarray]]:
+    """Of a stretch of text's prefixes: shingle, document, leader (as a difference), set size, position."""
+    for b in batches:
+        lead = b.column("leader").to_numpy(zero_copy_only=False)
+        for lo, t in texts(b):
+            h, at = shingles(t, k)
+            n = np.diff(at)
+            doc = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((h, loads[(h >> np.uint64(64 - bits)).astype(np.int64)], doc))
+            pos = np.arange(len(h)) - np.repeat(at[:-1], n)
+            head = pos < (n - -(-percent * n // 100) + 1)[doc]
+            h, doc, pos = h[order][head], doc[head], pos[head]
+            ids = t.ids[doc]
+            yield [h, ids, lead[lo : lo + len(n)][doc] - ids, n[doc].astype(np.int32), pos.astype(np.int32)]
+
+
+def _counted(k: int, percent: int, load, bits: int):
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for cols in _heads(batches, k, percent, load.value, bits):
+            yield cols[0]
+
+    return keys
+
+
+def celled(cols: list[np.ndarray], ways: np.ndarray) -> Iterator[list[np.ndarray]]:
+    """Entries dealt to the cells of their lists, with a side: a list of w ways is split by document into w groups, and a cell takes
+    one group (side 0) or two (sides 1 and 2, of which only pairs of both count).  Any two entries of a list are in one cell, whose
+    name stands for the shingle.  So many entries at a time as fill a step."""
+    i = 0
+    while i < len(ways):
+        j = max(i + 1, i + int(np.searchsorted(np.cumsum(ways[i:]), STEP, "right")))
+        w = ways[i:j]
+        own, other = np.repeat(np.arange(i, j), w), ranges(np.zeros(j - i, np.int64), w)
+        tok, *rest = (c[own] for c in cols)
+        group = (mix(rest[0].view(np.uint64)) % np.repeat(w, w).astype(np.uint64)).astype(np.int64)
+        lo, hi = np.minimum(group, other), np.maximum(group, other)
+        cell = mix(tok ^ mix((lo << 32 | hi).astype(np.uint64) + np.uint64(1)))
+        yield [np.where(np.repeat(w, w) > 1, cell, tok), *rest, np.where(lo == hi, 0, np.where(group == lo, 1, 2)).astype(np.uint8)]
+        i = j
+
+
+def _postings(k: int, percent: int, n_buckets: int, load, bits: int, often: dict[int, int], part: int):
+    at = np.array(sorted(often), np.int64)
+    split = np.array([-(-often[i] // part) for i in at.tolist()], np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loads = load.value
-        for b in batches:
-            lead = b.column("leader").to_numpy(zero_copy_only=False)
-            for lo, t in texts(b):
-                h, at = shingles(t, k)
-                n = np.diff(at)
-                doc = np.repeat(np.arange(len(n)), n)
-                order = np.lexsort((h, loads[(h >> np.uint64(64 - bits)).astype(np.int64)], doc))
-                pos = np.arange(len(h)) - np.repeat(at[:-1], n)
-                head = pos < (n - -(-percent * n // 100) + 1)[doc]
-                h, doc, pos = h[order][head], doc[head], pos[head]
-                ids = t.ids[doc]
-                cols = [h, ids, lead[lo : lo + len(n)][doc] - ids, n[doc].astype(np.int32), pos.astype(np.int32)]
-                yield deal((h % np.uint64(n_buckets)).astype(np.int64), n_buckets, cols)
+        for cols in _heads(batches, k, percent, load.value, bits):
+            ways = np.ones(len(cols[0]), np.int64)
+            if len(at):
+                bucket = key_bucket(cols[0])
+                place = np.minimum(np.searchsorted(at, bucket), len(at) - 1)
+                ways = np.where(at[place] == bucket, split[place], 1)
+            for some in celled(cols, ways):
+                yield deal((some[0] % np.uint64(n_buckets)).astype(np.int64), n_buckets, some)
 
     return run
 
@@ -253,7 +293,7 @@ def _pairs(percent: int):
     schema = {"a": pa.int64(), "b": pa.int64(), "la": pa.int64(), "lb": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = gather(batches, [np.uint64, np.int64, np.int64, np.int32, np.int32])
+        got = gather(batches, [np.uint64, np.int64, np.int64, np.int32, np.int32, np.uint8])
         if got is None:
             return
         tok = got[0]
@@ -263,7 +303,7 @@ def _pairs(percent: int):
         twin[1:] = s[1:] == s[:-1]
         twin[:-1] |= twin[1:]
         order = order[twin]
-        x = dict(zip(("tok", "id", "lead", "n", "pos"), (c[order] for c in got)))
+        x = dict(zip(("tok", "id", "lead", "n", "pos", "side"), (c[order] for c in got)))
         order = np.lexsort((x["id"], x["pos"], x["n"], x["tok"]))
         x = {k: v[order] for k, v in x.items()}
         x["lead"] = x["lead"] + x["id"]
@@ -281,6 +321,8 @@ def _pairs(percent: int):
             return batch(schema, a=x["id"][i], b=x["id"][j], la=x["lead"][i], lb=x["lead"][j])
 
         for i, j in list_pairs(x, percent):
+            across = (x["side"][i] == 0) | (x["side"][i] != x["side"][j])
+            i, j = i[across], j[across]
             if len(i):
                 pool.append((i, j))
                 held += len(i)
@@ -425,9 +467,11 @@ def link_counts(docs: DataFrame, info: DataFrame, led: DataFrame, linked: DataFr
     return cut(counted.unionByName(ends).groupBy("id").agg(F.sum("n_links").alias("n_links")))
 
 
-def join(docs: DataFrame, k: int = K, percent: int = PERCENT, bits: int = SKETCH_BITS, links: bool = True) -> DataFrame:
+def join(docs: DataFrame, k: int = K, percent: int = PERCENT, bits: int = SKETCH_BITS, links: bool = True, part: int = PART, few: int = FEW_ENTRIES) -> DataFrame:
     """doc_id, n_shingles, component_id, rep_id (the document with the same set) and n_links.
 
+    part: a frequent shingle's list is split into groups of about so many entries; few: a list of fewer is never split.
+
     n_links is the number of other distinct sets that the document's set links with; without ``links`` it isn't counted.
     """
     spark = docs.sparkSession
@@ -442,7 +486,9 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, bits: int = SKETCH
     info = member.filter("doc_id = rep").select("doc_id", "n").join(led.select(F.col("b").alias("doc_id"), F.col("a").alias("leader")), "doc_id", "left")
     info = info.select("doc_id", "n", F.coalesce("leader", "doc_id").alias("leader"))
     n = parts(spark)
-    lists = docs.join(info.drop("n").hint("shuffle_hash"), "doc_id").select("doc_id", "text", "leader").mapInArrow(_postings(k, percent, n, load, bits), dealt_schema(5))
+    # counted where the texts lie, copies of a set too: at most too many ways, without a shuffle
+    often = frequent_counts(docs.select("doc_id", "text", F.lit(0).cast("long").alias("leader")), _counted(k, percent, load, bits), few)
+    lists = docs.join(info.drop("n").hint("shuffle_hash"), "doc_id").select("doc_id", "text", "leader").mapInArrow(_postings(k, percent, n, load, bits, often, part), dealt_schema(6))
     cand = cut(by_bucket(lists, n).mapInArrow(_pairs(percent), "a long, b long, la long, lb long").distinct())
     load.destroy()
     # what the leaders' distance settles

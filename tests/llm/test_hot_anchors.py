@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import common, debruijn, substring
+from lodestone.llm import common, debruijn, jaccard, substring
 
 
 def texts_around(line, n, words, seed):
@@ -94,3 +94,58 @@ def test_no_task_has_a_frequent_anchor_alone(spark, part):
     whole, split = by_bucket(np.zeros(0, np.int64)), by_bucket(often)
     assert 0 < len(often) < 64 and sum(whole) == sum(split)
     assert split[-1] < 1.3 * split[len(split) // 2] and whole[-1] > 1.8 * whole[len(whole) // 2]
+
+
+@pytest.mark.parametrize("ways", [1, 2, 5, 64])
+def test_any_two_entries_of_a_list_meet_in_one_cell(monkeypatch, ways):
+    """A split list's cells hold each pair once, of two groups or in one; a list that isn't split keeps its shingle."""
+    monkeypatch.setattr(jaccard, "STEP", 40)
+    n = 30
+    cols = [np.r_[np.full(n, 7, np.uint64), np.uint64(9)], np.arange(n + 1), np.zeros(n + 1, np.int64), np.arange(n + 1, dtype=np.int32), np.arange(n + 1, dtype=np.int32)]
+    got = [np.concatenate(c) for c in zip(*jaccard.celled(cols, np.r_[np.full(n, ways), 1]))]
+    met = collections.Counter()
+    for cell in np.unique(got[0]):
+        at = np.flatnonzero(got[0] == cell)
+        for p in at:
+            met.update((int(got[1][p]), int(got[1][q])) for q in at if got[1][p] < got[1][q] and (got[5][p] == 0 or got[5][p] != got[5][q]))
+    assert met == {(i, j): 1 for i in range(n) for j in range(i + 1, n)}
+    assert got[0][got[1] == n].tolist() == [9] and len(got[0]) == n * ways + 1
+    assert ways > 1 or set(got[0].tolist()) == {7, 9}
+    assert (got[3] == got[1]).all() and (got[4] == got[1]).all()
+
+
+def test_jaccard_of_frequent_shingles(spark):
+    """Short texts around one passage share its shingles whatever they are ordered by: the same rows with lists split and whole."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    passage = [f"clause{i}" for i in range(26)]
+    rows = [(i, " ".join([word() for _ in range(rng.randrange(0, 6))] + passage[rng.randrange(0, 3) :] + [word() for _ in range(rng.randrange(0, 6))])) for i in range(240)]
+    rows += [(300, rows[4][1]), (301, rows[4][1]), (302, None), (303, "two words")]
+    sets = {i: frozenset(zip(*[(t or "").split()[j:] for j in range(5)])) or (frozenset([tuple(t.split())]) if t else frozenset()) for i, t in rows}
+    link = {i: {j for j in sets if j != i and sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])} for i in sets}
+    comp = {}
+    for i in sorted(sets):
+        if i not in comp:
+            todo, comp[i] = [i], i
+            while todo:
+                new = [j for j in link[todo.pop()] if j not in comp]
+                comp.update(dict.fromkeys(new, i))
+                todo += new
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    read = lambda **o: {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(df, links=False, **o).collect()}
+    want = {i: (len(sets[i]), comp[i]) for i in sets}
+    assert len(set(comp.values())) > 3 and len([i for i in sets if link[i]]) > 60
+    assert read() == want == read(part=7, few=10)
+
+
+def test_no_task_has_a_frequent_list_alone(spark):
+    docs = spark.createDataFrame([(i, f"w{i} {LINE} v{i}") for i in range(3000)], "doc_id long, text string").repartition(4).select("doc_id", "text", F.col("doc_id").alias("leader"))
+    load = spark.sparkContext.broadcast(np.zeros(1 << 20, np.uint32))
+    often = common.frequent_counts(docs, jaccard._counted(5, 75, load, 20), 500)
+    assert 3000 <= max(often.values()) < 3200 and min(often.values()) > 500
+    most = []
+    for hot in ({}, often):
+        dealt = docs.mapInArrow(jaccard._postings(5, 75, 64, load, 20, hot, 300), common.dealt_schema(6))
+        per = dealt.select(F.explode(F.transform(F.sequence(F.lit(0), (F.length("c0") / 8 - 1).cast("int")), lambda i: F.hex(F.substr("c0", i * 8 + 1, F.lit(8))))).alias("tok"))
+        most.append(per.groupBy("tok").count().agg(F.max("count")).first()[0])
+    assert most[0] == 3000 and most[1] < 900
