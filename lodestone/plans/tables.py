@@ -10,20 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: A single file below one input split is read by one task, however many cores there are; such a table is dealt out.
 SPLIT_BYTES = 128 << 20
+DEALT_BYTES = 16 << 20  # of its files that a task gets of a table that is dealt
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The table; if it is one file of less than a split, its rows are dealt over the cores by its first column.
+    """The table; if fewer tasks than cores would have rows to read, its rows are dealt by its first column.
 
-    Larger tables, and those of several files, are read as Spark splits them, without this shuffle.
+    That is so for a small file, and for large ones of few row groups, which Spark can't split.  Tables of as many files as
+    cores, and those of many row groups, are read as Spark splits them, without this shuffle.
     """
     path = f"{folder}/{name}.parquet"
     df = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
     if cores > 1:
-        found = spark.read.format("binaryFile").load(path).select("length").limit(2).collect()  # names and sizes only; no file is read
-        if len(found) == 1 and (1 << 18) < found[0].length < SPLIT_BYTES:
-            return df.repartition(cores, df.columns[0])
+        found = [r.length for r in spark.read.format("binaryFile").load(path).select("length").limit(cores).collect()]  # names and sizes only; no file is read
+        if len(found) < cores and sum(found) > (1 << 18):
+            small = len(found) == 1 and found[0] < SPLIT_BYTES
+            if small or df.select("_metadata.file_path", "_metadata.file_block_start").distinct().count() < cores:  # footers only
+                return df.repartition(max(cores, sum(found) // DEALT_BYTES), df.columns[0])
     return df
 
 

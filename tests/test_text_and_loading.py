@@ -3,8 +3,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone import extra_queries  # noqa: F401  (its SQL is a part of that of stored_queries)
+from lodestone import stored_queries as SQ
 from lodestone.functions import text as X
 from lodestone.operators import chunking as C
+from lodestone.plans import tables as T
 from lodestone.sources import loaders as L
 
 
@@ -114,3 +117,27 @@ def test_references_without_their_semicolon(spark):
     assert got == {"a": ("x &amp y&amp", "&lt b © & &noname; A &#66 &ampx; AT&T & &"), "b": ("", "")}
     browsers = {r.source: (r.title, r.text) for r in L.html_documents(pages).collect()}
     assert browsers["a"] == ("x & y&", "< b © & &noname; A B &x; AT&T & &")
+
+
+def test_markdown_texts_are_dealt_once(spark):
+    docs = spark.createDataFrame([("s", "a\r\n# A\n## B\nx\n  ```\n# c\n```\n### C ##\n\ny\n# D", "T")], "source string, text string, title string")
+    got = L.markdown_sections(docs)
+    assert [(r.heading, r.text) for r in got.orderBy("section_no").collect()] == [("T", "a"), ("A > B", "x\n```\n# c\n```"), ("A > B > C", "y")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Generate") == 1
+
+
+def test_folder_files_are_of_few_documents(spark, tmp_path, monkeypatch):
+    spark.range(300).selectExpr("id AS doc_id", "'t' AS text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    monkeypatch.setattr(SQ, "_place", lambda spark, name: f"{tmp_path}/{name}")
+    assert SQ.folder_load(spark, str(tmp_path)).count() == 301
+    per_file = spark.read.text(f"{tmp_path}/folder/plain").filter("value LIKE '# Doc%'").groupBy("_metadata.file_path").count()
+    assert max(r["count"] for r in per_file.collect()) <= SQ.PER_FILE < 300
+
+
+def test_one_row_group_is_dealt(spark, tmp_path, monkeypatch):
+    spark.range(40000).selectExpr("id", "md5(cast(id AS string)) AS text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(T, "SPLIT_BYTES", 0)  # as a file larger than a split
+    rows = T.table(spark, str(tmp_path), "documents").selectExpr("spark_partition_id() AS p").distinct().count()
+    assert rows >= spark.sparkContext.defaultParallelism
