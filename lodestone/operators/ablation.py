@@ -20,10 +20,15 @@ def variants(sizes: tuple = SIZES, overlap: int = 30) -> dict[str, tuple[int, in
 
 
 def corpora(sections: DataFrame, chunkings: dict[str, tuple[int, int]]) -> DataFrame:
-    """variant, chunk_id, okey, source, heading, terms: the sections by each chunking, read once and written once."""
-    chunks = C.distinct_chunks(C.with_ids(C.chunk_variants(sections, chunkings)), "variant")
+    """variant, chunk_id, okey, source, heading, terms: the sections by each chunking, read once and written once.
+
+    Repeats of a chunk are looked for by their ids; only rows of repeated ids are sorted, to keep the first, not all texts.
+    """
+    chunks = C.with_ids(C.chunk_variants(sections, chunkings))
     title = chunks.select("variant", "chunk_id", "okey", "source", F.lit("").alias("title"), "heading", "text")
-    return cut(S.with_terms(title).select("variant", "chunk_id", "okey", "source", "heading", "terms"))
+    every, ids = cut(S.with_terms(title).select("variant", "chunk_id", "okey", "source", "heading", "terms")), ["variant", "source", "chunk_id"]
+    again = cut(every.groupBy(*ids).agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
+    return every.join(again, ids, "left_anti").unionByName(C.distinct_chunks(every.join(again, ids, "left_semi"), "variant").select(*every.columns))
 
 
 def report(sections: DataFrame, questions: DataFrame, gold: DataFrame, chunkings: dict[str, tuple[int, int]] | None = None, ks: tuple = V.KS, candidate_k: int = S.CANDIDATES) -> DataFrame:
@@ -38,6 +43,7 @@ def report(sections: DataFrame, questions: DataFrame, gold: DataFrame, chunkings
     lexical = S.bm25(asked, chunks, candidate_k, by="variant")
     dense = S.vector(E.hashing(asked, "qid", "question"), vectors, candidate_k, by="variant")
     found = S.fuse([("bm25", lexical), ("vector", dense)], by="variant").filter(F.col("rank") <= max(ks)).select("variant", "qid", "rank", "chunk_id")
+    found = cut(found)  # few beside the chunks, and of known size once written
     hits = found.join(chunks.select("variant", "chunk_id", "source", "heading"), ["variant", "chunk_id"]).withColumnRenamed("variant", "mode")
     named = chunks.sparkSession.createDataFrame([(v,) for v in chunkings], "mode string")
     counts = named.join(chunks.groupBy(F.col("variant").alias("mode")).agg(F.count("*").alias("n")), "mode", "left").select("mode", F.coalesce("n", F.lit(0)).alias("chunks"))

@@ -8,6 +8,7 @@ never below one token.  Pieces of an over-long sentence come before the short se
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -119,13 +120,15 @@ def chunk_variants(sections: DataFrame, variants: dict[str, tuple[int, int]], co
     names = ["variant", *(c.split()[0] for c in SCHEMA.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted = lru_cache(1 << 14)(count)  # a text's sentences and words are counted once for all variants
         for b in batches:
             for lo in range(0, len(b), 500):
                 part, rows = b.slice(lo, 500), []
                 for source, heading, text, kind, no in zip(*(part.column(c).to_pylist() for c in ("source", "heading", "text", "kind", "section_no"))):
+                    counted.cache_clear()  # it holds no more than one text
                     for variant, (max_tokens, overlap) in variants.items():
-                        found = faq_chunks(heading or "", text or "", max_tokens, count) if kind == "faq" else pack(text or "", max_tokens, overlap, count)
-                        rows += [(variant, source, heading or "", t, kind, no, i, count(t)) for i, t in enumerate(found)]
+                        found = faq_chunks(heading or "", text or "", max_tokens, counted) if kind == "faq" else pack(text or "", max_tokens, overlap, counted)
+                        rows += [(variant, source, heading or "", t, kind, no, i, counted(t)) for i, t in enumerate(found)]
                 cols = list(zip(*rows)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
