@@ -10,9 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as X
+from ..functions import words as W
 
 DIM = 384
+ROWS = 2000  # that a task embeds at once
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -21,43 +22,53 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(n == 0, 1, n)
 
 
-class _Vocabulary:
-    """Places and signs of words (with their 4-grams) and of word pairs, each computed once a worker."""
+def _hashes(features: list[str]) -> np.ndarray:
+    """Of each the first half of its MD5 as a number."""
+    return np.frombuffer(b"".join([md5(f.encode()).digest() for f in features]), ">u8")[::2].astype(np.uint64)
 
-    def __init__(self, dim: int):
-        self.dim, self.words, self.pairs = dim, {}, {}
 
-    def place(self, feature: str) -> tuple[int, float]:
-        h = int.from_bytes(md5(feature.encode()).digest()[:8], "big")
-        return h % self.dim, 1.0 if h % 2 else -1.0
+class _Vocabulary:
+    """Vectors of rows of terms; the hashes of the words and 4-grams met last are kept by a worker."""
 
-    def word(self, w: str) -> list[tuple[int, float]]:
-        if w not in self.words:
-            if len(self.words) > 200_000:
-                self.words.clear()
+    def __init__(self, dim: int):
+        self.dim, self.known = dim, {}
+
+    def hashes(self, features: list[str]) -> np.ndarray:
+        """_hashes of words and 4-grams, which come again and again."""
+        if len(self.known) > 200_000:
+            self.known.clear()
+        new = list({f for f in features if f not in self.known})
+        self.known.update(zip(new, _hashes(new).tolist()))
+        return np.array([self.known[f] for f in features], np.uint64)
+
+    def placed(self, hashes: np.ndarray, weight: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+        """The place and the signed weight of each."""
+        return (hashes % np.uint64(self.dim)).astype(np.int64), np.where(hashes % np.uint64(2) == 1, weight, np.negative(weight))
+
+    def vectors(self, t: W.Terms) -> np.ndarray:
+        """A row of sums of weights for each row of terms: all of its words' features are laid out and counted at once."""
+        n, names, rows = t.hi - t.lo, t.names.to_pylist(), t.rows()
+        if not len(t.code):
+            return np.zeros((n, self.dim))
+        features, many = [], np.empty(len(names), np.int64)
+        for i, w in enumerate(names):
             padded = f"^{w}$"
-            grams = [padded[i : i + 4] for i in range(max(1, len(padded) - 3))]
-            self.words[w] = [(i, s * x) for f, x in [(w, 1.0), *((g, 0.25) for g in grams)] for i, s in [self.place(f)]]
-        return self.words[w]
-
-    def pair(self, a: str, b: str) -> tuple[int, float]:
-        key = f"{a}|{b}"
-        if key not in self.pairs:
-            if len(self.pairs) > 200_000:
-                self.pairs.clear()
-            i, s = self.place(key)
-            self.pairs[key] = i, 0.6 * s
-        return self.pairs[key]
-
-    def vector(self, words: list[str]) -> np.ndarray:
-        v = np.zeros(self.dim)
-        for w in words:
-            for i, x in self.word(w):
-                v[i] += x
-        for a, b in zip(words, words[1:]):
-            i, x = self.pair(a, b)
-            v[i] += x
-        return v
+            grams = [padded[j : j + 4] for j in range(max(1, len(padded) - 3))]
+            features.append(w)
+            features += grams
+            many[i] = 1 + len(grams)
+        first = np.cumsum(many) - many
+        weight = np.full(len(features), 0.25)
+        weight[first] = 1.0
+        place, weight = self.placed(self.hashes(features), weight)
+        used = many[t.code]
+        at = np.repeat(first[t.code] - (np.cumsum(used) - used), used) + np.arange(used.sum())
+        out = np.bincount(np.repeat(rows, used) * self.dim + place[at], weight[at], n * self.dim)
+        near = np.flatnonzero(rows[1:] == rows[:-1])
+        pair, which = np.unique(t.code[near].astype(np.int64) * len(names) + t.code[near + 1], return_inverse=True)
+        place, weight = self.placed(_hashes([f"{names[a]}|{names[b]}" for a, b in zip(*(x.tolist() for x in np.divmod(pair, len(names))))]), 0.6)
+        out += np.bincount(rows[near] * self.dim + place[which], weight[which], n * self.dim)
+        return out.reshape(n, self.dim)
 
 
 def hashing(rows: DataFrame, key: str | list[str], text: str, dim: int = DIM) -> DataFrame:
@@ -66,17 +77,19 @@ def hashing(rows: DataFrame, key: str | list[str], text: str, dim: int = DIM) ->
     text: a column of texts, or of their search terms where those are at hand.
     """
     keys = [key] if isinstance(key, str) else key
+    at_hand = rows.schema[text].dataType.typeName() == "array"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _Vocabulary(dim)
         for b in batches:
-            for lo in range(0, len(b), 2000):
-                part = b.slice(lo, 2000)
-                x = unit(np.stack([vocabulary.vector(w or []) for w in part.column("terms").to_pylist()]))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * dim), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keys), lists], names=[*keys, "vec"])
-
-    terms = F.col(text) if rows.schema[text].dataType.typeName() == "array" else X.search_terms(F.col(text))
+            for some in (W.of_lists if at_hand else W.of_texts)(b.column("terms")):
+                for lo in range(some.lo, some.hi, ROWS):
+                    t = some.part(lo, min(lo + ROWS, some.hi))
+                    x = unit(vocabulary.vectors(t))
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * dim), pa.array(x.ravel()))
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).slice(t.lo, t.hi - t.lo) for c in keys), lists], names=[*keys, "vec"])
+
+    terms = F.col(text) if at_hand else W.lowered(F.col(text))
     schema = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in keys) + "vec array<double>"
     return rows.select(*keys, terms.alias("terms")).mapInArrow(run, schema)
 

@@ -27,9 +27,10 @@ from pyspark.sql.types import DataType
 
 from ..functions import text as X
 from ..plans.tables import parts
-from .retrieve import B, CANDIDATES, K1, with_terms
+from .retrieve import B, CANDIDATES, K1, search_text, with_terms
 
 SHARD = 16_384  # chunks
+SHARD_TERMS = 1 << 20  # of a shard's chunks together, about: what a task that builds its lists holds
 BLOCK = 128
 TOP = CANDIDATES
 GROUP_BYTES = 4 << 20  # of a Parquet row group: what a pushed-down term filter reads at least
@@ -45,7 +46,8 @@ def impact(tf, dl, avgdl: float, k1: float = K1, b: float = B):
 
 def placed(chunks: DataFrame, per_shard: int = SHARD) -> DataFrame:
     """places of chunks (chunk_id, okey, and terms or a text to take them from)."""
-    n = F.broadcast(chunks.agg(F.greatest(F.ceil(F.count("*") / per_shard), F.lit(1)).alias("shards")))  # one row
+    terms = F.size("terms") if "terms" in chunks.columns else F.length(search_text()) / 6  # texts aren't split for this
+    n = F.broadcast(chunks.agg(F.greatest(F.ceil(F.count("*") / per_shard), F.ceil(F.sum(terms) / SHARD_TERMS), F.lit(1)).alias("shards")))  # one row
     rows = with_terms(chunks).select("chunk_id", "okey", "terms").join(n)
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.col("shards")).cast("int")).drop("shards")
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("shard").orderBy("okey", "chunk_id")) - 1)

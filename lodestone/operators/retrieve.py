@@ -14,9 +14,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions import patterns as P
 from ..functions import text as X
+from ..functions import words as W
 from ..plans.tables import cut
 
 K1, B = 1.2, 0.75
@@ -44,28 +46,34 @@ def chunk_terms(chunks: DataFrame) -> Column:
 
 
 def with_terms(chunks: DataFrame) -> DataFrame:
-    """chunks with the column terms, as chunk_terms works it out; each batch's different words are looked at once."""
+    """chunks with the column terms, as chunk_terms works it out; a stretch of texts at a time, whose different words are looked at once."""
     if "terms" in chunks.columns:
         return chunks
-    words = chunks.withColumn("terms", F.regexp_extract_all(F.lower(search_text()), F.lit(P.TERM), F.lit(0)))
-    stop = frozenset(P.STOPWORDS)
+    texts = chunks.withColumn("terms", W.lowered(search_text()))
+    schema = StructType([*chunks.schema.fields, StructField("terms", ArrayType(StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column("terms")
-            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            coded = lists.flatten().dictionary_encode()
-            names = coded.dictionary.to_pylist()
-            keep = np.array([w not in stop for w in names], bool)
-            code = coded.indices.to_numpy(zero_copy_only=False)
-            stays = keep[code] if len(names) else np.zeros(0, bool)
-            row = np.repeat(np.arange(len(b)), sizes)[stays]
-            at = np.r_[0, np.cumsum(np.bincount(row, minlength=len(b)))].astype(np.int32)
-            terms = pa.array([X.folded(w) for w in names], pa.string()).take(pa.array(code[stays]))
-            cols = [pa.ListArray.from_arrays(pa.array(at), terms) if n == "terms" else b.column(n) for n in b.schema.names]
-            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
+            for t in W.of_texts(b.column("terms")):
+                part = b.slice(t.lo, t.hi - t.lo)
+                yield pa.RecordBatch.from_arrays([t.lists() if n == "terms" else part.column(n) for n in b.schema.names], names=b.schema.names)
+
+    return texts.mapInArrow(run, schema)
+
+
+def uses(texts: DataFrame, text: str = "text") -> DataFrame:
+    """term, uses, docs of the texts' search terms: each stretch of texts is counted where it lies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in W.of_texts(b.column("text")):
+                n = len(t.names)
+                pair = np.unique(t.rows() * max(n, 1) + t.code)
+                cols = [t.names, pa.array(np.bincount(t.code, minlength=n)), pa.array(np.bincount(pair % max(n, 1), minlength=n))]
+                yield pa.RecordBatch.from_arrays(cols, names=["term", "uses", "docs"])
 
-    return words.mapInArrow(run, words.schema)
+    counted = texts.select(W.lowered(F.col(text)).alias("text")).mapInArrow(run, "term string, uses bigint, docs bigint")
+    return counted.groupBy("term").agg(F.sum("uses").alias("uses"), F.sum("docs").alias("docs"))
 
 
 def postings(chunks: DataFrame, only: frozenset | None = None) -> DataFrame:
@@ -113,38 +121,67 @@ def _groups(b: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
         yield name, b if len(coded.dictionary) == 1 else b.take(pa.array(np.flatnonzero(code == i)))
 
 
-def _asked_counts(chunks: DataFrame, names: list[str]) -> dict[str, tuple[int, float, np.ndarray]]:
-    """Of each variant the number of chunks, their mean length, and how many chunks hold each of names."""
+_WORDS = "dl int, words binary, tfs binary"  # of a chunk its length, and places and uses of the terms that are asked for
+
+
+def _asked_words(chunks: DataFrame, names: list[str]) -> DataFrame:
+    """variant, chunk_id, okey and _WORDS of chunks (..., terms): the terms are read once, and only asked ones go on."""
+    own = ["variant", "chunk_id", "okey"]
+    kinds = ", ".join(f"{n} {chunks.schema[n].dataType.simpleString()}" for n in own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {w: i for i, w in enumerate(names)}
+        for b in batches:
+            for t in W.of_lists(b.column("terms")):
+                part = b.slice(t.lo, t.hi - t.lo)
+                row, word, tf = _counted(t, place)
+                cut_at = (np.searchsorted(row, np.arange(len(part) + 1)) * 4).astype(np.int32)
+                packed = lambda x: pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(cut_at.tobytes()), pa.py_buffer(x.astype(np.int32).tobytes())])
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in own), pa.array(np.diff(t.at).astype(np.int32)), packed(word), packed(tf)], names=[*own, "dl", "words", "tfs"])
+
+    return chunks.select(*own, "terms").mapInArrow(run, f"{kinds}, {_WORDS}")
+
+
+def _unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """row, place, tf of a batch of _asked_words in order of rows and places, and each row's length."""
+
+    def numbers(c: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+        data = c.buffers()[2]
+        return np.diff(at) // 4, np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(np.int32) if data is not None and len(c) else np.zeros(0, np.int32)
+
+    many, word = numbers(b.column("words"))
+    return np.repeat(np.arange(len(b)), many), word, numbers(b.column("tfs"))[1], b.column("dl").to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _asked_counts(found: DataFrame, n_names: int) -> dict[str, tuple[int, float, np.ndarray]]:
+    """Of each variant the number of chunks, their mean length, and how many chunks hold each asked term. found: of _asked_words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for whole in batches:
             for variant, b in _groups(whole):
-                _, word, _, dl = _counted(b.column("terms"), place)
-                sums.setdefault(variant, np.zeros(len(names) + 2, np.int64))
-                sums[variant] += np.r_[len(b), int(dl.sum()), np.bincount(word, minlength=len(names))]
+                _, word, _, dl = _unpacked(b)
+                sums.setdefault(variant, np.zeros(n_names + 2, np.int64))
+                sums[variant] += np.r_[len(b), int(dl.sum()), np.bincount(word, minlength=n_names)]
         for variant, n in sums.items():
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([variant] * len(some), pa.string()), pa.array(some), pa.array(n[some])], names=["variant", "at", "n"])
 
-    summed = chunks.select("variant", "terms").mapInArrow(run, "variant string, at bigint, n bigint").groupBy("variant", "at").agg(F.sum("n").alias("n"))
+    summed = found.select("variant", "dl", "words", "tfs").mapInArrow(run, "variant string, at bigint, n bigint").groupBy("variant", "at").agg(F.sum("n").alias("n"))
     out: dict[str, np.ndarray] = {}
     for r in summed.collect():  # a row a variant and term asked for
-        out.setdefault(r.variant, np.zeros(len(names) + 2, np.int64))[r["at"]] = r["n"]
+        out.setdefault(r.variant, np.zeros(n_names + 2, np.int64))[r["at"]] = r["n"]
     return {v: (int(n[0]), int(n[1]) / int(n[0]), n[2:]) for v, n in out.items()}
 
 
-def _counted(lists: pa.ListArray, place: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """row, place, tf of the terms that have a place, in order of rows and places, and each row's length."""
-    dl = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    words = lists.flatten().dictionary_encode()
-    own = np.array([place.get(w, -1) for w in words.dictionary.to_pylist()], np.int64)
-    at = own[words.indices.to_numpy(zero_copy_only=False)] if len(own) else np.zeros(0, np.int64)
+def _counted(t: W.Terms, place: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """row, place, tf of the terms that have a place, in order of rows and places."""
+    own = np.array([place.get(w, -1) for w in t.names.to_pylist()], np.int64)
+    at = own[t.code] if len(own) else np.zeros(0, np.int64)
     has = at >= 0
-    code, tf = np.unique(np.repeat(np.arange(len(dl)), dl)[has] * max(len(place), 1) + at[has], return_counts=True)
-    row, word = np.divmod(code, max(len(place), 1))
-    return row, word, tf, dl
+    code, tf = np.unique(t.rows()[has] * max(len(place), 1) + at[has], return_counts=True)
+    return *np.divmod(code, max(len(place), 1)), tf
 
 
 def bm25(questions: DataFrame, chunks: DataFrame, k: int = CANDIDATES, k1: float = K1, b: float = B, by: str | None = None) -> DataFrame:
@@ -158,12 +195,13 @@ def bm25(questions: DataFrame, chunks: DataFrame, k: int = CANDIDATES, k1: float
     """
     asked = questions.select("qid", F.explode(F.array_distinct(X.search_terms(F.col("question")))).alias("term")).distinct()
     pairs = asked.limit(FEW_TERMS + 1).collect()  # bounded
-    chunks = _keyed(chunks, by).select("variant", "chunk_id", "okey", chunk_terms(chunks).alias("terms"))
+    chunks = _keyed(with_terms(chunks), by).select("variant", "chunk_id", "okey", "terms")
     if len(pairs) > FEW_TERMS:
         return _of_variants(_top(_joined_scores(asked, chunks, k1, b), k, ("variant",)), by)
     names, qids = sorted({r.term for r in pairs}), list(dict.fromkeys(r.qid for r in pairs))
     place, no = {w: i for i, w in enumerate(names)}, {q: i for i, q in enumerate(qids)}
-    counts = _asked_counts(chunks, names)
+    found = cut(_asked_words(chunks, names))  # counted, then scored
+    counts = _asked_counts(found, len(names))
     weights = {v: (np.log((n - df + 0.5) / (df + 0.5) + 1), avgdl) for v, (n, avgdl, df) in counts.items()}
     of = np.array(sorted((place[r.term], no[r.qid]) for r in pairs), np.int64).reshape(-1, 2)
     first = np.searchsorted(of[:, 0], np.arange(len(names) + 1))  # a term's questions
@@ -178,7 +216,7 @@ def bm25(questions: DataFrame, chunks: DataFrame, k: int = CANDIDATES, k1: float
                 idf, avgdl = weights[variant]
                 for lo in range(0, len(rows), step):
                     part = rows.slice(lo, step)
-                    row, word, tf, dl = _counted(part.column("terms"), place)
+                    row, word, tf, dl = _unpacked(part)
                     share = idf[word] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[row] / avgdl))
                     many = first[word + 1] - first[word]
                     q = of[np.repeat(first[word], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many), 1]
@@ -192,7 +230,7 @@ def bm25(questions: DataFrame, chunks: DataFrame, k: int = CANDIDATES, k1: float
                     yield pa.RecordBatch.from_arrays(arrays, names=["variant", "qid", "chunk_id", "okey", "score"])
 
     schema = "variant string, " + ", ".join(f"{c} {t.simpleString()}" for c, t in zip(("qid", "chunk_id", "okey"), kinds)) + ", score double"
-    return _of_variants(_top(chunks.mapInArrow(run, schema), k, ("variant",)), by)
+    return _of_variants(_top(found.mapInArrow(run, schema), k, ("variant",)), by)
 
 
 def _keyed(rows: DataFrame, by: str | None) -> DataFrame:
@@ -373,9 +411,13 @@ def search(
         found = one.withColumns({"ranks": F.create_map(F.lit(mode), F.col("rank")), "scores": F.create_map(F.lit(mode), F.col("score"))})
     else:
         found = fuse([("bm25", lexical), ("vector", dense)])
-    found = found.filter(F.col("rank") <= (candidate_k if mode == "hybrid+rerank" else k))
-    found = found.join(questions.select("qid", "question"), "qid").join(chunks.select("chunk_id", "title", "heading", "text"), "chunk_id")
-    found = found.join(asked.select("qid", F.col("vec").alias("qv")), "qid").join(vectors.select("chunk_id", "vec"), "chunk_id")
+    # the hits of a batch of questions are few beside the chunks: written, their size is known, and Spark sends them to the chunks
+    found = cut(found.filter(F.col("rank") <= (candidate_k if mode == "hybrid+rerank" else k)))
+    ids = cut(found.select("chunk_id").distinct())
+    near = cut(vectors.join(ids, "chunk_id", "left_semi").select("chunk_id", "vec"))
+    text = cut(chunks.join(ids, "chunk_id", "left_semi").select("chunk_id", "title", "heading", "text"))
+    found = found.join(questions.select("qid", "question"), "qid").join(text, "chunk_id")
+    found = found.join(asked.select("qid", F.col("vec").alias("qv")), "qid").join(near, "chunk_id")
     found = found.withColumn("vector_score", dot(F.col("qv"), F.col("vec"))).drop("qv", "vec")
     found = found.withColumn("bm25_score", F.coalesce(F.try_element_at("scores", F.lit("bm25")), F.lit(0.0))).drop("scores")
     if mode != "hybrid+rerank":
@@ -403,11 +445,12 @@ def all_modes(questions: DataFrame, chunks: DataFrame, query_vectors: DataFrame,
     fused = cut(fuse([("bm25", lexical), ("vector", dense)]).filter(F.col("rank") <= candidate_k).select("qid", "chunk_id", "rank"))
     found = {"bm25": lexical, "vector": dense, "hybrid": fused}
     if "hybrid+rerank" in modes:
-        text = chunks.join(fused.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", "heading", "text")
+        ids = cut(fused.select("chunk_id").distinct())  # of known size, so that Spark sends them to the chunks
+        text = cut(chunks.join(ids, "chunk_id", "left_semi").select("chunk_id", "heading", "text"))
         scored = fused.join(questions.select("qid", "question"), "qid").join(text, "chunk_id")
         scored = scored.withColumn("s", rerank_score(F.col("question"), F.col("heading"), F.col("text")))
         order = Window.partitionBy("qid").orderBy(F.round("s", 9).desc(), "rank")
-        found["hybrid+rerank"] = scored.select("qid", "chunk_id", F.row_number().over(order).alias("rank"))
+        found["hybrid+rerank"] = cut(scored.select("qid", "chunk_id", F.row_number().over(order).alias("rank")))
     every = None
     for mode in modes:
         part = found[mode].filter(F.col("rank") <= k).select(F.lit(mode).alias("mode"), "qid", "rank", "chunk_id")

@@ -4,10 +4,13 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone import queries as Q
+from lodestone.functions import text as X
+from lodestone.functions import words as W
 from lodestone.operators import ablation as B
 from lodestone.operators import answer as A
 from lodestone.operators import embed as E
@@ -15,6 +18,7 @@ from lodestone.operators import evaluate as V
 from lodestone.operators import index as I
 from lodestone.operators import privacy as R
 from lodestone.operators import retrieve as S
+from lodestone.plans.tables import cut
 from lodestone.streaming import jobs
 
 CHUNKS = "chunk_id string, okey string, source string, title string, heading string, text string"
@@ -310,3 +314,26 @@ def test_ablation_in_one_plan(spark, monkeypatch):
     with pytest.raises(ValueError):
         B.report(sections, asked, gold, {"x": (10, 10)})
     assert {v: o for v, (_, o) in B.variants((60, 400), 30).items()} == {"60": 15, "400": 30}
+
+
+def test_terms_of_stretches(spark, monkeypatch):
+    texts = ["The cats' studies of the bus", None, "", "x " * 40 + "glasses", "Cat cats CATS it's 3.14"]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    want = [r.t for r in df.select("n", X.search_terms(F.col("text")).alias("t")).orderBy("n").collect()]
+    monkeypatch.setattr(W, "CHARACTERS", 30)
+    low = pa.array([(t or "").lower() for t in texts])
+    some = list(W.of_texts(low))
+    assert len(some) > 1 and [x for t in some for x in t.lists().to_pylist()] == want
+    monkeypatch.setattr(W, "TERMS", 3)
+    lists = list(W.of_lists(pa.array(want)))
+    assert len(lists) > 1 and [x for t in lists for x in t.lists().to_pylist()] == want
+    uses = {r.term: (r.uses, r.docs) for r in S.uses(df).collect()}
+    assert uses["cat"] == (4, 2) and uses["x"] == (40, 1) and "the" not in uses
+
+
+def test_hits_are_sent_to_the_chunks(spark):
+    chunks = S.with_terms(spark.createDataFrame([(f"c{i}", f"k{i}", "", "", f"word{i} common") for i in range(9)], "chunk_id string, okey string, title string, heading string, text string"))
+    q = cut(spark.createDataFrame([(1, "word3 common")], "qid int, question string"))  # of known size
+    hits = S.search(q, chunks, E.hashing(q, "qid", "question", 16), E.hashing(chunks, ["chunk_id", "okey"], "terms", 16), "hybrid", 2)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 0 and hits.count() == 2 and hits.orderBy("rank").first().chunk_id == "c3"
