@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,53 +24,89 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(n == 0, 1, n)
 
 
-def _hashes(features: list[str]) -> np.ndarray:
-    """Of each the first half of its MD5 as a number."""
-    return np.frombuffer(b"".join([md5(f.encode()).digest() for f in features]), ">u8")[::2].astype(np.uint64)
-
-
-class _Vocabulary:
-    """Vectors of rows of terms; the hashes of the words and 4-grams met last are kept by a worker."""
-
-    def __init__(self, dim: int):
-        self.dim, self.known = dim, {}
-
-    def hashes(self, features: list[str]) -> np.ndarray:
-        """_hashes of words and 4-grams, which come again and again."""
-        if len(self.known) > 200_000:
-            self.known.clear()
-        new = list({f for f in features if f not in self.known})
-        self.known.update(zip(new, _hashes(new).tolist()))
-        return np.array([self.known[f] for f in features], np.uint64)
-
-    def placed(self, hashes: np.ndarray, weight: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
-        """The place and the signed weight of each."""
-        return (hashes % np.uint64(self.dim)).astype(np.int64), np.where(hashes % np.uint64(2) == 1, weight, np.negative(weight))
-
-    def vectors(self, t: W.Terms) -> np.ndarray:
-        """A row of sums of weights for each row of terms: all of its words' features are laid out and counted at once."""
-        n, names, rows = t.hi - t.lo, t.names.to_pylist(), t.rows()
-        if not len(t.code):
-            return np.zeros((n, self.dim))
-        features, many = [], np.empty(len(names), np.int64)
-        for i, w in enumerate(names):
-            padded = f"^{w}$"
-            grams = [padded[j : j + 4] for j in range(max(1, len(padded) - 3))]
-            features.append(w)
-            features += grams
-            many[i] = 1 + len(grams)
-        first = np.cumsum(many) - many
-        weight = np.full(len(features), 0.25)
-        weight[first] = 1.0
-        place, weight = self.placed(self.hashes(features), weight)
-        used = many[t.code]
-        at = np.repeat(first[t.code] - (np.cumsum(used) - used), used) + np.arange(used.sum())
-        out = np.bincount(np.repeat(rows, used) * self.dim + place[at], weight[at], n * self.dim)
-        near = np.flatnonzero(rows[1:] == rows[:-1])
-        pair, which = np.unique(t.code[near].astype(np.int64) * len(names) + t.code[near + 1], return_inverse=True)
-        place, weight = self.placed(_hashes([f"{names[a]}|{names[b]}" for a, b in zip(*(x.tolist() for x in np.divmod(pair, len(names))))]), 0.6)
-        out += np.bincount(rows[near] * self.dim + place[which], weight[which], n * self.dim)
-        return out.reshape(n, self.dim)
+#: Messages that are hashed at once, and the longest of one block of MD5.
+AT_ONCE, SHORT = 1 << 15, 55
+_SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+_TURNS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+
+
+def _hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each data[at[i] : at[i + 1]] (bytes) the first half of its MD5 as a number: many short ones in each step."""
+    sizes, out = np.diff(at), np.empty(len(at) - 1, np.uint64)
+    for lo in range(0, len(out), AT_ONCE):
+        size = np.where(sizes[lo : lo + AT_ONCE] <= SHORT, sizes[lo : lo + AT_ONCE], 0)
+        n = len(size)
+        block = np.zeros((n, 64), np.uint8)
+        nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        block.ravel()[np.repeat(np.arange(n) * 64, size) + nth] = data[np.repeat(at[lo : lo + n], size) + nth]
+        block[np.arange(n), size] = 0x80
+        word = np.ascontiguousarray(block.view("<u4").T)
+        word[14] = size * 8
+        a, b, c, d = (np.full(n, x, np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+        for i in range(64):
+            if i < 16:
+                f, g = d ^ (b & (c ^ d)), i
+            elif i < 32:
+                f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+            elif i < 48:
+                f, g = b ^ c ^ d, (3 * i + 5) % 16
+            else:
+                f, g = c ^ (b | ~d), 7 * i % 16
+            f += a
+            f += word[g]
+            f += np.uint32(_SINES[i])
+            turn = _TURNS[i // 16][i % 4]
+            a, b, c, d = d, b + ((f << turn) | (f >> (32 - turn))), b, c
+        a, b = (a + np.uint32(0x67452301)).byteswap(), (b + np.uint32(0xEFCDAB89)).byteswap()
+        out[lo : lo + n] = a.astype(np.uint64) << 32 | b
+    for i in np.flatnonzero(sizes > SHORT):
+        out[i] = int.from_bytes(md5(data[at[i] : at[i + 1]].tobytes()).digest()[:8], "big")
+    return out
+
+
+def _bytes(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """The words' bytes, and where each begins (one more for the end)."""
+    at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    return np.frombuffer(words.buffers()[2] or b"", np.uint8), at
+
+
+def _grams(names: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the different 4-grams of names between ^ and $, how many each name has, and which. Terms are ASCII (patterns.TERM)."""
+    data, at = _bytes(pc.binary_join_element_wise("^", names, "$", ""))
+    sizes = np.diff(at)
+    many = np.maximum(sizes - 3, 1)
+    start = np.repeat(at[:-1] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    data = np.r_[data, np.zeros(3, np.uint8)].astype(np.uint32)
+    code = data[start] | data[start + 1] << 8 | data[start + 2] << 16
+    code |= np.where(np.repeat(sizes > 3, many), data[start + 3], 0).astype(np.uint32) << 24
+    code, which = np.unique(code, return_inverse=True)
+    letters = code.astype("<u4").view(np.uint8).reshape(-1, 4)
+    return _hashes(letters[letters > 0], np.r_[0, np.cumsum((letters > 0).sum(axis=1))]), many, which
+
+
+def _vectors(t: W.Terms, dim: int) -> Iterator[tuple[W.Terms, np.ndarray]]:
+    """ROWS rows of terms at a time, and a row of sums of weights for each: the features of a stretch are hashed at once."""
+    names, rows = t.names.cast(pa.string()), t.rows()
+    signed = lambda h, weight: ((h % np.uint64(dim)).astype(np.int64), np.where(h % np.uint64(2) == 1, weight, -weight))
+    word, word_weight = signed(_hashes(*_bytes(names)), 1.0)
+    hashes, many, which = _grams(names)
+    gram, gram_weight = (x[which] for x in signed(hashes, 0.25))
+    first = np.cumsum(many) - many
+    near = np.flatnonzero(rows[1:] == rows[:-1])
+    pair, own = np.unique(t.code[near].astype(np.int64) * len(names) + t.code[near + 1], return_inverse=True)
+    left, right = (names.take(pa.array(x)) for x in np.divmod(pair, max(len(names), 1)))
+    both, both_weight = (x[own] for x in signed(_hashes(*_bytes(pc.binary_join_element_wise(left, right, "|"))), 0.6))
+    for lo in range(t.lo, t.hi, ROWS):
+        part = t.part(lo, min(lo + ROWS, t.hi))
+        n, base = part.hi - part.lo, part.rows() * dim
+        used = many[part.code]
+        at = np.repeat(first[part.code] - (np.cumsum(used) - used), used) + np.arange(used.sum())
+        out = np.bincount(np.repeat(base, used) + gram[at], gram_weight[at], n * dim)
+        out += np.bincount(base + word[part.code], word_weight[part.code], n * dim)
+        begin, end = (t.at[x - t.lo] for x in (part.lo, part.hi))
+        some = slice(*np.searchsorted(near, [begin, end]))
+        out += np.bincount(base[near[some] - begin] + both[some], both_weight[some], n * dim)
+        yield part, out.reshape(n, dim)
 
 
 def hashing(rows: DataFrame, key: str | list[str], text: str, dim: int = DIM) -> DataFrame:
@@ -80,12 +118,10 @@ def hashing(rows: DataFrame, key: str | list[str], text: str, dim: int = DIM) ->
     at_hand = rows.schema[text].dataType.typeName() == "array"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _Vocabulary(dim)
         for b in batches:
             for some in (W.of_lists if at_hand else W.of_texts)(b.column("terms")):
-                for lo in range(some.lo, some.hi, ROWS):
-                    t = some.part(lo, min(lo + ROWS, some.hi))
-                    x = unit(vocabulary.vectors(t))
+                for t, sums in _vectors(some, dim):
+                    x = unit(sums)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * dim), pa.array(x.ravel()))
                     yield pa.RecordBatch.from_arrays([*(b.column(c).slice(t.lo, t.hi - t.lo) for c in keys), lists], names=[*keys, "vec"])
 

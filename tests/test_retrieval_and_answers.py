@@ -337,3 +337,18 @@ def test_hits_are_sent_to_the_chunks(spark):
     hits = S.search(q, chunks, E.hashing(q, "qid", "question", 16), E.hashing(chunks, ["chunk_id", "okey"], "terms", 16), "hybrid", 2)
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") == 0 and hits.count() == 2 and hits.orderBy("rank").first().chunk_id == "c3"
+
+
+def test_features_are_hashed_in_bulk(monkeypatch):
+    """Words, pairs and 4-grams get the first half of their MD5, short ones without a call for each."""
+    md5, called = hashlib.md5, []
+    monkeypatch.setattr(E, "md5", lambda data: called.append(data) or md5(data))
+    half = lambda f: int(md5(f.encode()).hexdigest()[:16], 16)
+    texts = ["", "b", "it's u.s.a. version 10.2 of b " * 3, " ".join("x" * n for n in range(50, 60)), *(f"word{i} is near word{i + 1}" for i in range(3000))]
+    got = [x for t in W.of_texts(pa.array(texts)) for _, some in E._vectors(t, 32) for x in some]
+    assert len(got) == len(texts) and 0 < len(called) < 40 and all(len(x) > 55 for x in called)
+    for text, x in zip(texts, got):
+        terms, want = next(W.of_texts(pa.array([text]))).lists()[0].as_py(), np.zeros(32)
+        for f, weight in [*((w, 1.0) for w in terms), *((f"{a}|{b}", 0.6) for a, b in zip(terms, terms[1:])), *((f"^{w}$"[i : i + 4], 0.25) for w in terms for i in range(max(1, len(w) - 1)))]:
+            want[half(f) % 32] += weight if half(f) % 2 else -weight
+        assert np.allclose(x, want)
