@@ -3,12 +3,14 @@
 Base rules (e-mail, ip, card, phone) give spans that always stay.  High-recall generators propose further, overlapping
 spans (``secret``: long mixed tokens; ``quoted``: long values in quotes; ``number``: groups of digits; ``handle``:
 spelled-out addresses).  Boosted trees score them by format and context features; the ensemble is fitted once a run, on
-the driver, on at most ``SAMPLE`` distinct candidates whose labels come from the corpus itself (positive if a naming word
-such as ``token`` or ``contact`` stands before them), and is turned into a column expression.  The label's own feature is
-blank while fitting, so the trees learn the format and the rest of the context and find spans that nothing names.
+all distinct candidates, whose labels come from the corpus itself (positive if a naming word such as ``token`` or
+``contact`` stands before them), and is turned into a column expression.  Features are cut at fixed borders, so candidates
+count by their bins: a tree needs no more than the gradients of each two bins' common candidates, whatever their number.
+The ensemble is turned into a column expression.  The label's own feature is blank while fitting, so the trees learn the
+format and the rest of the context and find spans that nothing names.
 A span is redacted if its calibrated score reaches the threshold that keeps precision at ``PRECISION`` on the
-calibration part of that sample (the parts are dealt by a hash of the candidate's text, so no text is in both).  If none
-does, or the sample has one label only, named and assigned candidates are redacted; the model says so (``source``) and
+other half of the candidates (the halves are dealt by a hash of the candidate's text, so no text is in both).  If none
+does, or the candidates have one label only, named and assigned candidates are redacted; the model says so (``source``) and
 ``train`` warns.  Of overlapping spans the one of the earlier kind stays.
 
 Positions are code points.  ``split`` and ``regexp_extract_all`` with one pattern give the pieces between and the
@@ -25,10 +27,11 @@ an empty table.
 from __future__ import annotations
 
 import warnings
-from hashlib import blake2b
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
@@ -36,7 +39,8 @@ from .common import cut, table
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("secret", "quoted", "number", "handle")
 KINDS = (*BASE, *ADDED)
-SAMPLE = 4000
+WEIGHT = 4000  # of all candidates, half of them for each label
+GROUPS = 1 << 15  # of equal candidates, that the driver takes
 PRECISION = 0.98
 TREES = 24
 RATE = 0.3
@@ -176,39 +180,75 @@ def features(hit: Column, before: Column) -> list[Column]:
     ]
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, rate: float = RATE) -> list:
-    """Boosted trees of depth two for logistic loss: [(f, cut, (left f, cut, lo, hi), (right ...)), ...]."""
-    z, out = np.zeros(len(y)), []
-
-    def stump(rows: np.ndarray, g: np.ndarray, h: np.ndarray):
-        best = (0.0, 0, 0.0)
-        gs, hs = g[rows].sum(), h[rows].sum()
-        for f in range(x.shape[1]):
-            v = x[rows, f]
-            for c in np.unique(np.quantile(v, np.linspace(0.05, 0.95, 19), method="lower")) if len(v) else ():
-                left = v <= c
-                gl, hl = g[rows][left].sum(), h[rows][left].sum()
-                gain = gl**2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs**2 / (hs + 1)
-                if gain > best[0] + 1e-9:
-                    best = (gain, f, float(c))
-        return best[1], best[2]
-
-    leaf = lambda rows, g, h: float(round(rate * g[rows].sum() / (h[rows].sum() + 1), 9))
+#: Borders of the bins that the trees may cut at, by feature: fixed, so no statistics are taken for them.
+_SHARES, _FEW, _YES = [i / 20 for i in range(20)], [i / 40 for i in range(20)], [0.5]
+EDGES = [[*range(7, 25), 28, 31, 32, 36, 39, 40, 44, 48, 56, 63, 64, 80, 96, 128, 256], _SHARES, _SHARES, _FEW, _YES, _YES, _YES, _YES, _YES, _FEW]
+UNIT = 2.0**36  # gradients are summed as whole numbers of its reciprocal, so that sums are the same in any order
+STEP = 8192  # groups that are summed at once
+
+
+def binned(x: np.ndarray, edges: list) -> np.ndarray:
+    """Of each value how many borders lie below it."""
+    return np.stack([np.searchsorted(e, x[:, f]) for f, e in enumerate(edges)], axis=1).astype(np.uint8) if len(x) else np.zeros((0, len(edges)), np.uint8)
+
+
+def _upper(bins: np.ndarray, edges: list) -> np.ndarray:
+    """A value that trees treat as all values of a bin."""
+    return np.stack([np.r_[np.array(e, float), np.inf][bins[:, f]] for f, e in enumerate(edges)], axis=1)
+
+
+def sums(bins: np.ndarray, y: np.ndarray, w: np.ndarray, trees: list, edges: list) -> np.ndarray:
+    """Gradients and curvatures (in parts of UNIT) of each two bins' common rows after these trees; of a bin with itself, of its rows."""
+    size = [len(e) + 1 for e in edges]
+    first, wide = np.cumsum(size) - size, sum(size)
+    out = np.zeros((2, wide * wide))
+    for lo in range(0, len(bins), STEP):
+        b = bins[lo : lo + STEP]
+        p = 1 / (1 + np.exp(-predict(_upper(b, edges), trees)))
+        at = first + b
+        pair = (at[:, :, None] * wide + at[:, None, :]).ravel()
+        for i, v in enumerate((y[lo : lo + STEP] - p, p * (1 - p))):
+            out[i] += np.bincount(pair, np.repeat(np.rint(v * w[lo : lo + STEP] * UNIT), len(edges) ** 2), wide * wide)
+    return out.reshape(2, wide, wide)
+
+
+def grow(summed, edges: list, trees: int, rate: float) -> list:
+    """Boosted trees of depth two for logistic loss: [(f, cut, (left f, cut, lo, hi), (right ...)), ...]. summed(trees): as ``sums``."""
+    size = [len(e) + 1 for e in edges]
+    own = [slice(n - k, n) for n, k in zip(np.cumsum(size), size)]
+
+    def stump(part: np.ndarray) -> tuple:
+        """Of a node's sums by bin: feature, place of the border, border, and the sums on both sides."""
+        gs, hs = part[:, own[0]].sum(axis=1)
+        best = (0.0, 0, -1)
+        for f, at in enumerate(own):
+            gl, hl = np.cumsum(part[:, at], axis=1)[:, :-1]
+            gain = gl**2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs**2 / (hs + 1)
+            i = int(np.argmax(gain)) if len(gain) else -1
+            if i >= 0 and gain[i] > best[0] + 1e-9:
+                best = (gain[i], f, i)
+        _, f, i = best
+        left = part[:, own[f]][:, : i + 1].sum(axis=1)
+        return f, i, float(edges[f][i]) if i >= 0 else float("-inf"), left, np.array([gs, hs]) - left
+
+    leaf = lambda v: float(round(rate * v[0] / (v[1] + 1), 9))
+    out: list = []
     for _ in range(trees):
-        p = 1 / (1 + np.exp(-z))
-        g, h, every = y - p, p * (1 - p), np.arange(len(y))
-        f, c = stump(every, g, h)
-        tree = [f, c]
-        for rows in (every[x[:, f] <= c], every[x[:, f] > c]):
-            f2, c2 = stump(rows, g, h) if len(rows) else (0, 0.0)
-            lo, hi = rows[x[rows, f2] <= c2], rows[x[rows, f2] > c2]
-            tree.append((f2, c2, leaf(lo, g, h), leaf(hi, g, h)))
-            z[lo] += tree[-1][2]
-            z[hi] += tree[-1][3]
-        out.append(tuple(tree))
+        both = summed(out) / UNIT
+        whole = np.stack([both[i].diagonal() for i in (0, 1)])
+        f, i, c, *_ = stump(whole)
+        left = both[:, own[f]][:, : i + 1].sum(axis=1)
+        sides = [(f2, c2, leaf(lo), leaf(hi)) for f2, _, c2, lo, hi in map(stump, (left, whole - left))]
+        out.append((f, c, *sides))
     return out
 
 
+def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, rate: float = RATE) -> list:
+    """``grow`` on rows at hand, with borders at their quantiles."""
+    edges = [np.unique(np.quantile(v, np.linspace(0.05, 0.95, 19), method="lower")).tolist() for v in x.T]
+    return grow(lambda grown: sums(binned(x, edges), y, np.ones(len(y)), grown, edges), edges, trees, rate)
+
+
 def predict(x: np.ndarray, trees: list) -> np.ndarray:
     z = np.zeros(len(x))
     for f, c, left, right in trees:
@@ -226,18 +266,21 @@ def as_column(xs: list[Column], trees: list) -> Column:
     return out
 
 
-def threshold(z: np.ndarray, y: np.ndarray, precision: float = PRECISION) -> float:
-    """The least score from which on at least that share is positive; infinite if there is none."""
+def threshold(z: np.ndarray, y: np.ndarray, precision: float = PRECISION, w: np.ndarray | None = None) -> float:
+    """The least score from which on at least that share (by weight) is positive; infinite if there is none."""
     o = np.argsort(-z, kind="stable")
-    good = np.cumsum(y[o]) / np.arange(1, len(y) + 1)
+    w = np.ones(len(z)) if w is None else w
+    good = np.cumsum((y * w)[o]) / np.cumsum(w[o])
     last = np.r_[z[o][1:] != z[o][:-1], True] if len(z) else np.zeros(0, bool)
     ok = np.flatnonzero((good >= precision) & last)
     return float(z[o][ok[-1]]) if len(ok) else float("inf")
 
 
-#: Without a sample that can be learnt from: candidates with a naming word, an assignment and both digits and letters.
+#: Without candidates that can be learnt from: candidates with a naming word, an assignment and both digits and letters.
 DEFAULT = {"trees": [(5, 0.5, (0, 0.0, -2.0, -2.0), (6, 0.5, -0.5, 2.0))], "threshold": 1.0, "source": "default rule"}
 _RANGE = 1 << 31
+_WHOLE = 1 << 40  # the weight of one candidate
+_FINE = 1024  # scores are told apart in steps of its reciprocal when a threshold is chosen
 
 
 def _default(why: str) -> dict:
@@ -245,10 +288,12 @@ def _default(why: str) -> dict:
     return DEFAULT
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
-    """Trees and threshold from at most ``sample`` distinct candidates, the first by a hash of the span's text.
+def train(docs: DataFrame, weight: int = WEIGHT, at_hand: int = GROUPS) -> dict:
+    """Trees and threshold from all distinct candidates; those of a kind and label weigh as much as weight / 8 of them, if they are more.
 
-    Where the sample can't be learnt from, or no threshold reaches the precision, the model is DEFAULT, with a warning.
+    Candidates of equal bins, label and half are one group with a weight.  At most ``at_hand`` groups are summed up on the
+    driver, more of them by a Spark job a tree; sums are of whole numbers, so both give the same model.
+    Where the candidates can't be learnt from, or no threshold reaches the precision, the model is DEFAULT, with a warning.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
 
@@ -259,29 +304,76 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
     # a weak label: assigned to a named secret, or an address that is contacted; never the only evidence of a score
     found = found.withColumn("y", F.lower("before").rlike(_NAMED).cast("int"))
     # copies of a candidate are one, whose context is the least of them
-    once = cut(found.groupBy("kind", "hit", "y").agg(F.min("before").alias("before")).withColumn("place", F.pmod(F.xxhash64("hit"), F.lit(_RANGE))))
-    # of each kind and label the first by hash; a cut at twice their share of the hash's range leaves little to rank, whatever there is
-    quota = sample // (2 * len(_GENERATORS))
+    once = cut(found.groupBy("kind", "hit", "y").agg(F.min("before").alias("before")))
     many = {(r.kind, r.y): r.n for r in once.groupBy("kind", "y").agg(F.count("*").alias("n")).collect()}  # two rows a kind
-    near = F.lit(False)
+    if len({y for _, y in many}) < 2:
+        return _default("the candidates have not both labels")
+    quota, w = weight // (2 * len(_GENERATORS)), F.lit(0)
     for (kind, y), n in sorted(many.items()):
-        near = near | ((F.col("kind") == kind) & (F.col("y") == y) & (F.col("place") < int(min(1.0, 2 * quota / n) * _RANGE)))
-    order = Window.partitionBy("kind", "y").orderBy("place", "hit")
-    some = once.filter(near).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= quota)
-    got = some.select(F.array(*features(F.col("hit"), F.col("before"))).alias("x"), "y", "hit").collect()  # bounded: the sample
-    if len({r.y for r in got}) < 2:
-        return _default("the sample has not both labels")
-    got.sort(key=lambda r: (r.hit, r.y, r.x))
-    x, y = np.array([r.x for r in got]), np.array([r.y for r in got], float)
-    x[:, FEATURES.index("keyword")] = 0
-    learn = np.array([blake2b(r.hit.encode(), digest_size=1).digest()[0] % 2 == 0 for r in got])  # a text is in one half
-    if len(set(y[learn])) < 2 or learn.all():
-        return _default("a half of the sample has not both labels")
-    trees = fit(x[learn], y[learn])
-    least = threshold(predict(x[~learn], trees), y[~learn])
+        w = F.when((F.col("kind") == kind) & (F.col("y") == y), F.lit(int(min(1.0, quota / n) * _WHOLE))).otherwise(w)
+    learn = F.crc32(F.col("hit").cast("binary")) % 2 == 0  # a text is in one half
+    seen = once.select(_bins(features(F.col("hit"), F.col("before"))).alias("bins"), "y", learn.alias("learn"), w.cast("long").alias("w"))
+    groups = cut(seen.groupBy("bins", "y", "learn").agg(F.sum("w").alias("w")))
+    halves = {(r.learn, r.y) for r in groups.select("learn", "y").distinct().collect()}
+    if len(halves) < 4 and not {(True, 0), (True, 1), (False, 1)} <= halves:
+        return _default("a half of the candidates has not both labels")
+    few = groups.limit(at_hand + 1).toArrow() if at_hand else None  # bounded
+    if few is not None and few.num_rows <= at_hand:
+        part = lambda half: _arrays(few.filter(pc.equal(few.column("learn"), half)))
+        fitted = part(True)
+        trees = grow(lambda grown: sums(*fitted, grown, EDGES), EDGES, TREES, RATE)
+        z, y, w = _scored(part(False), trees)
+    else:
+        trees = grow(lambda grown: _summed(groups.filter("learn"), grown), EDGES, TREES, RATE)
+        z, y, w = _all_scored(groups.filter("not learn"), trees)
+    least = threshold(z, y, PRECISION, w)
     if not np.isfinite(least):
         return _default("no threshold reaches the precision")
-    return {"trees": trees, "threshold": round(least - 1e-9, 9), "source": "fitted"}
+    return {"trees": trees, "threshold": least / _FINE, "source": "fitted"}
+
+
+def _bins(xs: list[Column]) -> Column:
+    """``binned`` as a column, the label's own feature blank."""
+    below = lambda x, e: F.size(F.filter(F.lit([float(v) for v in e]), lambda v: v < x))
+    return F.array(*[F.lit(0) if name == "keyword" else below(x, e) for name, x, e in zip(FEATURES, xs, EDGES)])
+
+
+def _arrays(groups: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bins, labels and weights (in candidates) of groups."""
+    bins = np.array(groups.column("bins").to_pylist(), np.uint8).reshape(-1, len(FEATURES))
+    return bins, groups.column("y").to_numpy().astype(float), groups.column("w").to_numpy().astype(float) / _WHOLE
+
+
+def _scored(groups: tuple, trees: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores in steps of 1 / _FINE, labels and weights of groups."""
+    bins, y, w = groups
+    return np.floor(predict(_upper(bins, EDGES), trees) * _FINE), y, w
+
+
+def _score(trees: list) -> Column:
+    """``predict`` of a group's bins as an expression."""
+    return as_column([F.get(F.lit([*map(float, e), float("inf")]), F.col("bins")[f]) for f, e in enumerate(EDGES)], trees)
+
+
+def _summed(groups: DataFrame, trees: list) -> np.ndarray:
+    """``sums`` of all groups, by a job."""
+    size = [len(e) + 1 for e in EDGES]
+    wide, first = sum(size), [int(n) for n in np.cumsum(size) - size]
+    p, w = 1 / (1 + F.exp(-F.col("z"))), F.col("w") / F.lit(float(_WHOLE)) * UNIT
+    told = groups.withColumn("z", _score(trees)).withColumn("p", p)
+    told = told.select(F.zip_with("bins", F.lit(first), lambda b, n: b + n).alias("at"), F.rint((F.col("y") - F.col("p")) * w).cast("long").alias("g"), F.rint(F.col("p") * (1 - F.col("p")) * w).cast("long").alias("h"))
+    pairs = told.select("at", "g", "h", F.explode("at").alias("a")).select("a", "g", "h", F.explode("at").alias("b"))
+    got = pairs.groupBy((F.col("a") * wide + F.col("b")).alias("at")).agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()  # a row for two bins
+    out = np.zeros((2, wide * wide))
+    for i, c in enumerate(("g", "h")):
+        out[i, got.column("at").to_numpy()] = got.column(c).to_numpy()
+    return out.reshape(2, wide, wide)
+
+
+def _all_scored(groups: DataFrame, trees: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_scored`` of all groups, a row for a step of the score and a label."""
+    got = groups.groupBy(F.floor(_score(trees) * _FINE).cast("double").alias("z"), "y").agg(F.sum("w").alias("w")).toArrow()
+    return got.column("z").to_numpy(), got.column("y").to_numpy().astype(float), got.column("w").to_numpy().astype(float) / _WHOLE
 
 
 def _apart(spans: Column, taken: Column) -> Column:

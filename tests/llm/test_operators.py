@@ -640,6 +640,23 @@ def test_pii_without_a_precise_threshold(spark):
     assert {r.doc_id for r in pii.digests(df, model).collect() if "secret" in r.spans} == set(range(0, 400, 4))
 
 
+def test_pii_learns_from_every_candidate(spark, monkeypatch):
+    """More candidates than any sample took: all of a half are summed up, and jobs over groups give the driver's model."""
+    hexed = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    rows = [(i, f'x token = "{hexed(i)}" end' if i % 2 else f"y {'%016d' % (i * 7919)} end") for i in range(12_000)]
+    df, summed, grow = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), [], pii.grow
+
+    def watched(of, edges, trees, rate):
+        summed.append(of([]))
+        return grow(of, edges, 2, rate)
+
+    monkeypatch.setattr(pii, "grow", watched)
+    models = [pii.train(df, weight=1 << 20, at_hand=n) for n in (pii.GROUPS, 0)]
+    assert models[0] == models[1] and models[0]["source"] == "fitted" and (summed[0] == summed[1]).all()
+    length = slice(0, len(pii.EDGES[0]) + 1)
+    assert 4 * summed[0][1].diagonal()[length].sum() / pii.UNIT > 0.49 * 12_000
+
+
 def test_boosting_learns_and_compiles(spark):
     rng = np.random.default_rng(12)
     x = rng.normal(size=(400, 3))
