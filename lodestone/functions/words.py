@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
 from . import text as X
 
-_TERM = re.compile(P.TERM)
-_STOP = frozenset(P.STOPWORDS)
+_STOP = pa.array(P.STOPWORDS)
+#: Of each byte whether a term may hold it anywhere (1), only between two of those (2), or not.
+_KIND = np.array([1 if chr(i) in "abcdefghijklmnopqrstuvwxyz0123456789" else 2 if chr(i) in "'." else 0 for i in range(256)], np.uint8)
 #: Characters, or terms, of the rows that are worked on at once.
 CHARACTERS, TERMS = 1 << 20, 1 << 18
 
@@ -56,21 +56,41 @@ def stretches(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
+def _found(data: np.ndarray, at: np.ndarray) -> tuple[pa.StringArray, np.ndarray]:
+    """All matches of patterns.TERM in the rows data[at[i] : at[i + 1]] (UTF-8), and where each row's matches begin.
+
+    Terms are ASCII, so bytes tell: letters, digits, and a joining sign between two of them in one row.
+    """
+    n, kind = len(data), _KIND[data]
+    begins = np.zeros(n + 1, bool)
+    begins[at] = True
+    inside = kind == 1
+    sign = np.flatnonzero(kind == 2)
+    sign = sign[(sign > 0) & (sign + 1 < n)]
+    inside[sign[inside[sign - 1] & inside[sign + 1] & ~begins[sign] & ~begins[sign + 1]]] = True
+    edge = np.r_[False, inside, False]
+    start = np.flatnonzero(inside & (~edge[:n] | begins[:n]))
+    size = np.flatnonzero(inside & (~edge[2:] | begins[1:])) + 1 - start
+    terms = pa.StringArray.from_buffers(len(start), pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.py_buffer(data[inside]))
+    return terms, np.searchsorted(start, at)
+
+
 def of_texts(texts: pa.Array) -> Iterator[Terms]:
     """What ``text.search_terms`` makes of these texts, which are lower-cased, a stretch of rows at a time."""
-    bounds = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    bounds = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     for lo, hi in stretches(np.diff(bounds), CHARACTERS):
-        found = [_TERM.findall(t or "") for t in texts.slice(lo, hi - lo).to_pylist()]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        coded = pa.array(list(chain.from_iterable(found)), pa.string()).dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        keep = np.array([w not in _STOP for w in words], bool)
-        folded = pa.array([X.folded(w) for w in words if w not in _STOP], pa.string()).dictionary_encode()
+        found, at = _found(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
+        coded = found.dictionary_encode()
+        words = coded.dictionary
+        keep = ~pc.is_in(words, value_set=_STOP).to_numpy(zero_copy_only=False)
+        plural = pc.ends_with(words, "s")  # only these may be folded
+        words = pc.replace_with_mask(words, plural, pa.array([X.folded(w) for w in words.filter(plural).to_pylist()], pa.string()))
+        folded = words.filter(pa.array(keep)).dictionary_encode()
         code = coded.indices.to_numpy(zero_copy_only=False)
-        stays = keep[code] if words else np.zeros(0, bool)
-        own = folded.indices.to_numpy(zero_copy_only=False)[(np.cumsum(keep) - 1)[code[stays]]] if keep.any() else np.zeros(0, np.int64)
-        row = np.repeat(np.arange(len(found)), sizes)[stays]
-        yield Terms(lo, hi, np.r_[0, np.cumsum(np.bincount(row, minlength=len(found)))], own, folded.dictionary)
+        stays = keep[code]
+        own = folded.indices.to_numpy(zero_copy_only=False)[(np.cumsum(keep) - 1)[code[stays]]]
+        yield Terms(lo, hi, np.r_[0, np.cumsum(stays)][at], own, folded.dictionary)
 
 
 def of_lists(lists: pa.ListArray) -> Iterator[Terms]:

@@ -93,8 +93,9 @@ def _vectors(t: W.Terms, dim: int) -> Iterator[tuple[W.Terms, np.ndarray]]:
     gram, gram_weight = (x[which] for x in signed(hashes, 0.25))
     first = np.cumsum(many) - many
     near = np.flatnonzero(rows[1:] == rows[:-1])
-    pair, own = np.unique(t.code[near].astype(np.int64) * len(names) + t.code[near + 1], return_inverse=True)
-    left, right = (names.take(pa.array(x)) for x in np.divmod(pair, max(len(names), 1)))
+    pair = pa.array(t.code[near].astype(np.int64) * len(names) + t.code[near + 1]).dictionary_encode()
+    own = pair.indices.to_numpy(zero_copy_only=False)
+    left, right = (names.take(pa.array(x)) for x in np.divmod(pair.dictionary.to_numpy(), max(len(names), 1)))
     both, both_weight = (x[own] for x in signed(_hashes(*_bytes(pc.binary_join_element_wise(left, right, "|"))), 0.6))
     for lo in range(t.lo, t.hi, ROWS):
         part = t.part(lo, min(lo + ROWS, t.hi))

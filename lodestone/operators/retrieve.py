@@ -33,6 +33,8 @@ CELLS = 1 << 21
 FEW_BYTES = 64 << 20
 #: Scores are ranked at nine decimals, so what is this near counts as equal.
 NEAR = 1e-8
+#: Vectors whose scores give a query's first bound.
+SAMPLE = 2048
 MODES = ("bm25", "vector", "hybrid", "hybrid+rerank")
 
 
@@ -125,21 +127,21 @@ _WORDS = "dl int, words binary, tfs binary"  # of a chunk its length, and places
 
 
 def _asked_words(chunks: DataFrame, names: list[str]) -> DataFrame:
-    """variant, chunk_id, okey and _WORDS of chunks (..., terms): the terms are read once, and only asked ones go on."""
-    own = ["variant", "chunk_id", "okey"]
+    """variant, chunk_id, okey and _WORDS of chunks: their texts, or their terms if at hand, are read once, and only asked terms go on."""
+    own, at_hand = ["variant", "chunk_id", "okey"], "terms" in chunks.columns
     kinds = ", ".join(f"{n} {chunks.schema[n].dataType.simpleString()}" for n in own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {w: i for i, w in enumerate(names)}
+        place = pa.array(names, pa.string())
         for b in batches:
-            for t in W.of_lists(b.column("terms")):
+            for t in (W.of_lists if at_hand else W.of_texts)(b.column("terms")):
                 part = b.slice(t.lo, t.hi - t.lo)
                 row, word, tf = _counted(t, place)
                 cut_at = (np.searchsorted(row, np.arange(len(part) + 1)) * 4).astype(np.int32)
                 packed = lambda x: pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(cut_at.tobytes()), pa.py_buffer(x.astype(np.int32).tobytes())])
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in own), pa.array(np.diff(t.at).astype(np.int32)), packed(word), packed(tf)], names=[*own, "dl", "words", "tfs"])
 
-    return chunks.select(*own, "terms").mapInArrow(run, f"{kinds}, {_WORDS}")
+    return chunks.select(*own, (F.col("terms") if at_hand else W.lowered(search_text())).alias("terms")).mapInArrow(run, f"{kinds}, {_WORDS}")
 
 
 def _unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -175,9 +177,9 @@ def _asked_counts(found: DataFrame, n_names: int) -> dict[str, tuple[int, float,
     return {v: (int(n[0]), int(n[1]) / int(n[0]), n[2:]) for v, n in out.items()}
 
 
-def _counted(t: W.Terms, place: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _counted(t: W.Terms, place: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """row, place, tf of the terms that have a place, in order of rows and places."""
-    own = np.array([place.get(w, -1) for w in t.names.to_pylist()], np.int64)
+    own = pc.index_in(t.names, value_set=place).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
     at = own[t.code] if len(own) else np.zeros(0, np.int64)
     has = at >= 0
     code, tf = np.unique(t.rows()[has] * max(len(place), 1) + at[has], return_counts=True)
@@ -195,9 +197,9 @@ def bm25(questions: DataFrame, chunks: DataFrame, k: int = CANDIDATES, k1: float
     """
     asked = questions.select("qid", F.explode(F.array_distinct(X.search_terms(F.col("question")))).alias("term")).distinct()
     pairs = asked.limit(FEW_TERMS + 1).collect()  # bounded
-    chunks = _keyed(with_terms(chunks), by).select("variant", "chunk_id", "okey", "terms")
+    chunks = _keyed(chunks, by)
     if len(pairs) > FEW_TERMS:
-        return _of_variants(_top(_joined_scores(asked, chunks, k1, b), k, ("variant",)), by)
+        return _of_variants(_top(_joined_scores(asked, with_terms(chunks).select("variant", "chunk_id", "okey", "terms"), k1, b), k, ("variant",)), by)
     names, qids = sorted({r.term for r in pairs}), list(dict.fromkeys(r.qid for r in pairs))
     place, no = {w: i for i, w in enumerate(names)}, {q: i for i, q in enumerate(qids)}
     found = cut(_asked_words(chunks, names))  # counted, then scored
@@ -305,16 +307,17 @@ def _blocks(vectors: DataFrame, size: int) -> DataFrame:
     return vectors.select("variant", "chunk_id", "okey", "vec").mapInArrow(run, f"variant string, {', '.join(kinds)}, vecs binary, centre binary, radius double")
 
 
-def vector(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, query_block: int = 512, block: int = 1024, sample: int = 2048, told=None, by: str | None = None) -> DataFrame:
+def vector(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, query_block: int = 512, block: int = 1024, sample: int = SAMPLE, told=None, by: str | None = None, some: DataFrame | None = None) -> DataFrame:
     """qid, chunk_id, okey, score, rank: exact inner products of queries (qid, vec) with all vectors (chunk_id, okey, vec).
 
     Blocks of queries meet blocks of vectors, so queries x vectors is never a table.  No vector of a block scores more than
     q . centre + |q| radius; a query whose k-th best score so far is above that skips the block.  What it has at first is its
     k-th best in a sample of the vectors.  told: an accumulator of the products of queries and vectors that were worked out.
     by: as in bm25; a query's bound holds for one value of it, so none comes from a sample of all.
+    some: vectors to take the sample from, where a limit of all would work out too many.
     """
     vectors, sample = _keyed(vectors, by), 0 if by else sample
-    few = vectors.select("vec").limit(sample).toArrow()  # bounded: any rows will do
+    few = (vectors if some is None else some).select("vec").limit(sample).toArrow()  # bounded: any rows will do
     known = few.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(few.num_rows, -1) if few.num_rows else None
     kinds = {n: (queries if n == "qid" else vectors).schema[n].dataType for n in ("qid", "chunk_id", "okey")}
     schema = "variant string, " + ", ".join(f"{n} {t.simpleString()}" for n, t in kinds.items()) + ", score double"
@@ -349,6 +352,13 @@ def vector(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, query_bl
     return _of_variants(_top(met.mapInArrow(run, schema), k, ("variant",)), by)
 
 
+def dense_of(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | Callable[[DataFrame], DataFrame], k: int = CANDIDATES) -> DataFrame:
+    """``vector`` over a table of vectors, or over those that a function gives for chunks, which aren't stored."""
+    if not callable(vectors):
+        return vector(queries, vectors, k)
+    return vector(queries, vectors(chunks), k, some=vectors(chunks.limit(SAMPLE)))
+
+
 def fuse(lists: list[tuple[str, DataFrame]], k: int = RRF_K, by: str | None = None) -> DataFrame:
     """qid, chunk_id, okey, score, rank, ranks, scores: reciprocal-rank fusion of named lists (qid, chunk_id, okey, rank).
 
@@ -390,12 +400,13 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def search(
-    questions: DataFrame, chunks: DataFrame, query_vectors: DataFrame, vectors: DataFrame, mode: str = "hybrid", k: int = TOP_K,
+    questions: DataFrame, chunks: DataFrame, query_vectors: DataFrame, vectors: DataFrame | Callable[[DataFrame], DataFrame], mode: str = "hybrid", k: int = TOP_K,
     candidate_k: int = CANDIDATES, reranker: Callable | str | None = "lexical",
 ) -> DataFrame:
     """qid, question, rank, chunk_id, okey, title, heading, text, score, bm25_score, vector_score, rerank_score, ranks.
 
-    questions: qid, question; blank ones have no hits.  query_vectors: qid, vec.  vectors: chunk_id, okey, vec.
+    questions: qid, question; blank ones have no hits.  query_vectors: qid, vec.  vectors: chunk_id, okey, vec, or a function
+    that gives them for rows of chunks: then chunks are embedded where they are compared, hits once more, and nothing is stored.
     reranker: "lexical" or a pandas function of (questions, passages) to scores.
     """
     if mode not in MODES:
@@ -405,7 +416,7 @@ def search(
     questions = questions.filter(F.trim("question") != "")
     asked = query_vectors.join(questions.select("qid"), "qid", "left_semi")
     lexical = bm25(questions, chunks, candidate_k) if mode != "vector" else None
-    dense = vector(asked, vectors, candidate_k) if mode != "bm25" else None
+    dense = dense_of(asked, chunks, vectors, candidate_k) if mode != "bm25" else None
     if mode in ("bm25", "vector"):
         one = lexical if mode == "bm25" else dense
         found = one.withColumns({"ranks": F.create_map(F.lit(mode), F.col("rank")), "scores": F.create_map(F.lit(mode), F.col("score"))})
@@ -414,8 +425,9 @@ def search(
     # the hits of a batch of questions are few beside the chunks: written, their size is known, and Spark sends them to the chunks
     found = cut(found.filter(F.col("rank") <= (candidate_k if mode == "hybrid+rerank" else k)))
     ids = cut(found.select("chunk_id").distinct())
-    near = cut(vectors.join(ids, "chunk_id", "left_semi").select("chunk_id", "vec"))
-    text = cut(chunks.join(ids, "chunk_id", "left_semi").select("chunk_id", "title", "heading", "text"))
+    text = cut(chunks.join(ids, "chunk_id", "left_semi").select("chunk_id", "okey", "title", "heading", "text"))
+    near = cut((vectors(text) if callable(vectors) else vectors.join(ids, "chunk_id", "left_semi")).select("chunk_id", "vec"))
+    text = text.drop("okey")
     found = found.join(questions.select("qid", "question"), "qid").join(text, "chunk_id")
     found = found.join(asked.select("qid", F.col("vec").alias("qv")), "qid").join(near, "chunk_id")
     found = found.withColumn("vector_score", dot(F.col("qv"), F.col("vec"))).drop("qv", "vec")
@@ -431,7 +443,7 @@ def search(
     return found.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("rank").withColumnRenamed("_r", "rank")
 
 
-def all_modes(questions: DataFrame, chunks: DataFrame, query_vectors: DataFrame, vectors: DataFrame, k: int = TOP_K, candidate_k: int = CANDIDATES, modes: tuple = MODES, wanted: DataFrame | None = None) -> DataFrame:
+def all_modes(questions: DataFrame, chunks: DataFrame, query_vectors: DataFrame, vectors: DataFrame | Callable[[DataFrame], DataFrame], k: int = TOP_K, candidate_k: int = CANDIDATES, modes: tuple = MODES, wanted: DataFrame | None = None) -> DataFrame:
     """mode, qid, rank, chunk_id of each mode's k best, the lists of both kinds being made once (lexical reranking).
 
     wanted (qid, mode): only these modes of each question, and only the lists that they take.
@@ -441,7 +453,7 @@ def all_modes(questions: DataFrame, chunks: DataFrame, query_vectors: DataFrame,
     if wanted is not None:
         lexical = questions.join(wanted.filter("mode <> 'vector'").select("qid"), "qid", "left_semi")
         asked = asked.join(wanted.filter("mode <> 'bm25'").select("qid"), "qid", "left_semi")
-    lexical, dense = cut(bm25(lexical, chunks, candidate_k)), cut(vector(asked, vectors, candidate_k))
+    lexical, dense = cut(bm25(lexical, chunks, candidate_k)), cut(dense_of(asked, chunks, vectors, candidate_k))
     fused = cut(fuse([("bm25", lexical), ("vector", dense)]).filter(F.col("rank") <= candidate_k).select("qid", "chunk_id", "rank"))
     found = {"bm25": lexical, "vector": dense, "hybrid": fused}
     if "hybrid+rerank" in modes:

@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone import queries as Q
+from lodestone.functions import patterns as P
 from lodestone.functions import text as X
 from lodestone.functions import words as W
 from lodestone.operators import ablation as B
@@ -352,3 +354,51 @@ def test_features_are_hashed_in_bulk(monkeypatch):
         for f, weight in [*((w, 1.0) for w in terms), *((f"{a}|{b}", 0.6) for a, b in zip(terms, terms[1:])), *((f"^{w}$"[i : i + 4], 0.25) for w in terms for i in range(max(1, len(w) - 1)))]:
             want[half(f) % 32] += weight if half(f) % 2 else -weight
         assert np.allclose(x, want)
+
+
+def test_terms_are_split_as_the_pattern_does(monkeypatch):
+    """Bytes tell a text's terms: signs join only within a row, between two letters or digits; other scripts and signs part."""
+    texts = ["a'b.c", "a..b c.", "'x", "", ".y", "it's é3.14é.5", "glasses", "k", "", "ab's.s' buses cities's"]
+    pattern = re.compile(P.TERM)
+    want = [[X.folded(w) for w in pattern.findall(t) if w not in P.STOPWORDS] for t in texts]
+    for at_once in (1, 7, 1 << 20):
+        monkeypatch.setattr(W, "CHARACTERS", at_once)
+        for skip in (0, 3, len(texts)):
+            assert [x for t in W.of_texts(pa.array(texts, pa.string())[skip:]) for x in t.lists().to_pylist()] == want[skip:]
+
+
+def test_chunks_are_embedded_where_they_are_compared(spark, monkeypatch):
+    """A function of chunks in place of stored vectors gives the same hits; it embeds every chunk once, and again a bounded sample and the hits."""
+    monkeypatch.setattr(S, "SAMPLE", 8)
+    rows = [(f"c{i:03}", f"k{i:03}", "s", "", f"head{i % 3}", f"word{i % 7} beta{i % 11} common") for i in range(300)]
+    chunks = cut(spark.createDataFrame(rows, CHUNKS))
+    q = ask(spark, "word3 beta4", "beta9 common", " ")
+    asked, stored = E.hashing(q, "qid", "question", 64), vectors(chunks)
+    count = spark.sparkContext.accumulator(0)
+
+    def embed(some):
+        def told(batches):
+            for b in batches:
+                count.add(b.num_rows)
+                yield b
+
+        return Q.E.hashing(some.withColumn("st", S.search_text()).mapInArrow(told, some.withColumn("st", S.search_text()).schema), ["chunk_id", "okey"], "st", 64)
+
+    read = lambda hits: sorted((h.qid, h["rank"], h.chunk_id, round(h.vector_score, 9), h.rerank_score) for h in hits.collect())
+    for mode in S.MODES:
+        count.value = 0
+        hits = S.search(q, chunks, asked, embed, mode, 2)
+        got = read(hits)
+        assert got and got == read(S.search(q, chunks, asked, stored, mode, 2))
+        assert count.value <= (300 if mode != "bm25" else 0) + 8 + 2 * 2 * S.CANDIDATES
+    want = sorted(map(str, S.all_modes(q, chunks, asked, stored, 3).collect()))
+    assert want == sorted(map(str, S.all_modes(q, chunks, asked, embed, 3).collect()))
+
+
+def test_bm25_reads_texts_without_their_lists(spark, chunks):
+    """Texts and stored terms give the same scores, and of texts no list of terms leaves the task that splits them."""
+    q = ask(spark, "credit limits early", "opening")
+    read = lambda c: sorted((r.qid, r["rank"], r.chunk_id, r.score) for r in S.bm25(q, c, 3).collect())
+    assert read(chunks) == read(S.with_terms(chunks)) != []
+    plan = S._asked_words(S._keyed(chunks, None), ["credit"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "array" not in plan.lower().replace("mapinarrow", "")
