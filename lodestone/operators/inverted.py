@@ -48,7 +48,7 @@ def placed(chunks: DataFrame, per_shard: int = SHARD) -> DataFrame:
     """places of chunks (chunk_id, okey, and terms or a text to take them from)."""
     terms = F.size("terms") if "terms" in chunks.columns else F.length(search_text()) / 6  # texts aren't split for this
     n = F.broadcast(chunks.agg(F.greatest(F.ceil(F.count("*") / per_shard), F.ceil(F.sum(terms) / SHARD_TERMS), F.lit(1)).alias("shards")))  # one row
-    rows = with_terms(chunks).select("chunk_id", "okey", "terms").join(n)
+    rows = with_terms(chunks, ["chunk_id", "okey"]).join(n)
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.col("shards")).cast("int")).drop("shards")
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("shard").orderBy("okey", "chunk_id")) - 1)
 
@@ -65,17 +65,25 @@ def blocks(places: DataFrame, avgdl: float, top: int = TOP, size: int = BLOCK) -
         names = words.dictionary.take(pc.sort_indices(words.dictionary))
         rank = np.empty(len(names), np.int64)
         rank[pc.sort_indices(words.dictionary).to_numpy()] = np.arange(len(names))
-        code, tf = np.unique(rank[words.indices.to_numpy(zero_copy_only=False)] * len(dl) + np.repeat(np.arange(len(dl)), dl), return_counts=True)
-        term, row = np.divmod(code, max(len(dl), 1))
+        code = rank[words.indices.to_numpy(zero_copy_only=False)] * len(dl)
+        code += np.repeat(np.arange(len(dl)), dl)
+        del words
+        code.sort()
+        head = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
+        tf = np.diff(np.r_[head, len(code)]).astype(np.int32)
+        term, row = (x.astype(np.int32) for x in np.divmod(code[head], max(len(dl), 1)))
+        del code, head
         part = impact(tf, dl[row], avgdl)
         begin = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
         long = np.diff(np.r_[begin, len(term)])
         nth = np.arange(len(term)) - np.repeat(begin, long)
         start = np.flatnonzero(nth % size == 0)
         end = np.r_[start[1:], len(term)] if len(start) else start
-        best = np.lexsort((-part, term))
-        kth = np.where(long >= top, part[best[np.minimum(begin + top - 1, max(len(term) - 1, 0))]], 0.0) if len(term) else np.zeros(0)
-        raw = np.stack([place[row], tf, dl[row]], axis=1).astype(np.int32)
+        kth = np.zeros(len(long))
+        for i in np.flatnonzero(long >= top):  # terms of at least top chunks
+            kth[i] = np.partition(part[begin[i] : begin[i] + long[i]], -top)[-top]
+        raw = np.empty((len(row), 3), np.int32)
+        raw[:, 0], raw[:, 1], raw[:, 2] = place[row], tf, dl[row]
         cols = [
             pa.array(np.full(len(start), shard, np.int32)), names.take(pa.array(term[start])), pa.array((end - start).astype(np.int32)),
             pa.array(np.maximum.reduceat(part, start) if len(start) else np.zeros(0)), pa.array(raw[start, 0]), pa.array(raw[end - 1, 0] if len(start) else raw[start, 0]),

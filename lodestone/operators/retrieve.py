@@ -47,12 +47,16 @@ def chunk_terms(chunks: DataFrame) -> Column:
     return F.col("terms") if "terms" in chunks.columns else X.search_terms(search_text())
 
 
-def with_terms(chunks: DataFrame) -> DataFrame:
-    """chunks with the column terms, as chunk_terms works it out; a stretch of texts at a time, whose different words are looked at once."""
+def with_terms(chunks: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """chunks with the column terms, as chunk_terms works it out; a stretch of texts at a time, whose different words are looked at once.
+
+    keep: the columns that are wanted beside terms, so that others, like the text, aren't sent through the task.
+    """
+    own = chunks.columns if keep is None else keep
     if "terms" in chunks.columns:
-        return chunks
-    texts = chunks.withColumn("terms", W.lowered(search_text()))
-    schema = StructType([*chunks.schema.fields, StructField("terms", ArrayType(StringType()))])
+        return chunks if keep is None else chunks.select(*own, "terms")
+    texts = chunks.select(*own, W.lowered(search_text()).alias("terms"))
+    schema = StructType([*(chunks.schema[c] for c in own), StructField("terms", ArrayType(StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -199,7 +203,7 @@ def bm25(questions: DataFrame, chunks: DataFrame, k: int = CANDIDATES, k1: float
     pairs = asked.limit(FEW_TERMS + 1).collect()  # bounded
     chunks = _keyed(chunks, by)
     if len(pairs) > FEW_TERMS:
-        return _of_variants(_top(_joined_scores(asked, with_terms(chunks).select("variant", "chunk_id", "okey", "terms"), k1, b), k, ("variant",)), by)
+        return _of_variants(_top(_joined_scores(asked, with_terms(chunks, ["variant", "chunk_id", "okey"]), k1, b), k, ("variant",)), by)
     names, qids = sorted({r.term for r in pairs}), list(dict.fromkeys(r.qid for r in pairs))
     place, no = {w: i for i, w in enumerate(names)}, {q: i for i, q in enumerate(qids)}
     found = cut(_asked_words(chunks, names))  # counted, then scored

@@ -256,3 +256,15 @@ def test_requests_of_mixed_modes(spark):
         assert {r.status for r in got if r.qid == qid} == {S.OK}
     assert S.search_requests(asked.limit(0), chunks, vectors, embed, "e").count() == 0
     assert {r.rank for r in S.search_requests(asked, chunks.limit(0), vectors.limit(0), embed, "e").collect()} == {None}
+
+
+def test_placed_chunks_leave_their_texts(spark):
+    """Only ids and terms go through the task that splits texts; the lists are those of all columns."""
+    rows = [(f"c{i}", f"k{i}", "title", "", f"word{i} common " * 5) for i in range(9)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, okey string, title string, heading string, text string")
+    assert S.with_terms(chunks, ["chunk_id", "okey"]).columns == ["chunk_id", "okey", "terms"]
+    want = {(r.chunk_id, *r.terms) for r in S.with_terms(chunks).collect()}
+    assert {(r.chunk_id, *r.terms) for r in N.placed(chunks).collect()} == want
+    plan = N.placed(chunks)._jdf.queryExecution().optimizedPlan().toString()
+    line = next(x for x in plan.splitlines() if "MapInArrow" in x)
+    assert "text#" not in line.split("], ")[-1] and "title#" not in line
