@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from hashlib import md5
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import words as W
@@ -131,6 +132,22 @@ def hashing(rows: DataFrame, key: str | list[str], text: str, dim: int = DIM) ->
     return rows.select(*keys, terms.alias("terms")).mapInArrow(run, schema)
 
 
+class Hashing(NamedTuple):
+    """``hashing`` of chunks: called, it gives the table chunk_id, okey, vec; of_terms gives the vectors in a task that has terms at hand.
+
+    text: the column that is embedded.
+    """
+
+    text: Callable[[], Column]
+    dim: int = DIM
+
+    def __call__(self, chunks: DataFrame) -> DataFrame:
+        return hashing(chunks.withColumn("st", self.text()), ["chunk_id", "okey"], "st", self.dim)
+
+    def of_terms(self, terms: W.Terms) -> Iterator[tuple[W.Terms, np.ndarray]]:
+        return ((t, unit(sums)) for t, sums in _vectors(terms, self.dim))
+
+
 def plugged(rows: DataFrame, key: str, text: str, embed: Callable[[list[str]], np.ndarray], batch: int = 64) -> DataFrame:
     """key, vec of a user's function from at most ``batch`` texts to a matrix; rows are brought to length one."""
     kind = rows.schema[key].dataType.simpleString()

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
 
 from ..functions import patterns as P
 from ..functions import text as X
@@ -31,6 +31,8 @@ FEW_TERMS = 50_000
 CELLS = 1 << 21
 #: Bytes of query vectors that are sent to every task; more of them meet the vectors' blocks by a product of partitions.
 FEW_BYTES = 64 << 20
+#: Questions whose lists of both kinds are made in one pass of the texts; a task holds the k best of each.
+AT_ONCE = 2048
 #: Scores are ranked at nine decimals, so what is this near counts as equal.
 NEAR = 1e-8
 #: Vectors whose scores give a query's first bound.
@@ -128,36 +130,90 @@ def _groups(b: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
 
 
 _WORDS = "dl int, words binary, tfs binary"  # of a chunk its length, and places and uses of the terms that are asked for
+_NEAR = "near_q binary, near_s binary"  # of a chunk the queries that it was among the k best of its task for, when it was read, and its scores
 
 
-def _asked_words(chunks: DataFrame, names: list[str]) -> DataFrame:
-    """variant, chunk_id, okey and _WORDS of chunks: their texts, or their terms if at hand, are read once, and only asked terms go on."""
+def _asked_words(chunks: DataFrame, names: list[str], near: tuple[Callable, np.ndarray, int] | None = None) -> DataFrame:
+    """variant, chunk_id, okey and _WORDS of chunks: their texts, or their terms if at hand, are read once, and only asked terms go on.
+
+    near: what makes vectors of terms, queries and k.  Then the chunks (of one variant) are compared with the queries where their
+    terms are at hand, and _NEAR goes on too, not the vectors.
+    """
     own, at_hand = ["variant", "chunk_id", "okey"], "terms" in chunks.columns
     kinds = ", ".join(f"{n} {chunks.schema[n].dataType.simpleString()}" for n in own)
+    more = ["near_q", "near_s"] if near else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = pa.array(names, pa.string())
+        best = _Best(*near[1:]) if near else None
         for b in batches:
             for t in (W.of_lists if at_hand else W.of_texts)(b.column("terms")):
                 part = b.slice(t.lo, t.hi - t.lo)
+                packed = lambda row, x: pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer((np.searchsorted(row, np.arange(len(part) + 1)) * x.itemsize).astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())])
                 row, word, tf = _counted(t, place)
-                cut_at = (np.searchsorted(row, np.arange(len(part) + 1)) * 4).astype(np.int32)
-                packed = lambda x: pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(cut_at.tobytes()), pa.py_buffer(x.astype(np.int32).tobytes())])
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in own), pa.array(np.diff(t.at).astype(np.int32)), packed(word), packed(tf)], names=[*own, "dl", "words", "tfs"])
-
-    return chunks.select(*own, (F.col("terms") if at_hand else W.lowered(search_text())).alias("terms")).mapInArrow(run, f"{kinds}, {_WORDS}")
+                cols = [*(part.column(n) for n in own), pa.array(np.diff(t.at).astype(np.int32)), packed(row, word.astype(np.int32)), packed(row, tf.astype(np.int32))]
+                if near:
+                    kept = [(some.lo - t.lo, *best.of(x, part.slice(some.lo - t.lo, some.hi - some.lo))) for some, x in near[0](t)]
+                    row, query, score = (np.concatenate(x) for x in zip(*((lo + row, query, score) for lo, row, query, score in kept)))
+                    cols += [packed(row, query.astype(np.int32)), packed(row, score)]
+                yield pa.RecordBatch.from_arrays(cols, names=[*own, "dl", "words", "tfs", *more])
+
+    return chunks.select(*own, (F.col("terms") if at_hand else W.lowered(search_text())).alias("terms")).mapInArrow(run, ", ".join([kinds, _WORDS, *([_NEAR] if near else [])]))
+
+
+class _Best:
+    """The k best so far of each query in a task, ranked as ``_top`` ranks them: what isn't among them when it is met never is."""
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.queries, self.k = queries, k
+        self.score = np.full((len(queries), k), -np.inf)  # at nine decimals, the best first
+        self.keys = {n: np.empty((len(queries), k), object) for n in ("okey", "chunk_id")}
+
+    def of(self, x: np.ndarray, rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """row, query, score, in order of rows, of those vectors x (of rows) that are now among a query's best."""
+        step = max(1, CELLS // max(len(self.queries), 1))
+        kept = [(lo, *self._of(x[lo : lo + step], rows.slice(lo, step))) for lo in range(0, len(x), step)]
+        row, query, score = (np.concatenate(c) for c in zip(*((lo + row, query, score) for lo, row, query, score in kept)))
+        return row, query, score
+
+    def _of(self, x: np.ndarray, rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        s, k = x @ self.queries.T, self.k
+        floor = self.score[:, -1]
+        if len(x) > 2 * k and np.isneginf(floor).any():
+            floor = np.maximum(floor, np.partition(s, -k, axis=0)[-k])
+        row, query = np.nonzero(s >= floor - NEAR)
+        if not len(row):
+            return row, query, s[row, query]
+        met = np.unique(query)  # only these queries' best are ranked anew
+        held_q, held_at = np.nonzero(np.isfinite(self.score[met]))
+        held_q = met[held_q]
+        nine = np.r_[self.score[held_q, held_at], s[row, query].round(9)]
+        whose = np.r_[held_q, query]
+        keys = {n: np.r_[self.keys[n][held_q, held_at], np.array(rows.column(n).to_pylist(), object)[row]] for n in self.keys}
+        table = pa.table({"q": whose, "s": -nine} | {n: pa.array(v.tolist(), rows.schema.field(n).type) for n, v in keys.items()})
+        order = pc.sort_indices(table, [("q", "ascending"), ("s", "ascending"), ("okey", "ascending"), ("chunk_id", "ascending")]).to_numpy()
+        whose = whose[order]
+        rank = np.arange(len(order)) - np.searchsorted(whose, whose)
+        order, whose, rank = (v[rank < k] for v in (order, whose, rank))
+        self.score[whose, rank] = nine[order]
+        for n, v in keys.items():
+            self.keys[n][whose, rank] = v[order]
+        new = np.sort(order[order >= len(held_q)]) - len(held_q)
+        return row[new], query[new], s[row[new], query[new]]
 
 
 def _unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """row, place, tf of a batch of _asked_words in order of rows and places, and each row's length."""
 
-    def numbers(c: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
-        data = c.buffers()[2]
-        return np.diff(at) // 4, np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(np.int32) if data is not None and len(c) else np.zeros(0, np.int32)
+    many, word = _numbers(b.column("words"), np.int32)
+    return np.repeat(np.arange(len(b)), many), word, _numbers(b.column("tfs"), np.int32)[1], b.column("dl").to_numpy(zero_copy_only=False).astype(np.int64)
 
-    many, word = numbers(b.column("words"))
-    return np.repeat(np.arange(len(b)), many), word, numbers(b.column("tfs"))[1], b.column("dl").to_numpy(zero_copy_only=False).astype(np.int64)
+
+def _numbers(c: pa.BinaryArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """How many numbers of that kind each value holds, and all of them."""
+    size, data = np.dtype(kind).itemsize, c.buffers()[2]
+    at = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+    return np.diff(at) // size, np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(kind) if data is not None and len(c) else np.zeros(0, kind)
 
 
 def _asked_counts(found: DataFrame, n_names: int) -> dict[str, tuple[int, float, np.ndarray]]:
@@ -199,27 +255,42 @@ def bm25(questions: DataFrame, chunks: DataFrame, k: int = CANDIDATES, k1: float
     The questions' terms go to the chunks (if there are more than FEW_TERMS pairs of both, they are joined); a task scores its
     chunks where they lie and passes on k a question and batch.
     """
-    asked = questions.select("qid", F.explode(F.array_distinct(X.search_terms(F.col("question")))).alias("term")).distinct()
+    asked = _asked(questions)
     pairs = asked.limit(FEW_TERMS + 1).collect()  # bounded
     chunks = _keyed(chunks, by)
     if len(pairs) > FEW_TERMS:
         return _of_variants(_top(_joined_scores(asked, with_terms(chunks, ["variant", "chunk_id", "okey"]), k1, b), k, ("variant",)), by)
-    names, qids = sorted({r.term for r in pairs}), list(dict.fromkeys(r.qid for r in pairs))
+    found = cut(_asked_words(chunks, _names(pairs)))  # counted, then scored
+    return _of_variants(_scored(pairs, questions.schema["qid"].dataType, found, k, k1, b), by)
+
+
+def _asked(questions: DataFrame) -> DataFrame:
+    return questions.select("qid", F.explode(F.array_distinct(X.search_terms(F.col("question")))).alias("term")).distinct()
+
+
+def _names(pairs: list) -> list[str]:
+    return sorted({r.term for r in pairs})
+
+
+def _scored(pairs: list, qid: DataType, found: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """variant, qid, chunk_id, okey, score, rank of the k best by pairs of question and term. found: of _asked_words, written."""
+    names, qids = _names(pairs), list(dict.fromkeys(r.qid for r in pairs))
     place, no = {w: i for i, w in enumerate(names)}, {q: i for i, q in enumerate(qids)}
-    found = cut(_asked_words(chunks, names))  # counted, then scored
     counts = _asked_counts(found, len(names))
     weights = {v: (np.log((n - df + 0.5) / (df + 0.5) + 1), avgdl) for v, (n, avgdl, df) in counts.items()}
     of = np.array(sorted((place[r.term], no[r.qid]) for r in pairs), np.int64).reshape(-1, 2)
     first = np.searchsorted(of[:, 0], np.arange(len(names) + 1))  # a term's questions
-    kinds = [questions.schema["qid"].dataType, *(chunks.schema[c].dataType for c in ("chunk_id", "okey"))]
+    kinds = [qid, *(found.schema[c].dataType for c in ("chunk_id", "okey"))]
     arrow = to_arrow_type(kinds[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = pa.array(qids, arrow)
         step = max(1, CELLS // max(len(qids), 1))
+        least: dict[str, np.ndarray] = {}  # a question's k-th best of any stretch so far
         for whole in batches:
             for variant, rows in _groups(whole):
                 idf, avgdl = weights[variant]
+                floor = least.setdefault(variant, np.zeros(len(qids)))
                 for lo in range(0, len(rows), step):
                     part = rows.slice(lo, step)
                     row, word, tf, dl = _unpacked(part)
@@ -227,16 +298,21 @@ def bm25(questions: DataFrame, chunks: DataFrame, k: int = CANDIDATES, k1: float
                     many = first[word + 1] - first[word]
                     q = of[np.repeat(first[word], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many), 1]
                     score = np.bincount(q * len(part) + np.repeat(row, many), np.repeat(share, many), len(qids) * len(part)).reshape(len(qids), len(part))
-                    order = pc.sort_indices(part.select(["okey", "chunk_id"]), [("okey", "ascending"), ("chunk_id", "ascending")]).to_numpy()
-                    best = order[np.argsort(-score[:, order].round(9), axis=1, kind="stable")[:, :k]]
-                    top = np.take_along_axis(score, best, 1)
-                    i, j = np.nonzero(top > 0)
-                    at = pa.array(best[i, j])
-                    arrays = [part.column("variant").take(at), ids.take(pa.array(i)), part.column("chunk_id").take(at), part.column("okey").take(at), pa.array(top[i, j])]
+                    if len(part) > 2 * k:
+                        floor[:] = np.maximum(floor, np.partition(score, -k, axis=1)[:, -k])
+                    i, j = np.nonzero((score > 0) & (score >= floor[:, None] - NEAR))
+                    place_of = np.empty(len(part), np.int64)  # in corpus order
+                    place_of[pc.sort_indices(part.select(["okey", "chunk_id"]), [("okey", "ascending"), ("chunk_id", "ascending")]).to_numpy()] = np.arange(len(part))
+                    order = np.lexsort((place_of[j], -score[i, j].round(9), i))
+                    i, j = i[order], j[order]
+                    best = np.arange(len(i)) - np.searchsorted(i, i) < k
+                    i, j = i[best], j[best]
+                    at = pa.array(j)
+                    arrays = [part.column("variant").take(at), ids.take(pa.array(i)), part.column("chunk_id").take(at), part.column("okey").take(at), pa.array(score[i, j])]
                     yield pa.RecordBatch.from_arrays(arrays, names=["variant", "qid", "chunk_id", "okey", "score"])
 
     schema = "variant string, " + ", ".join(f"{c} {t.simpleString()}" for c, t in zip(("qid", "chunk_id", "okey"), kinds)) + ", score double"
-    return _of_variants(_top(found.mapInArrow(run, schema), k, ("variant",)), by)
+    return _top(found.select("variant", "chunk_id", "okey", "dl", "words", "tfs").mapInArrow(run, schema), k, ("variant",))
 
 
 def _keyed(rows: DataFrame, by: str | None) -> DataFrame:
@@ -363,6 +439,41 @@ def dense_of(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | Callabl
     return vector(queries, vectors(chunks), k, some=vectors(chunks.limit(SAMPLE)))
 
 
+def lists(questions: DataFrame, queries: DataFrame, chunks: DataFrame, vectors: DataFrame | Callable[[DataFrame], DataFrame], k: int = CANDIDATES) -> tuple[DataFrame, DataFrame]:
+    """What bm25 (questions) and dense_of (queries) give.
+
+    Vectors that can be made of terms (``of_terms``, as of embed.Hashing) are made where the terms are counted: each text is
+    read and split once for both lists.  More than AT_ONCE queries, or FEW_TERMS pairs of question and term, take a pass a list.
+    """
+    of_terms = getattr(vectors, "of_terms", None) if callable(vectors) else None
+    if of_terms is not None:
+        few, pairs = queries.select("qid", "vec").limit(AT_ONCE + 1).toArrow(), _asked(questions).limit(FEW_TERMS + 1).collect()  # bounded
+        if few.num_rows <= AT_ONCE and len(pairs) <= FEW_TERMS:
+            x = few.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(few.num_rows, -1) if few.num_rows else None
+            found = cut(_asked_words(_keyed(chunks, None), _names(pairs), None if x is None else (of_terms, x, k)))
+            lexical = _scored(pairs, questions.schema["qid"].dataType, found, k).drop("variant")
+            return lexical, _nearest(found, few.column("qid").to_pylist(), queries.schema["qid"].dataType, k)
+    return bm25(questions, chunks, k), dense_of(queries, chunks, vectors, k)
+
+
+def _nearest(found: DataFrame, qids: list, qid: DataType, k: int) -> DataFrame:
+    """qid, chunk_id, okey, score, rank of the k best. found: of _asked_words with vectors, or without where there are no queries."""
+    schema = ", ".join(f"{c} {t.simpleString()}" for c, t in (("qid", qid), *((c, found.schema[c].dataType) for c in ("chunk_id", "okey")))) + ", score double"
+    if "near_q" not in found.columns:
+        return _top(found.sparkSession.createDataFrame([], schema), k)
+    arrow = to_arrow_type(qid)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = pa.array(qids, arrow)
+        for b in batches:
+            many, query = _numbers(b.column("near_q"), np.int32)
+            at = pa.array(np.repeat(np.arange(len(b)), many))
+            arrays = [ids.take(pa.array(query)), b.column("chunk_id").take(at), b.column("okey").take(at), pa.array(_numbers(b.column("near_s"), np.float64)[1])]
+            yield pa.RecordBatch.from_arrays(arrays, names=["qid", "chunk_id", "okey", "score"])
+
+    return _top(found.select("chunk_id", "okey", "near_q", "near_s").filter(F.length("near_q") > 0).mapInArrow(run, schema), k)
+
+
 def fuse(lists: list[tuple[str, DataFrame]], k: int = RRF_K, by: str | None = None) -> DataFrame:
     """qid, chunk_id, okey, score, rank, ranks, scores: reciprocal-rank fusion of named lists (qid, chunk_id, okey, rank).
 
@@ -410,7 +521,8 @@ def search(
     """qid, question, rank, chunk_id, okey, title, heading, text, score, bm25_score, vector_score, rerank_score, ranks.
 
     questions: qid, question; blank ones have no hits.  query_vectors: qid, vec.  vectors: chunk_id, okey, vec, or a function
-    that gives them for rows of chunks: then chunks are embedded where they are compared, hits once more, and nothing is stored.
+    that gives them for rows of chunks (one with ``of_terms``, see lists, in the pass that counts terms): then chunks are embedded
+    where they are compared, hits once more, and nothing is stored.
     reranker: "lexical" or a pandas function of (questions, passages) to scores.
     """
     if mode not in MODES:
@@ -419,13 +531,11 @@ def search(
         raise ValueError("mode 'hybrid+rerank' needs a reranker")
     questions = questions.filter(F.trim("question") != "")
     asked = query_vectors.join(questions.select("qid"), "qid", "left_semi")
-    lexical = bm25(questions, chunks, candidate_k) if mode != "vector" else None
-    dense = dense_of(asked, chunks, vectors, candidate_k) if mode != "bm25" else None
     if mode in ("bm25", "vector"):
-        one = lexical if mode == "bm25" else dense
+        one = bm25(questions, chunks, candidate_k) if mode == "bm25" else dense_of(asked, chunks, vectors, candidate_k)
         found = one.withColumns({"ranks": F.create_map(F.lit(mode), F.col("rank")), "scores": F.create_map(F.lit(mode), F.col("score"))})
     else:
-        found = fuse([("bm25", lexical), ("vector", dense)])
+        found = fuse([*zip(MODES, lists(questions, asked, chunks, vectors, candidate_k))])
     # the hits of a batch of questions are few beside the chunks: written, their size is known, and Spark sends them to the chunks
     found = cut(found.filter(F.col("rank") <= (candidate_k if mode == "hybrid+rerank" else k)))
     ids = cut(found.select("chunk_id").distinct())
@@ -457,7 +567,7 @@ def all_modes(questions: DataFrame, chunks: DataFrame, query_vectors: DataFrame,
     if wanted is not None:
         lexical = questions.join(wanted.filter("mode <> 'vector'").select("qid"), "qid", "left_semi")
         asked = asked.join(wanted.filter("mode <> 'bm25'").select("qid"), "qid", "left_semi")
-    lexical, dense = cut(bm25(lexical, chunks, candidate_k)), cut(dense_of(asked, chunks, vectors, candidate_k))
+    lexical, dense = (cut(found) for found in lists(lexical, asked, chunks, vectors, candidate_k))
     fused = cut(fuse([("bm25", lexical), ("vector", dense)]).filter(F.col("rank") <= candidate_k).select("qid", "chunk_id", "rank"))
     found = {"bm25": lexical, "vector": dense, "hybrid": fused}
     if "hybrid+rerank" in modes:

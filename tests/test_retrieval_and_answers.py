@@ -402,3 +402,58 @@ def test_bm25_reads_texts_without_their_lists(spark, chunks):
     assert read(chunks) == read(S.with_terms(chunks)) != []
     plan = S._asked_words(S._keyed(chunks, None), ["credit"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "array" not in plan.lower().replace("mapinarrow", "")
+
+
+class _Told:
+    """E.Hashing that counts the rows it makes vectors of."""
+
+    def __init__(self, count, dim=64):
+        self.count, self.dim = count, dim
+
+    def __call__(self, some):
+        self.count.add(some.count())
+        return E.Hashing(S.search_text, self.dim)(some)
+
+    def of_terms(self, terms):
+        for t, x in E.Hashing(S.search_text, self.dim).of_terms(terms):
+            self.count.add(len(x))
+            yield t, x
+
+
+def test_one_pass_makes_both_lists(spark, monkeypatch):
+    """Terms are counted and chunks compared in one pass of the texts: every chunk is embedded once, and again the hits only.
+
+    Copies, blank texts and a question without terms; small stretches, so that a task's best change often."""
+    monkeypatch.setattr(W, "CHARACTERS", 300)
+    rows = [(f"c{i * 7 % 400:03}", f"k{i // 2 * 7 % 200:03}", "s", "", "", "" if i % 50 == 9 else "same text for all" if i % 3 == 0 else f"word{i % 7} beta{i % 11} common") for i in range(400)]
+    chunks = cut(spark.createDataFrame(rows, CHUNKS).repartition(3))
+    q = ask(spark, "word3 beta4", "same text", "beta9 common", "of the")
+    asked, stored, count = E.hashing(q, "qid", "question", 64), vectors(chunks), spark.sparkContext.accumulator(0)
+    read = lambda found: sorted((r.qid, r["rank"], r.chunk_id, r.okey, round(r.score, 9)) for r in found.collect())
+    for k in (3, 20, 500):
+        lexical, dense = S.lists(q, asked, chunks, _Told(count), k)
+        assert read(lexical) == read(S.bm25(q, chunks, k)) != []
+        assert read(dense) == read(S.vector(asked, stored, k)) and dense.count() == 4 * min(k, 400)
+    none = [read(found) for found in S.lists(q.limit(0), asked.limit(0), chunks, _Told(count))]
+    assert none == [[], []] == [read(found) for found in S.lists(q, asked, chunks.limit(0), _Told(count))]
+    for most in ("AT_ONCE", "FEW_TERMS"):  # more questions than a pass takes
+        with monkeypatch.context() as m:
+            m.setattr(S, most, 1)
+            assert [read(found) for found in S.lists(q, asked, chunks, _Told(count), 3)] == [read(S.bm25(q, chunks, 3)), read(S.vector(asked, stored, 3))]
+    for mode in ("hybrid", "hybrid+rerank"):
+        count.value = 0
+        hits = S.search(q, chunks, asked, _Told(count), mode, 2)
+        assert count.value <= 400 + 4 * 2 * S.CANDIDATES
+        assert sorted(map(str, hits.collect())) == sorted(map(str, S.search(q, chunks, asked, stored, mode, 2).collect()))
+
+
+def test_ties_are_broken_within_a_task(spark):
+    """Of many equal scores a task passes on few, and those of the first chunks in corpus order."""
+    best, n = S._Best(np.array([[1.0, 0.0], [0.0, 0.0]]), 5), 0
+    order = np.random.default_rng(3).permutation(4000)
+    for lo in range(0, 4000, 100):
+        ids = pa.array([f"{i:05}" for i in order[lo : lo + 100]])
+        row, query, score = best.of(np.ones((100, 2)), pa.record_batch({"chunk_id": ids, "okey": ids}))
+        n += len(row)
+        assert (np.diff(row) >= 0).all() and (score == np.where(query == 0, 1, 0)).all()
+    assert best.keys["okey"].tolist() == [[f"{i:05}" for i in range(5)]] * 2 and n < 200
