@@ -457,3 +457,18 @@ def test_ties_are_broken_within_a_task(spark):
         n += len(row)
         assert (np.diff(row) >= 0).all() and (score == np.where(query == 0, 1, 0)).all()
     assert best.keys["okey"].tolist() == [[f"{i:05}" for i in range(5)]] * 2 and n < 200
+
+
+def test_hits_are_reranked_by_several_tasks(spark, tmp_path):
+    from pyspark import TaskContext
+
+    rows = [(f"c{i:03}", f"k{i:03}", "s", "", "", f"word{i % 7} beta{i % 11} common") for i in range(60)]
+    chunks = cut(spark.createDataFrame(rows, CHUNKS))
+    q = ask(spark, *(f"word{i % 7} common" for i in range(40)))
+
+    def scores(questions, passages):
+        (tmp_path / str(TaskContext.get().partitionId())).touch()
+        return passages.str.len().astype(float)
+
+    assert S.search(q, chunks, E.hashing(q, "qid", "question", 64), vectors(chunks), "hybrid+rerank", reranker=scores).count() == 40 * S.TOP_K
+    assert len(list(tmp_path.iterdir())) > 1
