@@ -542,13 +542,13 @@ def search(
     text = cut(chunks.join(ids, "chunk_id", "left_semi").select("chunk_id", "okey", "title", "heading", "text"))
     near = cut((vectors(text) if callable(vectors) else vectors.join(ids, "chunk_id", "left_semi")).select("chunk_id", "vec"))
     text = text.drop("okey")
-    found = found.repartition(parts(found.sparkSession), "qid")  # written they are one small file, which one task would rerank
     found = found.join(questions.select("qid", "question"), "qid").join(text, "chunk_id")
     found = found.join(asked.select("qid", F.col("vec").alias("qv")), "qid").join(near, "chunk_id")
     found = found.withColumn("vector_score", dot(F.col("qv"), F.col("vec"))).drop("qv", "vec")
     found = found.withColumn("bm25_score", F.coalesce(F.try_element_at("scores", F.lit("bm25")), F.lit(0.0))).drop("scores")
     if mode != "hybrid+rerank":
         return found.withColumn("rerank_score", F.lit(None).cast("double"))
+    found = found.repartition(parts(found.sparkSession), "qid")  # written, hits are one small file, which one task would rerank
     if reranker == "lexical":
         found = found.withColumn("rerank_score", rerank_score(F.col("question"), F.col("heading"), F.col("text")))
     else:
@@ -574,7 +574,7 @@ def all_modes(questions: DataFrame, chunks: DataFrame, query_vectors: DataFrame,
     if "hybrid+rerank" in modes:
         ids = cut(fused.select("chunk_id").distinct())  # of known size, so that Spark sends them to the chunks
         text = cut(chunks.join(ids, "chunk_id", "left_semi").select("chunk_id", "heading", "text"))
-        scored = fused.repartition(parts(fused.sparkSession), "qid").join(questions.select("qid", "question"), "qid").join(text, "chunk_id")
+        scored = fused.join(questions.select("qid", "question"), "qid").join(text, "chunk_id").repartition(parts(fused.sparkSession), "qid")
         scored = scored.withColumn("s", rerank_score(F.col("question"), F.col("heading"), F.col("text")))
         order = Window.partitionBy("qid").orderBy(F.round("s", 9).desc(), "rank")
         found["hybrid+rerank"] = cut(scored.select("qid", "chunk_id", F.row_number().over(order).alias("rank")))

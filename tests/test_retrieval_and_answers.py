@@ -463,8 +463,8 @@ def test_hits_are_reranked_by_several_tasks(spark, tmp_path):
     from pyspark import TaskContext
 
     rows = [(f"c{i:03}", f"k{i:03}", "s", "", "", f"word{i % 7} beta{i % 11} common") for i in range(60)]
-    chunks = cut(spark.createDataFrame(rows, CHUNKS))
-    q = ask(spark, *(f"word{i % 7} common" for i in range(40)))
+    chunks = cut(spark.createDataFrame(rows, CHUNKS).coalesce(1))
+    q = cut(ask(spark, *(f"word{i % 7} common" for i in range(40))).coalesce(1))
 
     def scores(questions, passages):
         (tmp_path / str(TaskContext.get().partitionId())).touch()
