@@ -57,7 +57,7 @@ def stretches(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 
 def _found(data: np.ndarray, at: np.ndarray) -> tuple[pa.StringArray, np.ndarray]:
-    """All matches of patterns.TERM in the rows data[at[i] : at[i + 1]] (UTF-8), and where each row's matches begin.
+    """All matches of patterns.TERM in the rows data[at[i] : at[i + 1]] (UTF-8), and where in data each begins.
 
     Terms are ASCII, so bytes tell: letters, digits, and a joining sign between two of them in one row.
     """
@@ -72,7 +72,20 @@ def _found(data: np.ndarray, at: np.ndarray) -> tuple[pa.StringArray, np.ndarray
     start = np.flatnonzero(inside & (~edge[:n] | begins[:n]))
     size = np.flatnonzero(inside & (~edge[2:] | begins[1:])) + 1 - start
     terms = pa.StringArray.from_buffers(len(start), pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.py_buffer(data[inside]))
-    return terms, np.searchsorted(start, at)
+    return terms, start
+
+
+def _coded(found: pa.StringArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Which matches are no stop words, the codes of these, folded, and the terms by code."""
+    coded = found.dictionary_encode()
+    words = coded.dictionary
+    keep = ~pc.is_in(words, value_set=_STOP).to_numpy(zero_copy_only=False)
+    plural = pc.ends_with(words, "s")  # only these may be folded
+    words = pc.replace_with_mask(words, plural, pa.array([X.folded(w) for w in words.filter(plural).to_pylist()], pa.string()))
+    folded = words.filter(pa.array(keep)).dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    stays = keep[code]
+    return stays, folded.indices.to_numpy(zero_copy_only=False)[(np.cumsum(keep) - 1)[code[stays]]], folded.dictionary
 
 
 def of_texts(texts: pa.Array) -> Iterator[Terms]:
@@ -80,17 +93,20 @@ def of_texts(texts: pa.Array) -> Iterator[Terms]:
     bounds = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     for lo, hi in stretches(np.diff(bounds), CHARACTERS):
-        found, at = _found(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
-        coded = found.dictionary_encode()
-        words = coded.dictionary
-        keep = ~pc.is_in(words, value_set=_STOP).to_numpy(zero_copy_only=False)
-        plural = pc.ends_with(words, "s")  # only these may be folded
-        words = pc.replace_with_mask(words, plural, pa.array([X.folded(w) for w in words.filter(plural).to_pylist()], pa.string()))
-        folded = words.filter(pa.array(keep)).dictionary_encode()
-        code = coded.indices.to_numpy(zero_copy_only=False)
-        stays = keep[code]
-        own = folded.indices.to_numpy(zero_copy_only=False)[(np.cumsum(keep) - 1)[code[stays]]]
-        yield Terms(lo, hi, np.r_[0, np.cumsum(stays)][at], own, folded.dictionary)
+        at = bounds[lo : hi + 1] - bounds[lo]
+        found, start = _found(data[bounds[lo] : bounds[hi]], at)
+        stays, code, names = _coded(found)
+        yield Terms(lo, hi, np.r_[0, np.cumsum(stays)][np.searchsorted(start, at)], code, names)
+
+
+def of_characters(codes: np.ndarray, at: np.ndarray) -> tuple[Terms, np.ndarray]:
+    """The terms of the texts codes[at[i] : at[i + 1]] (numbers of characters, of which A-Z are lower-cased here), and where each term begins."""
+    data = np.where(codes < 128, codes, 255).astype(np.uint8)
+    data += 32 * ((data >= 65) & (data <= 90)).astype(np.uint8)
+    found, start = _found(data, at)
+    stays, code, names = _coded(found)
+    start = start[stays]
+    return Terms(0, len(at) - 1, np.searchsorted(start, at), code, names), start
 
 
 def of_lists(lists: pa.ListArray) -> Iterator[Terms]:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
@@ -17,12 +18,16 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as X
+from ..functions import words as W
+from . import pieces as G
 
 _TOKENS = regex.compile(P.TOKEN)
 _SENTENCES = regex.compile(P.SENTENCE)
 _PARAGRAPHS = regex.compile(r"\n\s*\n")
 
 Counter = Callable[[str], int]
+#: Characters of the texts that are cut at once.
+AT_ONCE = 1 << 19
 
 
 def count_tokens(text: str) -> int:
@@ -104,6 +109,31 @@ def faq_chunks(question: str, answer: str, max_tokens: int, count: Counter = cou
     return [f"Q: {question}\nA: {piece}" for piece in units(answer, max_tokens - count(question), count)]
 
 
+def sound(variants: dict[str, tuple[int, int]]) -> None:
+    if any(overlap >= max_tokens for max_tokens, overlap in variants.values()):
+        raise ValueError("overlap must be smaller than the chunk size")
+
+
+def stretches(b: pa.RecordBatch, variants: dict[str, tuple[int, int]], count: Counter = count_tokens) -> Iterator[tuple[pa.RecordBatch, G.Stretch, list[dict[str, list[G.Piece]]]]]:
+    """Rows of a batch of sections whose texts are worked on at once, these texts, and of each row the chunks by each variant.
+
+    Chunks are ranges of words where these tell them; those of question and answer, of odd texts, and by other counters are texts.
+    """
+    texts = [t or "" for t in b.column("text").to_pylist()]
+    for lo, hi in W.stretches(np.array([len(t) for t in texts], np.int64), AT_ONCE):
+        part, own, found = b.slice(lo, hi - lo), G.Stretch(texts[lo:hi]), []
+        for i, (text, heading, kind) in enumerate(zip(texts[lo:hi], *(part.column(n).to_pylist() for n in ("heading", "kind")))):
+            chunks, counted = {}, lru_cache(1 << 14)(count)  # a text's sentences and words are counted once for all variants
+            for v, (max_tokens, overlap) in variants.items():
+                if kind != "faq" and count is count_tokens and own.plain(i, max_tokens - overlap):
+                    chunks[v] = own.pack(i, max_tokens, overlap)
+                else:
+                    cut = faq_chunks(heading or "", text, max_tokens, counted) if kind == "faq" else pack(text, max_tokens, overlap, counted)
+                    chunks[v] = [G.Piece(t, counted(t), None) for t in cut]
+            found.append(chunks)
+        yield part, own, found
+
+
 SCHEMA = "source string, heading string, text string, kind string, section_no int, piece_no int, n_tokens int"
 
 
@@ -114,21 +144,14 @@ def chunk_sections(sections: DataFrame, max_tokens: int = 220, overlap: int = 30
 
 def chunk_variants(sections: DataFrame, variants: dict[str, tuple[int, int]], count: Counter = count_tokens) -> DataFrame:
     """variant and the columns of chunk_sections: the chunks by each of some named (max_tokens, overlap), in one pass of the sections."""
-    if any(overlap >= max_tokens for max_tokens, overlap in variants.values()):
-        raise ValueError("overlap must be smaller than the chunk size")
+    sound(variants)
     kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
     names = ["variant", *(c.split()[0] for c in SCHEMA.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted = lru_cache(1 << 14)(count)  # a text's sentences and words are counted once for all variants
         for b in batches:
-            for lo in range(0, len(b), 500):
-                part, rows = b.slice(lo, 500), []
-                for source, heading, text, kind, no in zip(*(part.column(c).to_pylist() for c in ("source", "heading", "text", "kind", "section_no"))):
-                    counted.cache_clear()  # it holds no more than one text
-                    for variant, (max_tokens, overlap) in variants.items():
-                        found = faq_chunks(heading or "", text or "", max_tokens, counted) if kind == "faq" else pack(text or "", max_tokens, overlap, counted)
-                        rows += [(variant, source, heading or "", t, kind, no, i, counted(t)) for i, t in enumerate(found)]
+            for part, _, found in stretches(b, variants, count):
+                rows = [(v, source, heading or "", c.text, kind, no, i, c.n_tokens) for (source, heading, kind, no), own in zip(zip(*(part.column(n).to_pylist() for n in ("source", "heading", "kind", "section_no"))), found) for v in variants for i, c in enumerate(own[v])]
                 cols = list(zip(*rows)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 

@@ -17,6 +17,7 @@ from ..functions import words as W
 
 DIM = 384
 ROWS = 2000  # that a task embeds at once
+ROWS_AT_ONCE = 400  # whose features a task sums at once, where they are summed by range
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -111,6 +112,79 @@ def _vectors(t: W.Terms, dim: int) -> Iterator[tuple[W.Terms, np.ndarray]]:
         yield part, out.reshape(n, dim)
 
 
+#: The weights of words, pairs and 4-grams as whole numbers, so that sums over ranges of terms are exact differences.
+_WHOLE, _PAIRED, _PART = 20.0, 12.0, 5.0
+
+
+class Ranges(NamedTuple):
+    """Rows that consist of ranges of a stretch's terms: begin and end of each range, in order of the rows and within them, and its row.
+
+    No range is empty; rows without terms have none.
+    """
+
+    n: int
+    row: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+
+    def lengths(self) -> np.ndarray:
+        return np.bincount(self.row, self.hi - self.lo, self.n).astype(np.int64)
+
+
+def of_ranges(t: W.Terms, ranges: Ranges, dim: int = DIM) -> Iterator[tuple[int, np.ndarray]]:
+    """The first of ROWS rows at a time, and their unit vectors: what ``_vectors`` makes of the rows' terms, up to rounding.
+
+    Features are summed up to each place where a range of some rows begins or ends, once for ranges that overlap; rows are made of
+    differences.  So rows should come in the order of what they are ranges of.
+    """
+    names, code = t.names.cast(pa.string()), t.code.astype(np.int64)
+    signed = lambda h, weight: ((h % np.uint64(dim)).astype(np.int64), np.where(h % np.uint64(2) == 1, weight, -weight))
+    word, word_weight = signed(_hashes(*_bytes(names)), _WHOLE)
+    hashes, many, which = _grams(names)
+    gram, gram_weight = (x[which] for x in signed(hashes, _PART))
+    first = np.cumsum(many) - many
+    joint = np.flatnonzero(ranges.row[1:] == ranges.row[:-1])  # where a row goes on with another range
+    left, right = np.r_[code[:-1], code[ranges.hi[joint] - 1]], np.r_[code[1:], code[ranges.lo[joint + 1]]]
+    pair = pa.array(left * len(names) + right).dictionary_encode()
+    own = pair.indices.to_numpy(zero_copy_only=False)
+    left, right = (names.take(pa.array(x)) for x in np.divmod(pair.dictionary.to_numpy(), max(len(names), 1)))
+    both, both_weight = (x[own] for x in signed(_hashes(*_bytes(pc.binary_join_element_wise(left, right, "|"))), _PAIRED))
+    n = max(len(code) - 1, 0)  # pairs of the stretch; those of joints follow
+    both_in, weight_in = np.r_[both[:n], 0], np.r_[both_weight[:n], 0.0]  # of each term the pair that it begins
+
+    def sums(a: int, b: int, lo: int, x: np.ndarray) -> None:
+        """Adds the ranges a to b to their rows of x, whose first is lo."""
+        begins, ends, row = ranges.lo[a:b], ranges.hi[a:b], ranges.row[a:b] - lo
+        bounds = np.unique(np.r_[begins, ends])
+        begin, end = np.searchsorted(bounds, begins), np.searchsorted(bounds, ends)
+        used = np.cumsum(np.bincount(begin, minlength=len(bounds)) - np.bincount(end, minlength=len(bounds)))[:-1] > 0
+        size = np.where(used, np.diff(bounds), 0)
+        base = np.repeat(np.arange(len(size)) * dim, size)
+        at = np.repeat(bounds[:-1] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        own = code[at]
+        grams = many[own]
+        which = np.repeat(first[own] - (np.cumsum(grams) - grams), grams) + np.arange(grams.sum())
+        where, weight = np.r_[base + word[own], base + both_in[at], np.repeat(base, grams) + gram[which]], np.r_[word_weight[own], weight_in[at], gram_weight[which]]
+        until = np.zeros((len(bounds), dim))
+        np.cumsum(np.bincount(where, weight, len(size) * dim).reshape(-1, dim), axis=0, out=until[1:])
+        nth = np.arange(b - a) - np.searchsorted(row, row)  # which of its row's ranges
+        for k in range(int(nth.max()) + 1):
+            some = np.flatnonzero(nth == k)
+            x[row[some]] += until[end[some]]
+            x[row[some]] -= until[begin[some]]
+            x[row[some], both_in[ends[some] - 1]] -= weight_in[ends[some] - 1]  # the pair of a range's last term with the next isn't in the row
+
+    for lo in range(0, ranges.n, ROWS):
+        x = np.zeros((min(ROWS, ranges.n - lo), dim))
+        cuts = np.searchsorted(ranges.row, np.r_[lo : lo + len(x) : ROWS_AT_ONCE, lo + len(x)])
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                sums(a, b, lo, x)
+        j = slice(*np.searchsorted(ranges.row[joint], [lo, lo + len(x)]))
+        np.add.at(x, (ranges.row[joint[j]] - lo, both[n:][j]), both_weight[n:][j])
+        yield lo, unit(x)
+
+
 def hashing(rows: DataFrame, key: str | list[str], text: str, dim: int = DIM) -> DataFrame:
     """The key columns and vec array<double>: unit vectors of hashed terms, adjacent pairs and 4-grams.
 
@@ -147,6 +221,9 @@ class Hashing(NamedTuple):
     def of_terms(self, terms: W.Terms) -> Iterator[tuple[W.Terms, np.ndarray]]:
         return ((t, unit(sums)) for t, sums in _vectors(terms, self.dim))
 
+    def of_ranges(self, terms: W.Terms, ranges: Ranges) -> Iterator[tuple[int, np.ndarray]]:
+        return of_ranges(terms, ranges, self.dim)
+
 
 def plugged(rows: DataFrame, key: str, text: str, embed: Callable[[list[str]], np.ndarray], batch: int = 64) -> DataFrame:
     """key, vec of a user's function from at most ``batch`` texts to a matrix; rows are brought to length one."""

@@ -129,15 +129,15 @@ def _groups(b: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
         yield name, b if len(coded.dictionary) == 1 else b.take(pa.array(np.flatnonzero(code == i)))
 
 
-_WORDS = "dl int, words binary, tfs binary"  # of a chunk its length, and places and uses of the terms that are asked for
-_NEAR = "near_q binary, near_s binary"  # of a chunk the queries that it was among the k best of its task for, when it was read, and its scores
+WORDS = "dl int, words binary, tfs binary"  # of a chunk its length, and places and uses of the terms that are asked for
+NEAR_TO = "near_q binary, near_s binary"  # of a chunk the queries that it was among the k best of its task for, when it was read, and its scores
 
 
 def _asked_words(chunks: DataFrame, names: list[str], near: tuple[Callable, np.ndarray, int] | None = None) -> DataFrame:
-    """variant, chunk_id, okey and _WORDS of chunks: their texts, or their terms if at hand, are read once, and only asked terms go on.
+    """variant, chunk_id, okey and WORDS of chunks: their texts, or their terms if at hand, are read once, and only asked terms go on.
 
     near: what makes vectors of terms, queries and k.  Then the chunks (of one variant) are compared with the queries where their
-    terms are at hand, and _NEAR goes on too, not the vectors.
+    terms are at hand, and NEAR_TO goes on too, not the vectors.
     """
     own, at_hand = ["variant", "chunk_id", "okey"], "terms" in chunks.columns
     kinds = ", ".join(f"{n} {chunks.schema[n].dataType.simpleString()}" for n in own)
@@ -149,20 +149,27 @@ def _asked_words(chunks: DataFrame, names: list[str], near: tuple[Callable, np.n
         for b in batches:
             for t in (W.of_lists if at_hand else W.of_texts)(b.column("terms")):
                 part = b.slice(t.lo, t.hi - t.lo)
-                packed = lambda row, x: pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer((np.searchsorted(row, np.arange(len(part) + 1)) * x.itemsize).astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())])
                 row, word, tf = _counted(t, place)
-                cols = [*(part.column(n) for n in own), pa.array(np.diff(t.at).astype(np.int32)), packed(row, word.astype(np.int32)), packed(row, tf.astype(np.int32))]
+                cols = [*(part.column(n) for n in own), pa.array(np.diff(t.at).astype(np.int32)), *(rows_of(len(part), row, x.astype(np.int32)) for x in (word, tf))]
                 if near:
                     kept = [(some.lo - t.lo, *best.of(x, part.slice(some.lo - t.lo, some.hi - some.lo))) for some, x in near[0](t)]
                     row, query, score = (np.concatenate(x) for x in zip(*((lo + row, query, score) for lo, row, query, score in kept)))
-                    cols += [packed(row, query.astype(np.int32)), packed(row, score)]
+                    cols += [rows_of(len(part), row, query.astype(np.int32)), rows_of(len(part), row, score)]
                 yield pa.RecordBatch.from_arrays(cols, names=[*own, "dl", "words", "tfs", *more])
 
-    return chunks.select(*own, (F.col("terms") if at_hand else W.lowered(search_text())).alias("terms")).mapInArrow(run, ", ".join([kinds, _WORDS, *([_NEAR] if near else [])]))
+    return chunks.select(*own, (F.col("terms") if at_hand else W.lowered(search_text())).alias("terms")).mapInArrow(run, ", ".join([kinds, WORDS, *([NEAR_TO] if near else [])]))
+
+
+def _codes(c: pa.Array) -> np.ndarray:
+    """A number of each value, the same of equal ones."""
+    return c.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 class _Best:
-    """The k best so far of each query in a task, ranked as ``_top`` ranks them: what isn't among them when it is met never is."""
+    """The k best so far of each query in a task, ranked as ``_top`` ranks them: what isn't among them when it is met never is.
+
+    Of rows of one chunk_id only the first counts, so that those that are dropped later leave k others.
+    """
 
     def __init__(self, queries: np.ndarray, k: int):
         self.queries, self.k = queries, k
@@ -180,7 +187,9 @@ class _Best:
         s, k = x @ self.queries.T, self.k
         floor = self.score[:, -1]
         if len(x) > 2 * k and np.isneginf(floor).any():
-            floor = np.maximum(floor, np.partition(s, -k, axis=0)[-k])
+            _, once = np.unique(_codes(rows.column("chunk_id")), return_index=True)
+            if len(once) >= k:
+                floor = np.maximum(floor, np.partition(s if len(once) == len(x) else s[once], -k, axis=0)[-k])
         row, query = np.nonzero(s >= floor - NEAR)
         if not len(row):
             return row, query, s[row, query]
@@ -189,10 +198,14 @@ class _Best:
         held_q = met[held_q]
         nine = np.r_[self.score[held_q, held_at], s[row, query].round(9)]
         whose = np.r_[held_q, query]
-        keys = {n: np.r_[self.keys[n][held_q, held_at], np.array(rows.column(n).to_pylist(), object)[row]] for n in self.keys}
+        keys = {n: np.r_[self.keys[n][held_q, held_at], np.array(rows.column(n).take(pa.array(row)).to_pylist(), object)] for n in self.keys}
         table = pa.table({"q": whose, "s": -nine} | {n: pa.array(v.tolist(), rows.schema.field(n).type) for n, v in keys.items()})
         order = pc.sort_indices(table, [("q", "ascending"), ("s", "ascending"), ("okey", "ascending"), ("chunk_id", "ascending")]).to_numpy()
         whose = whose[order]
+        ids = _codes(table.column("chunk_id").combine_chunks())[order]
+        _, once = np.unique(whose * len(order) + ids, return_index=True)
+        once.sort()
+        order, whose = order[once], whose[once]
         rank = np.arange(len(order)) - np.searchsorted(whose, whose)
         order, whose, rank = (v[rank < k] for v in (order, whose, rank))
         self.score[whose, rank] = nine[order]
@@ -202,6 +215,11 @@ class _Best:
         return row[new], query[new], s[row[new], query[new]]
 
 
+def rows_of(n: int, row: np.ndarray, x: np.ndarray) -> pa.Array:
+    """The numbers x of each of n rows as its bytes; they come in order of rows."""
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.searchsorted(row, np.arange(n + 1)) * x.itemsize).astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())])
+
+
 def _unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """row, place, tf of a batch of _asked_words in order of rows and places, and each row's length."""
 
@@ -237,9 +255,14 @@ def _asked_counts(found: DataFrame, n_names: int) -> dict[str, tuple[int, float,
     return {v: (int(n[0]), int(n[1]) / int(n[0]), n[2:]) for v, n in out.items()}
 
 
+def places(names: pa.Array, place: pa.StringArray) -> np.ndarray:
+    """Where each name stands in place, or -1."""
+    return pc.index_in(names, value_set=place).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _counted(t: W.Terms, place: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """row, place, tf of the terms that have a place, in order of rows and places."""
-    own = pc.index_in(t.names, value_set=place).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    own = places(t.names, place)
     at = own[t.code] if len(own) else np.zeros(0, np.int64)
     has = at >= 0
     code, tf = np.unique(t.rows()[has] * max(len(place), 1) + at[has], return_counts=True)
@@ -255,26 +278,26 @@ def bm25(questions: DataFrame, chunks: DataFrame, k: int = CANDIDATES, k1: float
     The questions' terms go to the chunks (if there are more than FEW_TERMS pairs of both, they are joined); a task scores its
     chunks where they lie and passes on k a question and batch.
     """
-    asked = _asked(questions)
+    asked = asked_terms(questions)
     pairs = asked.limit(FEW_TERMS + 1).collect()  # bounded
     chunks = _keyed(chunks, by)
     if len(pairs) > FEW_TERMS:
         return _of_variants(_top(_joined_scores(asked, with_terms(chunks, ["variant", "chunk_id", "okey"]), k1, b), k, ("variant",)), by)
-    found = cut(_asked_words(chunks, _names(pairs)))  # counted, then scored
-    return _of_variants(_scored(pairs, questions.schema["qid"].dataType, found, k, k1, b), by)
+    found = cut(_asked_words(chunks, names_of(pairs)))  # counted, then scored
+    return _of_variants(scored(pairs, questions.schema["qid"].dataType, found, k, k1, b), by)
 
 
-def _asked(questions: DataFrame) -> DataFrame:
+def asked_terms(questions: DataFrame) -> DataFrame:
     return questions.select("qid", F.explode(F.array_distinct(X.search_terms(F.col("question")))).alias("term")).distinct()
 
 
-def _names(pairs: list) -> list[str]:
+def names_of(pairs: list) -> list[str]:
     return sorted({r.term for r in pairs})
 
 
-def _scored(pairs: list, qid: DataType, found: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
+def scored(pairs: list, qid: DataType, found: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
     """variant, qid, chunk_id, okey, score, rank of the k best by pairs of question and term. found: of _asked_words, written."""
-    names, qids = _names(pairs), list(dict.fromkeys(r.qid for r in pairs))
+    names, qids = names_of(pairs), list(dict.fromkeys(r.qid for r in pairs))
     place, no = {w: i for i, w in enumerate(names)}, {q: i for i, q in enumerate(qids)}
     counts = _asked_counts(found, len(names))
     weights = {v: (np.log((n - df + 0.5) / (df + 0.5) + 1), avgdl) for v, (n, avgdl, df) in counts.items()}
@@ -447,20 +470,20 @@ def lists(questions: DataFrame, queries: DataFrame, chunks: DataFrame, vectors:
     """
     of_terms = getattr(vectors, "of_terms", None) if callable(vectors) else None
     if of_terms is not None:
-        few, pairs = queries.select("qid", "vec").limit(AT_ONCE + 1).toArrow(), _asked(questions).limit(FEW_TERMS + 1).collect()  # bounded
+        few, pairs = queries.select("qid", "vec").limit(AT_ONCE + 1).toArrow(), asked_terms(questions).limit(FEW_TERMS + 1).collect()  # bounded
         if few.num_rows <= AT_ONCE and len(pairs) <= FEW_TERMS:
             x = few.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(few.num_rows, -1) if few.num_rows else None
-            found = cut(_asked_words(_keyed(chunks, None), _names(pairs), None if x is None else (of_terms, x, k)))
-            lexical = _scored(pairs, questions.schema["qid"].dataType, found, k).drop("variant")
-            return lexical, _nearest(found, few.column("qid").to_pylist(), queries.schema["qid"].dataType, k)
+            found = cut(_asked_words(_keyed(chunks, None), names_of(pairs), None if x is None else (of_terms, x, k)))
+            lexical = scored(pairs, questions.schema["qid"].dataType, found, k).drop("variant")
+            return lexical, nearest(found, few.column("qid").to_pylist(), queries.schema["qid"].dataType, k).drop("variant")
     return bm25(questions, chunks, k), dense_of(queries, chunks, vectors, k)
 
 
-def _nearest(found: DataFrame, qids: list, qid: DataType, k: int) -> DataFrame:
-    """qid, chunk_id, okey, score, rank of the k best. found: of _asked_words with vectors, or without where there are no queries."""
-    schema = ", ".join(f"{c} {t.simpleString()}" for c, t in (("qid", qid), *((c, found.schema[c].dataType) for c in ("chunk_id", "okey")))) + ", score double"
+def nearest(found: DataFrame, qids: list, qid: DataType, k: int) -> DataFrame:
+    """variant, qid, chunk_id, okey, score, rank of the k best. found: of _asked_words with vectors, or without where there are no queries."""
+    schema = "variant string, " + ", ".join(f"{c} {t.simpleString()}" for c, t in (("qid", qid), *((c, found.schema[c].dataType) for c in ("chunk_id", "okey")))) + ", score double"
     if "near_q" not in found.columns:
-        return _top(found.sparkSession.createDataFrame([], schema), k)
+        return _top(found.sparkSession.createDataFrame([], schema), k, ("variant",))
     arrow = to_arrow_type(qid)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -468,10 +491,10 @@ def _nearest(found: DataFrame, qids: list, qid: DataType, k: int) -> DataFrame:
         for b in batches:
             many, query = _numbers(b.column("near_q"), np.int32)
             at = pa.array(np.repeat(np.arange(len(b)), many))
-            arrays = [ids.take(pa.array(query)), b.column("chunk_id").take(at), b.column("okey").take(at), pa.array(_numbers(b.column("near_s"), np.float64)[1])]
-            yield pa.RecordBatch.from_arrays(arrays, names=["qid", "chunk_id", "okey", "score"])
+            arrays = [b.column("variant").take(at), ids.take(pa.array(query)), b.column("chunk_id").take(at), b.column("okey").take(at), pa.array(_numbers(b.column("near_s"), np.float64)[1])]
+            yield pa.RecordBatch.from_arrays(arrays, names=["variant", "qid", "chunk_id", "okey", "score"])
 
-    return _top(found.select("chunk_id", "okey", "near_q", "near_s").filter(F.length("near_q") > 0).mapInArrow(run, schema), k)
+    return _top(found.select("variant", "chunk_id", "okey", "near_q", "near_s").filter(F.length("near_q") > 0).mapInArrow(run, schema), k, ("variant",))
 
 
 def fuse(lists: list[tuple[str, DataFrame]], k: int = RRF_K, by: str | None = None) -> DataFrame:
@@ -516,14 +539,15 @@ def dot(a: Column, b: Column) -> Column:
 
 def search(
     questions: DataFrame, chunks: DataFrame, query_vectors: DataFrame, vectors: DataFrame | Callable[[DataFrame], DataFrame], mode: str = "hybrid", k: int = TOP_K,
-    candidate_k: int = CANDIDATES, reranker: Callable | str | None = "lexical",
+    candidate_k: int = CANDIDATES, reranker: Callable | str | None = "lexical", at_hand: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """qid, question, rank, chunk_id, okey, title, heading, text, score, bm25_score, vector_score, rerank_score, ranks.
 
     questions: qid, question; blank ones have no hits.  query_vectors: qid, vec.  vectors: chunk_id, okey, vec, or a function
     that gives them for rows of chunks (one with ``of_terms``, see lists, in the pass that counts terms): then chunks are embedded
     where they are compared, hits once more, and nothing is stored.
-    reranker: "lexical" or a pandas function of (questions, passages) to scores.
+    reranker: "lexical" or a pandas function of (questions, passages) to scores.  at_hand: the lists of bm25 and vector, where a pass
+    over the corpus has made them already; then of chunks only the hits are read.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}; known: {', '.join(MODES)}")
@@ -532,10 +556,13 @@ def search(
     questions = questions.filter(F.trim("question") != "")
     asked = query_vectors.join(questions.select("qid"), "qid", "left_semi")
     if mode in ("bm25", "vector"):
-        one = bm25(questions, chunks, candidate_k) if mode == "bm25" else dense_of(asked, chunks, vectors, candidate_k)
+        if at_hand is not None:
+            one = at_hand[mode == "vector"]
+        else:
+            one = bm25(questions, chunks, candidate_k) if mode == "bm25" else dense_of(asked, chunks, vectors, candidate_k)
         found = one.withColumns({"ranks": F.create_map(F.lit(mode), F.col("rank")), "scores": F.create_map(F.lit(mode), F.col("score"))})
     else:
-        found = fuse([*zip(MODES, lists(questions, asked, chunks, vectors, candidate_k))])
+        found = fuse([*zip(MODES, at_hand or lists(questions, asked, chunks, vectors, candidate_k))])
     # the hits of a batch of questions are few beside the chunks: written, their size is known, and Spark sends them to the chunks
     found = cut(found.filter(F.col("rank") <= (candidate_k if mode == "hybrid+rerank" else k)))
     ids = cut(found.select("chunk_id").distinct())
